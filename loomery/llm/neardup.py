@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .workspace import keep_ids, materialize, small_batches
+from .workspace import batches_of, keep_ids, materialize, small_batches
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: Similarity as a fraction NUM / DEN.
 NUM, DEN = 75, 100
 #: 5 standard deviations (0.038 each) below the threshold: estimates under this are not verified.
 LEAST_ESTIMATE = 0.55
-#: Rows that meet each other in one step of the exact way through unresolved buckets.
-BLOCK = 256
+#: Rows, and their shingles, that meet each other in one step of the exact way through unresolved buckets.
+BLOCK, BLOCK_SHINGLES = 128, 100_000
 
 
 def shingles(words: list[bytes], k: int) -> np.ndarray:
@@ -167,36 +167,61 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.union(more.join(labels, more.old == labels.node, "left_anti").select("old", "new"))
 
 
-def unresolved(bands: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every pair of different components that meets in a bucket and passes size and estimate, block by block.
+def unresolved(docs: DataFrame, bands: DataFrame, reps: DataFrame, labels: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Links (a, b) between different components that meet in a bucket, searched exhaustively on full sets.
 
-    Buckets whose members are all connected add nothing and are left out. The others are cut into blocks of about
-    BLOCK rows; blocks meet in numpy, so rows are made for passing pairs only, never for a bucket's square.
+    Buckets whose members are all connected add nothing and are left out. Every document of the others goes, with its
+    full set, to one block: that of its most populous bucket, split by size. Blocks meet if they have a bucket in
+    common, and are compared in numpy by size, estimate and intersection, so rows are made for links only, one for
+    each two components that a pair of blocks connects, and never for a bucket's square.
     """
     member = bands.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = member.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket")
-    rows = rows.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    blocks = materialize(rows.groupBy("bucket", "block").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "registers")).alias("rows")), "blocks")
-    x, y = blocks.select("bucket", F.col("block").alias("p"), F.col("rows").alias("x")), blocks.select("bucket", F.col("block").alias("q"), F.col("rows").alias("y"))
-
-    def unpack(rows):
-        cols = [np.array([r[c] for r in rows]) for c in ("doc_id", "component", "n_shingles")]
-        return [*cols, np.frombuffer(b"".join(r["registers"] for r in rows), np.uint16).reshape(-1, REGISTERS)]
+    rows = materialize(member.join(open_.select("bucket", "n"), "bucket"), "open")
+    home = rows.groupBy("doc_id", "component").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home")).join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("size")), "doc_id")
+    parts = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    home = materialize(home.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "parts"))).select("doc_id", "component", "block"), "home")
+    near = rows.select("doc_id", "bucket").join(home, "doc_id").select("bucket", "block").distinct()
+    meetings = near.withColumnRenamed("block", "p").join(near.withColumnRenamed("block", "q"), "bucket").where("p <= q").select("p", "q").distinct()
+    sets = full_sets(docs, home.select("doc_id").distinct(), id_col, text_col, k).join(home, "doc_id")
+    blocks = materialize(sets.groupBy("block").agg(F.collect_list(F.struct("doc_id", "component", "shingles")).alias("rows")), "blocks")
+
+    def unpack(rows, probes):
+        sets = [r["shingles"].values.to_numpy().view(np.uint64) for r in rows]
+        registers = np.array([hyperminhash(h, REGISTERS, MANTISSA, probes) for h in sets])
+        return [r["doc_id"].as_py() for r in rows], [r["component"].as_py() for r in rows], np.array(list(map(len, sets))), sets, registers
 
     def meet(batches):
+        probes = probe_order(REGISTERS)
         for b in batches:
             for xs, ys in zip(b.column(0), b.column(1)):
-                (i, ci, ni, ri), (j, cj, nj, rj) = unpack(xs.as_py()), unpack(ys.as_py())
-                for at in range(len(i)):
-                    fit = (ci[at] != cj) & (DEN * np.minimum(ni[at], nj) >= NUM * np.maximum(ni[at], nj)) & (i[at] != j)
-                    if (u := np.flatnonzero(fit)).size:
-                        est = estimate((ri[at] == rj[u]).sum(1), np.full(u.size, ni[at]), nj[u])
-                        if (v := u[est >= LEAST_ESTIMATE]).size:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[at], j[v])), pa.array(np.maximum(i[at], j[v]))], names=["a", "b"])
-
-    return x.join(y, "bucket").where("p <= q").select("x", "y").mapInArrow(meet, "a long, b long").distinct()
+                (i, ci, ni, si, ri), (j, cj, nj, sj, rj) = unpack(xs, probes), unpack(ys, probes)
+                root = {c: c for c in (*ci, *cj)}
+
+                def find(c):
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
+                for x in range(len(i)):
+                    mine = find(ci[x])
+                    far = np.array([find(c) != mine for c in cj])
+                    u = np.flatnonzero(far & (DEN * np.minimum(ni[x], nj) >= NUM * np.maximum(ni[x], nj)))
+                    if u.size:
+                        u = u[estimate((ri[x] == rj[u]).sum(1), np.full(u.size, ni[x]), nj[u]) >= LEAST_ESTIMATE]
+                    if not u.size:
+                        continue
+                    all_ = np.concatenate([sj[y] for y in u])
+                    hit = si[x][np.minimum(np.searchsorted(si[x], all_), ni[x] - 1)] == all_
+                    common = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *nj[u][:-1]]))
+                    for y in u[DEN * common >= NUM * (ni[x] + nj[u] - common)]:
+                        if find(ci[x]) != find(cj[y]):
+                            root[find(ci[x])] = find(cj[y])
+                            yield pa.RecordBatch.from_arrays([pa.array([i[x]]), pa.array([j[y]])], names=["a", "b"])
+
+    pairs = meetings.join(blocks.select(F.col("block").alias("p"), F.col("rows").alias("x")), "p").join(blocks.select(F.col("block").alias("q"), F.col("rows").alias("y")), "q")
+    with batches_of(docs.sparkSession, 4):
+        return materialize(pairs.select("x", "y").mapInArrow(meet, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -205,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Equal sets become classes. 2. Registers are banded; in each bucket every class is compared with one pivot,
     which differs from bucket to bucket. 3. Each class's best pair is verified on full sets, then those of its
     other pairs that would still connect different components. 4. Buckets that still hold several components are
-    searched exhaustively in blocks. A linked pair that shares a bucket (all but 5 in a million at the threshold
+    searched exhaustively, block by block. A linked pair that shares a bucket (all but 5 in a million at the threshold
     itself) thus ends in one component, without pairs for the members of a group.
     """
     sig = materialize(signatures(docs, id_col, text_col, k), "signatures")
@@ -230,11 +255,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = relabel(pairs.select("a", "b"), labels)
     confirmed = verify(more, sets)
     labels = materialize(merged(labels, materialize(relabel(confirmed, labels), "links")), "labels")
-    rest = materialize(unresolved(bands, reps, labels).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        extra = materialize(rest.select("a").union(rest.select("b")).distinct().withColumnRenamed("a", "doc_id"), "needed")
-        extra = materialize(full_sets(docs, extra, id_col, text_col, k), "sets")
-        labels = materialize(merged(labels, materialize(relabel(verify(rest, extra), labels), "links")), "labels")
+    links = unresolved(docs, bands, reps, labels, id_col, text_col, k)
+    if not links.isEmpty():
+        labels = materialize(merged(labels, relabel(links, labels)), "labels")
 
     of_rep = labels.withColumnsRenamed({"node": "rep", "component": "c"})
     ids = member.join(of_rep, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("c", "rep")).alias("component_id"))
