@@ -29,35 +29,51 @@ CAPACITY = 4096
 #: Lengths of at least this share of the capacity are large; groups they are rounded to.
 LARGE, GROUPS = 1 / 8, 40
 #: Words whose ids a worker remembers.
-MEMO = 300_000
+MEMO = 800_000
 
 
 def encoder(model: str, end_id: int):
-    """text -> little-endian unsigned 32-bit ids and the end id, as bytes.
+    """texts -> for each, little-endian unsigned 32-bit ids and the end id, as bytes.
 
-    The tokenizer never joins characters across white space, so words are encoded once and remembered.
-    Separators 1C-1F, white space for Python but not for the tokenizer, send a text through it whole.
+    The tokenizer never joins characters across white space, so words are encoded once and remembered. New words of
+    letters, with at most one mark behind, are encoded as one text and told apart by the tokens that end a word; other
+    new words are encoded one by one. Separators 1C-1F, white space for Python but not for the tokenizer, send a text
+    through it whole.
     """
     from tokenizers import Tokenizer
 
     cache = worker_cache()
     if cache.get("model") != model:
-        cache |= {"model": model, "tokenizer": Tokenizer.from_str(model), "memo": {}}
-    tok, memo, end = cache["tokenizer"], cache["memo"], np.array([end_id], "<u4").tobytes()
+        tok = Tokenizer.from_str(model)
+        ends = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        cache |= {"model": model, "tokenizer": tok, "ends": ends, "memo": {}}
+    tok, ends, memo, end = cache["tokenizer"], cache["ends"], cache["memo"], np.array([end_id], "<u4").tobytes()
     pack = lambda ids: np.array(ids, "<u4").tobytes()
 
-    def encode(text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return pack(tok.encode(text, add_special_tokens=False).ids) + end
-        words = (text.lower() if text.isascii() else text).split()
-        try:
-            return b"".join(map(memo.__getitem__, words)) + end
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            new = [w for w in set(words) if w not in memo]
-            memo.update(zip(new, (pack(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False))))
-        return b"".join(map(memo.__getitem__, words)) + end
+    def learn(new: set[str]) -> None:
+        plain, odd = [], []
+        for w in new:
+            (plain if w.isalpha() and w.lower().isalpha() else odd).append(w)
+        marked = [w for w in odd if w[-1] in ",.!|" and w[:-1].isalpha() and w[:-1].lower().isalpha()]
+        ids = np.array(tok.encode(" ".join([*plain, *marked]), add_special_tokens=False).ids, "<u4")
+        stops = 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(stops) == len(plain) + 2 * len(marked):
+            raw, stops = ids.tobytes(), np.concatenate([[0], stops[: len(plain)], stops[len(plain) + 1 :: 2]]).tolist()
+            memo.update(zip([*plain, *marked], map(raw.__getitem__, map(slice, stops, stops[1:]))))
+            odd = set(odd).difference(marked)
+        else:
+            odd += plain
+        odd = list(odd)
+        memo.update(zip(odd, (pack(e.ids) for e in tok.encode_batch_fast(odd, add_special_tokens=False))))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else (t.lower() if t.isascii() else t).split() for t in texts]
+        if len(memo) > MEMO:
+            memo.clear()
+        if new := {w for words in split if words for w in words}.difference(memo):
+            learn(new)
+        return [(pack(tok.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(memo.__getitem__, words))) + end for t, words in zip(texts, split)]
 
     return encode
 
@@ -70,8 +86,7 @@ def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str,
         encode = encoder(model, end_id)
         for b in batches:
             rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text or "")
+            for i, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()])):
                 rows += [(i, n, at // 4, len(p := ids[at : at + 4 * capacity]) // 4, zlib.crc32(p)) for n, at in enumerate(range(0, len(ids), 4 * capacity))]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (b.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64())
