@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .workspace import materialize, small_batches
 
-TREES, PSI, DEPTH, FIT_ROWS, BINS, FALSE_REJECTS = 200, 256, 12, 20_000, 2000, 0.002
+TREES, PSI, DEPTH, FIT_ROWS, BINS, FALSE_REJECTS = 100, 128, 10, 20_000, 2000, 0.002
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
 SPACE = b" \t\n\r\x0b\x0c"
 #: Bytes to delete so that what is left are the characters counted.
@@ -105,7 +105,7 @@ def fit_forest(x: np.ndarray, box: tuple[np.ndarray, np.ndarray], seed: int = 42
             split += [0.0, 0.0]
             left += [0, 0]
             length += [0.0, 0.0]
-        trees.append(tuple(map(np.array, (feature, split, left, length))))
+        trees.append((np.array(feature, np.int8), np.array(split, np.float32), np.array(left, np.int16), np.array(length, np.float32)))
     return trees
 
 
@@ -117,7 +117,7 @@ def anomaly(trees: list[tuple[np.ndarray, ...]], x: np.ndarray, psi: int) -> np.
         while (go := feature[at] >= 0).any():
             i, node = rows[go], at[go]
             right = x[i, feature[node]] >= split[node]
-            at[i] = left[node] + right
+            at[i] = left[node].astype(np.int64) + right
         total += length[at]
     return 2.0 ** -(total / len(trees) / max(mean_path(psi), 1e-9))
 
