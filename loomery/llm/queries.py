@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, secrets, topk
+from . import mixing, neardup, packing, quality, secrets, topk, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +30,26 @@ def op2_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Fixed rules: host, path, action.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op3_fpgrowth_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of low quality block; labels and pages share their ids."""
+    labels = table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "block").otherwise("allow").alias("verdict"))
+    return urlrules.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op5_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
