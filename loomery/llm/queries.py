@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, secrets, topk, urlrules, warc
+from . import licenses, mixing, neardup, packing, quality, secrets, topk, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,12 @@ def op9_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    written = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["first_word"], m["end_word"], F.round(m["containment"], 4)))
+    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(written, ",").alias("matches"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
