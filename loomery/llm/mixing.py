@@ -56,9 +56,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as often as the mix takes them; the document at a source's cut is shortened to the words taken."""
-    took = materialize(mix(docs, **how), "taken").where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    both = sized.join(took.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "taken"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")))
-    both = both.withColumn("_take", F.explode(F.expr("transform(sequence(1L, bigint(ceil(taken / _size))), i -> least(_size, taken - (i - 1) * _size))")))
-    cut = F.when(F.col("_take") < F.col("_size"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), F.lit(1), F.col("_take").cast("int")), "")).otherwise(F.col("text"))
-    return both.withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    took = materialize(mix(docs, **how), "taken").where("taken > 0").groupBy(F.col("doc_id").alias("_lm_id"), F.col("size").alias("_lm_n")).agg(F.max("taken").alias("_lm_taken"))
+    sized = docs.withColumn("_lm_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    both = sized.join(took, F.col("doc_id").eqNullSafe(F.col("_lm_id")) & (F.col("_lm_size") == F.col("_lm_n")))
+    both = both.withColumn("_lm_take", F.explode(F.expr("transform(sequence(1L, bigint(ceil(_lm_taken / _lm_size))), i -> least(_lm_size, _lm_taken - (i - 1) * _lm_size))")))
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), F.lit(1), F.col("_lm_take").cast("int"))
+    text = F.when(F.col("_lm_take") < F.col("_lm_size"), F.array_join(words, "")).otherwise(F.col("text"))
+    return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)

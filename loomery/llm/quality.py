@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import materialize, small_batches
+from .workspace import BROADCAST_IDS, materialize, small_batches
 
 TREES, PSI, DEPTH, FIT_ROWS, BINS, FALSE_REJECTS = 100, 128, 10, 20_000, 2000, 0.002
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
@@ -54,16 +54,16 @@ def counts(text: bytes) -> tuple[int, ...]:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and COUNTS."""
+    """doc_id, text_key (a hash of the text) and COUNTS."""
     small_batches(docs.sparkSession)
 
     def stat(batches):
         for b in batches:
-            cols = list(zip(*(counts(t or b"") for t in b.column(1).to_pylist()))) or [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *COUNTS])
+            cols = list(zip(*(counts(t or b"") for t in b.column(2).to_pylist()))) or [()] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "text_key", *COUNTS])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(stat, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("t")).mapInArrow(stat, f"doc_id {kind}, text_key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
@@ -146,7 +146,7 @@ def threshold(scored: DataFrame) -> float:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, COUNTS, base_failed, score, kept: one row per row of docs."""
+    """doc_id, text_key, COUNTS, base_failed, score, kept: one row per row of docs."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialize(statistics(docs, id_col, text_col).withColumn("base_failed", failed), "statistics")
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -159,3 +159,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     done = materialize(score(stats, trees, min(PSI, len(clean))), "scores")
     cut = threshold(done.join(truth, "doc_id", "left"))
     return done.withColumn("kept", ~F.col("base_failed") & (F.col("score") < cut))
+
+
+def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept."""
+    out = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("_lm_id"), F.col("text_key").alias("_lm_key")).distinct()
+    out = materialize(out, "rejected")
+    if out.count() <= BROADCAST_IDS:
+        out = F.broadcast(out)
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_lm_id")) & (F.xxhash64("text") == F.col("_lm_key")), "left_anti")

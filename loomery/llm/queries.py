@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, packing, quality, secrets, topk, urlrules, warc
+from . import licenses, mixing, neardup, packing, quality, secrets, toolcalls, topk, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op3_fpgrowth_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(table(spark, sf_dir, "conversations"))
+
+
 def op5_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -99,13 +99,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def redact(docs: DataFrame, **columns) -> DataFrame:
-    """docs with live credentials replaced by [kind]; copied examples stay."""
-    found = scan(docs, **columns).select("text_key", F.filter("spans", lambda s: s["verdict"] == "live").alias("spans")).where("size(spans) > 0").dropDuplicates(["text_key"])
-    found = materialize(found, "live")
-    joined = docs.withColumn("text_key", F.unhex(F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.col("text"))))).join(found, "text_key", "left")
-    name = F.array(*map(F.lit, KINDS))
-    step = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
-        F.struct(F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.element_at(name, s["kind"] + 1), F.lit("]")).alias("out"), s["end"].alias("at"))))
-    joined = joined.withColumn("_r", step)
-    text = F.when(F.col("spans").isNotNull(), F.concat("_r.out", F.substring(F.col("text"), (F.col("_r.at") + 1).cast("int"), F.length("text")))).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """docs with live credentials replaced by [kind]; copied and shared values stay. Other columns are left as they are."""
+    live = scan(docs, **columns).select(F.col("text_key").alias("_lm_key"), F.filter("spans", lambda s: s["verdict"] == "live").alias("_lm_spans"))
+    live = materialize(live.where("size(_lm_spans) > 0").dropDuplicates(["_lm_key"]), "live")
+    joined = docs.withColumn("_lm_key", F.unhex(F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.col("text"))))).join(live, "_lm_key", "left")
+    names = F.array(*map(F.lit, KINDS))
+
+    def add(acc, s):
+        gap = F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        new = F.struct(F.concat(acc["out"], gap, F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")).alias("out"), s["end"].alias("at"))
+        return F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(new)
+
+    done = F.aggregate("_lm_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), add, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    return joined.withColumn("text", F.when(F.col("_lm_spans").isNotNull(), done).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
