@@ -19,6 +19,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,10 @@ from .workspace import materialize, small_batches, worker_cache
 CAPACITY = 4096
 #: Lengths of at least this share of the capacity are large; groups they are rounded to.
 LARGE, GROUPS = 1 / 8, 40
+#: Marks that may stand behind a word: no apostrophe, which may begin an ending.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Beyond Latin letters a lower-cased letter may join a mark; other white space than that of ASCII.
+HARD = r"[^\x{0}-\x{2FF}]|[\x{1C}-\x{1F}\x{85}\x{A0}]"
 #: Words whose ids a worker remembers.
 MEMO = 800_000
 
@@ -36,8 +41,8 @@ def encoder(model: str, end_id: int):
     """texts -> for each, little-endian unsigned 32-bit ids and the end id, as bytes.
 
     The tokenizer never joins characters across white space, so words are encoded once and remembered. New words of
-    letters, with at most one mark behind, are encoded as one text and told apart by the tokens that end a word; other
-    new words are encoded one by one. Separators 1C-1F, white space for Python but not for the tokenizer, send a text
+    letters are encoded as one text and told apart by the tokens that end a word, marks behind them stand for
+    themselves, and other new words are encoded one by one. Separators 1C-1F, white space for Python but not for the tokenizer, send a text
     through it whole.
     """
     from tokenizers import Tokenizer
@@ -52,28 +57,55 @@ def encoder(model: str, end_id: int):
     pack = lambda ids: np.array(ids, "<u4").tobytes()
 
     def learn(new: set[str]) -> None:
-        plain, odd = [], []
+        plain, odd, marked = set(), set(), []
         for w in new:
-            (plain if w.isalpha() and w.lower().isalpha() else odd).append(w)
-        marked = [w for w in odd if w[-1] in ",.!|" and w[:-1].isalpha() and w[:-1].lower().isalpha()]
-        ids = np.array(tok.encode(" ".join([*plain, *marked]), add_special_tokens=False).ids, "<u4")
+            stem = w.rstrip(MARKS)
+            if stem.isalpha() and stem.lower().isalpha():
+                if stem not in memo:
+                    plain.add(stem)
+                if len(stem) < len(w):
+                    marked.append((w, stem, tail := w[len(stem) :]))
+                    if tail not in memo:
+                        odd.add(tail)
+            else:
+                odd.add(w)
+        plain = list(plain)
+        ids = np.array(tok.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
         stops = 4 * (np.flatnonzero(ends[ids]) + 1)
-        if len(stops) == len(plain) + 2 * len(marked):
-            raw, stops = ids.tobytes(), np.concatenate([[0], stops[: len(plain)], stops[len(plain) + 1 :: 2]]).tolist()
-            memo.update(zip([*plain, *marked], map(raw.__getitem__, map(slice, stops, stops[1:]))))
-            odd = set(odd).difference(marked)
+        if len(stops) == len(plain):
+            memo.update(zip(plain, map(ids.tobytes().__getitem__, map(slice, [0, *(stops := stops.tolist())], stops))))
         else:
-            odd += plain
+            odd.update(plain)
         odd = list(odd)
         memo.update(zip(odd, (pack(e.ids) for e in tok.encode_batch_fast(odd, add_special_tokens=False))))
+        memo.update((w, memo[stem] + memo[tail]) for w, stem, tail in marked)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else (t.lower() if t.isascii() else t).split() for t in texts]
+    def known(words: list[str]) -> list[bytes]:
         if len(memo) > MEMO:
             memo.clear()
-        if new := {w for words in split if words for w in words}.difference(memo):
+        if new := set(words).difference(memo):
             learn(new)
-        return [(pack(tok.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(memo.__getitem__, words))) + end for t, words in zip(texts, split)]
+        return list(map(memo.__getitem__, words))
+
+    def whole(text: str) -> bytes:
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return pack(tok.encode(text, add_special_tokens=False).ids)
+        return b"".join(known(text.split()))
+
+    def encode(texts: pa.StringArray) -> list[bytes]:
+        texts = texts.fill_null("")
+        hard = pc.match_substring_regex(texts, HARD)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(hard, "", texts)))
+        coded = words.flatten().dictionary_encode()
+        ids = known(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        each = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[each]
+        after = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[each] - (after - n), n) + np.arange(n.sum())
+        flat = np.frombuffer(b"".join(ids), "<u4")[at]
+        cuts = np.concatenate([[0], after])[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [(whole(texts[i].as_py()) if h else flat[cuts[i] : cuts[i + 1]].tobytes()) + end for i, h in enumerate(hard.to_pylist())]
 
     return encode
 
@@ -86,7 +118,7 @@ def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str,
         encode = encoder(model, end_id)
         for b in batches:
             rows = []
-            for i, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()])):
+            for i, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
                 rows += [(i, n, at // 4, len(p := ids[at : at + 4 * capacity]) // 4, zlib.crc32(p)) for n, at in enumerate(range(0, len(ids), 4 * capacity))]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (b.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64())
