@@ -81,10 +81,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     shaped = [F.transform(starts(w, s), shape(w, s)) for w, s in shapes]
     windows = rows.where("h is not null").select("row", "h", F.explode(F.concat(*shaped)).alias("w")).select("row", "w.*", F.slice("h", F.col("w.start"), F.col("w.width")).alias("part")).where("size(part) > 0")
     keyed = windows.withColumn("keys", bands(F.col("part"))).select("row", "start", "width", "step", "part", F.posexplode("keys").alias("band", "key"))
-    hits = keyed.join(table, ["width", "step", "band", "key"]).dropDuplicates(["row", "start", "template"])
+    hits = keyed.join(table, ["width", "step", "band", "key"])
+    # verified where retrieved, once for each band that met: only narrow rows of matches are shuffled
     hits = hits.withColumn("share", F.size(F.array_intersect("part", "need")) / F.size("need")).where(F.col("share") >= contained)
     inside = F.filter(F.sequence(F.lit(1), F.size("part")), lambda i: F.array_contains("need", F.element_at("part", i)))
-    hits = hits.withColumns({"first_word": (F.col("start") + F.array_min(inside) - 2).cast("long"), "end_word": (F.col("start") + F.array_max(inside) + (K - 2)).cast("long")})
-    best = hits.groupBy("row", "template").agg(F.max_by(F.struct("template", F.col("share").alias("containment"), "first_word", "end_word"), F.struct("share", -F.col("start"))).alias("m"))
+    hits = hits.select("row", "template", "share", (-F.col("start")).alias("before"), (F.col("start") + F.array_min(inside) - 2).cast("long").alias("first_word"), (F.col("start") + F.array_max(inside) + (K - 2)).cast("long").alias("end_word"))
+    best = hits.groupBy("row", "template").agg(F.max(F.struct("share", "before", "first_word", "end_word")).alias("b"))
+    best = best.select("row", F.struct("template", F.col("b.share").alias("containment"), "b.first_word", "b.end_word").alias("m"))
     best = best.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("matches"))
     return rows.select("row", "doc_id", "n_words").join(best, "row", "left").select("doc_id", "n_words", F.coalesce("matches", F.array().cast(dict(best.dtypes)["matches"])).alias("matches"))
