@@ -3,7 +3,7 @@
 An archive is a table of rows (archive, seq, record_id, chunk_no, data, sha1): the data of an archive's rows, joined in
 the order of seq, are a valid WARC/1.1 file. Payloads are cut into chunks before they reach Python, each row carries the
 SHA-1 of the record's payload so far, and the reader parses the rows as a stream: neither side holds a whole record.
-One task writes one archive, so a retried task replaces its archive as a whole.
+One task writes archives of bounded size that no other task writes to, so a retried task replaces them as a whole.
 
 Of records with equal payloads of at least REVISIT_BYTES the one with the largest page_id is a response (all rows of
 it, if the id repeats) and the others are revisits without payload. Null html is an empty payload, a null url is
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from .workspace import materialize, small_batches
 
 CHUNK, REVISIT_BYTES = 64 * 1024, 1000
+#: A task begins another archive after so many bytes, at a record's start; archive numbers are task * SEGMENTS + part.
+ARCHIVE_BYTES, SEGMENTS = 8 * 2**20, 2**32
 #: Revisits (some 60 bytes each) that may be broadcast to the payloads.
 BROADCAST_REVISITS = 100_000
-ARCHIVE = "archive int, seq long, record_id string, chunk_no int, data binary, sha1 string"
+ARCHIVE = "archive long, seq long, record_id string, chunk_no int, data binary, sha1 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -67,20 +69,23 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         return "\r\n".join(fields).encode() + b"\r\n\r\n" + http
 
     def put(batches):
-        archive, seq, sha = TaskContext.get().partitionId(), 0, hashlib.sha1()
+        archive, seq, size_now, sha = TaskContext.get().partitionId() * SEGMENTS, 0, 0, hashlib.sha1()
         for b in batches:
             out = []
             for page, url, size, digest, refers, no, data in zip(*(c.to_pylist() for c in b.columns)):
                 name = f"<urn:page:{'null' if page is None else page}>"
                 if no == 0:
                     sha = hashlib.sha1()
+                    if size_now > ARCHIVE_BYTES:
+                        archive, seq, size_now = archive + 1, 0, 0
                     out.append((archive, seq, name, -1, head(page, url, size, digest, refers), None))
                     seq += 1
                 sha.update(data)
+                size_now += len(data)
                 last = refers is not None or (no + 1) * chunk >= size
                 out.append((archive, seq, name, no, data + b"\r\n\r\n" if last else data, sha.copy().hexdigest()))
                 seq += 1
-            kinds = (pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["archive", "seq", "record_id", "chunk_no", "data", "sha1"])
 
     rows = rows.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", "data")
