@@ -2,7 +2,8 @@
 
 Size of a row: its words, runs of characters other than space and 09-0D (null text: 0). Sources in code point order,
 null last, take the given weights in turn and share the total size; a target stops at `repeats` times its source's
-size and the excess goes to the others by weight. A source's rows stand in the order of a seeded hash of doc_id; each
+size and the excess goes to the others by weight. A source's rows stand in the order of 60 bits of
+a seeded md5 of doc_id, which any engine reproduces; each
 is taken floor(target / source size) times, and rows of one more epoch until the budget, the last one in part.
 
 One row per source comes to the driver to fix the targets. Null doc_ids hash like any value; repeated rows are rows of
@@ -38,7 +39,8 @@ def targets(sizes: list[int], weights: list[int], repeats: int) -> list[float]:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: one row per row of docs."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = materialize(sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    sized = materialize(sized.withColumn("key", key), "sizes")
     order = [F.asc_nulls_last("source"), F.asc("key"), F.asc("doc_id"), F.asc("size")]
     per = sized.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.asc_nulls_last("source")).collect()
     totals = [r["n"] for r in per]

@@ -77,5 +77,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = {
+    "op2_hyperminhash_neardup": rf"""
+with recursive words as (select doc_id, list_filter(string_split_regex({LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') w from documents),
+sets as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) s from words),
+sizes as (select doc_id, count(*) n from sets group by 1),
+common as (select a.doc_id a, b.doc_id b, count(*) i from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+reach as (select doc_id, doc_id r from documents union select reach.doc_id, b from reach join links on a = r),
+low as (select doc_id, min(r) component_id from reach group by 1)
+select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept from documents d left join sizes using (doc_id) join low using (doc_id)""",
+    "op6_chunked_warc": """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
+m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) top from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id < top then 'revisit' else 'response' end record_type, case when payload_bytes >= 1000 and page_id < top then top end refers_to from m""",
+    "op7_source_mix": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size, cast('0x' || substr(md5('42:' || doc_id), 1, 15) as bigint) k from documents),
+s as (select source, cast(sum(size) as bigint) source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 w from d group by 1),
+r as (select *, 3 * source_size / w fill, sum(source_size) over () total, coalesce(sum(3 * source_size) over (order by 3 * source_size / w, source rows between unbounded preceding and 1 preceding), 0) before, sum(w) over (order by 3 * source_size / w, source rows between current row and unbounded following) rest from s),
+u as (select *, (total - before) / rest unit from r),
+c as (select *, bool_and(unit > fill) over (order by fill, source rows unbounded preceding) capped from u),
+t as (select source, source_size, cast(case when capped then 3 * source_size else w * first_value(unit) over (order by capped, fill, source) end as double) target from c),
+q as (select *, least(3, cast(floor(target / source_size) as bigint)) whole from t),
+b as (select d.*, source_size, target, whole, cast(round(target - whole * source_size) as bigint) left_over, coalesce(sum(size) over (partition by source order by k, doc_id rows between unbounded preceding and 1 preceding), 0) pos from d join q using (source))
+select doc_id, cast(size as bigint) size, source_size, target, cast(whole * size + greatest(0, least(size, left_over - pos)) as bigint) taken from b""",
+    "op8_pivot_distance_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v from embeddings),
+s as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+k as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from s)
+select query_id, rank, vec_id, score from k where rank <= 10""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
