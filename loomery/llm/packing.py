@@ -34,7 +34,9 @@ MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Beyond Latin letters a lower-cased letter may join a mark; other white space than that of ASCII.
 HARD = r"[^\x{0}-\x{2FF}]|[\x{1C}-\x{1F}\x{85}\x{A0}]"
 #: Words whose ids a worker remembers.
-MEMO = 800_000
+MEMO = 600_000
+#: Text that a worker encodes at once: more finds more repeated words, and is held in memory.
+ENCODE_BYTES = 4 * 2**20
 
 
 def encoder(model: str, end_id: int):
@@ -70,7 +72,7 @@ def encoder(model: str, end_id: int):
             else:
                 odd.add(w)
         plain = list(plain)
-        ids = np.array(tok.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+        ids = np.array(tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
         stops = 4 * (np.flatnonzero(ends[ids]) + 1)
         if len(stops) == len(plain):
             memo.update(zip(plain, map(ids.tobytes().__getitem__, map(slice, [0, *(stops := stops.tolist())], stops))))
@@ -110,18 +112,31 @@ def encoder(model: str, end_id: int):
     return encode
 
 
+def gathered(batches):
+    """Columns of two-column batches, joined until they hold ENCODE_BYTES of text."""
+    wait, size = [], 0
+    for b in batches:
+        wait.append(b)
+        size += b.column(1).nbytes
+        if size >= ENCODE_BYTES:
+            yield tuple(pa.concat_arrays([x.column(i) for x in wait]) for i in range(2))
+            wait, size = [], 0
+    if wait:
+        yield tuple(pa.concat_arrays([x.column(i) for x in wait]) for i in range(2))
+
+
 def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
     small_batches(docs.sparkSession)
 
     def cut(batches):
         encode = encoder(model, end_id)
-        for b in batches:
+        for ids_, texts in gathered(batches):
             rows = []
-            for i, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
+            for i, ids in zip(ids_.to_pylist(), encode(texts)):
                 rows += [(i, n, at // 4, len(p := ids[at : at + 4 * capacity]) // 4, zlib.crc32(p)) for n, at in enumerate(range(0, len(ids), 4 * capacity))]
             cols = list(zip(*rows)) or [()] * 5
-            kinds = (b.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (ids_.type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
