@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .workspace import materialize
 
 K, BANDS, ROWS, CONTAINED = 5, 18, 1, 0.75
+#: Size up to which the template index is broadcast; a larger library is joined by a shuffle.
+BROADCAST_BYTES = 16 * 2**20
 
 #: Fixed texts: notices as they stand in files.
 TEMPLATES = {
@@ -71,6 +73,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     spark = docs.sparkSession
     lib = [r.asDict() for r in index(spark, templates).collect()]  # as large as the library given
     table = spark.createDataFrame([(r["template"], r["need"], r["width"], r["step"], b, key) for r in lib for b, key in enumerate(r["keys"])], "template string, need array<long>, width int, step int, band int, key long")
+    if sum(len(r["need"]) for r in lib) * 8 * BANDS <= BROADCAST_BYTES:
+        table = F.broadcast(table)
     known = sorted({x for r in lib for x in r["need"]})
     shapes = sorted({(r["width"], r["step"]) for r in lib})
     rows = shingled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), "t").drop("t")
