@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .workspace import batches_of, keep_ids, materialize, small_batches
+from .workspace import batches_of, keep_ids, materialize, small_batches, tidy
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: Similarity as a fraction NUM / DEN.
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), hyperminhash(h, REGISTERS, MANTISSA, probes).tobytes()) if len(h) else (0, None, None))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], arrow.types[i + 1]) for i in range(3))], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(sign, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(tidy(sign), schema)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -111,7 +111,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: in
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, np.concatenate([*out, np.empty(0, np.int64)]))], names=["doc_id", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return keep_ids(texts, ids, "doc_id").mapInArrow(sets, schema)
+    return keep_ids(texts, ids, "doc_id").mapInArrow(tidy(sets), schema)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def scored(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 keep = pa.array(est >= LEAST_ESTIMATE)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est)], names=["a", "b", "est"]).filter(keep)
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(match, "a long, b long, est double")
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(tidy(match), "a long, b long, est double")
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def banded(reps: DataFrame) -> DataFrame:
                 key = (key ^ (key >> np.uint64(32)) ^ salt).astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "doc_id"])
 
-    return reps.select("doc_id", "registers").mapInArrow(keys, "bucket long, doc_id long")
+    return reps.select("doc_id", "registers").mapInArrow(tidy(keys), "bucket long, doc_id long")
 
 
 def relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def unresolved(docs: DataFrame, bands: DataFrame, reps: DataFrame, labels: DataF
 
     pairs = meetings.join(blocks.select(F.col("block").alias("p"), F.col("rows").alias("x")), "p").join(blocks.select(F.col("block").alias("q"), F.col("rows").alias("y")), "q")
     with batches_of(docs.sparkSession, 4):
-        return materialize(pairs.select("x", "y").mapInArrow(meet, "a long, b long"), "links")
+        return materialize(pairs.select("x", "y").mapInArrow(tidy(meet), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:

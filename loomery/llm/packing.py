@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import with_prefix
-from .workspace import materialize, small_batches, worker_cache
+from .workspace import materialize, small_batches, tidy, worker_cache
 
 CAPACITY = 4096
 #: Lengths of at least this share of the capacity are large; groups they are rounded to.
@@ -39,7 +39,7 @@ MEMO = 600_000
 ENCODE_BYTES = 4 * 2**20
 
 
-def encoder(model: str, end_id: int):
+def encoder(model: str, end_id: int, most: int = MEMO):
     """texts -> for each, little-endian unsigned 32-bit ids and the end id, as bytes.
 
     The tokenizer never joins characters across white space, so words are encoded once and remembered. New words of
@@ -83,7 +83,7 @@ def encoder(model: str, end_id: int):
         memo.update((w, memo[stem] + memo[tail]) for w, stem, tail in marked)
 
     def known(words: list[str]) -> list[bytes]:
-        if len(memo) > MEMO:
+        if len(memo) > most:
             memo.clear()
         if new := set(words).difference(memo):
             learn(new)
@@ -125,12 +125,12 @@ def gathered(batches):
         yield tuple(pa.concat_arrays([x.column(i) for x in wait]) for i in range(2))
 
 
-def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str, text_col: str, memo: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
     small_batches(docs.sparkSession)
 
     def cut(batches):
-        encode = encoder(model, end_id)
+        encode = encoder(model, end_id, memo)
         for ids_, texts in gathered(batches):
             rows = []
             for i, ids in zip(ids_.to_pylist(), encode(texts)):
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(tidy(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def configurations(sizes: list[int], need: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -272,11 +272,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return entries, total
 
 
-def pack(docs: DataFrame, model_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, model_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. memo: words a worker remembers, some 200 bytes each."""
     with open(model_path, encoding="utf-8") as f:
         model = f.read()
-    cut = materialize(pieces(docs, model, end_id, capacity, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, model, end_id, capacity, id_col, text_col, memo), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     entries, _ = plan(counts, capacity)
     before, at = {}, 0
@@ -298,7 +298,7 @@ def pack(docs: DataFrame, model_path: str, end_id: int = 1, capacity: int = CAPA
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     kind = dict(cut.dtypes)["doc_id"]
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_index").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_index").mapInArrow(tidy(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def by_length(entries) -> dict[int, np.ndarray]:

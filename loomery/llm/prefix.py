@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import materialize, partitions
+from .workspace import materialize, partitions, tidy
 
 
 def with_prefix(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def with_prefix(df: DataFrame, order: list[Column], value: str, name: str) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, more)], names=[*b.schema.names, "_part", "_row", "_run"])
 
     ranged = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    table = materialize(ranged.mapInArrow(run, schema), name)
+    table = materialize(ranged.mapInArrow(tidy(run), schema), name)
     sums, at, offsets = table.groupBy("_part").agg(F.count("*").alias("n"), F.sum(value).alias("v")).orderBy("_part").collect(), (0, 0), []
     for r in sums:
         offsets.append((r["_part"], *at))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import BROADCAST_IDS, materialize, small_batches
+from .workspace import BROADCAST_IDS, materialize, small_batches, tidy
 
 TREES, PSI, DEPTH, FIT_ROWS, BINS, FALSE_REJECTS = 100, 128, 10, 20_000, 2000, 0.002
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
@@ -63,7 +63,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "text_key", *COUNTS])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("t")).mapInArrow(stat, f"doc_id {kind}, text_key long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("t")).mapInArrow(tidy(stat), f"doc_id {kind}, text_key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
@@ -130,7 +130,7 @@ def score(stats: DataFrame, trees: list[tuple[np.ndarray, ...]], psi: int) -> Da
             x = features({c: b.column(b.schema.get_field_index(c)).to_numpy() for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anomaly(trees, x, psi))], names=[*b.schema.names, "score"])
 
-    return stats.mapInArrow(run, T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())]))
+    return stats.mapInArrow(tidy(run), T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def threshold(scored: DataFrame) -> float:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize, small_batches
+from .workspace import materialize, small_batches, tidy
 
 #: Fixed patterns: kind, pattern, group of the secret, least length of it. Letters of the names stand in either case.
 PATTERNS = (
@@ -80,7 +80,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
     key = F.unhex(F.md5(F.concat_ws("\x00", F.col(id_col).cast("string"), F.col(text_col))))
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.coalesce(text_col, F.lit("")).alias("t"))
-    return rows.mapInArrow(scan, f"doc_id {kind}, text_key binary, owner string, repo string, found array<struct<start: long, kind: int, end: long, value: binary, looks: boolean>>")
+    return rows.mapInArrow(tidy(scan), f"doc_id {kind}, text_key binary, owner string, repo string, found array<struct<start: long, kind: int, end: long, value: binary, looks: boolean>>")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "repo") -> DataFrame:

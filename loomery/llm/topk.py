@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import batches_of, materialize
+from .workspace import batches_of, materialize, tidy
 
 PIVOTS, ANNULI, PIVOT_ROWS, BLOCK, ASK = 64, 16, 10_000, 2048, 512
 #: Rows that the first, nearest cells must hold for each row asked for.
@@ -94,7 +94,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
                 near = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near]), pa.array((x * x).sum(1))], names=["vec_id", "v", "pivot", "dist", "norm"])
 
-    keyed = materialize(rows.mapInArrow(key, "vec_id long, v array<long>, pivot int, dist double, norm long"), "keyed")
+    keyed = materialize(rows.mapInArrow(tidy(key), "vec_id long, v array<long>, pivot int, dist double, norm long"), "keyed")
     reach = keyed.groupBy("pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()
     lo, width = np.zeros(len(pivots)), np.ones(len(pivots))
     for r in reach:
@@ -166,12 +166,12 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     def search(routed: DataFrame) -> DataFrame:
         q = blocks(routed, ASK, "query_id").select("cell", F.col("rows.query_id").alias("qs"), F.flatten("rows.q").alias("qv"))
         with batches_of(spark, 8):
-            return materialize(stored.join(q, "cell").select("ids", "vs", "qs", "qv").mapInArrow(evaluate, result), "found")
+            return materialize(stored.join(q, "cell").select("ids", "vs", "qs", "qv").mapInArrow(tidy(evaluate), result), "found")
 
     routed = "cell int, query_id long, q array<long>"
-    found = search(asked.mapInArrow(route(True), routed))
+    found = search(asked.mapInArrow(tidy(route(True)), routed))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     mark = found.withColumn("rank", place).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("mark"))
     rest = asked.join(mark, "vec_id", "left").select("vec_id", "v", "norm", F.coalesce("mark", F.lit(float("-inf"))).alias("mark"))
-    both = found.union(search(rest.mapInArrow(route(False), routed)))
+    both = found.union(search(rest.mapInArrow(tidy(route(False)), routed)))
     return both.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize, small_batches
+from .workspace import materialize, small_batches, tidy
 
 CHUNK, REVISIT_BYTES = 64 * 1024, 1000
 #: A task begins another archive after so many bytes, at a record's start; archive numbers are task * SEGMENTS + part.
@@ -89,7 +89,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["archive", "seq", "record_id", "chunk_no", "data", "sha1"])
 
     rows = rows.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", "data")
-    return materialize(rows.mapInArrow(put, ARCHIVE), "archives")
+    return materialize(rows.mapInArrow(tidy(put), ARCHIVE), "archives")
 
 
 class Records:
@@ -158,4 +158,4 @@ def read(archives: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     rows = archives.select("archive", "seq", "data").repartition("archive").sortWithinPartitions("archive", "seq")
-    return rows.select("archive", "data").mapInArrow(parse, RECORD)
+    return rows.select("archive", "data").mapInArrow(tidy(parse), RECORD)

@@ -65,5 +65,25 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_loomery_worker_cache", types.ModuleType("_loomery_worker_cache")).__dict__
 
 
+def tidy(run):
+    """A function of batches that gives freed memory back to the system at its end: workers outlive their tasks."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: nothing to trim
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

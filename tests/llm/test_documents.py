@@ -1,0 +1,252 @@
+"""Operators on documents against brute force, with every awkward row."""
+
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import LONG, by_id, docs, empty, rows
+from loomery.llm import licenses, mixing, neardup, packing, quality, secrets
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+
+def test_secrets_base_spans_and_verdicts(spark):
+    got = by_id(secrets.scan(docs(spark), repo_col="lang"))
+    assert sum(map(len, got.values())) == len(rows())
+    for i, t, *_ in rows():
+        for r in got[i]:
+            assert [(s["start"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] < 3] == base_spans(t or ""), i
+    assert {s["verdict"] for s in got[18][0]["spans"]} == {"copied"}
+    assert {s["owners"] for s in got[1][0]["spans"]} == {2}
+    assert secrets.scan(empty(spark), repo_col="lang").count() == 0
+
+
+def test_redaction_keeps_copies_and_columns(spark):
+    out = secrets.redact(docs(spark), repo_col="lang")
+    assert out.columns == docs(spark).columns
+    got = by_id(out)
+    assert "Zz91Yy82Xx73Ww64" in got[18][0]["text"]
+    assert "q8Zr5Tw2Lx9K" not in got[12][0]["text"] and "[assign]" in got[12][0]["text"] and got[12][0]["n_chars"] == len(got[12][0]["text"])
+    assert got[3][0]["text"] is None and got[8][0]["text"] == LONG
+
+
+def shingle_set(t):
+    w = WORD.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def reachable(rows_):
+    sets = [(i, shingle_set(t)) for i, t, *_ in rows_ if i is not None]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return {i: find(i) for i in root}
+
+
+def test_near_duplicates_edges(spark):
+    got = by_id(neardup.near_duplicates(docs(spark)))
+    want = reachable(rows())
+    for i, t, *_ in rows():
+        for r in got[i]:
+            assert r["n_shingles"] == len(shingle_set(t))
+            assert r["component_id"] == (None if i is None else want[i])
+            assert r["kept"] == (i is None or want[i] == i)
+    assert neardup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_near_duplicates_families(spark):
+    """Families of edited copies, in which copies often miss the threshold with each other, against all pairs."""
+    rng = np.random.default_rng(1)
+    out, i = [], 0
+    for size in (40, 25, 3, 1, 1):
+        base = [f"w{k}" for k in rng.integers(0, 500, 160)]
+        for _ in range(size):
+            t = list(base)
+            for at in rng.integers(0, 160, rng.integers(0, 7)):
+                t[at] = f"e{rng.integers(0, 10**6)}"
+            out.append((i, " ".join(t)))
+            i += 1
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == reachable(out)
+
+
+def test_estimate_is_close():
+    rng = np.random.default_rng(2)
+    probes = neardup.probe_order(128)
+    for n, share in ((2000, 0.75), (40, 0.5), (300, 0.9)):
+        est = []
+        for _ in range(30):
+            common = rng.integers(0, 2**63, int(n * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, n - len(common), dtype=np.uint64)])) * np.uint64(2) for _ in range(2))
+            x, y = (neardup.hyperminhash(np.sort(h), 128, 10, probes) for h in (a, b))
+            est.append(neardup.estimate(np.array([(x == y).sum()]), np.array([len(a)]), np.array([len(b)]))[0])
+        true = share / (2 - share)
+        assert abs(np.mean(est) - true) < 0.04
+
+
+def test_deduplicated_keeps_one(spark):
+    kept = by_id(neardup.deduplicated(docs(spark)))
+    assert all(len(v) == 1 for v in kept.values())
+    assert 2 not in kept and 1 in kept and 8 in kept and 9 not in kept
+
+
+def test_mix_targets_and_epochs(spark):
+    got = mixing.mix(docs(spark)).collect()
+    assert len(got) == len(rows())
+    sizes = Counter()
+    for i, t, _, s, *_ in rows():
+        sizes[s] += len(WORD.findall(t or ""))
+    taken = Counter()
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for r in got:
+        assert abs(taken[r["source"]] - r["target"]) <= 1
+    assert sum({r["source"]: r["target"] for r in got}.values()) == pytest.approx(sum(sizes.values()))
+    again = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(docs(spark).repartition(7)).collect() if r["doc_id"] != 8}
+    assert again == {(r["doc_id"], r["size"]): r["taken"] for r in got if r["doc_id"] != 8}
+    assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_mixed_documents_have_the_words_taken(spark):
+    df = docs(spark).where("doc_id <> 8")
+    took = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    words = Counter()
+    for r in out.collect():
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert words == Counter({i: n for i, n in took.items() if n})
+
+
+def test_water_filling():
+    assert mixing.targets([100, 100, 100], [1, 2, 3], 3) == [50, 100, 150]
+    assert mixing.targets([1, 1, 98], [1, 2, 3], 3) == [3, 3, 94]
+    assert mixing.targets([0, 10], [1, 2], 3) == [0, 10] and mixing.targets([], [1], 3) == []
+
+
+@pytest.fixture(scope="module")
+def model():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_packing_round_trip(spark, model):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(model)
+    got = packing.pack(docs(spark), model, capacity=512).collect()
+    want = Counter()
+    for i, t, *_ in rows():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        for n, at in enumerate(range(0, len(ids), 512)):
+            p = ids[at : at + 512]
+            want[(i, n, at, len(p), zlib.crc32(np.array(p, "<u4").tobytes()))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(places) <= -(-sum(r["length"] for r in got) // 512) * 1.02 + 1
+    assert packing.pack(empty(spark), model).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_is_tight(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.choice([64, 512, 4096]))
+    lengths = np.minimum(capacity, np.maximum(1, rng.lognormal(rng.choice([2, 5, 6, 7]), 1, int(rng.choice([1, 5, 100, 5000]))).astype(int)))
+    counts = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+    entries, total = packing.plan(counts, capacity)
+    fill, table = {}, packing.by_length(entries)
+    for x, n in counts.items():
+        row = table[x][np.searchsorted(table[x][:, 0], np.arange(n), "right") - 1]
+        rank = np.arange(n) - row[:, 0]
+        for s, o in zip(row[:, 1] + rank // row[:, 2], row[:, 3] + rank % row[:, 2] * x):
+            fill.setdefault(s, []).append((o, x))
+    for p in fill.values():
+        at = 0
+        for o, x in sorted(p):
+            assert o == at
+            at += x
+        assert at <= capacity
+    assert len(fill) <= total <= -(-int(lengths.sum()) // capacity) * 1.02 + 2
+
+
+def brute_counts(t):
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    seen, covered = Counter(zip(w, w[1:], w[2:])), set()
+    for j in range(len(w) - 2):
+        if seen[tuple(w[j : j + 3])] > 1:
+            covered |= {j, j + 1, j + 2}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_and_verdicts(spark):
+    junk = [(100 + i, "### $$$ word%%% " * 40 + " ".join(f"u{i}v{k}" for k in range(60)), "en", "j", 1, "", 1, "") for i in range(40)]
+    clean = [(200 + i, " ".join(f"word{i}x{k}" for k in range(120)) + ".", "en", "k", 1, "", 1, "") for i in range(80)]
+    df = docs(spark).unionByName(spark.createDataFrame(junk + clean, docs(spark).schema))
+    labels = spark.createDataFrame([(r[0], 0, 0) for r in junk[:20]] + [(r[0], 1, 0) for r in clean[:40]] + [(200, 1, 1), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.judge(df, labels))
+    for i, t, *_ in [*rows(), *junk, *clean]:
+        for r in got[i]:
+            n = brute_counts(t or "")
+            assert tuple(r[c] for c in quality.COUNTS[:5]) == n
+            assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+            assert not (r["base_failed"] and r["kept"])
+    assert not any(got[r[0]][0]["kept"] for r in junk)
+    assert sum(got[r[0]][0]["kept"] for r in clean) >= 78
+    kept = quality.passed(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(r["kept"] for v in got.values() for r in v)
+    assert quality.judge(empty(spark), labels).count() == 0
+    plain = quality.judge(df, labels.limit(0)).collect()
+    assert all(r["kept"] != r["base_failed"] for r in plain)
+
+
+def test_license_windows(spark):
+    apache = licenses.TEMPLATES["Apache-2.0-header"]
+    mit = licenses.TEMPLATES["MIT"]
+    texts = [(1, f"junk before {apache} and after"), (2, f"{mit}\n{mit}"), (3, None), (4, ""), (5, "MIT"), (6, " ".join(apache.split()[:60])), (7, " ".join(apache.split()[:20])), (2, f"{mit}\n{mit}"), (8, LONG + " " + mit.upper() + " " + LONG)]
+    got = by_id(licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")))
+    names = {i: [m["template"] for m in v[0]["matches"]] for i, v in got.items()}
+    assert names == {1: ["Apache-2.0", "Apache-2.0-header"], 2: ["MIT"], 3: [], 4: [], 5: [], 6: ["Apache-2.0", "Apache-2.0-header"], 7: ["Apache-2.0"], 8: ["MIT"]}
+    assert len(got[2]) == 2 and (got[2][0]["matches"][0]["first_word"], got[2][0]["matches"][0]["end_word"]) == (0, 5)
+    m = got[1][0]["matches"][1]
+    assert m["containment"] == 1.0 and m["first_word"] == 2
+    assert licenses.scan(empty(spark)).count() == 0
+
+
+def test_sha_of_no_spans(spark):
+    from loomery.llm import queries
+
+    q = queries.op1_ownership_secrets(spark, "/root/testdata/sf0.001").where("n_assign = 0 and n_access = 0 and n_hex = 0").first()
+    assert q["base_sha256"] == hashlib.sha256(b"").hexdigest()
