@@ -29,6 +29,8 @@ from .workspace import materialize, small_batches, tidy, worker_cache
 CAPACITY = 4096
 #: Lengths of at least this share of the capacity are large; groups they are rounded to.
 LARGE, GROUPS = 1 / 8, 40
+#: Shares from which on a configuration's sequence is kept, tried in turn; above 1 nothing is.
+FULL = (0.0, 0.9, 0.97, 0.99, 1.0, 1.1)
 #: Marks that may stand behind a word: no apostrophe, which may begin an ending.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Beyond Latin letters a lower-cased letter may join a mark; other white space than that of ASCII.
@@ -178,11 +180,41 @@ def configurations(sizes: list[int], need: list[int], capacity: int) -> list[tup
     return [(basis[:, j].round().astype(int), int(x[j] + 1e-6)) for j in range(k) if x[j] >= 1]
 
 
+def grouped(counts: dict[int, int], capacity: int) -> dict[int, list[list[int]]]:
+    """Large lengths in groups of equal cardinality, greatest first: rounded size -> [[length, count], ...]."""
+    large = [(x, n) for x, n in sorted(counts.items(), reverse=True) if n and x >= LARGE * capacity]
+    size = -(-sum(n for _, n in large) // GROUPS)
+    groups: list[list[list[int]]] = []
+    have = size
+    for x, n in large:
+        while n:
+            if have == size:
+                groups.append([])
+                have = 0
+            take = min(n, size - have)
+            groups[-1].append([x, take])
+            have, n = have + take, n - take
+    by_size: dict[int, list[list[int]]] = {}
+    for g in groups:  # groups that round to one size are one
+        by_size.setdefault(g[0][0], []).extend(g)
+    return by_size
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """((length, first rank, first sequence, pieces of it in a sequence, offset) ..., sequences).
 
-    Entries end a length or a class of equal sequences, so their number depends on the capacity, not on the corpus.
+    A configuration in which actual lengths leave much room is dissolved and its lengths go to the best fit; of a few
+    bounds on that room the one with the fewest sequences is taken, the first on ties. Entries end a length or a class
+    of equal sequences, so their number depends on the capacity, not on the corpus.
     """
+    by_size = grouped(counts, capacity)
+    found = configurations(list(by_size), [sum(c for _, c in g) for g in by_size.values()], capacity) if by_size else []
+    tries = [arranged(counts, capacity, {x: [list(r) for r in g] for x, g in by_size.items()}, found, full) for full in FULL]
+    return min(tries, key=lambda x: x[1])
+
+
+def arranged(counts: dict[int, int], capacity: int, by_size: dict[int, list[list[int]]], found: list[tuple[np.ndarray, int]], full: float) -> tuple[list, int]:
+    """The plan that keeps configurations filled to the share `full` or more."""
     entries: list[tuple[int, int, int, int, int]] = []
     used: dict[int, int] = defaultdict(int)
     left = dict(counts)
@@ -201,53 +233,35 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
         used[length] += n
         left[length] -= n
 
-    large = [(x, n) for x, n in sorted(counts.items(), reverse=True) if n and x >= LARGE * capacity]
-    m = sum(n for _, n in large)
-    groups: list[list[list[int]]] = []
-    size = -(-m // GROUPS) if m else 0
-    have = size
-    for x, n in large:
-        while n:
-            if have == size:
-                groups.append([])
-                have = 0
-            take = min(n, size - have)
-            groups[-1].append([x, take])
-            have, n = have + take, n - take
-    by_size: dict[int, list[list[int]]] = {}
-    for g in groups:  # groups that round to one size are one
-        by_size.setdefault(g[0][0], []).extend(g)
-    sizes = list(by_size)
-    if sizes:
-        for slots, n in configurations(sizes, [sum(c for _, c in by_size[x]) for x in sizes], capacity):
-            order = [x for x, c in zip(sizes, slots) for _ in range(c)]
-            runs = []
-            for x in order:
-                run, want = [], n
-                while want and by_size[x]:
-                    real, have = by_size[x][0]
-                    take = min(want, have)
-                    run.append((real, take))
-                    want -= take
-                    by_size[x][0][1] -= take
-                    if take == have:
-                        by_size[x].pop(0)
-                runs.append(run + [(0, want)] * bool(want))
-            at = 0
-            while at < n:
-                step = min((r[0][1] for r in runs), default=n)
+    for slots, n in found:
+        runs = []  # for each slot, the actual lengths along the configuration's sequences
+        for x in (x for x, c in zip(list(by_size), slots) for _ in range(c)):
+            run, want = [], n
+            while want and by_size[x]:
+                real, have = by_size[x][0]
+                take = min(want, have)
+                run.append((real, take))
+                want -= take
+                by_size[x][0][1] -= take
+                if take == have:
+                    by_size[x].pop(0)
+            runs.append(run + [(0, want)] * bool(want))
+        at = 0
+        while at < n:
+            step = min((r[0][1] for r in runs), default=n)
+            if sum(r[0][0] for r in runs) >= full * capacity:
                 fill = 0
                 for r in runs:
-                    real, have = r[0]
-                    if real:
-                        put(real, step, total + at, 1, fill)
-                        fill += real
-                    r[0] = (real, have - step)
-                    if have == step:
-                        r.pop(0)
-                room(capacity - fill, total + at, step)
-                at += step
-            total += n
+                    if r[0][0]:
+                        put(r[0][0], step, total, 1, fill)
+                        fill += r[0][0]
+                room(capacity - fill, total, step)
+                total += step
+            for r in runs:
+                r[0] = (r[0][0], r[0][1] - step)
+                if not r[0][1]:
+                    r.pop(0)
+            at += step
     for x in sorted(left, reverse=True):
         while (c := left[x]) > 0:
             i = bisect.bisect_left(keys, x)
@@ -260,15 +274,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
                 if not rooms[free]:
                     keys.pop(i)
             per = free // x
-            full = min(n, c // per)
-            if full:
-                put(x, full * per, first, per, capacity - free)
-                room(free - per * x, first, full)
-            more = min(c - full * per, per) if full < n else 0
+            whole = min(n, c // per)
+            if whole:
+                put(x, whole * per, first, per, capacity - free)
+                room(free - per * x, first, whole)
+            more = min(c - whole * per, per) if whole < n else 0
             if more:
-                put(x, more, first + full, more, capacity - free)
-                room(free - more * x, first + full, 1)
-            room(free, first + full + bool(more), n - full - bool(more))
+                put(x, more, first + whole, more, capacity - free)
+                room(free - more * x, first + whole, 1)
+            room(free, first + whole + bool(more), n - whole - bool(more))
     return entries, total
 
 

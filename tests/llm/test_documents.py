@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with every awkward row."""
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -198,7 +199,13 @@ def test_plan_is_tight(seed):
             assert o == at
             at += x
         assert at <= capacity
-    assert len(fill) <= total <= -(-int(lengths.sum()) // capacity) * 1.02 + 2
+    rooms = []  # best fit, longest first
+    bins = 0
+    for x in sorted(lengths.tolist(), reverse=True):
+        i = bisect.bisect_left(rooms, x)
+        bins += i == len(rooms)
+        bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - x)
+    assert len(fill) <= total <= bins
 
 
 def brute_counts(t):
