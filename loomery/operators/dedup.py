@@ -13,13 +13,21 @@ def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
     return keyed.join(best, "_key").where(F.col(order) == F.col("_best")).drop("_key", "_best")
 
 
-def similar_pairs(df: DataFrame, id_col: str, items: Column, threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b, for sets of items with a Jaccard similarity of the threshold or more: exact.
+def classes(df: DataFrame, id_col: str, items: Column) -> DataFrame:
+    """(id, rep, s): each row's set, and the smallest id that has the same set. Empty sets are classes of their own."""
+    sets = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(items)).alias("s")).withColumn("key", F.xxhash64("s"))
+    reps = sets.where("size(s) > 0").groupBy("key").agg(F.min("id").alias("rep"))
+    return sets.join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"), "s")
+
+
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, of the sets (id, s) with a Jaccard similarity of the threshold or more: exact.
 
     Items are ordered by their frequency; two sets that reach the threshold share an item among each one's first
-    n - ceil(t n) + 1, so only these rare prefixes are joined, and the sizes bound the partners.
+    n - ceil(t n) + 1, so only these rare prefixes are joined, and the sizes bound the partners. Give it one row for
+    each class of equal sets: a group of copies would make the square of its size.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.array_distinct(items).alias("s")).where("size(s) > 0")
+    sets = sets.select("id", "s").where("size(s) > 0")
     each = sets.select("id", F.explode("s").alias("item"))
     freq = each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(freq, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
@@ -130,7 +138,9 @@ def quota(df: DataFrame, source: str, order: str, allowed: list[str], rows: int)
     for i, s in enumerate(allowed):
         limit = limit.when(F.col(source) == s, base + (i < more))
     w = Window.partitionBy(source).orderBy(order)
-    return df.where(F.col(source).isin(allowed)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit.otherwise(0))
+    # the constant bound lets each task keep so many rows a source before the shuffle
+    ranked = df.where(F.col(source).isin(allowed)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= base + 1)
+    return ranked.where(F.col("rank") <= limit.otherwise(0))
 
 
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries. Importing this package fills QUERIES and SQL."""
 
-from . import analytics, corpus, labels, learning, rules  # noqa: F401
+from . import analytics, assist, corpus, labels, learning, rules  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -77,23 +77,34 @@ def benchmark_contamination(t):
     return D.contained(t.documents, "doc_id", X.text("text"), t.benchmark, "item_id", X.text("text"))
 
 
+def word_classes(t):
+    return keep_table(D.classes(t.documents, "doc_id", X.words(X.norm_basic("text"))))
+
+
 @query()
 def near_dup_pairs(t):
-    """Word-set similarity of 0.8: exact by prefix filter; brute force in the tests (too slow in SQL on whole tables)."""
-    return D.similar_pairs(t.documents, "doc_id", X.words(X.norm_basic("text")), 0.8)
+    """Word-set similarity of 0.8 between class representatives, and each copy with its representative.
+
+    Exact by prefix filter; brute force in the tests (too slow in SQL on whole tables).
+    """
+    c = word_classes(t)
+    copies = c.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return D.similar_pairs(c.where("id = rep"), 0.8).unionByName(copies)
 
 
 @query()
 def greedy_dedup(t):
-    """Documents kept by the pass that drops what is similar to an earlier survivor."""
-    pairs = keep_table(D.similar_pairs(t.documents, "doc_id", X.words(X.norm_basic("text")), 0.8))
-    return D.survivors(t.documents.select(F.col("doc_id").alias("id")), pairs, keep_table).withColumnRenamed("id", "doc_id")
+    """Documents kept by the pass that drops what is similar to an earlier survivor; copies never survive."""
+    c = word_classes(t)
+    first = c.where("id = rep").select("id")
+    return D.survivors(first, keep_table(D.similar_pairs(c.where("id = rep"), 0.8)), keep_table).withColumnRenamed("id", "doc_id")
 
 
 @query()
 def near_dup_components(t):
-    pairs = keep_table(D.similar_pairs(t.documents, "doc_id", X.words(X.norm_basic("text")), 0.8))
-    return D.components(pairs, keep_table).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
+    c = word_classes(t)
+    links = D.similar_pairs(c.where("id = rep"), 0.8).select("a", "b").union(c.where("id <> rep").select("rep", "id"))
+    return D.components(keep_table(links), keep_table).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
 
 
 SPLIT = "case when substr(md5('42:' || doc_id), 1, 1) < 'a' then 'train' when substr(md5('42:' || doc_id), 1, 1) < 'd' then 'val' else 'test' end"

@@ -214,7 +214,10 @@ def rank_bands(t):
 
 
 # Actions suggested for tags, in order.
-ACTIONS = {"URGENT": ["reply now", "call sender"], "MEETING": ["add to calendar", "confirm attendance"], "FINANCIAL": ["check amount", "pay"], "SECURITY": ["verify sender", "change password"]}
+ACTIONS = {
+    "URGENT": ["quick_reply", "set_reminder", "escalate"], "MEETING": ["add_calendar", "accept_invite", "request_reschedule"], "FINANCIAL": ["review_invoice", "approve_payment", "forward_accounting"], "PROMOTIONAL": ["archive", "unsubscribe", "save_deal"],
+    "SECURITY": ["verify_sender", "report_phishing", "contact_it"], "IMPORTANT": ["detailed_reply", "schedule_followup", "delegate"], "NEWSLETTER": ["read_later", "unsubscribe", "archive"], "GENERAL": ["quick_reply", "read_later", "archive"],
+}
 
 
 @query(f"with {TAGGED}, a(tag, pos, action) as (values " + ", ".join(f"('{k}', {i}, '{a}')" for k, v in ACTIONS.items() for i, a in enumerate(v)) + ") select id, tag, pos, action from tagged join a using (tag)")
