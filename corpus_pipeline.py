@@ -33,7 +33,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """A row for each piece of a document with its place in a sequence. Workers that have run four stages keep few words."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo=100_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo=100_000, batch=2**19)
 
 
 STAGES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize
+from .workspace import drop, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = materialize(small.where("a <> b").distinct(), "cc")
+        old, e = e, materialize(small.where("a <> b").distinct(), "cc")
+        drop(old, large)
         if (now := print_of(e)) == seen:
             break
         seen = now

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import with_prefix
-from .workspace import materialize
+from .workspace import drop, materialize
 
+#: Decisions (some 100 bytes each in memory) that may be broadcast to the texts; more are joined by a shuffle.
+BROADCAST_TAKEN = 300_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,14 +53,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rows.append((r["source"], r["n"], t, start, whole, round(t - whole * r["n"])))
         start += r["n"]
     plan = docs.sparkSession.createDataFrame(rows, "s string, source_size long, target double, start long, whole long, rest long")
-    placed = with_prefix(sized, order, "size", "mixed").join(plan, F.col("source").eqNullSafe(F.col("s")))
+    ordered = with_prefix(sized, order, "size", "mixed")
+    drop(sized)
+    placed = ordered.join(plan, F.col("source").eqNullSafe(F.col("s")))
     part = F.greatest(F.lit(0), F.least("size", F.col("rest") - (F.col("_before") - F.col("start"))))
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as often as the mix takes them; the document at a source's cut is shortened to the words taken."""
-    took = materialize(mix(docs, **how), "taken").where("taken > 0").groupBy(F.col("doc_id").alias("_lm_id"), F.col("size").alias("_lm_n")).agg(F.max("taken").alias("_lm_taken"))
+    took = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("_lm_id"), F.col("size").alias("_lm_n")).agg(F.max("taken").alias("_lm_taken"))
+    took = materialize(took, "taken")
+    if took.count() <= BROADCAST_TAKEN:
+        took = F.broadcast(took)
     sized = docs.withColumn("_lm_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     both = sized.join(took, F.col("doc_id").eqNullSafe(F.col("_lm_id")) & (F.col("_lm_size") == F.col("_lm_n")))
     both = both.withColumn("_lm_take", F.explode(F.expr("transform(sequence(1L, bigint(ceil(_lm_taken / _lm_size))), i -> least(_lm_size, _lm_taken - (i - 1) * _lm_size))")))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .workspace import batches_of, keep_ids, materialize, small_batches, tidy
+from .workspace import batches_of, drop, keep_ids, materialize, small_batches, tidy
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: Similarity as a fraction NUM / DEN.
@@ -221,7 +221,9 @@ def unresolved(docs: DataFrame, bands: DataFrame, reps: DataFrame, labels: DataF
 
     pairs = meetings.join(blocks.select(F.col("block").alias("p"), F.col("rows").alias("x")), "p").join(blocks.select(F.col("block").alias("q"), F.col("rows").alias("y")), "q")
     with batches_of(docs.sparkSession, 4):
-        return materialize(pairs.select("x", "y").mapInArrow(tidy(meet), "a long, b long"), "links")
+        links = materialize(pairs.select("x", "y").mapInArrow(tidy(meet), "a long, b long"), "links")
+    drop(rows, home, blocks)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -255,9 +257,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = relabel(pairs.select("a", "b"), labels)
     confirmed = verify(more, sets)
     labels = materialize(merged(labels, materialize(relabel(confirmed, labels), "links")), "labels")
+    drop(pairs, needed, sets)
     links = unresolved(docs, bands, reps, labels, id_col, text_col, k)
     if not links.isEmpty():
         labels = materialize(merged(labels, relabel(links, labels)), "labels")
+    drop(bands, reps)
 
     of_rep = labels.withColumnsRenamed({"node": "rep", "component": "c"})
     ids = member.join(of_rep, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("c", "rep")).alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import with_prefix
-from .workspace import materialize, small_batches, tidy, worker_cache
+from .workspace import drop, materialize, small_batches, tidy, worker_cache
 
 CAPACITY = 4096
 #: Lengths of at least this share of the capacity are large; groups they are rounded to.
@@ -114,26 +114,26 @@ def encoder(model: str, end_id: int, most: int = MEMO):
     return encode
 
 
-def gathered(batches):
-    """Columns of two-column batches, joined until they hold ENCODE_BYTES of text."""
+def gathered(batches, most: int):
+    """Columns of two-column batches, joined until they hold so many bytes of text."""
     wait, size = [], 0
     for b in batches:
         wait.append(b)
         size += b.column(1).nbytes
-        if size >= ENCODE_BYTES:
+        if size >= most:
             yield tuple(pa.concat_arrays([x.column(i) for x in wait]) for i in range(2))
             wait, size = [], 0
     if wait:
         yield tuple(pa.concat_arrays([x.column(i) for x in wait]) for i in range(2))
 
 
-def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str, text_col: str, memo: int) -> DataFrame:
+def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str, text_col: str, memo: int, batch: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
     small_batches(docs.sparkSession)
 
     def cut(batches):
         encode = encoder(model, end_id, memo)
-        for ids_, texts in gathered(batches):
+        for ids_, texts in gathered(batches, batch):
             rows = []
             for i, ids in zip(ids_.to_pylist(), encode(texts)):
                 rows += [(i, n, at // 4, len(p := ids[at : at + 4 * capacity]) // 4, zlib.crc32(p)) for n, at in enumerate(range(0, len(ids), 4 * capacity))]
@@ -286,11 +286,14 @@ def arranged(counts: dict[int, int], capacity: int, by_size: dict[int, list[list
     return entries, total
 
 
-def pack(docs: DataFrame, model_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. memo: words a worker remembers, some 200 bytes each."""
+def pack(docs: DataFrame, model_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, batch: int = ENCODE_BYTES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    memo: words a worker remembers, some 200 bytes each; batch: bytes of text it encodes at once, held some 30 times.
+    """
     with open(model_path, encoding="utf-8") as f:
         model = f.read()
-    cut = materialize(pieces(docs, model, end_id, capacity, id_col, text_col, memo), "pieces")
+    cut = materialize(pieces(docs, model, end_id, capacity, id_col, text_col, memo, batch), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     entries, _ = plan(counts, capacity)
     before, at = {}, 0
@@ -298,6 +301,7 @@ def pack(docs: DataFrame, model_path: str, end_id: int = 1, capacity: int = CAPA
         before[x], at = at, at + counts[x]
     table = by_length(entries)
     ranked = with_prefix(cut, [F.asc(c) for c in ("length", "doc_id", "piece", "start", "ids_crc32")], "length", "ranked")
+    drop(cut)
 
     def place(batches):
         for b in batches:
@@ -311,7 +315,7 @@ def pack(docs: DataFrame, model_path: str, end_id: int = 1, capacity: int = CAPA
                 seq[at], off[at] = row[:, 1] + rank // row[:, 2], row[:, 3] + rank % row[:, 2] * x
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    kind = dict(cut.dtypes)["doc_id"]
+    kind = dict(ranked.dtypes)["doc_id"]
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_index").mapInArrow(tidy(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import BROADCAST_IDS, materialize, small_batches, tidy
+from .workspace import BROADCAST_IDS, drop, materialize, small_batches, tidy
 
 TREES, PSI, DEPTH, FIT_ROWS, BINS, FALSE_REJECTS = 100, 128, 10, 20_000, 2000, 0.002
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
@@ -157,6 +157,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return stats.withColumn("score", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
     trees = fit_forest(clean, (x.min(0), x.max(0)))
     done = materialize(score(stats, trees, min(PSI, len(clean))), "scores")
+    drop(stats)
     cut = threshold(done.join(truth, "doc_id", "left"))
     return done.withColumn("kept", ~F.col("base_failed") & (F.col("score") < cut))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import batches_of, materialize, tidy
+from .workspace import batches_of, drop, materialize, tidy
 
 PIVOTS, ANNULI, PIVOT_ROWS, BLOCK, ASK = 64, 16, 10_000, 2048, 512
 #: Rows that the first, nearest cells must hold for each row asked for.
@@ -174,4 +174,5 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     mark = found.withColumn("rank", place).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("mark"))
     rest = asked.join(mark, "vec_id", "left").select("vec_id", "v", "norm", F.coalesce("mark", F.lit(float("-inf"))).alias("mark"))
     both = found.union(search(rest.mapInArrow(tidy(route(False)), routed)))
+    drop(rows, keyed, stored, asked)
     return both.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize, small_batches, tidy
+from .workspace import drop, materialize, small_batches, tidy
 
 CHUNK, REVISIT_BYTES = 64 * 1024, 1000
 #: A task begins another archive after so many bytes, at a record's start; archive numbers are task * SEGMENTS + part.
@@ -40,6 +40,7 @@ def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     groups = narrow.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to")
     revisits = narrow.join(groups, ["payload_digest", "payload_bytes"]).where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
     revisits = materialize(revisits, "revisits")
+    drop(narrow)
     if revisits.count() <= BROADCAST_REVISITS:
         revisits = F.broadcast(revisits)
     return body.join(revisits, ["page_id", "payload_digest"], "left")

@@ -33,7 +33,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/loomery/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._loomery_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and no result still reads."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t._loomery_path
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def small_batches(spark: SparkSession) -> None:
