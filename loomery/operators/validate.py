@@ -73,3 +73,23 @@ def mapped(df: DataFrame, dataset: str, label: str) -> DataFrame:
     intent = F.coalesce("intent", direct)
     reason = F.when(intent.isNotNull(), "").when(F.col("known"), "excluded by mapping").otherwise("unmapped label")
     return out.withColumns({"intent": intent, "reason": reason}).drop("_d", "_l", "known")
+
+
+def present(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with every named column, null in the named type where it has none; other columns stay."""
+    have = {c.lower() for c in df.columns}
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c.lower() not in have})
+
+
+def class_name(value: Column, names: list[str]) -> Column:
+    """The name of a class given by number or name; unknown values are null."""
+    at = value.try_cast("int")
+    table = F.array(*map(F.lit, names))
+    return F.when(at.between(0, len(names) - 1), F.get(table, at)).when(value.isin(*names), value)
+
+
+def require(df: DataFrame, least: int, what: str) -> DataFrame:
+    """df, or an error if it has fewer rows: no more than `least` rows are counted."""
+    if df.limit(least).count() < least:
+        raise ValueError(f"{what}: fewer than {least} rows")
+    return df

@@ -1,0 +1,58 @@
+"""Audit documents, leakage between splits, two-label integrity, class names."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import dedup as D
+from ..operators import quality as Q
+from ..operators import validate as V
+from ..operators.tables import keep_table
+from .corpus import N1
+from .registry import query
+
+
+@query(f"""with x as (select d.*, quality, toxic, md5({N1.format('text')}) h from documents d left join labels using (doc_id))
+select 'rows' metric, count(*) n from x union all select 'empty', count(*) from x where text = '' union all select 'labelled', count(*) from x where quality is not null union all select 'distinct', count(distinct h) from x
+union all select 'duplicate_rows', count(*) - count(distinct h) from x union all select 'low_quality', count(*) from x where quality = 0 union all select 'toxic', count(*) from x where toxic = 1 union all select 'languages', count(distinct lang) from x""")
+def audit_report(t):
+    """Counts of one audit in one pass and one distinct, as rows."""
+    x = t.documents.join(t.labels, "doc_id", "left").withColumn("h", F.md5(X.norm_basic("text")))
+    a = x.agg(F.count("*").alias("rows"), F.count_if(F.col("text") == "").alias("empty"), F.count_if(F.col("quality").isNotNull()).alias("labelled"), F.countDistinct("h").alias("distinct"), F.count_if(F.col("quality") == 0).alias("low_quality"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.countDistinct("lang").alias("languages"))
+    a = a.withColumn("duplicate_rows", F.col("rows") - F.col("distinct"))
+    return a.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in a.columns))).alias("r")).select("r.*")
+
+
+@query(f"select md5({N1.format('text')}) key, count(*) n, count(distinct quality) qualities, count(distinct toxic) toxics from documents join labels using (doc_id) group by 1 having count(distinct quality) > 1 or count(distinct toxic) > 1")
+def two_label_conflicts(t):
+    x = t.documents.join(t.labels, "doc_id").groupBy(F.md5(X.norm_basic("text")).alias("key"))
+    return x.agg(F.count("*").alias("n"), F.countDistinct("quality").alias("qualities"), F.countDistinct("toxic").alias("toxics")).where("qualities > 1 or toxics > 1")
+
+
+@query()
+def near_split_leakage(t):
+    """Pairs of class representatives that are alike and fell into different splits."""
+    rows = t.documents.withColumn("split", F.when(F.substring(D.seeded(42, "doc_id"), 1, 1) < "c", "train").otherwise("test"))
+    c = keep_table(D.classes(rows, "doc_id", X.words(X.norm_basic("text"))))
+    pairs = D.similar_pairs(c.where("id = rep"), 0.8)
+    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("split").alias(f"split_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("split_a <> split_b")
+
+
+NAMES = ["anger", "joy", "fear", "calm", "doubt"]
+
+
+@query("select event_id, case user_id % 7 when 0 then 'anger' when 1 then 'joy' when 2 then 'fear' when 3 then 'calm' when 4 then 'doubt' end as \"name\" from events")
+def class_names(t):
+    return t.events.select("event_id", V.class_name((F.col("user_id") % 7).cast("string"), NAMES).alias("name"))
+
+
+@query("select avg(case when quality = 1 then 1.0 else 0.0 end) accuracy, count(*) n from labels")
+def accuracy(t):
+    return t.labels.agg(F.avg((F.col("quality") == 1).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+@query("select lang, toxic, quality, count(*) n from documents join labels using (doc_id) group by 1, 2, 3")
+def three_way_counts(t):
+    return Q.distribution(t.documents.join(t.labels, "doc_id"), "lang", "toxic", "quality")

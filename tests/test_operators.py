@@ -102,3 +102,25 @@ def test_similarity_edges(spark):
     row = spark.createDataFrame([("", ""), ("abc", "abc"), ("abc", "abd"), ("abcde", "abcdf")], "a string, b string")
     got = [tuple(r) for r in row.select(sim.char_jaccard(F.col("a"), F.col("b")), sim.jaccard(sim.word_set(F.col("a")), sim.word_set(F.col("b")))).collect()]
     assert got == [(1.0, 1.0), (1.0, 1.0), (0.0, 0.0), (pytest.approx(1 / 3), 0.0)]
+
+
+def test_ask_and_grid(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from loomery.operators import learn as L
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, p string")
+    got = L.ask(df, "p", "out", lambda: lambda texts: [x.upper() for x in texts]).orderBy("id").collect()
+    assert [r["out"] for r in got] == ["A", None]
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 2), 1.0]), "odd" if i % 2 else "even") for i in range(40)], ["features", "y"])
+    best = L.grid(rows, rows.withColumn("truth", F.col("y")), "y", [{"c": 1.0, "iterations": 5}, {"c": 0.1, "iterations": 5}], lambda p: p.where("pred = truth").count())
+    assert best[0][0] == 40
+
+
+def test_present_and_require(spark):
+    from loomery.operators import validate as V
+
+    df = V.present(spark.createDataFrame([(1,)], "a long"), {"a": "long", "b": "string"})
+    assert df.columns == ["a", "b"] and V.require(df, 1, "rows") is df
+    with pytest.raises(ValueError):
+        V.require(df, 2, "rows")
