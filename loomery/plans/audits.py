@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
+from ..functions import similarity as sim
 from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import quality as Q
 from ..operators import validate as V
 from ..operators.tables import keep_table
 from .corpus import N1
+from . import mailbox as Mb
 from .registry import query
+from .rules import TAGGED
 
 
 @query(f"""with x as (select d.*, quality, toxic, md5({N1.format('text')}) h from documents d left join labels using (doc_id))
@@ -56,3 +60,47 @@ def accuracy(t):
 @query("select lang, toxic, quality, count(*) n from documents join labels using (doc_id) group by 1, 2, 3")
 def three_way_counts(t):
     return Q.distribution(t.documents.join(t.labels, "doc_id"), "lang", "toxic", "quality")
+
+
+@query("""with w as (select item_id, lower(text) c, list_distinct(string_split_regex(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')) w, list_distinct(list_transform(range(1, greatest(1, length(text) - 2)), lambda i: substr(lower(text), i, 4))) g from benchmark where length(text) >= 20)
+select a.item_id a, b.item_id b from w a join w b on a.item_id < b.item_id where least(length(a.c), length(b.c)) / greatest(length(a.c), length(b.c)) >= 0.6
+and len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.35 and len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.85""")
+def near_dup_report(t):
+    """Pairs alike in words (0.35) and characters (0.85): the word join is exact, characters are compared on its pairs."""
+    rows = t.benchmark.select("item_id", F.lower("text").alias("c")).where(F.length("c") >= 20)
+    pairs = D.similar_pairs(D.classes(rows, "item_id", X.words(F.col("c"))), 0.35).select("a", "b")
+    side = lambda x: rows.select(F.col("item_id").alias(x), F.col("c").alias(f"c{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(sim.length_ratio(F.col("ca"), F.col("cb")) >= 0.6)
+    return both.where(sim.char_jaccard(F.col("ca"), F.col("cb")) >= 0.85).select("a", "b")
+
+
+@query("select doc_id, source, quality from documents join labels using (doc_id)")
+def manifest_join_back(t):
+    """Reviewed rows find their documents by batch and sheet row."""
+    sheet = D.batches(t.documents.select("doc_id", "source"), "doc_id", 250)
+    reviewed = D.batches(t.labels, "doc_id", 250).select("batch", "excel_row", "quality")
+    return sheet.join(reviewed, ["batch", "excel_row"]).select("doc_id", "source", "quality")
+
+
+# Weights of tags in the fallback order.
+WEIGHTS = {"URGENT": 1.0, "SECURITY": 0.9, "MEETING": 0.8, "FINANCIAL": 0.7, "IMPORTANT": 0.6, "GENERAL": 0.4, "PROMOTIONAL": 0.2, "NEWSLETTER": 0.1}
+
+
+@query(f"with {TAGGED} select id, round(confidence * case tag " + " ".join(f"when '{k}' then {v}" for k, v in WEIGHTS.items()) + " else 0.5 end, 9) score from tagged")
+def fallback_priority(t):
+    rows = Mb.frame(t.spark).withColumn("d", L.tag(L.mail()))
+    return rows.select("id", F.round(L.points(F.col("d.tag"), WEIGHTS, 0.5) * F.col("d.confidence"), 9).alias("score"))
+
+
+# Action documents, good and bad.
+ACTIONS = ['{"action_type": " Reply ", "duration_minutes": "15"}', '{"action_type": "dance", "duration_minutes": "soon"}', "{}", '{"action_type": "create_task", "duration_minutes": 30}']
+
+
+@query("with v(id, kind, minutes) as (values (cast(0 as bigint), 'reply', 15), (1, 'none', null), (2, 'none', null), (3, 'create_task', 30)) select * from v")
+def action_dicts(t):
+    """Unknown types become none, durations numbers or null."""
+    p = F.from_json("x", "action_type string, duration_minutes string")
+    kind = F.lower(F.trim(F.coalesce(p["action_type"], F.lit("none"))))
+    rows = t.spark.createDataFrame(list(enumerate(ACTIONS)), "id long, x string")
+    types = ["reply", "create_task", "create_reminder", "create_calendar_event", "review_document", "contact_sender", "follow_up"]
+    return rows.select("id", F.when(kind.isin(*types), kind).otherwise("none").alias("kind"), p["duration_minutes"].try_cast("int").alias("minutes"))

@@ -181,3 +181,30 @@ class PageReader(DataSourceReader):
                 if e.code != 429 and e.code < 500 or attempt == 4:
                     raise
                 time.sleep(float(e.headers.get("Retry-After") or 2**attempt))
+
+
+def keyed_document(spark: SparkSession, path: str, row: T.StructType, key: str = "key") -> DataFrame:
+    """{"a": [rows], "b": [rows]} as rows with their key; a missing file gives no rows."""
+    doc = T.MapType(T.StringType(), T.ArrayType(row))
+    text = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(path)
+    return text.select(F.explode(F.from_json("value", doc)).alias(key, "rows")).select(key, F.inline("rows"))
+
+
+def cases(spark: SparkSession, path: str, required: list[str], languages: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Evaluation cases of JSON lines, and the lines refused with the first reason."""
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    reason = F.when(F.col("v").isNull(), "invalid JSON")
+    for c in required:
+        reason = reason.when(F.try_variant_get("v", f"$.{c}", "string").isNull(), f"missing {c}")
+    reason = reason.when(~F.try_variant_get("v", "$.language", "string").isin(*languages), "unsupported language")
+    lines = lines.withColumn("reason", reason)
+    good = lines.where("reason is null").select(*(F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in required))
+    return good, lines.where("reason is not null").select("value", "reason")
+
+
+def file_quota(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """Rows of a file-based frame up to balanced quotas per file, the remainder to the first files by name."""
+    files = sorted(f.rsplit("/", 1)[1] for f in df.inputFiles())
+    from ..operators.dedup import quota
+
+    return quota(df.withColumn("_file", F.col("_metadata.file_name")), "_file", order, files, rows).drop("_file", "rank")

@@ -78,3 +78,35 @@ def test_alias_choice():
 def test_message_text_of_garbage():
     assert R.message_text(b"") == ("", "")
     assert R.message_text(b"Content-Type: text/plain; charset=nope\n\nx")[1] == "x"
+
+
+def test_keyed_document_and_cases(spark, tmp_path):
+    (tmp_path / "k.json").write_text('{"u_a": [{"id": 1, "body": "x"}, {"id": 2, "body": "y"}], "u_b": []}')
+    assert [tuple(r) for r in R.keyed_document(spark, str(tmp_path / "k.json"), ROW).orderBy("id").collect()] == [("u_a", 1, "x"), ("u_a", 2, "y")]
+    (tmp_path / "c.jsonl").write_text('{"id": "1", "language": "en", "body": "b"}\n{"id": "2", "language": "xx", "body": "b"}\nbad\n\n{"id": "3", "language": "en"}\n')
+    good, bad = R.cases(spark, str(tmp_path / "c.jsonl"), ["id", "language", "body"], ["en"])
+    assert good.count() == 1 and sorted(r["reason"] for r in bad.collect()) == ["invalid JSON", "missing body", "unsupported language"]
+
+
+def test_file_quota(spark, tmp_path):
+    for name in "ab":
+        spark.range(10).coalesce(1).write.json(str(tmp_path / name))
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        shutil.copy(next((tmp_path / name).glob("part-*.json")), tmp_path / "in" / f"{name}.json")
+    got = R.file_quota(spark.read.schema("id long").json(str(tmp_path / "in")), "id", 5)
+    assert sorted(r["id"] for r in got.collect()) == [0, 0, 1, 1, 2]
+
+
+def test_head_saves_and_loads(spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+
+    from loomery.operators.learn import Head
+
+    rows = spark.createDataFrame([(i, Vectors.dense([float(i % 2), 1.0]), "odd" if i % 2 else "even") for i in range(20)], ["id", "features", "y"])
+    head = Head(iterations=5).fit(rows, "y")
+    head.save(str(tmp_path / "h"))
+    pick = lambda h: [tuple(r) for r in h.predict(rows, "p").select("id", "p", "p_confidence").orderBy("id").collect()]
+    assert pick(Head.load(str(tmp_path / "h"))) == pick(head)
