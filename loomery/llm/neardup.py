@@ -237,14 +237,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sig = materialize(signatures(docs, id_col, text_col, k), "signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = materialize(some.join(classes, "set_key").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("registers")).alias("registers")), "members")
-    reps = materialize(member.where("registers is not null").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "registers"]), "representatives")
+    # written before they are joined: a join of plain shuffles lets AQE split a hot set or bucket
+    classes = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    member = materialize(some.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "members")
+    own = classes.withColumnRenamed("rep", "doc_id")
+    reps = materialize(some.join(own, ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).select("doc_id", "n_shingles", "registers"), "representatives")
     bands = materialize(banded(reps), "bands")
 
     mixed = F.col("doc_id").bitwiseXOR(F.xxhash64("bucket"))
     pivots = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(mixed).alias("m")).where("n > 1")
-    pivots = pivots.select("bucket", F.col("m").bitwiseXOR(F.xxhash64("bucket")).alias("b"))
+    pivots = materialize(pivots.select("bucket", F.col("m").bitwiseXOR(F.xxhash64("bucket")).alias("b")), "pivots")
     star = bands.join(pivots, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     pairs = materialize(scored(star, reps), "pairs")
     needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "needed")
@@ -257,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = relabel(pairs.select("a", "b"), labels)
     confirmed = verify(more, sets)
     labels = materialize(merged(labels, materialize(relabel(confirmed, labels), "links")), "labels")
-    drop(pairs, needed, sets)
+    drop(pairs, needed, sets, pivots, classes)
     links = unresolved(docs, bands, reps, labels, id_col, text_col, k)
     if not links.isEmpty():
         labels = materialize(merged(labels, relabel(links, labels)), "labels")

@@ -138,6 +138,6 @@ def link(messages: DataFrame, schemas: Schemas = REPLY) -> DataFrame:
         total += r["count"]
     off = messages.sparkSession.createDataFrame(offsets, "part long, off long")
     numbered = part.join(F.broadcast(off), "part").withColumn("index", F.col("at") + F.col("off"))
-    start = numbered.groupBy(F.col("conv_id").alias("c")).agg(F.min("index").alias("start"))
+    start = materialize(numbered.groupBy(F.col("conv_id").alias("c")).agg(F.min("index").alias("start")), "starts")
     out = numbered.join(start, F.col("conv_id").eqNullSafe(F.col("c")))
     return out.select("conv_id", "turn", (F.col("index") - F.col("start")).alias("position"), "kind", "id", "status", "partner_turn", (F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), "json")
