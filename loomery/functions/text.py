@@ -84,6 +84,11 @@ def words(col: Column) -> Column:
     return F.filter(F.split(col, r"(?U)\s+"), lambda w: w != "")
 
 
+def word_hashes(col: Column) -> Column:
+    """Words as 64-bit hashes: joins on them move and compare longs."""
+    return F.transform(words(col), lambda w: F.xxhash64(w))
+
+
 def drop_quoted(col: Column) -> Column:
     """Lines that begin with > go."""
     lines = F.filter(F.split(col, LINE_ENDS), lambda x: ~strip(x).startswith(">"))

@@ -38,7 +38,7 @@ def two_label_conflicts(t):
 def near_split_leakage(t):
     """Pairs of class representatives that are alike and fell into different splits."""
     rows = t.documents.withColumn("split", F.when(F.substring(D.seeded(42, "doc_id"), 1, 1) < "c", "train").otherwise("test"))
-    c = keep_table(D.classes(rows, "doc_id", X.words(X.norm_basic("text"))))
+    c = keep_table(D.classes(rows, "doc_id", X.word_hashes(X.norm_basic("text"))))
     pairs = D.similar_pairs(c.where("id = rep"), 0.8)
     side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("split").alias(f"split_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where("split_a <> split_b")

@@ -78,7 +78,7 @@ def benchmark_contamination(t):
 
 
 def word_classes(t):
-    return keep_table(D.classes(t.documents, "doc_id", X.words(X.norm_basic("text"))))
+    return keep_table(D.classes(t.documents, "doc_id", X.word_hashes(X.norm_basic("text"))))
 
 
 @query()
