@@ -27,7 +27,7 @@ DISCLAIMERS = (
 )
 SIGN_OFF = r"\n\s*(?:thanks|best regards|kind regards|cheers|sincerely|warm regards|regards|yours truly|best),?\s*\n.*$"
 #: Characters that end a line for Python's splitlines.
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 CELL_LIMIT, CELL_MARKER = 32_767, " [TRUNCATED]"
 
 
@@ -149,7 +149,7 @@ def full_text(subject: Column | str, body: Column | str) -> Column:
 def sanitize_xml(col: Column | str) -> Column:
     """Line ends as LF; characters outside XML 1.0 go."""
     out = F.replace(F.replace(text(col), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.regexp_replace(out, r"[^\x09\x0A\x0D\x20-퟿-�\x{10000}-\x{10FFFF}]", "")
+    return F.regexp_replace(out, r"[^\x09\x0A\x0D\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
 
 
 def truncate_cell(col: Column, limit: int = CELL_LIMIT, marker: str = CELL_MARKER) -> Column:

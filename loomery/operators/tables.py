@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep_table(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir and reread it, which ends its lineage; a local folder only for a local master."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path under spark.checkpoint.dir, the shared folder; a local one only for a local master that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomery-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/loomery/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/loomery/{name}"
+
+
+def keep_table(df: DataFrame) -> DataFrame:
+    """Write df in the shared folder and reread it, which ends its lineage."""
+    path = shared_path(df.sparkSession, uuid.uuid4().hex)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
