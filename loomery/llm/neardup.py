@@ -159,15 +159,15 @@ def relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
 
 
-def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """labels after the components that edges (ca, cb) connect are joined."""
     more = connected_components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    more = materialize(more, "cc-more").withColumnsRenamed({"node": "old", "component": "new"})
+    more = materialize(more, "cc-more", n).withColumnsRenamed({"node": "old", "component": "new"})
     moved = labels.join(more, labels.component == more.old, "left").select("node", F.coalesce("new", "component").alias("component"))
     return moved.union(more.join(labels, more.old == labels.node, "left_anti").select("old", "new"))
 
 
-def unresolved(docs: DataFrame, bands: DataFrame, reps: DataFrame, labels: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def unresolved(docs: DataFrame, bands: DataFrame, reps: DataFrame, labels: DataFrame, id_col: str, text_col: str, k: int, n: int) -> DataFrame:
     """Links (a, b) between different components that meet in a bucket, searched exhaustively on full sets.
 
     Buckets whose members are all connected add nothing and are left out. Every document of the others goes, with its
@@ -180,7 +180,7 @@ def unresolved(docs: DataFrame, bands: DataFrame, reps: DataFrame, labels: DataF
     rows = materialize(member.join(open_.select("bucket", "n"), "bucket"), "open")
     home = rows.groupBy("doc_id", "component").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home")).join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("size")), "doc_id")
     parts = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
-    home = materialize(home.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "parts"))).select("doc_id", "component", "block"), "home")
+    home = materialize(home.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "parts"))).select("doc_id", "component", "block"), "home", n)
     near = rows.select("doc_id", "bucket").join(home, "doc_id").select("bucket", "block").distinct()
     meetings = near.withColumnRenamed("block", "p").join(near.withColumnRenamed("block", "q"), "bucket").where("p <= q").select("p", "q").distinct()
     sets = full_sets(docs, home.select("doc_id").distinct(), id_col, text_col, k).join(home, "doc_id")
@@ -221,7 +221,7 @@ def unresolved(docs: DataFrame, bands: DataFrame, reps: DataFrame, labels: DataF
 
     pairs = meetings.join(blocks.select(F.col("block").alias("p"), F.col("rows").alias("x")), "p").join(blocks.select(F.col("block").alias("q"), F.col("rows").alias("y")), "q")
     with batches_of(docs.sparkSession, 4):
-        links = materialize(pairs.select("x", "y").mapInArrow(tidy(meet), "a long, b long"), "links")
+        links = materialize(pairs.select("x", "y").mapInArrow(tidy(meet), "a long, b long"), "links", n)
     drop(rows, home, blocks)
     return links
 
@@ -236,33 +236,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     itself) thus ends in one component, without pairs for the members of a group.
     """
     sig = materialize(signatures(docs, id_col, text_col, k), "signatures")
+    n = sig.count()
     some = sig.where("n_shingles > 0 and doc_id is not null")
     # written before they are joined: a join of plain shuffles lets AQE split a hot set or bucket
-    classes = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    member = materialize(some.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "members")
+    classes = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes", n)
+    member = materialize(some.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "members", n)
     own = classes.withColumnRenamed("rep", "doc_id")
     reps = materialize(some.join(own, ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).select("doc_id", "n_shingles", "registers"), "representatives")
     bands = materialize(banded(reps), "bands")
 
     mixed = F.col("doc_id").bitwiseXOR(F.xxhash64("bucket"))
     pivots = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(mixed).alias("m")).where("n > 1")
-    pivots = materialize(pivots.select("bucket", F.col("m").bitwiseXOR(F.xxhash64("bucket")).alias("b")), "pivots")
+    pivots = materialize(pivots.select("bucket", F.col("m").bitwiseXOR(F.xxhash64("bucket")).alias("b")), "pivots", n)
     star = bands.join(pivots, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    pairs = materialize(scored(star, reps), "pairs")
-    needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "needed")
+    pairs = materialize(scored(star, reps), "pairs", n)
+    needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "needed", n)
     sets = materialize(full_sets(docs, needed, id_col, text_col, k), "sets")
 
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("est", F.xxhash64("a", "b"))).alias("b"))
     same = some.groupBy("doc_id").count().where("count > 1").select("doc_id")
     same = member.join(same, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = materialize(connected_components(verify(best, sets).union(same)), "labels")
+    labels = materialize(connected_components(verify(best, sets).union(same)), "labels", n)
     more = relabel(pairs.select("a", "b"), labels)
     confirmed = verify(more, sets)
-    labels = materialize(merged(labels, materialize(relabel(confirmed, labels), "links")), "labels")
+    labels = materialize(merged(labels, materialize(relabel(confirmed, labels), "links", n), n), "labels", n)
     drop(pairs, needed, sets, pivots, classes)
-    links = unresolved(docs, bands, reps, labels, id_col, text_col, k)
+    links = unresolved(docs, bands, reps, labels, id_col, text_col, k, n)
     if not links.isEmpty():
-        labels = materialize(merged(labels, relabel(links, labels)), "labels")
+        labels = materialize(merged(labels, relabel(links, labels), n), "labels", n)
     drop(bands, reps)
 
     of_rep = labels.withColumnsRenamed({"node": "rep", "component": "c"})

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one id column that may be broadcast: 8 MB of longs at most.
 BROADCAST_IDS = 1_000_000
+#: Narrow rows in a file of a small table.
+FILE_ROWS = 250_000
 #: Rows in an Arrow batch that carries whole texts.
 TEXT_BATCH = 256
 
@@ -28,10 +30,16 @@ def root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return the reread table: lineage ends here."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and return the reread table: lineage ends here.
+
+    rows: about how many narrow rows it has. They are then dealt to as few files as hold FILE_ROWS each, after the
+    tasks that compute them, where shuffles would leave a small file for each partition.
+    """
     spark = df.sparkSession
     path = f"{root(spark)}/loomery/{name}-{uuid.uuid4().hex}"
+    if rows is not None and (files := max(1, -(-rows // FILE_ROWS))) < partitions(spark):
+        df = df.repartition(files)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._loomery_path = path
