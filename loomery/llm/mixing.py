@@ -63,7 +63,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as often as the mix takes them; the document at a source's cut is shortened to the words taken."""
     took = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("_lm_id"), F.col("size").alias("_lm_n")).agg(F.max("taken").alias("_lm_taken"))
-    took = materialize(took, "taken")
+    took = materialize(took, "taken", docs.count())
     if took.count() <= BROADCAST_TAKEN:
         took = F.broadcast(took)
     sized = docs.withColumn("_lm_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))

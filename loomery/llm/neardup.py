@@ -275,9 +275,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, k: int = 5) -> DataFrame:
     """One row of docs for each component: that of its smallest doc_id, the least one if the id repeats. Null ids stay."""
     found = near_duplicates(docs, k=k)
-    gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone")
+    gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone", docs.count())
     kept = keep_ids(docs, gone, "doc_id", "left_anti")
-    again = materialize(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    again = materialize(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again", docs.count())
     if again.isEmpty():
         return kept
     one = keep_ids(kept, again, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("_lm_row")).select(*(F.col(f"_lm_row.{c}") for c in docs.columns))

@@ -13,7 +13,7 @@ from .workspace import materialize, partitions, tidy
 
 
 def with_prefix(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """df in the given total order, with _index (rows before) and _before (sum of value before), over all rows.
+    """df, a written table, in the given total order, with _index (rows before) and _before (sum of value before), over all rows.
 
     Rows are range-partitioned by the order, so a hot leading key is spread over many partitions. Running sums
     restart in each partition; one (count, sum) row per partition gives the offsets, which are as many as
@@ -32,7 +32,7 @@ def with_prefix(df: DataFrame, order: list[Column], value: str, name: str) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, more)], names=[*b.schema.names, "_part", "_row", "_run"])
 
     ranged = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    table = materialize(ranged.mapInArrow(tidy(run), schema), name)
+    table = materialize(ranged.mapInArrow(tidy(run), schema), name, df.count())
     sums, at, offsets = table.groupBy("_part").agg(F.count("*").alias("n"), F.sum(value).alias("v")).orderBy("_part").collect(), (0, 0), []
     for r in sums:
         offsets.append((r["_part"], *at))

@@ -165,7 +165,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept."""
     out = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("_lm_id"), F.col("text_key").alias("_lm_key")).distinct()
-    out = materialize(out, "rejected")
+    out = materialize(out, "rejected", docs.count())
     if out.count() <= BROADCAST_IDS:
         out = F.broadcast(out)
     return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_lm_id")) & (F.xxhash64("text") == F.col("_lm_key")), "left_anti")

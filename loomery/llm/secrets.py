@@ -92,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows = found.where("size(found) > 0").dropDuplicates(["text_key", "owner", "repo"]).select("text_key", "owner", "repo", F.inline("found"))
     pairs = rows.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
     freq = pairs.groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    freq = materialize(freq, "frequencies")  # a join of plain shuffles lets AQE split a value that is everywhere
+    freq = materialize(freq, "frequencies", found.count())  # a join of plain shuffles lets AQE split a value that is everywhere
     verdict = F.when(F.col("owners") >= COPIED_OWNERS, "copied").when((F.col("owners") == 1) & F.col("looks"), "live").otherwise("shared")
     judged = rows.join(freq, "value").withColumn("verdict", verdict).where((F.col("kind") < len(PATTERNS)) | (F.col("verdict") == "live"))
     judged = judged.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "owners", "repos", "verdict"))).alias("spans"))
