@@ -1,8 +1,9 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Candidates come from fixed patterns and, beyond them, from opaque tokens. Every candidate's value is hashed, and hashes
-are counted over distinct repositories and owners: values that many owners carry are copied examples, values of a
-single owner that look random are live credentials. Raw values never leave the scan.
+are counted over distinct repositories and owners: values that many owners carry are copied examples, values of fewer
+owners that look random are live credentials: a copy or two of a document don't make its secrets public. Raw values
+never leave the scan.
 
 Spans count code points, end exclusive. Pattern spans are always kept; opaque tokens become spans only if live.
 Null texts are empty; null owners and repositories count as one of their own. Repeated rows get equal results.
@@ -86,14 +87,14 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "repo") -> DataFrame:
     """doc_id, text_key, spans: array of (start, kind, end, owners, repos, verdict), by start and kind.
 
-    verdict: copied (COPIED_OWNERS owners or more), live (one owner, looks random) or shared.
+    verdict: copied (COPIED_OWNERS owners or more), live (fewer, looks random) or shared (fewer, doesn't look random).
     """
     found = materialize(candidates(docs, id_col, text_col, owner_col, repo_col), "candidates")
     rows = found.where("size(found) > 0").dropDuplicates(["text_key", "owner", "repo"]).select("text_key", "owner", "repo", F.inline("found"))
     pairs = rows.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
     freq = pairs.groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     freq = materialize(freq, "frequencies", found.count())  # a join of plain shuffles lets AQE split a value that is everywhere
-    verdict = F.when(F.col("owners") >= COPIED_OWNERS, "copied").when((F.col("owners") == 1) & F.col("looks"), "live").otherwise("shared")
+    verdict = F.when(F.col("owners") >= COPIED_OWNERS, "copied").when(F.col("looks"), "live").otherwise("shared")
     judged = rows.join(freq, "value").withColumn("verdict", verdict).where((F.col("kind") < len(PATTERNS)) | (F.col("verdict") == "live"))
     judged = judged.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "owners", "repos", "verdict"))).alias("spans"))
     return found.select("doc_id", "text_key").join(judged, "text_key", "left").withColumn("spans", F.coalesce("spans", F.array().cast(dict(judged.dtypes)["spans"])))

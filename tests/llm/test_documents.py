@@ -44,6 +44,17 @@ def test_redaction_keeps_copies_and_columns(spark):
     assert got[3][0]["text"] is None and got[8][0]["text"] == LONG
 
 
+def test_live_values_of_two_owners(spark):
+    """A live-looking value below COPIED_OWNERS owners is a span and is redacted, a copied one is neither."""
+    two, three = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "7C11D0E9A4B85F36201CDE9F83A7B6504D2E91FA"
+    texts = [(1, f"key {two} end", "a", "r"), (2, f"other {two}", "b", "r"), *((i, f"see {three}", o, "r") for i, o in enumerate("abc", 3))]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in texts], "doc_id long, text string, source string, repo string, n_chars long")
+    got = by_id(secrets.scan(df))
+    assert {i: [(s["kind"], s["owners"], s["verdict"]) for s in got[i][0]["spans"]] for i in got} == {1: [(3, 2, "live")], 2: [(3, 2, "live")], 3: [], 4: [], 5: []}
+    out = {i: v[0]["text"] for i, v in by_id(secrets.redact(df)).items()}
+    assert out == {1: "key [opaque] end", 2: "other [opaque]", **{i: f"see {three}" for i in (3, 4, 5)}}
+
+
 def shingle_set(t):
     w = WORD.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
