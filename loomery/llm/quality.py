@@ -67,10 +67,15 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
-    """Shares that don't follow from a text's length; square roots spread the small ones. Repetition is the base rules' part."""
-    chars = np.maximum(c["word_chars"].astype(float), 1)
-    shares = [c["n_symbols"] / chars, c["n_upper"] / chars, c["n_marks"] / chars]
-    return np.sqrt(np.minimum(np.stack(shares, axis=1), 1))
+    """All statistics as values from 0 to 1 that hardly follow from a text's length; square roots spread the small ones.
+
+    Distinct words count by logarithms, as their plain share falls with length; mean word length m is m / (m + 10).
+    """
+    chars, words, lines = (np.maximum(c[n].astype(float), 1) for n in ("word_chars", "n_words", "n_lines"))
+    shares = [c[n] / chars for n in ("n_symbols", "n_upper", "n_marks", "n_digits")]
+    shares += [c["n_dup_lines"] / lines, c["n_repeat_words"] / words]
+    same = 1 - np.log(np.maximum(c["n_distinct"], 1)) / np.log(np.maximum(words, 2))
+    return np.sqrt(np.clip(np.stack([*shares, same, chars / (chars + 10 * words)], axis=1), 0, 1))
 
 
 def mean_path(n: float) -> float:

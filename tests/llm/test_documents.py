@@ -250,6 +250,24 @@ def test_quality_counts_and_verdicts(spark):
     assert all(r["kept"] != r["base_failed"] for r in plain)
 
 
+@pytest.mark.parametrize("kind", ["lines", "words", "digits", "long"])
+def test_quality_learns_every_statistic(spark, kind):
+    """Labelled junk without symbols, capitals or marks, which the base rules keep, is rejected."""
+    plain = lambda i, n: " ".join(f"{chr(97 + k % 26)}{chr(97 + i % 26)}{chr(97 + k // 26)}{chr(97 + i // 26)}" for k in range(n))
+    junk = {
+        "lines": lambda i: "home\n" * 30 + plain(i, 70).replace(" ", "\n"),
+        "words": lambda i: "so we said " * 15 + plain(i, 60),
+        "digits": lambda i: " ".join(str(10**5 + 997 * i + k) for k in range(90)),
+        "long": lambda i: " ".join(w * 15 for w in plain(i, 90).split()),
+    }[kind]
+    texts = [(i, plain(i, 100 + i)) for i in range(60)] + [(100 + i, junk(i)) for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in texts if i % 2], "doc_id long, quality int, toxic int")
+    got = {i: v[0] for i, v in by_id(quality.judge(df, labels)).items()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(r["kept"] for i, r in got.items() if i >= 100) and sum(r["kept"] for i, r in got.items() if i < 100) >= 57
+
+
 def test_license_windows(spark):
     apache = licenses.TEMPLATES["Apache-2.0-header"]
     mit = licenses.TEMPLATES["MIT"]
