@@ -281,6 +281,13 @@ def test_license_windows(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_forest_is_full_and_small():
+    x = np.random.default_rng(0).random((5000, 8))
+    trees = quality.fit_forest(x, (x.min(0), x.max(0)))
+    assert (quality.TREES, quality.PSI, quality.DEPTH) == (200, 256, 12) and len(trees) == 200
+    assert sum(a.nbytes for t in trees for a in t) < 2**20
+
+
 def test_sha_of_no_spans(spark):
     from loomery.llm import queries
 
