@@ -3,15 +3,23 @@
 DataFrame functions only. Words are runs of a-z and 0-9 after lower-casing; shingles are K words. A template of t
 shingles is looked for in windows of t + step shingles, one every step = t / 4 (1 at least), so some window holds any
 occurrence whole. A window that has CONTAINED of a template's shingles has a similarity of 0.5 or more with it; BANDS
-bands of ROWS row then meet in one at least with probability 1 - 0.5^18, all but 4 in a million. Windows without any
-template's shingle can't share a minimum with a template and are left out; everything else is whole.
+bands of ROWS row then meet in one at least with probability 1 - 0.5^18, all but 4 in a million. Windows with fewer
+known shingles than CONTAINED asks of the template are left out, which loses nothing; everything else is whole.
+Templates of fewer than K words are one shingle, their whole sequence, and are looked for at each word.
 
-Null and empty texts match nothing. Texts shorter than a shingle match nothing. Repeated rows get equal results; each
-template is reported once a text, at its best and then first window. Empty tables give no rows.
+Null and empty texts match nothing. Repeated rows get equal results; each template is reported once a text, at its best
+and then first window. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from functools import reduce
+from operator import and_
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +28,14 @@ from .workspace import materialize
 K, BANDS, ROWS, CONTAINED = 5, 18, 1, 0.75
 #: Size up to which the template index is broadcast; a larger library is joined by a shuffle.
 BROADCAST_BYTES = 16 * 2**20
+MATCHES = "array<struct<template: string, containment: double, first_word: long, end_word: long>>"
+
+#: Buckets of the known shingles, so that a shingle is compared with few of them.
+BUCKETS = 8192
 
-#: Fixed texts: notices as they stand in files.
+#: Fixed texts: notices as they stand in files; further down, the full texts in license_texts.
 TEMPLATES = {
+    "All-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "BSD-clause-notice": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -36,13 +49,27 @@ TEMPLATES = {
     "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+TEMPLATES |= {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 def shingled(df: DataFrame, text_col: str) -> DataFrame:
-    """df with n_words and h, the hashes of its K-word shingles in order."""
+    """df with _w, its words, n_words and h, the hashes of its K-word shingles in order."""
     words = df.withColumn("_w", F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
     starts = F.when(F.size("_w") >= K, F.sequence(F.lit(1), F.size("_w") - (K - 1))).otherwise(F.array().cast("array<int>"))
-    return words.withColumns({"n_words": F.size("_w").cast("long"), "h": F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, K)))}).drop("_w")
+    return words.withColumns({"n_words": F.size("_w").cast("long"), "h": F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, K)))})
+
+
+def phrases(templates: dict[str, str]):
+    """Matches with the templates of fewer than K words in _w: array of (template, containment, first_word, end_word)."""
+    found = []
+    for name, text in templates.items():
+        words = re.findall("[a-z0-9]+", text.lower())
+        if 0 < (m := len(words)) < K:
+            same = lambda i: reduce(and_, (F.element_at("_w", i + k) == w for k, w in enumerate(words)))
+            at = F.when((F.size("_w") >= m) & F.array_contains("_w", words[0]), F.filter(F.sequence(F.lit(1), F.size("_w") - (m - 1)), same))
+            first = F.get(at, F.lit(0)).cast("long") - 1
+            found.append(F.struct(F.lit(name).alias("template"), F.lit(1.0).alias("containment"), first.alias("first_word"), (first + m).alias("end_word")))
+    return F.filter(F.array(*found), lambda m: m["first_word"].isNotNull()) if found else F.array().cast(MATCHES)
 
 
 def bands(shingles):
@@ -58,10 +85,24 @@ def index(spark, templates: dict[str, str]) -> DataFrame:
     return rows.select("template", "need", "step", (F.col("size") + F.col("step")).alias("width"), bands(F.col("need")).alias("keys"))
 
 
-def starts(width: int, step: int):
-    """Starts (from 1, one every step) of the windows that hold one of the positions in `at`."""
-    steps = lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - F.lit(width)) / step).cast("int")), F.floor((p - 1) / step).cast("int"))
-    return F.array_distinct(F.flatten(F.transform("at", lambda p: F.transform(steps(p), lambda j: j * step + 1))))
+def starts(width: int, step: int, least: int):
+    """Starts (from 1, one every step) of the windows that hold `least` of the positions in `at`, which are in order."""
+    none = F.array().cast("array<int>")
+
+    def steps(i):
+        low, high = F.greatest(F.lit(0), F.ceil((F.element_at("at", i + (least - 1)) - F.lit(width)) / step).cast("int")), F.floor((F.element_at("at", i) - 1) / step).cast("int")
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda j: j * step + 1)).otherwise(none)
+
+    return F.when(F.size("at") >= least, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size("at") - (least - 1)), steps)))).otherwise(none)
+
+
+def among(known: list[int]):
+    """A test of whether a shingle is a known one."""
+    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for x in known:
+        buckets[x % BUCKETS].append(x)
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+    return lambda x: F.array_contains(F.element_at(table, F.pmod(x, F.lit(BUCKETS)).cast("int") + 1), x)
 
 
 def shape(width: int, step: int):
@@ -72,20 +113,24 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     """doc_id, n_words, matches: array of (template, containment, first_word, end_word), one row per row of docs."""
     spark = docs.sparkSession
     lib = [r.asDict() for r in index(spark, templates).collect()]  # as large as the library given
-    table = spark.createDataFrame([(r["template"], r["need"], r["width"], r["step"], b, key) for r in lib for b, key in enumerate(r["keys"])], "template string, need array<long>, width int, step int, band int, key long")
-    if sum(len(r["need"]) for r in lib) * 8 * BANDS <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-    known = sorted({x for r in lib for x in r["need"]})
-    shapes = sorted({(r["width"], r["step"]) for r in lib})
-    rows = shingled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), "t").drop("t")
-    rows = rows.withColumn("at", F.filter(F.when(F.size("h") > 0, F.sequence(F.lit(1), F.size("h"))).otherwise(F.array().cast("array<int>")), lambda i: F.element_at("h", i).isin(known)))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.when(F.size("at") > 0, F.col("h")).alias("h"), "at")
+    table = spark.createDataFrame([(r["template"], r["width"], r["step"], b, key) for r in lib for b, key in enumerate(r["keys"])], "template string, width int, step int, band int, key long")
+    needs = spark.createDataFrame([(r["template"], r["need"]) for r in lib], "template string, need array<long>")
+    if sum(len(r["need"]) + 4 * BANDS for r in lib) * 8 <= BROADCAST_BYTES:
+        table, needs = F.broadcast(table), F.broadcast(needs)
+    is_known = among(sorted({x for r in lib for x in r["need"]}))
+    shapes: dict[tuple[int, int], int] = {}
+    for r in lib:
+        at = r["width"], r["step"]
+        shapes[at] = min(shapes.get(at, len(r["need"])), max(1, math.ceil(contained * len(r["need"]) - 1e-9)))
+    rows = shingled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), "t").drop("t").withColumn("short", phrases(templates))
+    rows = rows.withColumn("at", F.filter(F.when(F.size("h") > 0, F.sequence(F.lit(1), F.size("h"))).otherwise(F.array().cast("array<int>")), lambda i: is_known(F.element_at("h", i))))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "short", F.when(F.size("at") > 0, F.col("h")).alias("h"), "at")
     rows = materialize(rows, "shingles")
 
-    shaped = [F.transform(starts(w, s), shape(w, s)) for w, s in shapes]
+    shaped = [F.transform(starts(w, s, n), shape(w, s)) for (w, s), n in sorted(shapes.items())]
     windows = rows.where("h is not null").select("row", "h", F.explode(F.concat(*shaped)).alias("w")).select("row", "w.*", F.slice("h", F.col("w.start"), F.col("w.width")).alias("part")).where("size(part) > 0")
     keyed = windows.withColumn("keys", bands(F.col("part"))).select("row", "start", "width", "step", "part", F.posexplode("keys").alias("band", "key"))
-    hits = keyed.join(table, ["width", "step", "band", "key"])
+    hits = keyed.join(table, ["width", "step", "band", "key"]).join(needs, "template")
     # verified where retrieved, once for each band that met: only narrow rows of matches are shuffled
     hits = hits.withColumn("share", F.size(F.array_intersect("part", "need")) / F.size("need")).where(F.col("share") >= contained)
     inside = F.filter(F.sequence(F.lit(1), F.size("part")), lambda i: F.array_contains("need", F.element_at("part", i)))
@@ -93,4 +138,5 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     best = hits.groupBy("row", "template").agg(F.max(F.struct("share", "before", "first_word", "end_word")).alias("b"))
     best = best.select("row", F.struct("template", F.col("b.share").alias("containment"), "b.first_word", "b.end_word").alias("m"))
     best = best.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("matches"))
-    return rows.select("row", "doc_id", "n_words").join(best, "row", "left").select("doc_id", "n_words", F.coalesce("matches", F.array().cast(dict(best.dtypes)["matches"])).alias("matches"))
+    long = F.coalesce("matches", F.array().cast(MATCHES))
+    return rows.select("row", "doc_id", "n_words", "short").join(best, "row", "left").select("doc_id", "n_words", F.array_sort(F.concat(long, "short")).alias("matches"))

@@ -281,6 +281,15 @@ def test_license_windows(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_phrases_and_full_texts(spark):
+    full = licenses.TEMPLATES["MIT-text"]
+    texts = [(1, "x ALL rights\nreserved! All rights reserved."), (2, "all rights are reserved"), (3, "reserved"), (4, f"start {full} end"), (5, " ".join(full.split()[:100]))]
+    got = by_id(licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")))
+    found = {i: {m["template"]: (m["containment"], m["first_word"]) for m in v[0]["matches"]} for i, v in got.items()}
+    assert found[1] == {"All-rights-reserved": (1.0, 1)} and found[2] == found[3] == {}
+    assert found[4]["MIT-text"] == (1.0, 1) and "MIT-text" not in found[5]
+
+
 def test_forest_is_full_and_small():
     x = np.random.default_rng(0).random((5000, 8))
     trees = quality.fit_forest(x, (x.min(0), x.max(0)))
