@@ -112,6 +112,29 @@ def test_top_k_is_exact(spark):
     assert few.count() == 3 and topk.exact_top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def best_of(ok, q, k):
+    return sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:k]
+
+
+def test_top_k_of_any_finite_vectors(spark):
+    """Lengths mix, and components reach the ends of what a double holds; scores beyond a long are ranked truly."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(i, rng.normal(size=3).tolist()) for i in range(300, 360)]
+    rows += [(400, [2e6, 1.0]), (401, [1.0, 2e6]), (402, [0.5, 0.25]), (403, [2e6, 1.0]), (404, [-2e6, 3.0]), (410, []), (411, []), (420, [1.0])]
+    rows += [(430 + i, [s * 10.0**e, 1.0, -3.7, *[0.0] * 3]) for i, (s, e) in enumerate([(1, 307), (1, 306), (-1, 307), (1, 20), (-1, 20), (1, 9), (3, 9), (1, 154), (1, 308)])]
+    rows += [(500 + i, [5e-324, 1e-300, -1e-5, 0.999, 2.0**43 + 0.5, 1.0]) for i in range(20)]
+    ok = {i: [math.floor(1024 * float(x)) if abs(x) < 2.0**1000 else int(x) * 1024 for x in v] for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = by_id(topk.exact_top_k(df, F.col("vec_id") % 2 == 0, k=7), "query_id")
+    assert set(got) == {i for i in ok if i % 2 == 0 and best_of(ok, i, 1)}
+    near = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    for q, found in got.items():
+        assert [(r["score"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == [(near(-s), i) for s, i in best_of(ok, q, 7)], q
+    figures = {}
+    topk.exact_top_k(spark.createDataFrame([(i, (np.eye(16)[i % 16] * 9 + rng.normal(size=16) / 9).tolist()) for i in range(4000)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, figures=figures)
+    assert figures["queries"] == 80 and figures["pairs"] < 0.7 * figures["cells"] * 80
+
+
 def call(i, name="reply", args=None, on=()):
     return {"id": i, "name": name, "arguments": args, "depends_on": list(on)}
 
