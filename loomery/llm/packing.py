@@ -4,7 +4,7 @@ Documents become token ids plus an end id; longer ones are cut into pieces of `c
 shorter. How many pieces have each length is all that the plan needs: at most `capacity` numbers, so it is made on the
 driver whatever the corpus. Large lengths are sorted into groups of equal cardinality and rounded up to their group's
 greatest; column generation finds the configurations of these few sizes that need the fewest sequences; actual lengths
-take the rounded slots; what is left over and the small lengths fill the gaps by best fit. Pieces of one length are
+take the rounded slots and the room these leave; what is left over and the small lengths fill the gaps by best fit. Pieces of one length are
 interchangeable, so a piece's place follows from its rank within its length, which a range sort gives.
 
 Null texts are empty documents (the end id alone). Repeated rows are packed as rows of their own. An empty table gives
@@ -14,8 +14,9 @@ no rows. The tokenizer file is read on the driver and shipped with the tasks.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,8 @@ from .prefix import with_prefix
 from .workspace import drop, materialize, small_batches, tidy, worker_cache
 
 CAPACITY = 4096
-#: Lengths of at least this share of the capacity are large; groups they are rounded to.
-LARGE, GROUPS = 1 / 8, 40
-#: Shares from which on a configuration's sequence is kept, tried in turn; above 1 nothing is.
-FULL = (0.0, 0.9, 0.97, 0.99, 1.0, 1.1)
+#: Schemes tried in turn: lengths of at least this share of the capacity are large; groups they are rounded to.
+SCHEMES = ((1 / 8, 40), (1 / 6, 40), (1 / 4, 40), (1 / 3, 40))
 #: Marks that may stand behind a word: no apostrophe, which may begin an ending.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Beyond Latin letters a lower-cased letter may join a mark; other white space than that of ASCII.
@@ -146,7 +145,7 @@ def pieces(docs: DataFrame, model: str, end_id: int, capacity: int, id_col: str,
 
 
 def configurations(sizes: list[int], need: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
-    """(slots for each size, sequences): fewest sequences for the fractional problem, rounded down.
+    """(slots for each size, sequences): fewest sequences for the fractional problem, rounded up.
 
     Column generation: the basis of one pattern for each size is improved while a knapsack over the dual prices
     finds a pattern worth more than one sequence.
@@ -156,65 +155,61 @@ def configurations(sizes: list[int], need: list[int], capacity: int) -> list[tup
     d = np.array(need, float)
     for _ in range(60 * k):
         price = np.linalg.solve(basis.T, np.ones(k))
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(s.min()), capacity + 1):
-            fit = np.flatnonzero(s <= c)
-            v = best[c - s[fit]] + price[fit]
-            if (j := v.argmax()).size and v[j] > best[c - 1] + 1e-12:
-                best[c], pick[c] = v[j], fit[j]
-            else:
-                best[c] = best[c - 1]
+        best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for j in np.flatnonzero(price > 1e-12):
+            w = sizes[j]
+            for a in range(w, capacity + 1, w):  # one more piece of this size than in the stretch before
+                with_it = best[a - w : a][: capacity + 1 - a] + price[j]
+                now = best[a : a + w]
+                more = with_it > now + 1e-12
+                now[more], last[a : a + w][more] = with_it[more], j
         if best[capacity] <= 1 + 1e-7:
             break
         new, c = np.zeros(k), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
-                new[pick[c]] += 1
-                c -= s[pick[c]]
+        while last[c] >= 0:
+            new[last[c]] += 1
+            c -= s[last[c]]
         x, way = np.linalg.solve(basis, d), np.linalg.solve(basis, new)
         ratio = np.where(way > 1e-9, np.maximum(x, 0) / np.where(way > 1e-9, way, 1), np.inf)
         basis[:, ratio.argmin()] = new
     x = np.linalg.solve(basis, d)
-    return [(basis[:, j].round().astype(int), int(x[j] + 1e-6)) for j in range(k) if x[j] >= 1]
+    return [(basis[:, j].round().astype(int), math.ceil(x[j] - 1e-6)) for j in range(k) if x[j] > 1e-6]
 
 
-def grouped(counts: dict[int, int], capacity: int) -> dict[int, list[list[int]]]:
-    """Large lengths in groups of equal cardinality, greatest first: rounded size -> [[length, count], ...]."""
-    large = [(x, n) for x, n in sorted(counts.items(), reverse=True) if n and x >= LARGE * capacity]
-    size = -(-sum(n for _, n in large) // GROUPS)
-    groups: list[list[list[int]]] = []
-    have = size
+def grouped(counts: dict[int, int], least: float, groups: int) -> dict[int, int]:
+    """Lengths of at least `least` in groups of equal cardinality, greatest first: rounded size -> pieces."""
+    large = [(x, n) for x, n in sorted(counts.items(), reverse=True) if n and x >= least]
+    size = -(-sum(n for _, n in large) // groups)
+    out: dict[int, int] = {}
+    before = 0
     for x, n in large:
         while n:
-            if have == size:
-                groups.append([])
-                have = 0
-            take = min(n, size - have)
-            groups[-1].append([x, take])
-            have, n = have + take, n - take
-    by_size: dict[int, list[list[int]]] = {}
-    for g in groups:  # groups that round to one size are one
-        by_size.setdefault(g[0][0], []).extend(g)
-    return by_size
+            if before % size == 0:
+                greatest = x
+            take = min(n, size - before % size)
+            out[greatest] = out.get(greatest, 0) + take  # groups that round to one size are one
+            before, n = before + take, n - take
+    return out
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """((length, first rank, first sequence, pieces of it in a sequence, offset) ..., sequences).
 
-    A configuration in which actual lengths leave much room is dissolved and its lengths go to the best fit; of a few
-    bounds on that room the one with the fewest sequences is taken, the first on ties. Entries end a length or a class
-    of equal sequences, so their number depends on the capacity, not on the corpus.
+    The scheme is laid out for each of SCHEMES, and the one with the fewest sequences is taken, the first on ties.
+    Entries end a length or a class of equal sequences, so their number depends on the capacity, not on the corpus.
     """
-    by_size = grouped(counts, capacity)
-    found = configurations(list(by_size), [sum(c for _, c in g) for g in by_size.values()], capacity) if by_size else []
-    tries = [arranged(counts, capacity, {x: [list(r) for r in g] for x, g in by_size.items()}, found, full) for full in FULL]
-    return min(tries, key=lambda x: x[1])
+    return min((arranged(counts, capacity, share * capacity, groups) for share, groups in SCHEMES), key=lambda x: x[1])
 
 
-def arranged(counts: dict[int, int], capacity: int, by_size: dict[int, list[list[int]]], found: list[tuple[np.ndarray, int]], full: float) -> tuple[list, int]:
-    """The plan that keeps configurations filled to the share `full` or more."""
+def arranged(counts: dict[int, int], capacity: int, least: float, groups: int) -> tuple[list, int]:
+    """The plan with lengths of at least `least` rounded up to so many groups.
+
+    Actual lengths are substituted for a configuration's rounded slots: each slot takes the greatest that is left and
+    no longer than its size, the last one, and what room is left then, the greatest that fits. A configuration ends when
+    its sequences are made or no large length is left; what is left over goes to the best fit with the small lengths.
+    """
+    sizes = grouped(counts, least, groups)
+    found = configurations(list(sizes), list(sizes.values()), capacity) if sizes else []
     entries: list[tuple[int, int, int, int, int]] = []
     used: dict[int, int] = defaultdict(int)
     left = dict(counts)
@@ -233,35 +228,35 @@ def arranged(counts: dict[int, int], capacity: int, by_size: dict[int, list[list
         used[length] += n
         left[length] -= n
 
-    for slots, n in found:
-        runs = []  # for each slot, the actual lengths along the configuration's sequences
-        for x in (x for x, c in zip(list(by_size), slots) for _ in range(c)):
-            run, want = [], n
-            while want and by_size[x]:
-                real, have = by_size[x][0]
-                take = min(want, have)
-                run.append((real, take))
-                want -= take
-                by_size[x][0][1] -= take
-                if take == have:
-                    by_size[x].pop(0)
-            runs.append(run + [(0, want)] * bool(want))
-        at = 0
-        while at < n:
-            step = min((r[0][1] for r in runs), default=n)
-            if sum(r[0][0] for r in runs) >= full * capacity:
-                fill = 0
-                for r in runs:
-                    if r[0][0]:
-                        put(r[0][0], step, total, 1, fill)
-                        fill += r[0][0]
-                room(capacity - fill, total, step)
-                total += step
-            for r in runs:
-                r[0] = (r[0][0], r[0][1] - step)
-                if not r[0][1]:
-                    r.pop(0)
-            at += step
+    large = sorted(x for x, n in left.items() if n and x >= least)
+    shapes = sorted(([x for x, c in sorted(zip(sizes, slots), reverse=True) for _ in range(c)], n) for slots, n in found)
+    for wanted, n in reversed(shapes):
+        while n and large:
+            free, picks = capacity, Counter()
+
+            def pick(most: int) -> int:
+                at = bisect.bisect_right(large, most) - 1
+                while at >= 0 and picks[large[at]] >= left[large[at]]:
+                    at -= 1
+                return large[at] if at >= 0 else 0
+
+            for i, x in enumerate(wanted):
+                if y := pick(min(x, free) if i + 1 < len(wanted) else free):
+                    picks[y] += 1
+                    free -= y
+            while y := pick(free):
+                picks[y] += 1
+                free -= y
+            step = min([n, *(left[y] // m for y, m in picks.items() if m)])
+            at = 0
+            for y, m in sorted(picks.items(), reverse=True):
+                for _ in range(m):
+                    put(y, step, total, 1, at)
+                    at += y
+                if m and not left[y]:
+                    large.pop(bisect.bisect_left(large, y))
+            room(free, total, step)
+            total, n = total + step, n - step
     for x in sorted(left, reverse=True):
         while (c := left[x]) > 0:
             i = bisect.bisect_left(keys, x)

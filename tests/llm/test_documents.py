@@ -219,6 +219,20 @@ def test_plan_is_tight(seed):
     assert len(fill) <= total <= bins
 
 
+def test_plan_of_the_tables_lengths(spark, model):
+    """On whole tables the scheme needs no more than 0.1 % above the plain best fit, longest first."""
+    with open(model, encoding="utf-8") as f:
+        cut = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), f.read(), 1, 4096, "doc_id", "text", 100_000, 2**20)
+    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    rooms, bins = [], 0
+    for x in sorted(counts, reverse=True):
+        for _ in range(counts[x]):
+            i = bisect.bisect_left(rooms, x)
+            bins += i == len(rooms)
+            bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else 4096) - x)
+    assert packing.plan(counts)[1] <= bins * 1.001
+
+
 def brute_counts(t):
     w = WORD.findall(t)
     lines = [x for x in t.split("\n") if WORD.search(x)]
