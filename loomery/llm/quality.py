@@ -1,12 +1,13 @@
 """Quality rules: an isolation forest on rule statistics, with its threshold calibrated from labelled rows.
 
-Words are runs of bytes other than space and 09-0D. Statistics cover the whole text. The forest is fitted on at most
-FIT_ROWS labelled rows (a documented bound; each tree sees PSI clean ones); every row is scored by its mean path
-length over the random splits. The threshold is the one with the best F1 on all labelled rows among those that reject
-at most FALSE_REJECTS of the clean ones, from counts per score bin.
+Words are runs of bytes other than space and 09-0D. Statistics cover the whole text. Labelled rows are dealt by a hash
+of their id into three parts, PARTS: the forest is fitted on the first, on about FIT_ROWS rows of it at most (a
+documented bound; each tree sees PSI clean ones); every row is scored by its mean path length over the random splits.
+The threshold is the one with the best F1 on the whole second part among those that reject at most FALSE_REJECTS of its
+clean rows, from counts per score bin; the third part is seen by neither and tells how well the verdicts hold.
 
 Null texts have no words. Repeated rows are scored alike. Labels of a repeated doc_id: the lowest counts. Without
-labelled rows of either quality, or on an empty table, only the base rules reject.
+labelled rows of either quality in a part that needs them, or on an empty table, only the base rules reject.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from .workspace import BROADCAST_IDS, drop, materialize, small_batches, tidy
 
 TREES, PSI, DEPTH, FIT_ROWS, BINS, FALSE_REJECTS = 200, 256, 12, 20_000, 2000, 0.002
+#: Tenths of the labelled rows that fit, calibrate and are held out.
+PARTS = {"fit": (0, 5), "calibrate": (5, 8), "held_out": (8, 10)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
 SPACE = b" \t\n\r\x0b\x0c"
 #: Bytes to delete so that what is left are the characters counted.
@@ -84,7 +87,7 @@ def mean_path(n: float) -> float:
 
 
 def fit_forest(x: np.ndarray, box: tuple[np.ndarray, np.ndarray], seed: int = 42) -> list[tuple[np.ndarray, ...]]:
-    """Trees as arrays (feature or -1, threshold, left, path length at a leaf); the right child follows the left.
+    """Trees as arrays (feature or -1, threshold or path length at a leaf, left child); the right child follows the left.
 
     Splits are drawn over the box of all labelled rows, cut down on the way, and not over the clean rows of a node
     alone: what no clean row has, such as symbols, is then isolated early and not overlooked.
@@ -92,38 +95,37 @@ def fit_forest(x: np.ndarray, box: tuple[np.ndarray, np.ndarray], seed: int = 42
     rng, trees = np.random.default_rng(seed), []
     for _ in range(TREES):
         rows = x[rng.choice(len(x), min(PSI, len(x)), replace=False)]
-        feature, split, left, length, todo = [-1], [0.0], [0], [0.0], [(0, rows, 0, *box)]
+        feature, value, left, todo = [-1], [0.0], [0], [(0, rows, 0, *box)]
         while todo:
             node, r, depth, low, high = todo.pop()
             open_ = np.flatnonzero(high > low)
             if depth >= DEPTH or len(r) < 2 or not len(open_):
-                length[node] = depth + mean_path(len(r))
+                value[node] = depth + mean_path(len(r))
                 continue
             f = rng.choice(open_)
-            feature[node], split[node], left[node] = f, (cut := rng.uniform(low[f], high[f])), len(feature)
+            feature[node], value[node], left[node] = f, (cut := rng.uniform(low[f], high[f])), len(feature)
             side = r[:, f] < cut
             for k, part in enumerate((r[side], r[~side])):
                 to_low, to_high = low.copy(), high.copy()
                 (to_low if k else to_high)[f] = cut
                 todo.append((left[node] + k, part, depth + 1, to_low, to_high))
             feature += [-1, -1]
-            split += [0.0, 0.0]
+            value += [0.0, 0.0]
             left += [0, 0]
-            length += [0.0, 0.0]
-        trees.append((np.array(feature, np.int8), np.array(split, np.float32), np.array(left, np.int16), np.array(length, np.float32)))
+        trees.append((np.array(feature, np.int8), np.array(value, np.float32), np.array(left, np.int16)))
     return trees
 
 
 def anomaly(trees: list[tuple[np.ndarray, ...]], x: np.ndarray, psi: int) -> np.ndarray:
     """2 to the power of minus the mean path length over its expectation: near 1 for anomalies."""
     total, rows = np.zeros(len(x)), np.arange(len(x))
-    for feature, split, left, length in trees:
+    for feature, value, left in trees:
         at = np.zeros(len(x), np.int64)
         while (go := feature[at] >= 0).any():
             i, node = rows[go], at[go]
-            right = x[i, feature[node]] >= split[node]
+            right = x[i, feature[node]] >= value[node]
             at[i] = left[node].astype(np.int64) + right
-        total += length[at]
+        total += value[at]
     return 2.0 ** -(total / len(trees) / max(mean_path(psi), 1e-9))
 
 
@@ -138,9 +140,15 @@ def score(stats: DataFrame, trees: list[tuple[np.ndarray, ...]], psi: int) -> Da
     return stats.mapInArrow(tidy(run), T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
+def part(name: str):
+    """Whether a labelled doc_id is in a part of PARTS."""
+    low, high = PARTS[name]
+    return F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id").cast("string")), F.lit(10)).between(low, high - 1)
+
+
 def threshold(scored: DataFrame) -> float:
-    """Best F1 over all labelled rows that the base rules keep, with few clean rows lost."""
-    rows = scored.where("quality is not null and not base_failed").groupBy("quality", F.floor(F.col("score") * BINS).alias("bin")).count().collect()
+    """Best F1 over the calibrating rows that the base rules keep, with few clean rows lost."""
+    rows = scored.where(part("calibrate")).where("quality is not null and not base_failed").groupBy("quality", F.floor(F.col("score") * BINS).alias("bin")).count().collect()
     good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
     for r in rows:
         (good if r["quality"] else bad)[r["bin"]] += r["count"]
@@ -150,12 +158,20 @@ def threshold(scored: DataFrame) -> float:
     return at / BINS if f1[at] > 0 else 2.0
 
 
+def truth_of(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, COUNTS, base_failed, score, kept: one row per row of docs."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialize(statistics(docs, id_col, text_col).withColumn("base_failed", failed), "statistics")
-    truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    fit = stats.join(truth, "doc_id").where("not base_failed").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(FIT_ROWS).select("quality", *COUNTS).toPandas()
+    truth = truth_of(labels)
+    fit = materialize(stats.join(truth, "doc_id").where("not base_failed").where(part("fit")).select("quality", *COUNTS), "fit")
+    share = FIT_ROWS / max(fit.count(), 1)
+    if share < 1:
+        fit = fit.where(F.rand(5) < share)
+    fit = fit.orderBy("quality", *COUNTS).toPandas()  # FIT_ROWS rows, give or take a few hundred
     x = features({c: fit[c].to_numpy() for c in COUNTS})
     clean = x[fit["quality"].to_numpy() == 1]
     if len(clean) < 2:
@@ -167,6 +183,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return done.withColumn("kept", ~F.col("base_failed") & (F.col("score") < cut))
 
 
+def held_out(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality, rows, kept: labelled rows of the held-out part that the base rules keep."""
+    rows = judged.join(truth_of(labels), "doc_id").where("not base_failed").where(part("held_out"))
+    return rows.groupBy("quality").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
+
+
 def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept."""
     out = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("_lm_id"), F.col("text_key").alias("_lm_key")).distinct()

@@ -282,6 +282,14 @@ def test_quality_learns_every_statistic(spark, kind):
     assert not any(r["kept"] for i, r in got.items() if i >= 100) and sum(r["kept"] for i, r in got.items() if i < 100) >= 57
 
 
+def test_quality_holds_on_held_out_labels(spark):
+    """Of labelled rows that neither the forest nor the threshold has seen: nearly all junk caught, nearly no clean row lost."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["quality"]: (r["rows"], r["kept"]) for r in quality.held_out(quality.judge(d, labels), labels).collect()}
+    assert got[0][0] > 30 and got[0][1] <= 0.05 * got[0][0]
+    assert got[1][0] > 300 and got[1][1] >= 0.98 * got[1][0]
+
+
 def test_license_windows(spark):
     apache = licenses.TEMPLATES["Apache-2.0-header"]
     mit = licenses.TEMPLATES["MIT"]
