@@ -2,23 +2,35 @@
 
 Host: after the first :// up to /, ?, # or the end, A-Z lower-cased; path: from there to ?, # or the end; a null url or
 one without :// has both empty. A curated rule (host, path, action) fits its host and all subdomains if the path starts
-with the rule's; the longest wins. Other urls are judged by mined rules {tokens} -> verdict: FP-growth runs over the
-token sets of labelled urls, rules are pruned by support, confidence, lift and by shorter rules at least as confident,
-and the most confident one that fits decides; without any, the url is allowed.
+with the rule's; the longest wins. Other urls are judged by mined rules {tokens} -> verdict, found in the token sets of
+labelled urls: the most confident one that fits decides, ties by verdict and then tokens; without any, the url is
+allowed.
+
+Mining is FP-growth's pattern growth on weighted distinct transactions: patterns grow by one token at a time, rarest
+tokens first, over their conditional bases. A pattern goes on only if some verdict has the support, no token of it
+follows from its others (then a shorter pattern holds the same urls) and its urls don't all have one verdict (then no
+longer one is more confident). That loses no rule and bounds what one common url of many tokens brings forth, where
+plain FP-growth makes all subsets of it. Rules are pruned by support, confidence, confidence above the verdict's share,
+and shorter rules at least as confident. They are mined on seven tenths of the labelled urls, by hash, and stay if they
+reach the confidence and the verdict's share on the other three.
 
 Curated rules are looked up by host suffix and mined ones by their rarest token, so each url meets few of them. All
-work is done once for each distinct url. Repeated rows get equal results; no labels or an empty table: no mined rules.
+work is done once for each distinct url, however long. Labels: null ids and verdicts are ignored, repeated ones each
+count. Repeated rows get equal results; no labels, too few of them or an empty table: no mined rules.
+
+To the driver come one row a verdict and the frequent tokens, at most tokens a url / support of them.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize, partitions
+from .workspace import BROADCAST_IDS, drop, materialize
 
-SUPPORT, CONFIDENCE, LIFT, LONGEST = 0.005, 0.6, 1.5, 4
+SUPPORT, CONFIDENCE, LIFT = 0.005, 0.6, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,26 +61,74 @@ def curated(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return hits.groupBy("url").agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule")).alias("r")).select("url", "r.rule", "r.action")
 
 
+RULES = "rule_id long, items array<string>, verdict string, confidence double, support double, key string"
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """(rule_id, items, verdict, confidence, support, key) from rows (items, verdict); key is the rarest item."""
     spark = labelled.sparkSession
-    schema = "rule_id long, items array<string>, verdict string, confidence double, support double, key string"
-    rows = materialize(labelled.select(F.array_union("items", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items")), "transactions")
-    if rows.isEmpty():
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions(spark)).fit(rows)
-    rules = model.associationRules.withColumn("to", F.element_at("consequent", 1))
-    rules = rules.where(F.startswith("to", F.lit("verdict:")) & (F.size("antecedent") <= LONGEST) & (F.col("lift") >= lift))
-    rules = materialize(rules.select(F.array_sort("antecedent").alias("items"), F.substring("to", 9, 99).alias("verdict"), "confidence", "support"), "rules")
-    # a rule goes if one with part of its items is as confident; both share that part's items, so they meet by item
-    one = rules.select(F.col("items").alias("big"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.explode("items").alias("item"))
-    short = rules.withColumn("item", F.element_at("items", 1))
-    worse = one.join(short, "item").where((F.size("items") < F.size("big")) & (F.col("confidence") >= F.col("c")) & (F.col("verdict") == F.col("v")) & (F.size(F.array_except("items", "big")) == 0))
-    rules = rules.join(worse.select(F.col("big").alias("items"), F.col("v").alias("verdict")).distinct(), ["items", "verdict"], "left_anti")
-    count = rows.select(F.explode("items").alias("item")).groupBy("item").count()
-    rules = rules.withColumn("rule_id", F.xxhash64("items", "verdict"))
-    key = rules.select("rule_id", F.explode("items").alias("item")).join(count, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("count", "item")).alias("key"))
-    return materialize(rules.join(key, "rule_id").select("rule_id", "items", "verdict", "confidence", "support", "key"), "mined")
+    rows = materialize(labelled.where("verdict is not null").groupBy(F.array_sort(F.array_distinct("items")).alias("items"), "verdict").count(), "labelled")
+    shares = {r["verdict"]: r["n"] for r in rows.groupBy("verdict").agg(F.sum("count").alias("n")).collect()}
+    verdicts, total = sorted(shares), sum(shares.values())
+    least, cs = support * total, [f"c{i}" for i in range(len(verdicts))]
+    if not total:
+        return spark.createDataFrame([], RULES)
+    add = [F.sum(c).alias(c) for c in cs]
+    all_, most = reduce(Column.__add__, map(F.col, cs)), F.greatest(*cs, F.lit(0))
+    sets = rows.groupBy("items").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("count")).otherwise(0)).alias(c) for v, c in zip(verdicts, cs)))
+    sets = materialize(sets.withColumn("tid", F.monotonically_increasing_id()), "transactions")
+    tokens = sets.select(F.explode("items").alias("item"), *cs).groupBy("item").agg(*add).where(most >= least).select("item", all_.alias("n")).collect()
+    names = [r["item"] for r in sorted(tokens, key=lambda r: (r["n"], r["item"]))]
+    ranks = F.broadcast(spark.createDataFrame(list(enumerate(names)), "rank int, item string"))
+    base = sets.select("tid", F.explode("items").alias("item"), *cs).join(ranks, "item").groupBy("tid", *cs).agg(F.sort_array(F.collect_list("rank")).alias("tail"))
+    base = materialize(base.groupBy("tail").agg(*add).withColumn("pattern", F.array().cast("array<int>")), "base")
+    best = [f"b{i}" for i in range(len(cs))]
+    grown = spark.createDataFrame([([], total, *(shares[v] / total for v in verdicts))], ", ".join(["sub array<int>", "held long", *(f"{b} double" for b in best)]))
+    found, spent, size = [], [rows, sets], 0
+    while True:
+        size += 1
+        longer = base.select(*cs, F.col("pattern").alias("p"), "tail", F.posexplode("tail").alias("at", "x"))
+        longer = longer.select(F.concat("p", F.array("x")).alias("pattern"), F.slice("tail", F.col("at") + 2, F.size("tail")).alias("tail"), *cs)
+        counted = materialize(longer.groupBy("pattern").agg(*add).where(most >= least), "counted")
+        parts = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("without")).withColumn("sub", F.expr("filter(pattern, (x, i) -> i <> without)"))
+        whole = parts.join(grown, "sub").groupBy("pattern", *cs).agg(F.count("*").alias("subs"), F.min("held").alias("least_held"), *(F.max(b).alias(b) for b in best))
+        whole = whole.withColumn("held", all_).where((F.col("subs") == size) & (F.col("held") < F.col("least_held")))
+        whole = materialize(whole.select("pattern", "held", *cs, *best), "patterns")
+        spent += [counted, whole]
+        for v, c, b in zip(verdicts, cs, best):
+            sure = F.col(c) / F.col("held")
+            found.append(whole.where((F.col(c) >= least) & (sure >= confidence) & (sure >= lift * shares[v] / total) & (sure > F.col(b))).select("pattern", F.lit(v).alias("verdict"), sure.alias("confidence"), (F.col(c) / total).alias("support")))
+        open_ = whole.where(most < F.col("held"))
+        n = open_.count()
+        if not n:
+            break
+        grown = open_.select(F.col("pattern").alias("sub"), "held", *(F.greatest(b, F.col(c) / F.col("held")).alias(b) for b, c in zip(best, cs)))
+        going = open_.select("pattern")
+        old, base = base, longer.where(F.size("tail") > 0).join(F.broadcast(going) if n <= BROADCAST_IDS else going, "pattern", "left_semi").groupBy("pattern", "tail").agg(*add)
+        base = materialize(base, "base")
+        drop(old)
+    rules = reduce(DataFrame.union, found)
+    named = F.transform("pattern", lambda i: F.element_at(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"), i + 1))
+    rules = rules.select(F.array_sort(named).alias("items"), "verdict", "confidence", "support", F.element_at(named, 1).alias("key"))
+    rules = materialize(rules.select(F.xxhash64("items", "verdict").alias("rule_id"), "items", "verdict", "confidence", "support", "key"), "mined")
+    drop(base, *spent)
+    return rules
+
+
+def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of urls (with items) by each rule that fits them, with r, the rule."""
+    r = rules.select("key", F.struct("confidence", "verdict", F.array_join("items", " ").alias("text"), "rule_id").alias("r"), F.col("items").alias("need"))
+    return urls.withColumn("key", F.explode("items")).join(r, "key").where(F.size(F.array_except("need", "items")) == 0).drop("key", "need")
+
+
+def confirmed(rules: DataFrame, apart: DataFrame, confidence: float) -> DataFrame:
+    """The rules that reach the confidence and their verdict's share on rows (items, verdict) they weren't mined from."""
+    apart = materialize(apart.where("verdict is not null").groupBy("items", F.col("verdict").alias("truth")).count(), "apart")
+    counts = {r["truth"]: r["n"] for r in apart.groupBy("truth").agg(F.sum("count").alias("n")).collect()}
+    share = F.broadcast(apart.sparkSession.createDataFrame([(v, n / sum(counts.values())) for v, n in counts.items()], "verdict string, share double"))
+    seen = fitting(apart, rules).groupBy("r.rule_id", "r.verdict").agg((F.sum(F.when(F.col("truth") == F.col("r.verdict"), F.col("count")).otherwise(0)) / F.sum("count")).alias("sure"))
+    good = seen.join(share, "verdict").where((F.col("sure") >= confidence) & (F.col("sure") >= F.col("share"))).select("rule_id")
+    return materialize(rules.join(good, "rule_id", "left_semi"), "confirmed")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", **bounds) -> DataFrame:
@@ -77,10 +137,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     labels: (id, verdict) for some pages; the urls of these train the miner.
     """
     urls = materialize(parsed(pages.select(F.col(url_col).alias("url")).where("url is not null").distinct()).withColumn("items", tokens()), "urls")
-    truth = labels.join(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "id").join(urls, "url").select("items", "verdict")
-    mined = mine(truth, **bounds)
-    hits = urls.select("url", "items", F.explode("items").alias("key")).join(mined.select("key", F.col("items").alias("need"), "verdict", "confidence", "rule_id"), "key")
-    hits = hits.where(F.size(F.array_except("need", "items")) == 0).groupBy("url").agg(F.max(F.struct("confidence", "verdict", F.array_join("need", " ").alias("text"))).alias("m"))
+    truth = labels.join(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "id").join(urls, "url").select("url", "items", "verdict")
+    truth = materialize(truth.select("items", "verdict", (F.pmod(F.xxhash64("url"), F.lit(10)) < 7).alias("fit")), "truth")
+    mined = confirmed(mine(truth.where("fit"), **bounds), truth.where("not fit"), bounds.get("confidence", CONFIDENCE))
+    hits = fitting(urls.select("url", "items"), mined).groupBy("url").agg(F.max("r").alias("m"))
     listed = curated(urls, rules)
     done = urls.select("url", "host", "path").join(listed, "url", "left").join(hits, "url", "left")
     done = done.select("url", "host", "path", "rule", F.coalesce("action", "m.verdict", F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("m.text")).alias("mined_rule"))
