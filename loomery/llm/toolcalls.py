@@ -6,7 +6,11 @@ without such JSON are exchanges: a user turn t is a call "reply" with the id "<c
 that of t - 2 if there is one, and an assistant turn t + 1 is its result. Other turns are plain messages.
 
 Calls and results meet by (conversation, id). Dependencies that only point back, as they mostly do, make turn order a
-topological order; conversations with a forward one are levelled in rounds, and calls on a cycle come last. Positions
+topological order, and a result that stands before its call moves right behind it. Where a dependency points forward,
+the turns from the first call that has one to the last call so depended on are the conversation's knot: its calls come
+in the order of their levels (the longest chain of dependencies inside the knot), each level's results behind it, and
+calls on a cycle or waiting for one last; other messages of these turns follow the knot, and what stands before and
+after it stays there. Levels take a number of rounds that grows with the logarithm of the longest chain: each round doubles the length of the chains known. Positions
 come from one range sort of all events, so a conversation of any size is spread over tasks.
 
 Ids: the first call of a repeated id is linked, later ones are "repeated". Null conversations, turns, roles and texts
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize, partitions
+from .workspace import drop, materialize, partitions
 
 #: tool -> argument -> type (as JSON names it), required, min_length, minimum, one_of
 Schemas = dict[str, dict[str, dict]]
@@ -74,28 +78,42 @@ def violations(schemas: Schemas) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def levels(calls: DataFrame, early: DataFrame) -> DataFrame:
-    """(conv_id, id, level) for the calls of conversations in which a call depends on a later one; level null on cycles.
+def knots(calls: DataFrame) -> DataFrame:
+    """(conv_id, knot_from, knot_to): the span of turns that forward dependencies reach over, where there are any."""
+    ahead = dependencies(calls).where("t > turn or (t = turn and o > ord)")
+    return ahead.groupBy("conv_id").agg(F.min("turn").alias("knot_from"), F.max("t").alias("knot_to"))
 
-    early: further conversations to level, those in which a result stands before its call.
 
-    Rounds as many as the longest chain in those conversations; each settles the calls whose dependencies all are.
-    """
-    deps = calls.select("conv_id", "id", "turn", "ord", F.explode("depends_on").alias("on")).where("on <> id")
+def dependencies(calls: DataFrame) -> DataFrame:
+    """conv_id, id, turn, ord of calls with a dependency's id, turn and ord as on, t and o."""
+    deps = calls.select("conv_id", "id", "turn", "ord", F.explode(F.array_distinct("depends_on")).alias("on")).where("on <> id")
     known = calls.select("conv_id", F.col("id").alias("on"), F.col("turn").alias("t"), F.col("ord").alias("o"))
-    deps = deps.join(known, ["conv_id", "on"])
-    odd = deps.where("t > turn or (t = turn and o > ord)").select("conv_id").union(early).distinct()
-    deps = materialize(deps.join(odd, "conv_id", "left_semi").select("conv_id", "id", "on"), "dependencies")
-    nodes = materialize(calls.join(odd, "conv_id", "left_semi").select("conv_id", "id", F.lit(None).cast("int").alias("level")), "levels")
-    level = 0
-    while level == 0 or nodes.where(F.col("level") == level - 1).limit(1).count():
-        open_ = deps.join(nodes.where("level is null").select("conv_id", F.col("id").alias("on")), ["conv_id", "on"], "left_semi").select("conv_id", "id").distinct().withColumn("waits", F.lit(True))
-        nodes = nodes.join(open_, ["conv_id", "id"], "left").select("conv_id", "id", F.when(F.col("level").isNotNull(), F.col("level")).when(F.col("waits").isNull(), level).alias("level"))
+    return deps.join(known, ["conv_id", "on"])
+
+
+def levels(calls: DataFrame, spans: DataFrame) -> DataFrame:
+    """(conv_id, id, level) for the calls in knots: the longest chain of dependencies there, null on and behind cycles.
+
+    With steps of 2^k dependencies known as pairs, the longest chain below 2^(k+1) from a call is 2^k plus the longest
+    below 2^k from where such a step leads, if it has one. Pairs 2^k apart join to pairs 2^(k+1) apart. Calls that still
+    have a step longer than all calls of a knot are on a cycle or behind one. Pairs are distinct, as many as calls times
+    the calls that lie so far from one: with one dependency a call, as many as calls.
+    """
+    inside = calls.join(spans, "conv_id").where("turn between knot_from and knot_to")
+    step = materialize(dependencies(inside).select("conv_id", "id", "on"), "steps")
+    most = inside.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    nodes = materialize(inside.select("conv_id", "id", F.lit(0).cast("long").alias("level")), "levels")
+    length = 1
+    while length <= most and not step.isEmpty():
+        far = step.join(nodes.withColumnsRenamed({"id": "on", "level": "beyond"}), ["conv_id", "on"]).groupBy("conv_id", "id").agg(F.max("beyond").alias("beyond"))
+        old, nodes = nodes, nodes.join(far, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce(F.col("beyond") + length, "level").alias("level"))
         nodes = materialize(nodes, "levels")
-        level += 1
-        if nodes.where("level is null").isEmpty():
-            break
-    return nodes
+        more = step.select("conv_id", "id", F.col("on").alias("via")).join(step.withColumnRenamed("id", "via"), ["conv_id", "via"]).select("conv_id", "id", "on").distinct()
+        before, step = step, materialize(more, "steps")
+        drop(old, before)
+        length *= 2
+    stuck = step.select("conv_id", "id").distinct().withColumn("stuck", F.lit(True))
+    return nodes.join(stuck, ["conv_id", "id"], "left").select("conv_id", "id", F.when(F.col("stuck").isNull(), F.col("level")).alias("level"))
 
 
 def link(messages: DataFrame, schemas: Schemas = REPLY) -> DataFrame:
@@ -111,8 +129,10 @@ def link(messages: DataFrame, schemas: Schemas = REPLY) -> DataFrame:
     answer = all_.where("kind = 'result' and id is not null and conv_id is not null").groupBy("conv_id", "id").agg(F.min("turn").alias("answered"))
     meet = first.join(answer, ["conv_id", "id"], "left")
     owners = calls.select("conv_id", "id", "turn", "ord", F.xxhash64("name", "arguments").alias("print"), "depends_on").join(first, ["conv_id", "id", "turn", "ord", "print"]).dropDuplicates(["conv_id", "id"])
-    level = levels(owners, meet.where("answered < turn").select("conv_id")).withColumnRenamed("level", "lv").withColumn("levelled", F.lit(True))
-    meet = meet.join(level, ["conv_id", "id"], "left").withColumnsRenamed({"turn": "c_turn", "ord": "c_ord", "print": "c_print"})
+    owners = materialize(owners, "owners")
+    spans = materialize(knots(owners), "knots")
+    level = levels(owners, spans).withColumn("levelled", F.lit(True))
+    meet = meet.join(level, ["conv_id", "id"], "left").join(spans, "conv_id", "left").withColumnsRenamed({"turn": "c_turn", "ord": "c_ord", "print": "c_print", "level": "lv"})
 
     e = all_.join(meet, ["conv_id", "id"], "left")
     is_first = F.coalesce((F.col("turn") == F.col("c_turn")) & (F.col("ord") == F.col("c_ord")) & (F.xxhash64("name", "arguments") == F.col("c_print")), F.lit(False))
@@ -124,11 +144,16 @@ def link(messages: DataFrame, schemas: Schemas = REPLY) -> DataFrame:
     e = e.withColumn("errors", F.when(F.col("kind") == "call", violations(schemas)).otherwise(F.array().cast("array<string>")))
     body = F.when(F.col("kind") == "call", F.to_json(F.struct(F.col("a").alias("arguments"), "id", "name", F.lit("call").alias("type"))))
     body = body.when(F.col("kind") == "result", F.to_json(F.struct("content", "id", F.lit("result").alias("type")))).otherwise(F.to_json(F.struct("content", F.lit("message").alias("type"))))
-    # a result comes right after its call's level; without forward dependencies all levels are 0 and turns decide
-    rank = F.when(cyclic, F.lit(2**31 - 1)).otherwise(F.coalesce("lv", F.lit(0)))
-    e = e.withColumns({"rank": rank, "after": F.when((F.col("kind") == "result") & F.col("levelled").isNotNull(), 1).otherwise(0), "json": body, "tie": F.xxhash64("kind", "id", "arguments", "content")})
-
-    keys = [F.asc_nulls_first("conv_id"), F.asc("rank"), F.asc("after"), F.asc_nulls_first("turn"), F.asc("ord"), F.asc("tie")]
+    # events take their turn's place, knots that of their first turn; a result that isn't behind its call goes there
+    early = (F.col("kind") == "result") & F.coalesce(F.col("turn") <= F.col("c_turn"), F.lit(False))
+    own = F.when(early, F.col("c_turn")).otherwise(F.col("turn"))
+    tied = F.coalesce(own.between(F.col("knot_from"), F.col("knot_to")), F.lit(False))
+    rank = F.when(~tied, 0).when(cyclic, F.lit(2**62)).otherwise(F.coalesce("lv", F.lit(0)))
+    after = F.when(early | (tied & (F.col("kind") == "result") & F.col("levelled").isNotNull()), 1).otherwise(0)
+    e = e.withColumns({"place": F.when(tied, F.col("knot_from")).otherwise(own), "rank": rank, "json": body, "tie": F.xxhash64("kind", "id", "arguments", "content")})
+    e = e.withColumns({"after": after, "late": F.when(tied, after).otherwise(0), "own": own, "own_ord": F.when(early, F.col("c_ord")).otherwise(F.col("ord"))})
+
+    keys = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("place"), F.asc("rank"), F.asc("late"), F.asc_nulls_first("own"), F.asc("own_ord"), F.asc("after"), F.asc_nulls_first("turn"), F.asc("tie")]
     e = e.repartitionByRange(partitions(messages.sparkSession), *keys).sortWithinPartitions(*keys)
     e = materialize(e.select("conv_id", "turn", "kind", "id", "status", "partner_turn", "errors", "json", F.monotonically_increasing_id().alias("at")), "ordered")
     part = e.withColumn("part", F.shiftright("at", 33))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from helpers import by_id
 from loomery.llm import toolcalls, topk, urlrules, warc
 from loomery.llm.queries import URL_RULES
+from loomery.llm.workspace import materialize
 
 
 def test_warc_round_trip(spark):
@@ -195,6 +196,61 @@ def test_explicit_calls_are_ordered_and_checked(spark):
     assert [r["position"] for r in got] == list(range(len(got)))
 
 
+def tool_turns(conv, calls, results=()):
+    """Assistant turns with one call each, at (turn, id, dependencies), and tool turns with results at (turn, id)."""
+    return [(conv, t, "assistant", json.dumps({"tool_calls": [call(i, "reply", {"prompt": "p", "turn": t}, on)]})) for t, i, on in calls] + [(conv, t, "tool", json.dumps({"tool_call_id": i, "content": "r"})) for t, i in results]
+
+
+def test_order_of_random_calls(spark):
+    """Every dependency stands before its call unless it is on a cycle or waits for one in its knot; results follow calls."""
+    rng = np.random.default_rng(8)
+    rows, deps = [], {}
+    for conv in range(40):
+        n = int(rng.integers(2, 25))
+        on = {i: [int(j) for j in rng.choice(n, rng.integers(0, 3)) if rng.random() < (0.15 if j > i else 0.9)] for i in range(n)}
+        deps |= {(conv, f"c{i}"): {f"c{j}" for j in x if j != i} for i, x in on.items()}
+        answered = [(int(rng.integers(0, n + 4)), f"c{i}") for i in range(n) if rng.random() < 0.7]
+        rows += tool_turns(conv, [(i, f"c{i}", [f"c{j}" for j in x]) for i, x in on.items()], answered)
+    got = by_id(toolcalls.link(messages(spark, rows)), "conv_id")
+    for conv, found in got.items():
+        assert sorted(r["position"] for r in found) == list(range(len(found)))
+        at = {r["id"]: r for r in found if r["kind"] == "call"}
+        mine = {i: d for (c, i), d in deps.items() if c == conv}
+        settled, more = set(), True
+        while more:
+            more = {i for i in mine if i not in settled and mine[i] <= settled}
+            settled |= more
+        on_cycle = set(mine) - settled
+        for i, r in at.items():
+            assert (r["status"] != "cyclic") or i in on_cycle
+            for d in mine[i]:
+                assert r["status"] == "cyclic" or at[d]["position"] < r["position"], (conv, i, d)
+        for r in found:
+            assert r["kind"] != "result" or r["position"] > at[r["id"]]["position"]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """10,000 turns whose calls chain, with one forward dependency over all of them and a cycle in another conversation."""
+    made = []
+    monkeypatch.setattr(toolcalls, "materialize", lambda df, name, *a: made.append(name) or materialize(df, name, *a))
+    n = 10_000
+    chain = [(t, f"k{t}", [f"k{t - 2}"] if t >= 2 else [f"k{n - 2}"] if t == 1 else []) for t in range(n)]
+    ring = [(t, f"k{t}", [f"k{(t + 1) % 300}"]) for t in range(300)] + [(300, "k300", ["k299"]), (301, "k301", ["k400"])]
+    got = by_id(toolcalls.link(messages(spark, tool_turns(1, chain) + tool_turns(2, ring))), "conv_id")
+    at = {r["id"]: r["position"] for r in got[1]}
+    assert all(at[d] < at[i] for _, i, on in chain for d in on)
+    assert {r["id"]: r["status"] for r in got[2]} == {f"k{t}": "cyclic" if t < 300 else "unanswered" for t in range(302)}
+    assert made.count("levels") <= 16
+
+
+def test_very_long_texts_of_calls(spark):
+    long = "word " * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", json.dumps({"tool_calls": [call("a", "reply", {"prompt": long, "turn": 1})]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": long}))]
+    got = {r["turn"]: r for r in toolcalls.link(messages(spark, rows)).collect()}
+    assert [got[t]["status"] for t in range(3)] == ["unanswered", "answered", "linked"]
+    assert json.loads(got[1]["json"])["arguments"]["prompt"] == long == json.loads(got[2]["json"])["content"]
+
+
 def test_canonical_json_of_tables(spark):
     got = toolcalls.link(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")).collect()
     raw = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
