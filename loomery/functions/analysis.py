@@ -47,6 +47,28 @@ HOUR = r"\b(\d{1,2}(?::\d{2})?\s*(?:am|pm|est|pst|cst|utc|gmt)|eod|end\s+of\s+da
 # Patterns of facts that a summary should keep.
 FACTS = [r"\$\d+(?:,\d{3})*(?:\.\d{2})?", r"\b\d+%", r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2}\b", r"\b\d{1,2}/\d{1,2}(?:/\d{2,4})?\b"]
 
+# Patterns of the priority signals, matched in any case.
+URGENT_SUBJECT = r"\b(urgent|urgently|asap|immediately|critical|emergency|action\s+required|time[\s-]sensitive|high\s+priority|immediate\s+attention)\b"
+URGENT_BODY = r"\b(urgent|urgently|asap|immediately|critical|emergency|action\s+required|time[\s-]sensitive|deadline|due\s+date|at\s+your\s+earliest|without\s+delay|needs\s+immediate)\b"
+DEADLINE = r"\b(due\s+by|deadline\s+is|by\s+eod|by\s+end\s+of\s+day|by\s+tomorrow|expires\s+on|before\s+\d{1,2}(:\d{2})?\s*(am|pm)?|within\s+\d+\s+(hours?|days?|minutes?)|due\s+today)\b"
+SECURITY = r"\b(compromised|unauthorized|suspicious\s+activity|security\s+alert|security\s+breach|account\s+locked|suspended\s+account|password\s+reset|verify\s+your\s+identity|2fa\s+code|access\s+denied)\b"
+FINANCIAL = r"\b(payment\s+overdue|past\s+due|final\s+notice|invoice\s+overdue|immediate\s+payment|account\s+suspension\s+warning|balance\s+due|late\s+fee)\b"
+IMPERATIVE = r"\b(please\s+confirm|please\s+approve|please\s+respond|action\s+needed|needs\s+approval|requires\s+your\s+attention|approval\s+required)\b"
+
+
+def priority_signals(subject: Column, clean: Column) -> dict[str, Column]:
+    """Eleven signals of a subject and a body without boilerplate, capped and scaled to 0-1."""
+    letters = F.length(F.regexp_replace(subject, r"\P{L}", ""))
+    both = F.concat(subject, F.lit("\n"), clean)
+    share = lambda x, top: F.round(F.least(x, F.lit(top)) / float(top), 9)
+    flag = lambda c, p: c.rlike("(?i)" + p).cast("double")
+    marks = lambda m: F.length(subject) - F.length(F.replace(subject, F.lit(m), F.lit("")))
+    return {
+        "subject_urgent": flag(subject, URGENT_SUBJECT), "body_urgent": share(F.regexp_count(clean, F.lit("(?i)" + URGENT_BODY)), 5), "has_deadline": flag(both, DEADLINE), "has_security": flag(both, SECURITY),
+        "has_financial": flag(both, FINANCIAL), "has_imperative": flag(both, IMPERATIVE), "exclamations": share(marks("!"), 3), "questions": share(marks("?"), 3),
+        "caps_ratio": F.round(F.when(letters >= 5, F.length(F.regexp_replace(subject, r"\P{Lu}", "")) / letters).otherwise(0.0), 9), "subject_length": share(F.length(subject), 150), "body_length": share(F.length(clean), 2000),
+    }
+
 
 def some(col: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
@@ -96,6 +118,27 @@ def language_of(col: Column | str) -> Column:
     return F.struct(F.when(known, best["language"]).otherwise("unknown").alias("language"), F.when(known, best["score"]).otherwise(0.0).alias("score"))
 
 
+def marker_score(col: Column | str, language: Column) -> Column:
+    """Share of a language's marker words that the text has; 0 for other languages."""
+    tokens = F.array_distinct(F.split(strip(F.regexp_replace(F.lower(text(col)), r"(?U)\s+", " ")), r"(?U)[^\w]+"))
+    out = F.lit(0.0)
+    for name, words in MARKERS.items():
+        out = F.when(language == name, F.size(F.array_intersect(tokens, F.array(*map(F.lit, words)))) / len(words)).otherwise(out)
+    return out
+
+
+def polarity(col: Column | str, weights: dict[str, float]) -> Column:
+    """Mean weight of a text's words that a lexicon has, rounded to 2 places; 0 without any.
+
+    A negation right before a word turns its weight to minus a half of it. The lexicon is a parameter, as large as given.
+    """
+    words = F.filter(F.split(F.lower(text(col)), r"(?U)[^\w']+"), lambda w: w != "")
+    table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.create_map().cast("map<string,double>")
+    before = lambda i: F.coalesce(F.get(words, i - 1), F.lit(""))
+    found = F.filter(F.transform(words, lambda w, i: F.element_at(table, w).cast("double") * F.when((i > 0) & (before(i).isin("not", "no", "never") | before(i).endswith("n't")), -0.5).otherwise(1.0)), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, F.round(F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / F.size(found), 2)).otherwise(0.0)
+
+
 def emoji_sentiment(col: Column | str) -> Column:
     t = text(col)
     return F.when(~t.rlike(EMOJI), "none").when(some_word(t, GLAD), "positive").when(some_word(t, SAD), "negative").otherwise("neutral")

@@ -11,7 +11,8 @@ from .text import words
 def grams(col: Column, n: int = 4) -> Column:
     """Distinct character n-grams; none for shorter texts."""
     at = F.when(F.length(col) >= n, F.sequence(F.lit(1), F.length(col) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(col, i, F.lit(n))))
+    chars = F.split(col, "")  # once: taking each gram from the text would walk it from the start every time
+    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(chars, i, n), "")))
 
 
 def word_set(col: Column) -> Column:

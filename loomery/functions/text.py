@@ -119,11 +119,15 @@ def simplify(col: Column | str) -> Column:
     return strip(squeeze(F.regexp_replace(out, r"(?U)https?://\S+", "[Link]")))
 
 
+#: Fixed patterns that a body loses: signature, forwarded header, original message, notice.
+CLEANED = (r"--\s*\n.*$", r"From:.*?Subject:.*?\n", r"-----Original Message-----.*$", r"This email.*confidential.*$")
+
+
 def clean_body(col: Column | str, limit: int = 3000) -> Column:
     """Blank lines, spaces and tabs collapse; signatures, forwarded headers and notices go; long bodies are cut."""
     out = F.regexp_replace(text(col), r"(?U)\n\s*\n", "\n\n")
     out = F.regexp_replace(F.regexp_replace(out, " +", " "), "\t+", " ")
-    for p in (r"--\s*\n.*$", r"From:.*?Subject:.*?\n", r"-----Original Message-----.*$", r"This email.*confidential.*$"):
+    for p in CLEANED:
         out = F.regexp_replace(out, f"(?sm){p}", "")
     return strip(F.when(F.length(out) > limit, F.concat(F.substring(out, 1, limit), F.lit("... [truncated for processing]"))).otherwise(out))
 
@@ -176,8 +180,11 @@ def address(col: Column | str) -> Column:
 
 
 def key_sentences(col: Column | str, top: int, important: list[str]) -> Column:
-    """The sentences with the highest scores, ties in text order: 0.1 a word and 2 an important word."""
-    parts = F.filter(F.transform(F.split(simplify(col), "[.!?]+"), strip), lambda x: x != "")
-    score = lambda s: F.size(words(s)) * F.lit(0.1) + sum((F.lower(s).contains(w).cast("int") * 2 for w in important), F.lit(0))
-    ranked = F.transform(parts, lambda s, i: F.struct((-score(s)).alias("s"), i.alias("i"), s.alias("t")))
-    return F.transform(F.slice(F.array_sort(ranked), 1, top), lambda x: x["t"])
+    """The sentences with the highest scores, ties in text order: 0.1 a word and 2 an important word.
+
+    Sentences come from a squeezed text, so words are one more than spaces; scores count tenths in whole numbers.
+    """
+    parts = F.filter(F.split(simplify(col), " ?[.!?]+ ?"), lambda x: x != "")
+    held = lambda s: sum((F.lower(s).contains(w).cast("int") * 20 for w in important), F.lit(0))
+    scored = F.transform(parts, lambda s, i: F.struct((-(F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1 + held(s))).alias("s"), i.alias("i"), s.alias("t")))
+    return F.transform(F.slice(F.array_sort(scored), 1, top), lambda x: x["t"])

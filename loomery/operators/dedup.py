@@ -1,10 +1,16 @@
-"""Exact duplicates, similarity self-joins by prefix filtering, containment, greedy survivors, splits and samples."""
+"""Exact duplicates, near duplicates by words and characters, greedy survivors, splits and samples."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import jaccard
+from ..functions.text import word_hashes
+from ..functions.text import words as words_of
+from .setjoin import char_grams, contained, similar_pairs
+
 
 def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The row with the least order value of each key; a minimum combined before the shuffle picks it, no sort."""
@@ -13,6 +19,12 @@ def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
     return keyed.join(best, "_key").where(F.col(order) == F.col("_best")).drop("_key", "_best")
 
 
+def first_texts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, rep): each row and the smallest id that has the same text."""
+    keyed = df.select(F.col(id_col).alias("id"), F.md5(text).alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep")
+
+
 def classes(df: DataFrame, id_col: str, items: Column) -> DataFrame:
     """(id, rep, s): each row's set, and the smallest id that has the same set. Empty sets are classes of their own."""
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(items)).alias("s")).withColumn("key", F.xxhash64("s"))
@@ -20,68 +32,81 @@ def classes(df: DataFrame, id_col: str, items: Column) -> DataFrame:
     return sets.join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"), "s")
 
 
-def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b, of the sets (id, s) with a Jaccard similarity of the threshold or more: exact.
+def alike(rows: DataFrame, id_col: str, text: Column, keep_table, words: float = 0.80, chars: float = 0.85, ratio: float = 0.70, least: int = 15) -> DataFrame:
+    """(a, b, word_sim, char_sim), a < b, of different normalised texts alike by words or by character 4-grams.
 
-    Items are ordered by their frequency; two sets that reach the threshold share an item among each one's first
-    n - ceil(t n) + 1, so only these rare prefixes are joined, and the sizes bound the partners. Give it one row for
-    each class of equal sets: a group of copies would make the square of its size.
+    Texts of `least` characters or more, the shorter at least `ratio` of the longer, count as alike if the similarity
+    of their word sets reaches `words` or that of their 4-grams `chars`. Give it one row for each distinct text.
     """
-    sets = sets.select("id", "s").where("size(s) > 0")
-    each = sets.select("id", F.explode("s").alias("item"))
-    freq = each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(freq, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
-    # items of one set only sort first and need no posting: they are counted out of the prefix
-    sized = sets.join(ranked, "id").withColumn("n", F.size("s"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("r"))
-    post = sized.where(keep > 0).select("id", "n", F.explode(F.slice(F.transform("r", lambda x: x["item"]), F.lit(1), keep.cast("int"))).alias("item"))
-    a, b = (post.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "item") for x in "ab")
-    cand = a.join(b, "item").where("a < b").where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
-    s = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
-    both = cand.join(s("a"), "a").join(s("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
-    return both.where(F.col("similarity") >= threshold)
-
-
-def contained(big: DataFrame, big_id: str, big_text: Column, small: DataFrame, small_id: str, small_text: Column, least: int = 30) -> DataFrame:
-    """(big_id, small_id) where the small text stands in the big one, both of `least` characters: exact.
-
-    A contained text brings all its whole words but the first and last, so texts meet on the rarest of these;
-    texts of fewer words meet on no such word and are compared with all.
+    rows = rows.select(F.col(id_col).alias("id"), text.alias("c")).where(F.length("c") >= least)
+    word = keep_table(rows.select("id", F.array_distinct(word_hashes(F.col("c"))).alias("s"), F.length("c").alias("n")))
+    gram = keep_table(char_grams(rows, "id", F.col("c")))
+    found = keep_table(similar_pairs(word, words).select("a", "b").union(similar_pairs(gram, chars).select("a", "b")).distinct())
+    w = lambda x: word.select(F.col("id").alias(x), F.col("s").alias(f"w{x}"), F.col("n").alias(f"n{x}"))
+    g = lambda x: gram.select(F.col("id").alias(x), F.col("s").alias(f"g{x}"))
+    both = found.join(w("a"), "a").join(w("b"), "b").where(F.least("na", "nb") / F.greatest("na", "nb") >= ratio)
+    both = both.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("word_sim")).join(g("a"), "a").join(g("b"), "b")
+    return both.select("a", "b", "word_sim", jaccard(F.col("ga"), F.col("gb")).alias("char_sim"))
+
+
+def informative(rows: DataFrame, id_col: str, text: Column, pairs: DataFrame) -> DataFrame:
+    """The pairs that share a word of 3 letters or more in 2 texts at least and in 20 or a fifth of all at most."""
+    each = rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(words_of(text))).alias("word")).where(F.length("word") >= 3)
+    most = F.broadcast(rows.agg(F.greatest(F.lit(20), F.floor(F.count("*") * 0.2)).alias("most")))
+    good = each.groupBy("word").agg(F.count("*").alias("df")).where("df >= 2").join(most, F.col("df") <= F.col("most")).select("word")
+    mine = each.join(good, "word", "left_semi").groupBy("id").agg(F.collect_list(F.xxhash64("word")).alias("k"))
+    k = lambda x: mine.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"))
+    return pairs.join(k("a"), "a").join(k("b"), "b").where(F.arrays_overlap("ka", "kb")).drop("ka", "kb")
+
+
+def greedy_edges(rows: DataFrame, id_col: str, text: Column, keep_table, chars: float = 0.85, window: float = 0.4, least: int = 20, inside: int = 30) -> DataFrame:
+    """(a, b), a < b, where the pass in id order drops b if it has kept a.
+
+    One text stands in the other (both of `inside` characters), or their 4-grams reach `chars` and their lengths differ
+    by less than `window` of the later one's; both of `least` characters.
     """
-    # case stays: contents are compared as they are
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    l = big.select(F.col(big_id).alias("big"), big_text.alias("bt")).where(F.length("bt") >= least)
-    r = small.select(F.col(small_id).alias("small"), small_text.alias("st")).where(F.length("st") >= least)
-    inner = lambda c: F.when(F.size(words(c)) > 2, F.slice(words(c), F.lit(2), F.size(words(c)) - 2)).otherwise(F.array().cast("array<string>"))
-    lw = l.select("big", F.explode(F.array_distinct(words(F.col("bt")))).alias("word"))
-    df = lw.groupBy("word").agg(F.count("*").alias("df"))
-    rw = r.select("small", F.explode(F.array_distinct(inner(F.col("st")))).alias("word")).join(df, "word", "left")
-    key = rw.groupBy("small").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("k")).select("small", "k.word")
-    pairs = key.join(lw, "word").select("big", "small")
-    short = r.join(key.select("small"), "small", "left_anti")
-    pairs = pairs.union(l.select("big").crossJoin(short.select("small")))
-    hit = pairs.join(l, "big").join(r, "small").where(F.col("bt").contains(F.col("st")))
-    return hit.select(F.col("big").alias(big_id), F.col("small").alias(small_id))
-
-
-def survivors(ids: DataFrame, edges: DataFrame, keep_table) -> DataFrame:
+    rows = keep_table(rows.select(F.col(id_col).alias("id"), text.alias("c")).where(F.length("c") >= least))
+    inner = contained(rows, "id", F.col("c"), rows.withColumnRenamed("id", "part"), "part", F.col("c"), inside).where("id <> part")
+    near = similar_pairs(char_grams(rows, "id", F.col("c")), chars)
+    n = lambda x: rows.select(F.col("id").alias(x), F.length("c").alias(f"n{x}"))
+    near = near.join(n("a"), "a").join(n("b"), "b").where(F.abs(F.col("nb") - F.col("na")) < F.col("nb") * window)
+    return near.select("a", "b").union(inner.select(F.least("id", "part"), F.greatest("id", "part"))).distinct()
+
+
+def survivors(ids: DataFrame, edges: DataFrame, keep_table, most: int = 20_000) -> DataFrame:
     """Ids that a pass in id order keeps if it drops each row similar to an earlier kept one.
 
-    The lexicographically first maximal independent set, by rounds: a row without smaller undecided or kept
-    neighbours is kept, its larger neighbours go. keep_table writes and rereads a table to end its lineage.
+    The lexicographically first maximal independent set. Components of at most so many links are passed through in one
+    step each; larger ones take rounds: a row without smaller undecided or kept neighbours is kept, its larger
+    neighbours go. keep_table writes and rereads a table to end its lineage.
     """
     e = keep_table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    undecided = keep_table(ids.select("id"))
-    kept = undecided.limit(0)
+    of = keep_table(components(e, keep_table))
+    e = keep_table(e.join(of.withColumnRenamed("node", "a"), "a"))
+    sized = e.groupBy("component").agg(F.count("*").alias("links"))
+    e = e.join(sized, "component")
+
+    def one_pass(batch):
+        out: set = set()
+        before: dict = {}
+        for a, b in zip(batch["a"], batch["b"]):
+            before.setdefault(b, []).append(a)
+        for b in sorted(before):
+            if not all(a in out for a in before[b]):
+                out.add(b)
+        return pd.DataFrame({"id": sorted(out)})
+
+    kind = dict(e.dtypes)["a"]
+    gone = keep_table(e.where(F.col("links") <= most).select("component", "a", "b").groupBy("component").applyInPandas(one_pass, f"id {kind}"))
+    e = keep_table(e.where(F.col("links") > most).select("a", "b"))
+    undecided = keep_table(e.select(F.col("a").alias("id")).union(e.select("b")).distinct())
     while not undecided.isEmpty():
         live = e.join(undecided.withColumnRenamed("id", "a"), "a", "left_semi").join(undecided.withColumnRenamed("id", "b"), "b", "left_semi")
         new = keep_table(undecided.join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-        gone = e.join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        undecided = keep_table(undecided.join(new, "id", "left_anti").join(gone, "id", "left_anti"))
-        kept = kept.union(new)
-    return kept
+        lost = keep_table(e.join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = keep_table(gone.union(lost))
+        undecided = keep_table(undecided.join(new, "id", "left_anti").join(lost, "id", "left_anti"))
+    return ids.select("id").join(gone, "id", "left_anti")
 
 
 def components(edges: DataFrame, keep_table) -> DataFrame:

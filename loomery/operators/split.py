@@ -2,7 +2,8 @@
 
 Rows that share a group (a near-duplicate cluster) go to one split. Groups with the same class counts are
 interchangeable, so the greedy choice runs over these signatures and not over groups: as many driver rows as there are
-distinct signatures. Within a signature groups are dealt by a seeded rank.
+distinct signatures, which is few while groups are small or classes few. Within a signature groups are dealt by a
+seeded rank.
 """
 
 from __future__ import annotations
@@ -56,8 +57,13 @@ def group_split(df: DataFrame, group: str, label: str, ratios: dict[str, float]
             rows.append((k["sig"], at, at + give[s], s))
             at += give[s]
     table = df.sparkSession.createDataFrame(rows, "sig string, lo long, hi long, split string")
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy(seeded(seed, group), group)) - 1
-    placed = sig.select(group, "sig").withColumn("rank", rank).join(table, "sig").where("rank >= lo and rank < hi").select(group, "split")
+    # ranks inside a signature come from buckets of the seeded order, so that the one most groups have is many tasks' work
+    keyed = sig.select(group, "sig", seeded(seed, group).alias("k")).withColumn("b", F.substring("k", 1, 3))
+    sizes = keyed.groupBy("sig", "b").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("sig").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 buckets at most
+    offsets = sizes.select("sig", "b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("off"))
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("sig", "b").orderBy("k", group)) - 1)
+    placed = ranked.join(offsets, ["sig", "b"]).withColumn("rank", F.col("rank") + F.col("off")).join(F.broadcast(table), "sig").where("rank >= lo and rank < hi").select(group, "split")
     return df.join(placed, group)
 
 

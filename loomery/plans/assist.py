@@ -111,10 +111,10 @@ def timestamps(t):
     return rows.select("id", A.iso_time("a", F.lit("2024-01-01").cast("timestamp")).alias("at"), A.mail_time(F.col("m")).alias("mailed"))
 
 
-@query("select conv_id, turn, md5('Summarize.' || chr(10) || chr(10) || '[Category: ' || role || ']' || chr(10) || 'Body: ' || case when length(text) > 200 then substr(text, 1, 200) || '... [truncated]' else text end || chr(10) || chr(10) || 'Summary:') prompt from conversations")
+@query("select doc_id, md5('Summarize.' || chr(10) || chr(10) || case when source is null then '' else '[Category: ' || source || ']' || chr(10) end || 'Body: ' || case when length(text) > 1500 then substr(text, 1, 1500) || '... [truncated]' else text end || chr(10) || chr(10) || 'Summary:') prompt from documents where text is not null")
 def prompts(t):
-    p = A.prompt("Summarize.", F.lit(""), F.col("text"), F.col("role"), F.lit(None).cast("string"), "Summary:", 200)
-    return t.conversations.select("conv_id", "turn", F.md5(p).alias("prompt"))
+    p = A.prompt("Summarize.", F.lit(""), F.col("text"), F.col("source"), F.lit(None).cast("string"), "Summary:")
+    return t.documents.where("text is not null").select("doc_id", F.md5(p).alias("prompt"))
 
 
 EMO = ["nice 😊", "bad 😡", "both 😊😡", "star ⭐ only", "plain", "", "ok ✅", "heart 💔"]

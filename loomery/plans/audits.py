@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions import similarity as sim
 from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import quality as Q
 from ..operators import validate as V
-from ..operators.tables import keep_table
-from .corpus import N1
+from .corpus import N1, near, near_sql
 from . import mailbox as Mb
 from .registry import query
 from .rules import TAGGED
@@ -34,14 +32,13 @@ def two_label_conflicts(t):
     return x.agg(F.count("*").alias("n"), F.countDistinct("quality").alias("qualities"), F.countDistinct("toxic").alias("toxics")).where("qualities > 1 or toxics > 1")
 
 
-@query()
+@query(f"with {near_sql(15, 0.7)}, d as (select *, case when substr(md5('42:' || a), 1, 1) < 'c' then 'train' else 'test' end split_a, case when substr(md5('42:' || b), 1, 1) < 'c' then 'train' else 'test' end split_b from alike where ws >= 0.35 and cs >= 0.85) select a, b, round(cs, 9) char_sim, split_a, split_b from d where split_a <> split_b")
 def near_split_leakage(t):
-    """Pairs of class representatives that are alike and fell into different splits."""
-    rows = t.documents.withColumn("split", F.when(F.substring(D.seeded(42, "doc_id"), 1, 1) < "c", "train").otherwise("test"))
-    c = keep_table(D.classes(rows, "doc_id", X.word_hashes(X.norm_basic("text"))))
-    pairs = D.similar_pairs(c.where("id = rep"), 0.8)
-    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("split").alias(f"split_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where("split_a <> split_b")
+    """Pairs of texts alike by characters (0.85, and 0.35 by words) that fell into different splits."""
+    _, pairs = near(t)
+    split = lambda c: F.when(F.substring(D.seeded(42, c), 1, 1) < "c", "train").otherwise("test")
+    pairs = pairs.where("word_sim >= 0.35 and char_sim >= 0.85").withColumns({"split_a": split("a"), "split_b": split("b")})
+    return pairs.where("split_a <> split_b").select("a", "b", F.round("char_sim", 9).alias("char_sim"), "split_a", "split_b")
 
 
 NAMES = ["anger", "joy", "fear", "calm", "doubt"]
@@ -62,19 +59,11 @@ def three_way_counts(t):
     return Q.distribution(t.documents.join(t.labels, "doc_id"), "lang", "toxic", "quality")
 
 
-@query("""with w as (select item_id, lower(text) c, list_distinct(string_split_regex(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')) w, list_distinct(list_transform(range(1, greatest(1, length(text) - 2)), lambda i: substr(lower(text), i, 4))) g from benchmark where length(text) >= 20)
-select a.item_id a, b.item_id b from w a join w b on a.item_id < b.item_id where least(length(a.c), length(b.c)) / greatest(length(a.c), length(b.c)) >= 0.6
-and len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.03 and len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.15""")
-def near_dup_report(t, words: float = 0.03, chars: float = 0.15):
-    """Pairs alike in words and characters: the word join is exact, characters are compared on its pairs.
-
-    The report's own thresholds, 0.35 and 0.85, find nothing among benchmark items; lower ones show its work.
-    """
-    rows = t.benchmark.select("item_id", F.lower("text").alias("c")).where(F.length("c") >= 20)
-    pairs = D.similar_pairs(D.classes(rows, "item_id", X.words(F.col("c"))), words).select("a", "b")
-    side = lambda x: rows.select(F.col("item_id").alias(x), F.col("c").alias(f"c{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(sim.length_ratio(F.col("ca"), F.col("cb")) >= 0.6)
-    return both.where(sim.char_jaccard(F.col("ca"), F.col("cb")) >= chars).select("a", "b")
+@query(f"with {near_sql(20, 0.6)} select a, b, round(ws, 9) word_sim, round(cs, 9) char_sim from alike where ws >= 0.35 and cs >= 0.85")
+def near_dup_report(t):
+    """Pairs of documents alike both in words (0.35) and in characters (0.85)."""
+    _, pairs = near(t, words=1.0, ratio=0.6, least=20)
+    return pairs.where("word_sim >= 0.35 and char_sim >= 0.85").select("a", "b", F.round("word_sim", 9).alias("word_sim"), F.round("char_sim", 9).alias("char_sim"))
 
 
 @query("select doc_id, source, quality from documents join labels using (doc_id)")

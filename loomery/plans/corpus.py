@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import quality as Q
 from ..operators.tables import keep_table
-from .registry import query
+from .registry import lit, query
 
 N1 = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 
@@ -77,34 +77,98 @@ def benchmark_contamination(t):
     return D.contained(t.documents, "doc_id", X.text("text"), t.benchmark, "item_id", X.text("text"))
 
 
-def word_classes(t):
-    return keep_table(D.classes(t.documents, "doc_id", X.word_hashes(X.norm_basic("text"))))
+def texts(t):
+    """(doc_id, c, rep): normalised texts and the smallest doc_id that has the same."""
+    rows = t.documents.select("doc_id", X.norm_basic("text").alias("c"))
+    return rows.join(D.first_texts(rows, "doc_id", F.col("c")).withColumnRenamed("id", "doc_id"), "doc_id")
 
 
-@query()
-def near_dup_pairs(t):
-    """Word-set similarity of 0.8 between class representatives, and each copy with its representative.
+def near(t, **bounds):
+    """The rows of texts and the pairs alike between first ones, as written tables."""
+    rows = keep_table(texts(t))
+    return rows, keep_table(D.alike(rows.where("doc_id = rep"), "doc_id", F.col("c"), keep_table, **bounds))
 
-    Exact by prefix filter; brute force in the tests (too slow in SQL on whole tables).
-    """
-    c = word_classes(t)
-    copies = c.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    return D.similar_pairs(c.where("id = rep"), 0.8).unionByName(copies)
 
+def meeting_sql(v: str, items: str, threshold: float) -> tuple[str, str]:
+    """SQL of pairs whose rarest items (enough of them for the similarity) meet, from rows (id, <items>) of v."""
+    return f"""select a.id a, b.id b from {items}p a join {items}p b on a.y = b.y and a.id < b.id""", f"""{items}u as (select id, unnest({items}) y from {v}), {items}d as (select y, count(*) df from {items}u group by 1), {items}r as (select id, y, row_number() over (partition by id order by df, y) r from {items}u join {items}d using (y)),
+{items}p as (select r.id, y from {items}r r join {v} using (id) where r <= len({items}) - ceil({threshold} * len({items}) - 1e-9) + 1)"""
 
-@query()
-def greedy_dedup(t):
-    """Documents kept by the pass that drops what is similar to an earlier survivor; copies never survive."""
-    c = word_classes(t)
-    first = c.where("id = rep").select("id")
-    return D.survivors(first, keep_table(D.similar_pairs(c.where("id = rep"), 0.8)), keep_table).withColumnRenamed("id", "doc_id")
+
+def near_sql(least: int, ratio: float) -> str:
+    """SQL of the pairs alike(a, b, ws, cs) between first texts; x has all of them."""
+    (by_w, w), (by_g, g) = meeting_sql("v", "w", 0.8), meeting_sql("v", "g", 0.85)
+    return f"""x as (select doc_id, {N1.format('text')} c from documents), k as (select c, min(doc_id) id from x group by 1),
+z as (select id, c, length(c) n, list_distinct(list_filter(string_split(c, ' '), lambda v: v <> '')) w, string_split(c, '') ch from k where length(c) >= {least}),
+v as materialized (select id, n, w, list_distinct(list_transform(range(1, n - 2), lambda i: hash(ch[i] || ch[i + 1] || ch[i + 2] || ch[i + 3]))) g from z), {w}, {g},
+p as (select m.a, m.b, a.w wa, b.w wb, a.g ga, b.g gb from ({by_w} union {by_g}) m join v a on a.id = m.a join v b on b.id = m.b where least(a.n, b.n) >= {ratio} * greatest(a.n, b.n)),
+i as (select a, b, len(list_intersect(wa, wb)) iw, len(wa) + len(wb) nw, len(list_intersect(ga, gb)) ig, len(ga) + len(gb) ng from p),
+alike as (select a, b, iw / (nw - iw) ws, ig / (ng - ig) cs from i)"""
 
 
-@query()
+REACH = """links as (select a, b from {0} union all select b, a from {0} union all select k.id, x.doc_id from x join k using (c) where k.id <> x.doc_id union all select x.doc_id, k.id from x join k using (c) where k.id <> x.doc_id),
+reach as (select doc_id, doc_id r from x union select reach.doc_id, b from reach join links on a = r)
+select doc_id, min(r) component_id from reach group by 1"""
+
+
+@query(f"with {near_sql(15, 0.7)} select a, b, round(ws, 9) word_sim, round(cs, 9) char_sim from alike where ws >= 0.8 or cs >= 0.85 union all select k.id, x.doc_id, 1.0, 1.0 from x join k using (c) where k.id <> x.doc_id")
+def near_dup_pairs(t):
+    """Texts alike by words (0.8) or character 4-grams (0.85), between first ones of equal texts; copies with theirs."""
+    rows, pairs = near(t)
+    one = F.lit(1.0)
+    copies = rows.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), one.alias("word_sim"), one.alias("char_sim"))
+    return pairs.select("a", "b", F.round("word_sim", 9).alias("word_sim"), F.round("char_sim", 9).alias("char_sim")).unionByName(copies)
+
+
+def grouped(rows, pairs):
+    """doc_id, component_id of all documents: the smallest doc_id reachable over pairs and copies."""
+    links = pairs.select("a", "b").union(rows.where("doc_id <> rep").select("rep", "doc_id"))
+    found = D.components(keep_table(links), keep_table)
+    return rows.join(found, rows.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+@query(f"with recursive {near_sql(15, 0.7)}, good as (select a, b from alike where ws >= 0.8 or cs >= 0.85), {REACH.format('good')}")
 def near_dup_components(t):
-    c = word_classes(t)
-    links = D.similar_pairs(c.where("id = rep"), 0.8).select("a", "b").union(c.where("id <> rep").select("rep", "id"))
-    return D.components(keep_table(links), keep_table).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
+    """Groups of equal and near texts, by words or by characters."""
+    return grouped(*near(t))
+
+
+@query(f"""with recursive {near_sql(15, 0.7)}, u as (select id, unnest(w) t from v), often as (select t from u where length(t) >= 3 group by 1 having count(*) between 2 and (select greatest(20, floor(0.2 * count(*))) from k)),
+mine as (select id, list(t) l from u join often using (t) group by 1),
+good as (select a, b from alike join mine m on m.id = a join mine o on o.id = b where list_has_any(m.l, o.l) and (ws >= 0.8 or (ws >= 0.4 and cs >= 0.85))), {REACH.format('good')}""")
+def near_dup_mail_components(t):
+    """Groups as in mail corpora: pairs share an informative word, and characters count from a word similarity of 0.4."""
+    rows, pairs = near(t)
+    some = pairs.where("word_sim >= 0.8 or (word_sim >= 0.4 and char_sim >= 0.85)")
+    return grouped(rows, D.informative(rows.where("doc_id = rep"), "doc_id", F.col("c"), some))
+
+
+BOILER = "text"
+for _p in X.FORWARDED:
+    BOILER = f"regexp_replace({BOILER}, {lit('(?is)' + _p)}, '', 'g')"
+BOILER = f"array_to_string(list_filter(string_split({BOILER}, chr(10)), lambda x: not starts_with(trim(x), '>')), chr(10))"
+for _p in (*X.DISCLAIMERS, X.SIGN_OFF):
+    BOILER = f"regexp_replace({BOILER}, {lit('(?is)' + _p)}, '', 'g')"
+
+
+GREEDY = meeting_sql("v", "g", 0.85)
+
+
+@query(f"""with recursive y as (select doc_id, {N1.format(BOILER)} c from documents), k as (select c, min(doc_id) id from y group by 1), z as (select id, c, length(c) n, string_split(c, '') ch from k where length(c) >= 20),
+v as materialized (select id, c, n, list_distinct(list_transform(range(1, n - 2), lambda i: hash(ch[i] || ch[i + 1] || ch[i + 2] || ch[i + 3]))) g from z), {GREEDY[1]},
+i as (select m.a, m.b, len(list_intersect(a.g, b.g)) ig, len(a.g) + len(b.g) ng from ({GREEDY[0]} group by 1, 2) m join v a on a.id = m.a join v b on b.id = m.b where abs(b.n - a.n) < b.n * 0.4),
+e as (select a, b from i where ig / (ng - ig) >= 0.85 union select least(a.id, b.id), greatest(a.id, b.id) from v a join v b on a.id <> b.id and a.n >= b.n and b.n >= 30 and contains(a.c, b.c)),
+o as materialized (select id, row_number() over (order by id) pos, coalesce(l, []) l from k left join (select b, list(a) l from e group by 1) on b = id),
+g as (select cast(0 as bigint) pos, cast([] as bigint[]) kept union all select o.pos, case when list_has_any(l, kept) then kept else list_append(kept, id) end from g join o on o.pos = g.pos + 1)
+select unnest(kept) doc_id from (select kept from g order by pos desc limit 1)""")
+def greedy_dedup(t):
+    """Documents kept by the pass that drops what equals an earlier one without boilerplate, contains or is contained in
+    an earlier kept one, or is alike by characters."""
+    rows = t.documents.select("doc_id", X.strip_boilerplate("text").alias("c"))
+    first = D.first_texts(rows, "doc_id", F.col("c")).where("id = rep").select("id")
+    rows = keep_table(rows.join(first.withColumnRenamed("id", "doc_id"), "doc_id"))
+    edges = D.greedy_edges(rows, "doc_id", F.col("c"), keep_table)
+    return D.survivors(rows.select(F.col("doc_id").alias("id")), edges, keep_table).withColumnRenamed("id", "doc_id")
 
 
 SPLIT = "case when substr(md5('42:' || doc_id), 1, 1) < 'a' then 'train' when substr(md5('42:' || doc_id), 1, 1) < 'd' then 'val' else 'test' end"
@@ -143,9 +207,11 @@ def source_manifest(t):
     return Q.distribution(t.documents, "source")
 
 
-@query("select page_id, md5(regexp_replace(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]', '', 'g')) clean, md5(case when length(html) > 2000 then substr(html, 1, 1988) || ' [TRUNCATED]' else html end) cell, length(html) > 2000 truncated from pages")
+@query(f"select doc_id, md5(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFE}}\\x{{FFFF}}]', '', 'g')) clean, md5(case when length(text) > {X.CELL_LIMIT} then substr(text, 1, {X.CELL_LIMIT - len(X.CELL_MARKER)}) || '{X.CELL_MARKER}' else text end) cell, length(text) > {X.CELL_LIMIT} truncated from documents where text is not null")
 def xml_cells(t):
-    return t.pages.select("page_id", F.md5(X.sanitize_xml("html")).alias("clean"), F.md5(X.truncate_cell(X.text("html"), 2000)).alias("cell"), (F.length("html") > 2000).alias("truncated"))
+    """Cells of a sheet: XML 1.0 characters only, cut at the sheet's limit with a marker."""
+    rows = t.documents.where("text is not null")
+    return rows.select("doc_id", F.md5(X.sanitize_xml("text")).alias("clean"), F.md5(X.truncate_cell(X.text("text"))).alias("cell"), (F.length("text") > X.CELL_LIMIT).alias("truncated"))
 
 
 @query("""select page_id, md5(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<.*?>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&hellip;', '...')) plain,
@@ -160,10 +226,14 @@ def summary_trim(t):
     return t.conversations.select("conv_id", "turn", X.summary("text", 60).alias("summary"))
 
 
-@query("""select conv_id, turn, md5(trim(case when length(c) > 400 then substr(c, 1, 400) || '... [truncated for processing]' else c end, ' ' || chr(10) || chr(9) || chr(13))) body
-from (select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '\\n\\s*\\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '\\t+', ' ', 'g') c from conversations)""")
+BODY = r"regexp_replace(regexp_replace(regexp_replace(text, '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '\t+', ' ', 'g')"
+for _p in X.CLEANED:
+    BODY = f"regexp_replace({BODY}, {lit('(?sm)' + _p)}, '', 'g')"
+
+
+@query(f"select doc_id, md5(trim(case when length(c) > 3000 then substr(c, 1, 3000) || '... [truncated for processing]' else c end, ' ' || chr(10) || chr(9) || chr(13))) body from (select doc_id, {BODY} c from documents where text is not null)")
 def body_clean(t):
-    return t.conversations.select("conv_id", "turn", F.md5(X.clean_body("text", 400)).alias("body"))
+    return t.documents.where("text is not null").select("doc_id", F.md5(X.clean_body("text")).alias("body"))
 
 
 @query("""select doc_id, s subject, md5(case when s <> '' then trim('Subject: ' || s || chr(10) || 'Body: ' || b, ' ' || chr(10)) else b end) full_text from (select doc_id, trim(regexp_extract(text, '^[^\\n]*'), ' ' || chr(10) || chr(9) || chr(13)) s, trim(text, ' ' || chr(10) || chr(9) || chr(13)) b from documents)""")

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import analysis as A
 from ..functions import lexicon as L
 from ..functions import text as X
 from . import mailbox as M
-from .registry import query
-
-
-def lit(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
+from .registry import lit, query
 
 
 def hits(col: str, words) -> str:
@@ -180,22 +177,15 @@ def sender_address(t):
     return box(t).select("id", X.address("sender").alias("address"), F.when(F.col("sender").contains("@"), F.split_part(F.lower("sender"), F.lit("@"), F.lit(2))).otherwise("").alias("domain"))
 
 
-U_SUBJECT = r"\b(urgent|urgently|asap|immediately|critical|emergency|action\s+required|time[\s-]sensitive|high\s+priority|immediate\s+attention)\b"
-U_BODY = r"\b(urgent|urgently|asap|immediately|critical|emergency|action\s+required|time[\s-]sensitive|deadline|due\s+date|at\s+your\s+earliest|without\s+delay|needs\s+immediate)\b"
-LATE = r"\b(due\s+by|deadline\s+is|by\s+eod|by\s+end\s+of\s+day|by\s+tomorrow|expires\s+on|before\s+\d{1,2}(:\d{2})?\s*(am|pm)?|within\s+\d+\s+(hours?|days?|minutes?)|due\s+today)\b"
+CLEAN = f"trim(regexp_replace(lower({BOILER}), '\\s+', ' ', 'g'))"
+FLAGS = ", ".join(f"cast(regexp_matches({c}, {lit('(?i)' + p)}) as double) {n}" for n, c, p in (("subject_urgent", "subject", A.URGENT_SUBJECT), ("has_deadline", "subject || chr(10) || c", A.DEADLINE), ("has_security", "subject || chr(10) || c", A.SECURITY), ("has_financial", "subject || chr(10) || c", A.FINANCIAL), ("has_imperative", "subject || chr(10) || c", A.IMPERATIVE)))
 
 
-@query(f"with {M.SQL} select id, cast(regexp_matches(subject, {lit('(?i)' + U_SUBJECT)}) as double) subject_urgent, round(least(len(regexp_extract_all(lower(body), {lit('(?i)' + U_BODY)})), 5) / 5.0, 9) body_urgent, cast(regexp_matches(subject || chr(10) || lower(body), {lit('(?i)' + LATE)}) as double) has_deadline, round(least(length(subject) - length(replace(subject, '!', '')), 3) / 3.0, 9) exclamations, round(least(length(subject) - length(replace(subject, '?', '')), 3) / 3.0, 9) questions, round(case when length(regexp_replace(subject, '[^A-Za-z]', '', 'g')) >= 5 then length(regexp_replace(subject, '[^A-Z]', '', 'g')) / length(regexp_replace(subject, '[^A-Za-z]', '', 'g')) else 0.0 end, 9) caps_ratio, round(least(length(subject), 150) / 150.0, 9) subject_length, round(least(length(body), 2000) / 2000.0, 9) body_length from mail")
+@query(f"with {M.SQL}, x as (select *, {CLEAN} c from mail) select id, {FLAGS}, round(least(len(regexp_extract_all(c, {lit('(?i)' + A.URGENT_BODY)})), 5) / 5.0, 9) body_urgent, round(least(length(subject) - length(replace(subject, '!', '')), 3) / 3.0, 9) exclamations, round(least(length(subject) - length(replace(subject, '?', '')), 3) / 3.0, 9) questions, round(case when length(regexp_replace(subject, '[^A-Za-z]', '', 'g')) >= 5 then length(regexp_replace(subject, '[^A-Z]', '', 'g')) / length(regexp_replace(subject, '[^A-Za-z]', '', 'g')) else 0.0 end, 9) caps_ratio, round(least(length(subject), 150) / 150.0, 9) subject_length, round(least(length(c), 2000) / 2000.0, 9) body_length from x")
 def priority_features(t):
-    """Signals of the subject and body alone, capped and scaled to 0-1."""
-    s, b = F.col("subject"), F.col("body")
-    low, letters = F.lower(b), F.length(F.regexp_replace(s, r"\P{L}", ""))
-    share = lambda x, top: F.round(F.least(x, F.lit(top)) / float(top), 9)
-    return box(t).select(
-        "id", s.rlike("(?i)" + U_SUBJECT).cast("double").alias("subject_urgent"), share(F.regexp_count(low, F.lit("(?i)" + U_BODY)), 5).alias("body_urgent"), F.concat(s, F.lit("\n"), low).rlike("(?i)" + LATE).cast("double").alias("has_deadline"),
-        share(F.length(s) - F.length(F.replace(s, F.lit("!"), F.lit(""))), 3).alias("exclamations"), share(F.length(s) - F.length(F.replace(s, F.lit("?"), F.lit(""))), 3).alias("questions"),
-        F.round(F.when(letters >= 5, F.length(F.regexp_replace(s, r"\P{Lu}", "")) / letters).otherwise(0.0), 9).alias("caps_ratio"), share(F.length(s), 150).alias("subject_length"), share(F.length(b), 2000).alias("body_length"),
-    )
+    """Signals of the subject and the body without boilerplate alone, capped and scaled to 0-1."""
+    signals = A.priority_signals(F.col("subject"), X.strip_boilerplate("body"))
+    return box(t).select("id", *(c.alias(n) for n, c in signals.items()))
 
 
 @query(f"with {TAGGED} select tag, count(*) n, round(avg(score), 9) mean_score, cast(count(*) filter (where confidence > 0.7) as bigint) high, cast(count(*) filter (where confidence > 0.4 and confidence <= 0.7) as bigint) medium from tagged group by 1")

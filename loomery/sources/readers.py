@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 MESSAGE = "path string, member string, label string, subject string, body string"
 
@@ -79,15 +79,26 @@ def mime(df: DataFrame, raw: str) -> DataFrame:
     return df.withColumn("_m", parse(raw)).select("*", "_m.subject", "_m.body").drop("_m")
 
 
-def tar_mail(spark: SparkSession, path: str) -> DataFrame:
-    """Messages in tar archives of any compression; the member's folder is the label. One archive is one task."""
+def tar_mail(spark: SparkSession, path: str, batch: int = 200) -> DataFrame:
+    """Messages in tar archives of any compression; the member's folder is the label.
+
+    One archive is one task, and one value of at most 2 GB as it is stored; members are unpacked one after the other.
+    """
+    columns = ["path", "member", "label", "subject", "body"]
 
     def members(batches):
         for pdf in batches:
             for where, content in zip(pdf["path"], pdf["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    rows = [(where, m.name, m.name.split("/")[-2] if "/" in m.name else "", *message_text(tar.extractfile(m).read())) for m in tar if m.isfile()]
-                yield pd.DataFrame(rows, columns=["path", "member", "label", "subject", "body"])
+                rows = []
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
+                    for m in tar:
+                        if not m.isfile():
+                            continue
+                        rows.append((where, m.name, m.name.split("/")[-2] if "/" in m.name else "", *message_text(tar.extractfile(m).read())))
+                        if len(rows) == batch:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                yield pd.DataFrame(rows, columns=columns)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, MESSAGE)
 
@@ -158,6 +169,44 @@ class Pages(DataSource):
         return PageReader(dict(self.options))
 
 
+def opened(url: str, tries: int = 5, opener=None, wait=None):
+    """An open response; tried again after 429 and server errors, as long as Retry-After says or twice as long each time."""
+    import time
+    import urllib.error
+    import urllib.request
+
+    opener, wait = opener or (lambda u: urllib.request.urlopen(u, timeout=60)), wait or time.sleep
+    for attempt in range(tries):
+        try:
+            return opener(url)
+        except urllib.error.HTTPError as e:
+            if e.code != 429 and e.code < 500 or attempt + 1 == tries:
+                raise
+            after = (e.headers or {}).get("Retry-After") or ""
+            wait(float(after) if after.strip().isdigit() else float(2**attempt))
+        except (urllib.error.URLError, TimeoutError):
+            if attempt + 1 == tries:
+                raise
+            wait(float(2**attempt))
+
+
+def download(url: str, to: str, chunk: int = 2**20, **how) -> int:
+    """Bytes of a url written to a file in chunks; the file appears only when it is whole."""
+    import os
+
+    size, part = 0, f"{to}.part"
+    try:
+        with opened(url, **how) as r, open(part, "wb") as f:
+            while data := r.read(chunk):
+                f.write(data)
+                size += len(data)
+        os.replace(part, to)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return size
+
+
 class PageReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -166,21 +215,73 @@ class PageReader(DataSourceReader):
         return [InputPartition(i) for i in range(int(self.options.get("pages", 1)))]
 
     def read(self, partition: InputPartition):
-        import time
-        import urllib.error
-        import urllib.request
-
         size = int(self.options.get("size", 100))
-        url = self.options["url"].format(offset=partition.value * size, length=size)
-        for attempt in range(5):
-            try:
-                with urllib.request.urlopen(url, timeout=60) as r:
-                    yield partition.value, r.read().decode("utf-8")
-                return
-            except urllib.error.HTTPError as e:
-                if e.code != 429 and e.code < 500 or attempt == 4:
-                    raise
-                time.sleep(float(e.headers.get("Retry-After") or 2**attempt))
+        with opened(self.options["url"].format(offset=partition.value * size, length=size)) as r:
+            yield partition.value, r.read().decode("utf-8")
+
+
+def scan_ids(client, folder: str, limit: int, criteria: tuple[str, ...] = ("UNSEEN", "RECENT", "ALL")) -> list[bytes]:
+    """The last `limit` message ids of the first search that finds any. client: logged in, as imaplib's."""
+    client.select(folder)
+    for c in criteria:
+        status, found = client.search(None, c)
+        if status == "OK" and found and found[0]:
+            return found[0].split()[-limit:]
+    return []
+
+
+def fetched(client, ids: list[bytes]):
+    """(id, subject, body) of messages, one at a time; those that can't be fetched are left out."""
+    for i in ids:
+        status, data = client.fetch(i, "(RFC822)")
+        raw = next((d[1] for d in data or [] if isinstance(d, tuple)), None)
+        if status == "OK" and raw is not None:
+            yield (i.decode(), *message_text(raw))
+
+
+def mailbox_source(connect, folder: str = "INBOX", limit: int = 10) -> type[DataSource]:
+    """A data source over a mail server, for batch reads (the last messages of the first search that finds any) and for
+    streams, which poll for ids beyond the last one seen. connect() gives a logged-in client; register the class."""
+
+    class Batch(DataSourceReader):
+        def read(self, partition):
+            client = connect()
+            yield from fetched(client, scan_ids(client, folder, limit))
+
+    class Poll(SimpleDataSourceStreamReader):
+        def initialOffset(self):
+            return {"id": 0}
+
+        def between(self, low: int, high: int | None):
+            client = connect()
+            ids = [i for i in scan_ids(client, folder, 10**9, ("ALL",)) if int(i) > low and (high is None or int(i) <= high)]
+            return list(fetched(client, ids)), max(map(int, ids), default=low)
+
+        def read(self, start):
+            rows, last = self.between(start["id"], None)
+            return iter(rows), {"id": last}
+
+        def readBetweenOffsets(self, start, end):
+            return iter(self.between(start["id"], end["id"])[0])
+
+        def commit(self, end):
+            pass
+
+    class Mailbox(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "loomery_mailbox"
+
+        def schema(self) -> str:
+            return "id string, subject string, body string"
+
+        def reader(self, schema):
+            return Batch()
+
+        def simpleStreamReader(self, schema):
+            return Poll()
+
+    return Mailbox
 
 
 def keyed_document(spark: SparkSession, path: str, row: T.StructType, key: str = "key") -> DataFrame:

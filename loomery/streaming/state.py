@@ -1,4 +1,9 @@
-"""Keyed state over streams: counters, learned values, message context. Event time with a watermark throughout."""
+"""Keyed state over streams: counters, learned values, message context.
+
+Message contexts end with the retention of their messages, by event time and a watermark, without loss. Counters, last
+tags and learned values are kept for every key, as they are meant to be remembered, unless `idle` bounds how long a
+key may be silent.
+"""
 
 from __future__ import annotations
 
@@ -22,29 +27,48 @@ def windowed(events: DataFrame, ts: str, key: str, width: str = "1 day", late: s
     return w.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def learned_values(rewards: DataFrame, key: str, ts: str, reward: str, rate: float = 0.1) -> DataFrame:
-    """(key, q, n): q += rate * (reward - q) for each key, rewards of a batch in time order."""
+def until(state: GroupState, last: pd.Timestamp, span: pd.Timedelta) -> None:
+    """Let the state's key time out once the watermark passes last + span."""
+    at = int((last + span).timestamp() * 1000)
+    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+
+
+def learned_values(rewards: DataFrame, key: str, ts: str, reward: str, rate: float = 0.1, idle: str | None = None, late: str = "1 day") -> DataFrame:
+    """(key, q, n): q += rate * (reward - q) for each key, rewards of a batch in time order.
+
+    idle: keys without rewards for so long, by event time, are forgotten and begin anew; ts is a timestamp then.
+    """
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         q, n = state.get if state.exists else (0.0, 0)
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
         for r in rows[reward].clip(-1.0, 1.0):
             q, n = q + rate * (r - q), n + 1
         state.update((float(q), n))
+        if idle:
+            until(state, rows[ts].iloc[-1], pd.Timedelta(idle))
         yield pd.DataFrame({key: [k[0]], "q": [q], "n": [n]})
 
-    return rewards.groupBy(key).applyInPandasWithState(update, f"{key} string, q double, n long", "q double, n long", "update", GroupStateTimeout.NoTimeout)
+    rows = rewards.withWatermark(ts, late) if idle else rewards
+    kind = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} string, q double, n long", "q double, n long", "update", kind)
 
 
-def contexts(messages: DataFrame, keys: list[str], ts: str, text: str, n: int = 3, days: int = 30) -> DataFrame:
+def contexts(messages: DataFrame, keys: list[str], ts: str, text: str, n: int = 3, days: int = 30, late: str = "1 day") -> DataFrame:
     """Each message with the last n earlier ones of its key, none older than `days` of event time before it.
 
-    The state of a key is bounded: 2 n texts and their times.
+    The state of a key is bounded: 2 n texts and their times; it goes when the watermark shows that all are too old.
     """
     span = pd.Timedelta(days=days)
     schema = ", ".join(f"{k} string" for k in keys) + f", {ts} timestamp, {text} string, context array<string>"
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times, texts = state.get if state.exists else ([], [])
         kept = [(pd.Timestamp(t), x) for t, x in zip(times, texts)]
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
@@ -54,9 +78,10 @@ def contexts(messages: DataFrame, keys: list[str], ts: str, text: str, n: int =
             out.append((*k, at, x, [y for _, y in kept[-n:]]))
             kept = [*kept, (at, x)][-2 * n :]
         state.update(([t.isoformat() for t, _ in kept], [y for _, y in kept]))
+        until(state, kept[-1][0], span)
         yield pd.DataFrame(out, columns=[*keys, ts, text, "context"])
 
-    return messages.groupBy(*keys).applyInPandasWithState(update, schema, "times array<string>, texts array<string>", "append", GroupStateTimeout.NoTimeout)
+    return messages.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(update, schema, "times array<string>, texts array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def last_tags(corrections: DataFrame, sender: str, tag: str, ts: str) -> DataFrame:

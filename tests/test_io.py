@@ -110,3 +110,74 @@ def test_head_saves_and_loads(spark, tmp_path):
     head.save(str(tmp_path / "h"))
     pick = lambda h: [tuple(r) for r in h.predict(rows, "p").select("id", "p", "p_confidence").orderBy("id").collect()]
     assert pick(Head.load(str(tmp_path / "h"))) == pick(head)
+
+
+class Answers:
+    """Opens urls from a list of prepared answers."""
+
+    def __init__(self, *answers):
+        self.answers = list(answers)
+
+    def __call__(self, url):
+        import urllib.error
+        from email.message import Message
+
+        a = self.answers.pop(0)
+        if isinstance(a, bytes):
+            return io.BytesIO(a)
+        head = Message()
+        if a[1]:
+            head["Retry-After"] = a[1]
+        raise urllib.error.HTTPError(url, a[0], "no", head, None)
+
+
+def test_download_waits_and_tries_again(tmp_path):
+    waits = []
+    to = tmp_path / "f"
+    assert R.download("http://x", str(to), chunk=3, opener=Answers((429, "7"), (503, ""), b"0123456789"), wait=waits.append) == 10
+    assert waits == [7.0, 2.0] and to.read_bytes() == b"0123456789"
+    with pytest.raises(Exception):
+        R.download("http://x", str(tmp_path / "g"), opener=Answers((404, "")), wait=waits.append)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f"]
+
+
+def test_paged_reader(monkeypatch):
+    import urllib.request
+
+    asked = []
+    monkeypatch.setattr(urllib.request, "urlopen", lambda u, timeout: asked.append(u) or io.BytesIO(b'{"rows": []}'))
+    reader = R.Pages({"url": "http://x?o={offset}&n={length}", "pages": "2", "size": "50"}).reader(None)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert asked == ["http://x?o=0&n=50", "http://x?o=50&n=50"] and [r[0] for r in rows] == [0, 1]
+
+
+class Server:
+    """A mail client over prepared messages."""
+
+    def __init__(self, found, mail):
+        self.found, self.mail = found, mail
+
+    def select(self, folder):
+        return "OK", [b""]
+
+    def search(self, charset, criteria):
+        return "OK", [self.found.get(criteria, b"")]
+
+    def fetch(self, i, what):
+        return ("OK", [(b"", self.mail[i])]) if i in self.mail else ("NO", [None])
+
+
+MAIL = {str(i).encode(): f"Subject: s{i}\nContent-Type: text/plain\n\nb{i}".encode() for i in range(1, 5)}
+
+
+def test_mailbox_scan_and_poll():
+    server = Server({"RECENT": b"1 2 3 9", "ALL": b"1 2 3 4"}, MAIL)
+    assert R.scan_ids(server, "INBOX", 2) == [b"3", b"9"] and R.scan_ids(Server({}, {}), "INBOX", 2) == []
+    source = R.mailbox_source(lambda: server, limit=3)({})
+    assert list(source.reader(None).read(None)) == [("2", "s2", "b2"), ("3", "s3", "b3")]
+    poll = source.simpleStreamReader(None)
+    rows, at = poll.read(poll.initialOffset())
+    assert [r[0] for r in rows] == ["1", "2", "3", "4"] and at == {"id": 4}
+    rows, again = poll.read(at)
+    assert list(rows) == [] and again == at
+    assert [r[0] for r in poll.readBetweenOffsets({"id": 1}, {"id": 3})] == ["2", "3"]

@@ -124,3 +124,174 @@ def test_present_and_require(spark):
     assert df.columns == ["a", "b"] and V.require(df, 1, "rows") is df
     with pytest.raises(ValueError):
         V.require(df, 2, "rows")
+
+
+def near_texts(seed=4, n=60):
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        if out and r.random() < 0.6:
+            w = r.choice(out)[1].split()
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice(["alpha", "beta", "gamma!"])
+            if r.random() < 0.2:
+                w = w[: max(3, len(w) // 2)]
+        else:
+            w = [f"word{r.randint(0, 40)}" for _ in range(r.randint(3, 30))]
+        out.append((len(out), " ".join(w)))
+    return out
+
+
+def gram_set(t):
+    return {t[i : i + 4] for i in range(len(t) - 3)}
+
+
+def like(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def first_rows(rows):
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    return [(i, t) for t, i in first.items()]
+
+
+def test_alike_is_all_pairs(spark):
+    rows = first_rows(near_texts())
+    got = {(r["a"], r["b"]): (r["word_sim"], r["char_sim"]) for r in D.alike(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"), keep_table).collect()}
+    want = {}
+    for (i, x), (j, y) in itertools.combinations(rows, 2):
+        w, c = like(set(x.split()), set(y.split())), like(gram_set(x), gram_set(y))
+        if min(len(x), len(y)) >= 15 and min(len(x), len(y)) >= 0.7 * max(len(x), len(y)) and (w >= 0.8 or c >= 0.85):
+            want[(i, j)] = (pytest.approx(w), pytest.approx(c))
+    assert got == want and len(want) > 10
+
+
+def test_greedy_pass_by_rules(spark):
+    rows = first_rows(near_texts(6, 80))
+    kept = []
+    for i, t in rows:
+        dup = any(
+            len(t) >= 20 and len(p) >= 20 and ((min(len(t), len(p)) >= 30 and (t in p or p in t)) or (abs(len(t) - len(p)) < 0.4 * len(t) and like(gram_set(t), gram_set(p)) >= 0.85))
+            for _, p in kept
+        )
+        if not dup:
+            kept.append((i, t))
+    df = keep_table(spark.createDataFrame(rows, "id long, t string"))
+    edges = D.greedy_edges(df, "id", F.col("t"), keep_table)
+    for most in (20_000, 0):  # passes over whole components, then rounds
+        assert sorted(r["id"] for r in D.survivors(df, edges, keep_table, most).collect()) == [i for i, _ in kept]
+    assert len(kept) < len(rows)
+
+
+@pytest.mark.parametrize("t", [0.5, 0.75, 0.8, 0.85, 0.9, 0.99])
+def test_keys_of_parts_lose_no_pair(t):
+    """Sets of all sizes that differ as much as the threshold allows share a key."""
+    import numpy as np
+
+    from loomery.operators.setjoin import Parts
+
+    rng, parts = np.random.default_rng(7), Parts(t)
+    for n in [*range(1, 60), 100, 333, 1000, 4000]:
+        for _ in range(8):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            gone = int(rng.integers(0, int(n * (1 - t)) + 1))
+            new = max(0, int((n - gone) / t - n + 1e-9))
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, new, dtype=np.uint64)]))
+            if len(np.intersect1d(x, y)) >= t * len(np.union1d(x, y)):
+                assert np.intersect1d(parts.keys(x), parts.keys(y)).size, (n, gone, new)
+
+
+def test_tf_idf_is_the_formula(spark):
+    import math
+
+    from loomery.operators import learn as L
+
+    rows = spark.createDataFrame([(0, "red red blue"), (1, "blue GREEN"), (2, None)], "id long, t string")
+    tf = L.TfIdf(4, (1, 2)).fit(rows, "t")
+    assert set(tf.vocabulary) == {"blue", "red", "blue green", "green"} or len(tf.vocabulary) == 4
+    got = {r["id"]: r["features"] for r in tf.transform(rows, "t").collect()}
+    raw = {k: (1 + math.log(n)) * tf.idf[tf.vocabulary[k]] for k, n in tf.terms("red red blue").items() if k in tf.vocabulary}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    assert {k: pytest.approx(x / norm) for k, x in raw.items()} == {k: got[0][tf.vocabulary[k]] for k in raw}
+    assert got[2].numNonzeros() == 0
+    assert len(L.CONFIGS) == 11 and len({c[0] for c in L.CONFIGS}) == 11
+
+
+def test_tuning_picks_on_check_rows(spark):
+    from loomery.operators import learn as L
+
+    r = random.Random(2)
+    made = [(i, " ".join(r.choices(["win", "cash"] if i % 2 else ["meet", "plan"], k=6)), "spam" if i % 2 else "ham", "low" if i % 2 else "high") for i in range(60)]
+    parts = [keep_table(spark.createDataFrame(made[k::3], "id long, t string, a string, b string")) for k in range(3)]
+    tried, best = L.tune(*parts, "t", ("a", "b"), keep_table, L.CONFIGS[:2], iterations=20)
+    assert [x["score"] for x in tried] == sorted((x["score"] for x in tried), reverse=True) and best["f1"] == {"a": 1.0, "b": 1.0}
+
+
+def test_multi_task_and_latency(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from loomery.operators import learn as L
+
+    rows = keep_table(spark.createDataFrame([(i, Vectors.dense([float(i % 2), float(i % 3), 1.0]), i % 2, f"k{i % 3}") for i in range(120)], ["id", "features", "a", "b"]))
+    heads, table = L.multi_task(rows, ["a", "b"], "id")
+    assert set(heads) == {"a", "b"} and {r["field"]: r["macro_f1"] for r in table.collect()} == {"a": 1.0, "b": 1.0}
+    with pytest.raises(ValueError):
+        L.multi_task(rows.limit(3), ["a"], "id")
+    calls = []
+    took = L.latency(lambda x: calls.append(len(x)) or x, lambda x: x, list(range(8)))
+    assert calls == [5] + [1] * 8 and took["total_ms"] >= 0 and L.latency(None, None, [])["total_ms"] == 0.0
+
+
+def test_short_texts_bypass_the_model(spark):
+    from loomery.operators import learn as L
+
+    df = spark.createDataFrame([(1, "Hi", "ok"), (2, "Report", "please read the whole long report"), (3, "Empty", "the model says nothing about this")], "id long, s string, b string")
+    load = lambda: lambda texts: ["" if "nothing" in x else "SUMMARY" for x in texts]
+    got = {r["id"]: r["summary"] for r in L.summarized(df, "s", "b", load).collect()}
+    assert got == {1: "Hi: ok", 2: "SUMMARY", 3: "Empty. the model says nothing about this..."}
+
+
+def test_language_is_learned(spark):
+    from loomery.operators.language import CharModel
+
+    text = {"en": "the quick brown fox and the lazy dog with your friends in the house", "de": "der schnelle braune fuchs und der faule hund mit ihren freunden im haus"}
+    rows = spark.createDataFrame([(n, t) for n, t in text.items()], "lang string, t string")
+    model = CharModel().fit(rows, "lang", "t")
+    asked = spark.createDataFrame([("the house of the friends and the fox",), ("das haus der freunde und der fuchs",), ("short",), (None,)], "t string")
+    assert [r["language"] for r in model.detect(asked, "t").collect()] == ["en", "de", "unknown", "unknown"]
+
+
+def test_language_of_documents_holds(spark):
+    from loomery import plans
+
+    out = plans.QUERIES["language_detect"](spark, "/root/testdata/sf0.01").where("length(language) = 2").selectExpr("avg(cast(not disagrees as int)) a", "count(*) n").first()
+    assert out["n"] > 300 and out["a"] > 0.9
+
+
+def test_polarity(spark):
+    from loomery.functions import analysis as A
+
+    df = spark.createDataFrame([("good good bad",), ("not good",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(A.polarity("t", {"good": 0.7, "bad": -0.7})).collect()] == [0.23, -0.35, 0.0, 0.0]
+
+
+def test_contexts_are_remembered_for_a_while(spark):
+    now = [0.0]
+    rows = spark.createDataFrame([("u", "p", i, f"m{i}") for i in range(5)], "u string, p string, ts int, m string")
+    c = St.RecentContexts(rows, "u", "p", "ts", clock=lambda: now[0], most=1)
+    assert [r["m"] for r in c.get("u", "p")] == ["m4", "m3", "m2"]
+    c.messages = rows.limit(0)
+    now[0] = 299.0
+    assert len(c.get("u", "p", 2)) == 2
+    now[0] = 301.0
+    assert c.get("u", "p") == [] and c.get("x", "p") == [] and len(c.kept) == 1
+
+
+def test_reset_and_root_causes(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "log"))
+    assert St.reset(spark, f"file://{tmp_path}/log") and not (tmp_path / "log").exists()
+    causes = M.root_causes(("a", "b", 30), {"low": 0.9, "high": 0.1}, 0, 2, 0.02, 0.1)
+    assert [c["impact"] for c in causes] == ["High", "High", "Low", "Medium", "Low"] and causes[0]["evidence"] == "a -> b: 30 rows"
+    assert M.root_causes(None, {}, 0, 0, 0.0, 0.0)[0]["evidence"] == "no confusion"
