@@ -2,8 +2,9 @@
 
 DataFrame functions only. Words are runs of a-z and 0-9 after lower-casing; shingles are K words. A template of t
 shingles is looked for in windows of t + step shingles, one every step = t / 4 (1 at least), so some window holds any
-occurrence whole. A window that has CONTAINED of a template's shingles has a similarity of 0.5 or more with it; BANDS
-bands of ROWS row then meet in one at least with probability 1 - 0.5^18, all but 4 in a million. Windows with fewer
+occurrence whole. A window that has the share `contained` of a template's shingles has a least similarity with it, which
+follows from both sizes (0.5 for 0.75); as many bands of one minimum are made as miss such a window in MISSED cases at
+most, so another `contained` gets other bands. Windows with fewer
 known shingles than CONTAINED asks of the template are left out, which loses nothing; everything else is whole.
 Templates of fewer than K words are one shingle, their whole sequence, and are looked for at each word.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .workspace import materialize
 
-K, BANDS, ROWS, CONTAINED = 5, 18, 1, 0.75
+K, MISSED, CONTAINED = 5, 4e-6, 0.75
 #: Size up to which the template index is broadcast; a larger library is joined by a shuffle.
 BROADCAST_BYTES = 16 * 2**20
 MATCHES = "array<struct<template: string, containment: double, first_word: long, end_word: long>>"
@@ -72,17 +73,29 @@ def phrases(templates: dict[str, str]):
     return F.filter(F.array(*found), lambda m: m["first_word"].isNotNull()) if found else F.array().cast(MATCHES)
 
 
-def bands(shingles):
-    """Band keys of an array of shingles: for each band, the hash of its rows' minima."""
-    least = lambda b, r: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(b * ROWS + r))))
-    return F.array(*(F.xxhash64(F.lit(b), *(least(b, r) for r in range(ROWS))) for b in range(BANDS)))
+def bands(shingles, n: int):
+    """n band keys of an array of shingles: the band's hash of its minimum."""
+    least = lambda b: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(b))))
+    return F.array(*(F.xxhash64(F.lit(b), least(b)) for b in range(n)))
 
 
-def index(spark, templates: dict[str, str]) -> DataFrame:
-    """(template, need: distinct shingles, width, step, keys) of the templates that have a shingle."""
+def enough(contained: float, sizes: list[tuple[int, int]]) -> int:
+    """Bands for templates of (distinct shingles, window's shingles): a window holding the share is missed in MISSED cases."""
+    least = lambda need, width: max(1, math.ceil(contained * need - 1e-9))
+    worst = min((least(n, w) / (n + w - least(n, w)) for n, w in sizes), default=1.0)
+    return max(1, math.ceil(math.log(MISSED) / math.log(1 - worst))) if worst < 1 else 1
+
+
+def index(spark, templates: dict[str, str], contained: float) -> tuple[list[dict], int]:
+    """(template, need: distinct shingles, width, step, keys) of the templates that have a shingle, and the bands made."""
     rows = shingled(spark.createDataFrame(list(templates.items()), "template string, text string"), "text").where("size(h) > 0")
     rows = rows.select("template", F.array_distinct("h").alias("need"), F.greatest(F.lit(1), F.floor(F.size("h") / 4)).cast("int").alias("step"), F.size("h").alias("size"))
-    return rows.select("template", "need", "step", (F.col("size") + F.col("step")).alias("width"), bands(F.col("need")).alias("keys"))
+    rows = rows.select("template", "need", "step", (F.col("size") + F.col("step")).alias("width"))
+    lib = [r.asDict() for r in rows.collect()]  # as large as the library given
+    n = enough(contained, [(len(r["need"]), r["width"]) for r in lib])
+    keys = spark.createDataFrame([(r["template"], r["need"]) for r in lib], "template string, need array<long>").select("template", bands(F.col("need"), n).alias("keys"))
+    found = {r["template"]: r["keys"] for r in keys.collect()}
+    return [r | {"keys": found[r["template"]]} for r in lib], n
 
 
 def starts(width: int, step: int, least: int):
@@ -112,10 +125,10 @@ def shape(width: int, step: int):
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, matches: array of (template, containment, first_word, end_word), one row per row of docs."""
     spark = docs.sparkSession
-    lib = [r.asDict() for r in index(spark, templates).collect()]  # as large as the library given
+    lib, n_bands = index(spark, templates, contained)
     table = spark.createDataFrame([(r["template"], r["width"], r["step"], b, key) for r in lib for b, key in enumerate(r["keys"])], "template string, width int, step int, band int, key long")
     needs = spark.createDataFrame([(r["template"], r["need"]) for r in lib], "template string, need array<long>")
-    if sum(len(r["need"]) + 4 * BANDS for r in lib) * 8 <= BROADCAST_BYTES:
+    if sum(len(r["need"]) + 4 * n_bands for r in lib) * 8 <= BROADCAST_BYTES:
         table, needs = F.broadcast(table), F.broadcast(needs)
     is_known = among(sorted({x for r in lib for x in r["need"]}))
     shapes: dict[tuple[int, int], int] = {}
@@ -129,7 +142,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
 
     shaped = [F.transform(starts(w, s, n), shape(w, s)) for (w, s), n in sorted(shapes.items())]
     windows = rows.where("h is not null").select("row", "h", F.explode(F.concat(*shaped)).alias("w")).select("row", "w.*", F.slice("h", F.col("w.start"), F.col("w.width")).alias("part")).where("size(part) > 0")
-    keyed = windows.withColumn("keys", bands(F.col("part"))).select("row", "start", "width", "step", "part", F.posexplode("keys").alias("band", "key"))
+    keyed = windows.withColumn("keys", bands(F.col("part"), n_bands)).select("row", "start", "width", "step", "part", F.posexplode("keys").alias("band", "key"))
     hits = keyed.join(table, ["width", "step", "band", "key"]).join(needs, "template")
     # verified where retrieved, once for each band that met: only narrow rows of matches are shuffled
     hits = hits.withColumn("share", F.size(F.array_intersect("part", "need")) / F.size("need")).where(F.col("share") >= contained)
