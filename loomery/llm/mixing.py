@@ -61,13 +61,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs as often as the mix takes them; the document at a source's cut is shortened to the words taken."""
-    took = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("_lm_id"), F.col("size").alias("_lm_n")).agg(F.max("taken").alias("_lm_taken"))
-    took = materialize(took, "taken", docs.count())
+    """docs as often as the mix takes them; the document at a source's cut is shortened to the words taken.
+
+    Rows that repeat an id with as many words are taken as one of them, as often as all of these together.
+    """
+    took = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("_lm_id"), F.col("source").alias("_lm_source"), F.col("size").alias("_lm_n"))
+    took = materialize(took.agg(F.sum("taken").alias("_lm_taken"), F.count("*").alias("_lm_rows")), "taken", docs.count())
+    again = took.where("_lm_rows > 1").select("_lm_id").distinct()
+    repeats = again.count()
     if took.count() <= BROADCAST_TAKEN:
         took = F.broadcast(took)
     sized = docs.withColumn("_lm_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    both = sized.join(took, F.col("doc_id").eqNullSafe(F.col("_lm_id")) & (F.col("_lm_size") == F.col("_lm_n")))
+    if repeats:
+        mine = sized.join(F.broadcast(again) if repeats <= BROADCAST_TAKEN else again, F.col("doc_id").eqNullSafe(F.col("_lm_id")), "left_semi").where("_lm_size > 0")
+        one = mine.groupBy("doc_id", "source", "_lm_size").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "source", "text")))).alias("_lm_row"))
+        one = one.select(*("doc_id" if c == "doc_id" else "source" if c == "source" else F.col(f"_lm_row.{c}") for c in docs.columns), "_lm_size")
+        sized = sized.join(F.broadcast(again) if repeats <= BROADCAST_TAKEN else again, F.col("doc_id").eqNullSafe(F.col("_lm_id")), "left_anti").unionByName(one)
+    same = F.col("doc_id").eqNullSafe(F.col("_lm_id")) & F.col("source").eqNullSafe(F.col("_lm_source")) & (F.col("_lm_size") == F.col("_lm_n"))
+    both = sized.join(took, same)
     both = both.withColumn("_lm_take", F.explode(F.expr("transform(sequence(1L, bigint(ceil(_lm_taken / _lm_size))), i -> least(_lm_size, _lm_taken - (i - 1) * _lm_size))")))
     words = F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), F.lit(1), F.col("_lm_take").cast("int"))
     text = F.when(F.col("_lm_take") < F.col("_lm_size"), F.array_join(words, "")).otherwise(F.col("text"))
