@@ -171,7 +171,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = FIT_ROWS / max(fit.count(), 1)
     if share < 1:
         fit = fit.where(F.rand(5) < share)
-    fit = fit.orderBy("quality", *COUNTS).toPandas()  # FIT_ROWS rows, give or take a few hundred
+    fit = fit.toPandas().sort_values(["quality", *COUNTS])  # FIT_ROWS rows, give or take a few hundred
     x = features({c: fit[c].to_numpy() for c in COUNTS})
     clean = x[fit["quality"].to_numpy() == 1]
     if len(clean) < 2:
