@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The owner is the source; a repository is a source's part in one language."""
+    """The owner is the source; a repository is a source's part in one language. ownership: owners:repositories:verdict of each span."""
     docs = table(spark, sf_dir, "documents").withColumn("repo", F.concat_ws("/", "source", "lang"))
     names = F.array(*map(F.lit, secrets.KINDS))
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
@@ -23,7 +23,8 @@ def op1_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda field, x: F.size(F.filter("spans", lambda s: s[field] == F.lit(x))).cast("long")
     kinds = [number("kind", k).alias(f"n_{p[0]}") for k, p in enumerate(secrets.PATTERNS)]
     verdicts = [number("verdict", v).alias(f"n_{v}") for v in ("live", "copied")]
-    return secrets.scan(docs).select("doc_id", *kinds, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *verdicts)
+    owned = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["owners"], s["repos"], s["verdict"])))
+    return secrets.scan(docs).select("doc_id", *kinds, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *verdicts, owned.alias("ownership"))
 
 
 def op2_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,12 +74,54 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(written, ",").alias("matches"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 finds by its fixed patterns alone."""
+    return op1_ownership_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def url_curated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 decides by curated rules: host, path, rule, and the rule's verdict."""
+    return op3_fpgrowth_urls(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 counts and its base rules say."""
+    return op9_isolation_forest_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
+    own = {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
+    return own | {f.__name__: f for f in (secret_base_spans, url_curated_rules, quality_base_counts)}
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: Number and name of a kind, its pattern, and the group whose length is checked.
+SPANS = " union all ".join(f"select doc_id, {k} k, '{name}' kind, regexp_extract_all(x, '{p}') m, string_split_regex(x, '{p}') s, regexp_extract_all(x, '{p}', {g}) v, {n} least from t" for k, (name, p, g, n) in enumerate((("assign", ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]{16,}", 0, 16))))
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
+    "secret_base_spans": rf"""
+with t as (select doc_id, coalesce(text, '') x from documents), p as ({SPANS}), i as (select *, unnest(range(1, len(m) + 1)) i from p),
+f as (select doc_id, k, kind, length(m[i]) n, cast(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) a from i where length(v[i]) >= least),
+g as (select doc_id, count(*) filter (where k = 0) n_assign, count(*) filter (where k = 1) n_access, count(*) filter (where k = 2) n_hex, string_agg(kind || ':' || a || ':' || (a + n), ',' order by a, k) l from f group by 1)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(l, '')) base_sha256 from documents left join g using (doc_id)""",
+    "url_curated_rules": """
+with r(h, p, a) as (values """ + ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES) + """),
+u as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) path from pages),
+f as (select page_id, arg_max(h || p, length(h || p)) rule, arg_max(a, length(h || p)) ruled from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by 1)
+select page_id, host, path, rule, ruled from u left join f using (page_id)""",
+    "op4_tool_call_linking": r"""
+with m as (select conv_id, turn, role, coalesce(text, '') t, case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end kind, case role when 'user' then conv_id || ':' || turn when 'assistant' then conv_id || ':' || (turn - 1) end id from conversations),
+e as (select m.*, p.turn other, row_number() over (partition by m.conv_id order by m.turn) - 1 position from m left join m p on p.conv_id = m.conv_id and p.id = m.id and p.kind <> m.kind)
+select conv_id, turn, position, kind, id, case kind when 'message' then 'plain' when 'call' then case when other is null then 'unanswered' else 'answered' end else case when other is null then 'orphan' else 'linked' end end status, other partner_turn,
+not (kind = 'call' and t = '') as valid, case when kind = 'call' and t = '' then 'prompt: too short' else '' end errors,
+case kind when 'call' then '{"arguments":{"prompt":' || to_json(t) || ',"turn":' || turn || '},"id":"' || id || '","name":"reply","type":"call"}' when 'result' then '{"content":' || to_json(t) || ',"id":"' || id || '","type":"result"}' else '{"content":' || to_json(t) || ',"type":"message"}' end json from e""",
+    "quality_base_counts": rf"""
+with t as (select doc_id, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents),
+l as (select doc_id, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '{WORD}')) l from t),
+g as (select doc_id, unnest(range(1, len(w) - 1)) i, w from t where len(w) > 2), h as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] tri from g),
+r as (select doc_id, i, count(*) over (partition by doc_id, tri) c from h), c as (select doc_id, count(distinct j) n from (select doc_id, unnest([i, i + 1, i + 2]) j from r where c > 1) group by 1)
+select t.doc_id, len(w) n_words, cast(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) as bigint) word_chars, len(regexp_extract_all(x, '[#*$%&|<>]')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(n, 0) n_repeat_words, len(w) < 50 or 100 * coalesce(n, 0) > 50 * len(w) base_failed from t join l using (doc_id) left join c using (doc_id)""",
     "op2_hyperminhash_neardup": rf"""
 with recursive words as (select doc_id, list_filter(string_split_regex({LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') w from documents),
 sets as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) s from words),

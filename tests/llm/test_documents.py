@@ -153,6 +153,19 @@ def test_mixed_documents_have_the_words_taken(spark):
     assert words == Counter({i: n for i, n in took.items() if n})
 
 
+def test_mixed_repeats_stay_in_budget(spark):
+    """A repeated id, with equal or other texts of as many words, is taken as often as its rows together."""
+    texts = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "x y z", "s"), (1, "x y z", "t"), (2, "a", "s"), (None, "p q", "t"), (None, "p q", "t"), (3, "m n o p", "t")]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in texts], "doc_id long, text string, source string, n_chars long")
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r["source"], r["doc_id"]] += r["taken"]
+    got = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        got[r["source"], r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert got == +want
+
+
 def test_water_filling():
     assert mixing.targets([100, 100, 100], [1, 2, 3], 3) == [50, 100, 150]
     assert mixing.targets([1, 1, 98], [1, 2, 3], 3) == [3, 3, 94]
@@ -303,6 +316,45 @@ def test_license_windows(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def brute_licenses(text, templates, contained):
+    """The best containment of every template over all its windows, by sets of word sequences."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    mine, out = grams(words(text)), {}
+    for name, t in templates.items():
+        g = grams(words(t))
+        if g:
+            step = max(1, len(g) // 4)
+            share = max((len(set(mine[i : i + len(g) + step]) & set(g)) / len(set(g)) for i in range(0, len(mine), step)), default=0)
+            if share >= contained:
+                out[name] = pytest.approx(share)
+    return out
+
+
+@pytest.mark.parametrize("contained", [0.75, 0.5])
+def test_licenses_are_all_windows(spark, contained):
+    """Templates with words changed, dropped and moved about, alone and in longer texts, against every window."""
+    rng = np.random.default_rng(12)
+    long = {k: t for k, t in licenses.TEMPLATES.items() if 8 <= len(t.split()) <= 400}
+    texts = []
+    for i in range(60):
+        w = long[list(long)[i % len(long)]].split()
+        for at in rng.integers(0, len(w), rng.integers(0, 1 + len(w) // 12)):
+            w[at] = f"x{at}"
+        if i % 4 == 0:
+            w = w[: int(len(w) * rng.uniform(0.5, 1))]
+        pad = [f"pad{k}" for k in rng.integers(0, 99, int(rng.integers(0, 60)))]
+        texts.append((i, " ".join([*pad, *w, *pad])))
+    got = by_id(licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), contained=contained))
+    for i, t in texts:
+        short = {n for n, x in licenses.TEMPLATES.items() if len(re.findall("[a-z0-9]+", x.lower())) < 5}
+        assert {m["template"]: m["containment"] for m in got[i][0]["matches"] if m["template"] not in short} == brute_licenses(t, licenses.TEMPLATES, contained), i
+
+
+def test_bands_follow_from_containment():
+    assert licenses.enough(0.75, [(1000, 1250)]) == 18 and licenses.enough(0.5, [(1000, 1250)]) == 37 and licenses.enough(1.0, [(4, 4)]) == 1
+
+
 def test_license_phrases_and_full_texts(spark):
     full = licenses.TEMPLATES["MIT-text"]
     texts = [(1, "x ALL rights\nreserved! All rights reserved."), (2, "all rights are reserved"), (3, "reserved"), (4, f"start {full} end"), (5, " ".join(full.split()[:100]))]

@@ -30,6 +30,10 @@ def test_warc_round_trip(spark):
             revisit = i is not None and len(data) >= 1000 and i < max(twins)
             assert (r["record_type"], r["refers_to"]) == (("revisit", max(twins)) if revisit else ("response", None))
     assert sum(map(len, got.values())) == len(pages)
+    heads = [bytes(r["data"]).decode() for r in archives.where("chunk_no = -1").collect()]
+    names = [h.split("WARC-Record-ID: ")[1].split("\r\n")[0] for h in heads]
+    assert len(set(names)) == len(names) == len(pages)
+    assert {h.split("WARC-Refers-To: ")[1].split("\r\n")[0] for h in heads if "WARC-Refers-To: " in h} <= set(names)
     prefix = archives.where("record_id = '<urn:page:2>' and chunk_no = 1").first()["sha1"]
     assert prefix == hashlib.sha1(big.encode()[:2000]).hexdigest()
     assert warc.read(warc.write(df.limit(0))).count() == 0
