@@ -31,7 +31,7 @@ CHAT_SQL = f"{case([(t, k) for t, k, _ in CHAT], lit('informational'))} intent,
 
 @query(f"with {Mb.SQL}, x as (select id, trim(lower(body), ' ' || chr(10)) b from mail) select id, {CHAT_SQL} from x")
 def chat_intents(t):
-    rows = Mb.frame(t.spark).withColumns({"i": A.chat_intent("body"), "u": A.chat_urgency("body")})
+    rows = Mb.frame(t).withColumns({"i": A.chat_intent("body"), "u": A.chat_urgency("body")})
     return rows.select("id", "i.intent", F.round("i.confidence", 9).alias("intent_confidence"), "u.urgency", F.col("u.confidence").alias("urgency_confidence"))
 
 
@@ -49,7 +49,7 @@ def language_markers(t):
 @query(f"""with {Mb.SQL}, x as (select id, trim(trim(subject) || ' ' || trim(body)) t, trim(body) b, trim(subject) s, lower(trim(subject) || ' ' || trim(body)) l from mail)
 select id, case when {hits('l', ['meeting', 'calendar'])} > 0 then 'meeting' when {hits('l', ['please', 'can you'])} > 0 then 'request' when contains(t, '?') then 'question' else 'information' end intent, case when {hits('l', ['urgent', 'asap', 'immediately'])} > 0 then 'high' else 'medium' end urgency, case when {hits('l', ['problem', 'failed', 'angry'])} > 0 then 'negative' else 'neutral' end sentiment, md5(substr(b, 1, 180) || case when length(b) > 180 then '...' else '' end) summary from x""")
 def mock_analysis(t):
-    return Mb.frame(t.spark).withColumn("a", A.mock_analysis("subject", "body")).select("id", "a.intent", "a.urgency", "a.sentiment", F.md5("a.summary").alias("summary"))
+    return Mb.frame(t).withColumn("a", A.mock_analysis("subject", "body")).select("id", "a.intent", "a.urgency", "a.sentiment", F.md5("a.summary").alias("summary"))
 
 
 INTENT_OF = "case when id % 5 = 0 then 'meeting' when id % 5 = 1 then 'request' when id % 5 = 2 then 'question' when id % 5 = 3 then 'promotion' else 'follow_up' end"
@@ -58,7 +58,7 @@ INTENT_OF = "case when id % 5 = 0 then 'meeting' when id % 5 = 1 then 'request'
 @query(f"""with {Mb.SQL}, x as (select id, lower(subject) s, lower(body) b, {INTENT_OF} i from mail) select id, case when i = 'meeting' or {hits('s', ['meeting', 'schedule'])} > 0 then 'create_calendar_event' when i = 'question' or contains(s, 'reply') or contains(b, 'can you') then 'reply' when i = 'promotion' then 'none' when i = 'follow_up' then 'follow_up' when {hits('b', ['submit', 'reset', 'verify', 'pay', 'send', 'approve'])} > 0 then 'create_task' else 'reply' end action from x""")
 def action_cascade(t):
     i = F.element_at(F.array(*map(F.lit, ["meeting", "request", "question", "promotion", "follow_up"])), (F.col("id") % 5 + 1).cast("int"))
-    return Mb.frame(t.spark).select("id", A.expected_action(i, F.col("subject"), F.col("body")).alias("action"))
+    return Mb.frame(t).select("id", A.expected_action(i, F.col("subject"), F.col("body")).alias("action"))
 
 
 # Model texts that the parser has to tell apart.
@@ -70,7 +70,7 @@ KIND = case([(f"starts_with(raw, '{a}') or contains(raw, 'action_type: {a}') or
 @query(f"with {Mb.SQL}, {RAWSQL}, x as (select id, lower(raw) raw, subject || ' ' || body t from mail join r on id % 10 = k) select id, {KIND} kind, case when {KIND} <> 'none' then nullif(regexp_extract(t, {lit('(?i)' + A.DAY)}), '') end as due_day, case when {KIND} <> 'none' then nullif(regexp_extract(t, {lit('(?i)' + A.HOUR)}), '') end due_hour from x")
 def action_parse(t):
     raw = F.element_at(F.array(*map(F.lit, RAW)), (F.col("id") % 10 + 1).cast("int"))
-    rows = Mb.frame(t.spark).withColumn("p", A.parsed_action(raw, F.concat("subject", F.lit(" "), "body")))
+    rows = Mb.frame(t).withColumn("p", A.parsed_action(raw, F.concat("subject", F.lit(" "), "body")))
     return rows.select("id", F.col("p.type").alias("kind"), F.col("p.day").alias("due_day"), F.col("p.hour").alias("due_hour"))
 
 
@@ -80,7 +80,7 @@ FACTS = "list_sort(list_distinct(" + "list_concat(" * (len(A.FACTS) - 1) + f"reg
 @query(f"with {Mb.SQL} select id, array_to_string({FACTS}, '|') facts, case when len({FACTS}) = 0 then 1.0 else len(list_filter({FACTS}, lambda x: contains(lower(substr(body, 1, 40)), lower(x)))) / len({FACTS}) end kept from mail")
 def key_facts(t):
     """Amounts, shares and dates, and how many a summary (the head) keeps."""
-    return Mb.frame(t.spark).select("id", F.array_join(A.facts("body"), "|").alias("facts"), A.kept_facts(F.col("body"), F.substring("body", 1, 40)).alias("kept"))
+    return Mb.frame(t).select("id", F.array_join(A.facts("body"), "|").alias("facts"), A.kept_facts(F.col("body"), F.substring("body", 1, 40)).alias("kept"))
 
 
 # Responses of a model, good and bad.
@@ -97,18 +97,18 @@ def model_labels(t):
 def label_resolution(t):
     pick = lambda n, test, a, b: F.when(F.col("id") % n == test, a).otherwise(b)
     rp = F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 4 == 1, "high").otherwise("low")
-    return Mb.frame(t.spark).select("id", A.resolution(pick(3, 0, "request", "meeting"), pick(2, 0, "request", "meeting"), F.lit("high"), rp).alias("reason"))
+    return Mb.frame(t).select("id", A.resolution(pick(3, 0, "request", "meeting"), pick(2, 0, "request", "meeting"), F.lit("high"), rp).alias("reason"))
 
 
-# Dates as they stand in messages.
-TIMES = ["2024-03-05T10:00:00Z", "2024-03-05T10:00:00", "2024-03-05T10:00:00+02:00", "soon"]
-MAILED = ["Tue, 5 Mar 2024 10:00:00 +0100", "5 Mar 2024 10:00:00 GMT", "Tue, 05 Mar 2024 10:00:00 -0500 (EST)", "2024-03-05 10:00:00", "never"]
-
-
-@query("with v(id, at, mailed) as (values (cast(0 as bigint), timestamp '2024-03-05 10:00:00', timestamp '2024-03-05 09:00:00'), (1, timestamp '2024-03-05 10:00:00', timestamp '2024-03-05 10:00:00'), (2, timestamp '2024-03-05 08:00:00', timestamp '2024-03-05 15:00:00'), (3, timestamp '2024-01-01 00:00:00', timestamp '2024-03-05 10:00:00'), (4, timestamp '2024-01-01 00:00:00', null)) select * from v".replace("(id, at, mailed)", '(id, "at", mailed)'))
+@query("select event_id, date_trunc('second', cast(ts as timestamp)) - case when event_id % 4 = 1 then interval 2 hour else interval 0 hour end as \"at\", case when event_id % 5 = 4 then null else date_trunc('second', cast(ts as timestamp)) + case when event_id % 5 = 2 then interval 5 hour else interval 0 hour end end mailed from events")
 def timestamps(t):
-    rows = t.spark.createDataFrame([(i, TIMES[i] if i < 4 else None, m) for i, m in enumerate(MAILED)], "id long, a string, m string")
-    return rows.select("id", A.iso_time("a", F.lit("2024-01-01").cast("timestamp")).alias("at"), A.mail_time(F.col("m")).alias("mailed"))
+    """Times written as ISO 8601 with Z, an offset or none, and as mail dates with and without zones, parsed again."""
+    ts, k, j = F.date_trunc("second", F.col("ts").cast("timestamp")), F.col("event_id") % 4, F.col("event_id") % 5
+    iso, mail = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(ts, "d MMM yyyy HH:mm:ss")
+    a = F.when(k == 0, F.concat(iso, F.lit("Z"))).when(k == 1, F.concat(iso, F.lit("+02:00"))).when(k == 2, iso).otherwise("never")
+    m = F.when(j == 0, F.concat(F.date_format(ts, "EEE, "), mail, F.lit(" GMT"))).when(j == 1, mail).when(j == 2, F.concat(mail, F.lit(" -0500 (EST)"))).when(j == 3, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise("never")
+    rows = t.events.select("event_id", ts.alias("ts"), a.alias("a"), m.alias("m"))
+    return rows.select("event_id", A.iso_time("a", F.col("ts")).alias("at"), A.mail_time(F.col("m")).alias("mailed"))
 
 
 @query("select doc_id, md5('Summarize.' || chr(10) || chr(10) || case when source is null then '' else '[Category: ' || source || ']' || chr(10) end || 'Body: ' || case when length(text) > 1500 then substr(text, 1, 1500) || '... [truncated]' else text end || chr(10) || chr(10) || 'Summary:') prompt from documents where text is not null")
@@ -117,13 +117,15 @@ def prompts(t):
     return t.documents.where("text is not null").select("doc_id", F.md5(p).alias("prompt"))
 
 
-EMO = ["nice 😊", "bad 😡", "both 😊😡", "star ⭐ only", "plain", "", "ok ✅", "heart 💔"]
+# Emoji put behind texts; the mood of each with the glad ones first, then the sad ones, then others.
+EMO = [("", "none"), ("😊", "positive"), ("😡", "negative"), ("😊😡", "positive"), ("⭐", "neutral"), ("❌", "negative")]
 
 
-@query("with v(id, mood) as (values (cast(0 as bigint), 'positive'), (1, 'negative'), (2, 'positive'), (3, 'neutral'), (4, 'none'), (5, 'none'), (6, 'positive'), (7, 'negative')) select id, mood, case when id > 4 then 'positive' when id < 3 then 'negative' else 'neutral' end label from v")
+@query("select conv_id, turn, case turn % 6 " + " ".join(f"when {i} then '{m}'" for i, (_, m) in enumerate(EMO)) + " end mood, case when (conv_id % 5 - 2) / 10.0 > 0.1 then 'positive' when (conv_id % 5 - 2) / 10.0 < -0.1 then 'negative' else 'neutral' end label from conversations")
 def sentiments(t):
-    rows = t.spark.createDataFrame(list(enumerate(EMO)), "id long, x string")
-    return rows.select("id", A.emoji_sentiment("x").alias("mood"), A.sentiment_label((F.col("id") - 3.5) / 10).alias("label"))
+    """Mood by emoji and the label of a polarity."""
+    mark = F.element_at(F.array(*(F.lit(e) for e, _ in EMO)), (F.col("turn") % len(EMO) + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", A.emoji_sentiment(F.concat(F.coalesce("text", F.lit("")), mark)).alias("mood"), A.sentiment_label((F.col("conv_id") % 5 - 2) / 10.0).alias("label"))
 
 
 @query("select event_id, case when event_type = 'click' then greatest(0.1, least(value / 200, 1.0) * case when value < 50 then 0.6 else 0.7 end) else least(1.0, least(value / 200, 1.0) * case when value > 50 then 1.2 else 1.1 end) end confidence from events")
@@ -170,7 +172,7 @@ def platform_summary(t):
 
 @query(f"with {TAGGED} select tag, count(*) n, round(avg(confidence), 9) confidence, count(*) / sum(count(*)) over () share from tagged group by 1")
 def tagging_stats(t):
-    g = Mb.frame(t.spark).withColumn("d", L.tag(L.mail())).groupBy("d.tag").agg(F.count("*").alias("n"), F.round(F.avg("d.confidence"), 9).alias("confidence"))
+    g = Mb.frame(t).withColumn("d", L.tag(L.mail())).groupBy("d.tag").agg(F.count("*").alias("n"), F.round(F.avg("d.confidence"), 9).alias("confidence"))
     return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total")))).select("tag", "n", "confidence", (F.col("n") / F.col("total")).alias("share"))
 
 
@@ -234,7 +236,7 @@ def enrichment(t):
 @query(f"with {TAGGED}, r as (select id, tag, row_number() over (order by score desc, id) k from tagged) select cast(k as int) k, k || '. ' || tag || ' | ' || subject line from r join mail using (id) where k <= 5")
 def daily_brief(t):
     """The first lines of a brief."""
-    rows = Mb.frame(t.spark).withColumn("d", L.tag(L.mail())).orderBy(F.desc("d.score"), "id").limit(5)
+    rows = Mb.frame(t).withColumn("d", L.tag(L.mail())).orderBy(F.desc("d.score"), "id").limit(5)
     k = F.row_number().over(Window.orderBy(F.desc("d.score"), "id"))
     return rows.withColumn("k", k).select("k", F.concat("k", F.lit(". "), "d.tag", F.lit(" | "), "subject").alias("line"))
 

@@ -80,19 +80,22 @@ WEIGHTS = {"URGENT": 1.0, "SECURITY": 0.9, "MEETING": 0.8, "FINANCIAL": 0.7, "IM
 
 @query(f"with {TAGGED} select id, round(confidence * case tag " + " ".join(f"when '{k}' then {v}" for k, v in WEIGHTS.items()) + " else 0.5 end, 9) score from tagged")
 def fallback_priority(t):
-    rows = Mb.frame(t.spark).withColumn("d", L.tag(L.mail()))
+    rows = Mb.frame(t).withColumn("d", L.tag(L.mail()))
     return rows.select("id", F.round(L.points(F.col("d.tag"), WEIGHTS, 0.5) * F.col("d.confidence"), 9).alias("score"))
 
 
-# Action documents, good and bad.
-ACTIONS = ['{"action_type": " Reply ", "duration_minutes": "15"}', '{"action_type": "dance", "duration_minutes": "soon"}', "{}", '{"action_type": "create_task", "duration_minutes": 30}']
+# Action names as a model writes them, right and wrong.
+NAMED = [" Reply ", "dance", "create_task", "follow_up", "NONE"]
+DICTS = "(case turn % 5 " + " ".join(f"when {i} then '{n.strip().lower() if n != 'dance' else 'none'}'" for i, n in enumerate(NAMED)) + " end)"
 
 
-@query("with v(id, kind, minutes) as (values (cast(0 as bigint), 'reply', 15), (1, 'none', null), (2, 'none', null), (3, 'create_task', 30)) select * from v")
+@query(f"select conv_id, turn, {DICTS} kind, case when conv_id % 3 = 0 then null else length(text) end as \"minutes\" from conversations where text is not null")
 def action_dicts(t):
     """Unknown types become none, durations numbers or null."""
+    name = F.element_at(F.array(*map(F.lit, NAMED)), (F.col("turn") % len(NAMED) + 1).cast("int"))
+    minutes = F.when(F.col("conv_id") % 3 == 0, F.lit("soon")).otherwise(F.length("text").cast("string"))
+    rows = t.conversations.where("text is not null").select("conv_id", "turn", F.to_json(F.struct(name.alias("action_type"), minutes.alias("duration_minutes"))).alias("x"))
     p = F.from_json("x", "action_type string, duration_minutes string")
     kind = F.lower(F.trim(F.coalesce(p["action_type"], F.lit("none"))))
-    rows = t.spark.createDataFrame(list(enumerate(ACTIONS)), "id long, x string")
     types = ["reply", "create_task", "create_reminder", "create_calendar_event", "review_document", "contact_sender", "follow_up"]
-    return rows.select("id", F.when(kind.isin(*types), kind).otherwise("none").alias("kind"), p["duration_minutes"].try_cast("int").alias("minutes"))
+    return rows.select("conv_id", "turn", F.when(kind.isin(*types), kind).otherwise("none").alias("kind"), p["duration_minutes"].try_cast("long").alias("minutes"))

@@ -1,8 +1,10 @@
-"""A small fixed mailbox in which every rule has something to find, for Spark and as SQL VALUES."""
+"""A mailbox over the conversations table: each turn is a message whose head is one of a few fixed ones, in which every
+rule has something to find, and whose body goes on with the turn's text; for Spark and as SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 COLUMNS = ("id", "sender", "subject", "body")
 ROWS = (
@@ -25,8 +27,11 @@ ROWS = (
 )
 
 
-def frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROWS, "id long, sender string, subject string, body string")
+def frame(t) -> DataFrame:
+    """id, sender, subject, body."""
+    heads = F.broadcast(t.spark.createDataFrame([(i - 1, *rest) for i, *rest in ROWS], "k long, sender string, subject string, head string"))
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ROWS))).cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    return turns.join(heads, "k").select("id", "sender", "subject", F.concat("head", F.lit("\n"), "text").alias("body"))
 
 
 def quoted(x) -> str:
@@ -34,6 +39,6 @@ def quoted(x) -> str:
 
 
 #: A CTE named mail with the same rows.
-SQL = "mail as (select cast(id as bigint) id, sender, subject, body from (values " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in ROWS) + ") v(id, sender, subject, body))"
+SQL = "mail as (select cast(c.conv_id * 1000 + c.turn as bigint) id, sender, subject, v.body || chr(10) || coalesce(c.text, '') body from conversations c join (values " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in ROWS) + f") v(id, sender, subject, body) on (c.conv_id + c.turn) % {len(ROWS)} = v.id - 1)"
 #: The lowered texts s, b, f (sender) and t (subject and body).
 LOWERED = SQL + ", low as (select id, lower(subject) s, lower(body) b, lower(sender) f, lower(subject) || ' ' || lower(body) t from mail)"

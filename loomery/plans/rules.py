@@ -53,7 +53,7 @@ def rounded(cols) -> str:
 
 
 def box(t):
-    return M.frame(t.spark)
+    return M.frame(t)
 
 
 @query(f"with {SCORES} select id, {rounded(L.TAGS)} from scored")
