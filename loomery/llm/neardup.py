@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .workspace import batches_of, drop, keep_ids, materialize, small_batches, tidy
+from .workspace import BROADCAST_IDS, batches_of, drop, keep_ids, materialize, small_batches, tidy
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: Similarity as a fraction NUM / DEN.
 NUM, DEN = 75, 100
 #: 5 standard deviations (0.038 each) below the threshold: estimates under this are not verified.
 LEAST_ESTIMATE = 0.55
+#: Pairs of one right member that a task joins: a pivot of many pairs is copied and dealt to several.
+SPREAD = 256
 #: Rows, and their shingles, that meet each other in one step of the exact way through unresolved buckets.
 BLOCK, BLOCK_SHINGLES = 128, 100_000
 
@@ -114,17 +116,35 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: in
     return keep_ids(texts, ids, "doc_id").mapInArrow(tidy(sets), schema)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def spread(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """left joined with right by b, where left holds the pairs (a, b) of a written table, with other columns.
+
+    A pivot that is in many pairs would be one task's: its row on the right is copied for each SPREAD of them.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")).where("parts > 1")
+    parts = materialize(parts, "hot", n)
+    hot = parts.count()
+    if not hot:
+        return left.join(right, "b")
+    parts = F.broadcast(parts) if hot <= BROADCAST_IDS else parts
+    left = left.join(parts, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    right = right.join(parts, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, ["b", "part"]).drop("part")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    pairs = materialize(pairs.select("a", "b"), "asked", n)
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = spread(pairs, left, sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), n)
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("i"))
     return both.where(f"{DEN} * bigint(i) >= {NUM} * bigint(n - i)").select("a", "b").distinct()
 
 
-def scored(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) with equal registers counted; those that can't reach the similarity by size or estimate go."""
+def scored(pairs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of a written table with their estimates; those that can't reach the similarity by size or estimate go."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
+    both = spread(pairs, pairs.join(side("a"), "a"), side("b"), n).where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
 
     def match(batches):
         for b in batches:
@@ -249,16 +269,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(mixed).alias("m")).where("n > 1")
     pivots = materialize(pivots.select("bucket", F.col("m").bitwiseXOR(F.xxhash64("bucket")).alias("b")), "pivots", n)
     star = bands.join(pivots, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    pairs = materialize(scored(star, reps), "pairs", n)
+    star = materialize(star, "star")
+    pairs = materialize(scored(star, reps, n), "pairs", n)
+    drop(star)
     needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "needed", n)
     sets = materialize(full_sets(docs, needed, id_col, text_col, k), "sets")
 
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("est", F.xxhash64("a", "b"))).alias("b"))
     same = some.groupBy("doc_id").count().where("count > 1").select("doc_id")
     same = member.join(same, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = materialize(connected_components(verify(best, sets).union(same)), "labels", n)
+    labels = materialize(connected_components(verify(best, sets, n).union(same)), "labels", n)
     more = relabel(pairs.select("a", "b"), labels)
-    confirmed = verify(more, sets)
+    confirmed = verify(more, sets, n)
     labels = materialize(merged(labels, materialize(relabel(confirmed, labels), "links", n), n), "labels", n)
     drop(pairs, needed, sets, pivots, classes)
     links = unresolved(docs, bands, reps, labels, id_col, text_col, k, n)

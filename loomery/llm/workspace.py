@@ -30,6 +30,24 @@ def root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths of the tables written inside each open scratch.
+OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """At the end, delete what materialize wrote inside, but for the tables that the caller adds to the list it gets."""
+    keep: list[DataFrame] = []
+    OPEN.append([])
+    try:
+        yield keep
+    finally:
+        made, kept = OPEN.pop(), {t._loomery_path for t in keep}
+        delete(spark, *(p for p in made if p not in kept))
+        if OPEN:
+            OPEN[-1] += kept
+
+
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return the reread table: lineage ends here.
 
@@ -41,17 +59,23 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None and (files := max(1, -(-rows // FILE_ROWS))) < partitions(spark):
         df = df.repartition(files)
     df.write.parquet(path)
+    if OPEN:
+        OPEN[-1].append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._loomery_path = path
     return table
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that materialize wrote and no result still reads."""
     for t in tables:
-        jvm, path = t.sparkSession._jvm, t._loomery_path
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        delete(t.sparkSession, t._loomery_path)
 
 
 def small_batches(spark: SparkSession) -> None:
