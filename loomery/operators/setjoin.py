@@ -7,6 +7,7 @@ sets share, where single items, however rare, are shared by many.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +33,25 @@ class Parts:
     """
 
     def __init__(self, threshold: float):
-        self.t, edges = threshold, [1]
+        self.t, self.known, edges = threshold, {}, [1]
         while threshold < 1 and edges[-1] < LARGEST:
             edges.append(max(edges[-1] + 1, int(edges[-1] / threshold) + 1))
         self.edges = np.array(edges)
 
     def scheme(self, s: int) -> tuple[int, int, int]:
-        """Greatest difference, parts and dealings for pairs whose smaller set is of class s."""
-        apart = int((self.edges[s + 1] - 1) * (1 - self.t) / self.t + 1e-9)
-        return apart, apart + 1 + (apart > 0) + apart // 50, 1 if apart > 12 else 3
+        """Greatest difference, parts and dealings for pairs whose smaller set is of class s.
+
+        Larger sets get so many parts that nearly always enough are full; small ones rely on three dealings.
+        """
+        if s not in self.known:
+            apart, least = int((self.edges[s + 1] - 1) * (1 - self.t) / self.t + 1e-9), int(self.edges[s])
+            parts = apart + 1 + (apart > 0)
+            if apart > 12:
+                empty = lambda p: p * math.exp(-least / p)
+                while parts < 2 * apart and parts - empty(parts) - 3 * math.sqrt(empty(parts)) <= apart:
+                    parts += 1 + parts // 50
+            self.known[s] = apart, parts, 1 if apart > 12 else 3
+        return self.known[s]
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Keys of a set of distinct hashed items."""

@@ -1,6 +1,6 @@
 """Registered queries. Importing this package fills QUERIES and SQL."""
 
-from . import analytics, assist, audits, corpus, labels, learning, rules, streams  # noqa: F401
+from . import analytics, assist, audits, corpus, files, labels, learning, rules, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
