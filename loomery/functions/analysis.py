@@ -134,8 +134,10 @@ def polarity(col: Column | str, weights: dict[str, float]) -> Column:
     """
     words = F.filter(F.split(F.lower(text(col)), r"(?U)[^\w']+"), lambda w: w != "")
     table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.create_map().cast("map<string,double>")
-    before = lambda i: F.coalesce(F.get(words, i - 1), F.lit(""))
-    found = F.filter(F.transform(words, lambda w, i: F.element_at(table, w).cast("double") * F.when((i > 0) & (before(i).isin("not", "no", "never") | before(i).endswith("n't")), -0.5).otherwise(1.0)), lambda x: x.isNotNull())
+    before = lambda ws, i: F.coalesce(F.get(ws, i - 1), F.lit(""))
+    turned = lambda ws, i: F.when((i > 0) & (before(ws, i).isin("not", "no", "never") | before(ws, i).endswith("n't")), -0.5).otherwise(1.0)
+    each = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.element_at(table, w).cast("double") * turned(ws, i)))  # binds the words once
+    found = F.filter(F.element_at(each, 1), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, F.round(F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / F.size(found), 2)).otherwise(0.0)
 
 

@@ -11,8 +11,9 @@ from .text import words
 def grams(col: Column, n: int = 4) -> Column:
     """Distinct character n-grams; none for shorter texts."""
     at = F.when(F.length(col) >= n, F.sequence(F.lit(1), F.length(col) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    chars = F.split(col, "")  # once: taking each gram from the text would walk it from the start every time
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(chars, i, n), "")))
+    # the outer lambda binds the characters, which the inner one would split off again for each gram
+    bound = F.transform(F.array(F.split(col, "")), lambda c: F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(c, i, n), ""))))
+    return F.element_at(bound, 1)
 
 
 def word_set(col: Column) -> Column:
