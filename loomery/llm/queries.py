@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, packing, quality, secrets, toolcalls, topk, urlrules, warc
+from . import fim, licenses, mixing, neardup, packing, quality, secrets, toolcalls, topk, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(written, ",").alias("matches"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.arranged(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")))
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1 finds by its fixed patterns alone."""
     return op1_ownership_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -131,6 +136,14 @@ links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y
 reach as (select doc_id, doc_id r from documents union select reach.doc_id, b from reach join links on a = r),
 low as (select doc_id, min(r) component_id from reach group by 1)
 select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept from documents d left join sizes using (doc_id) join low using (doc_id)""",
+    "op13_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') x, sha256('1:' || coalesce(cast(doc_id as varchar), '')) s from documents),
+u as (select *, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]') u, cast('0x' || s[1:8] as bigint) h1, cast('0x' || s[9:16] as bigint) h2, cast('0x' || s[17:24] as bigint) h3, cast('0x' || s[25:32] as bigint) h4 from d),
+c as (select *, len(u) n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) i, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) j,
+case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from u),
+p as (select *, array_to_string(u[1:i], '') a, array_to_string(u[i + 1:j], '') b, array_to_string(u[j + 1:n], '') c from c)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then length(a) end prefix_chars, case when form <> 'plain' then length(b) end middle_chars,
+sha256(case form when 'plain' then x when 'psm' then '<P>' || a || '<S>' || c || '<M>' || b else '<S>' || c || '<P>' || a || '<M>' || b end) output_sha256, sha256(x) restored_sha256 from p""",
     "op6_chunked_warc": """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
 m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) top from p)
