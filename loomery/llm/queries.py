@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fim, licenses, mixing, neardup, packing, quality, secrets, toolcalls, topk, urlrules, warc
+from . import fim, licenses, mixing, neardup, packing, quality, secrets, toolcalls, topk, trie, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(written, ",").alias("matches"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.restored(fim.arranged(table(spark, sf_dir, "documents")))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")))
@@ -136,6 +140,19 @@ links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y
 reach as (select doc_id, doc_id r from documents union select reach.doc_id, b from reach join links on a = r),
 low as (select doc_id, min(r) component_id from reach group by 1)
 select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept from documents d left join sizes using (doc_id) join low using (doc_id)""",
+    "op12_conversation_trie": rf"""
+with i as (select conv_id, unnest(range(1, len(cast(conv_id as varchar)) + 1)) i, cast(conv_id as varchar) s from (select distinct conv_id from conversations where conv_id is not null)),
+b as (select conv_id, list(ascii(s[i]) order by i) b from i group by 1),
+h as (select conv_id, xor(list_reduce(b, lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384)), 4294967295), 4294967295) % 4 h from b),
+t as (select conv_id, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) n from conversations where conv_id is not null),
+r as (select c.conv_id, 0 own, n, role, text from h c join t on t.conv_id = c.conv_id - c.conv_id % 20 and n <= h union all select t.conv_id, 1, n, role, text from t join h using (conv_id) where n > h),
+o as (select conv_id, row_number() over (partition by conv_id order by own, n) depth, struct_pack(r := role, t := text) turn from r),
+p as (select conv_id, depth, list(turn) over (partition by conv_id order by depth) path, len(regexp_extract_all(turn.t, '{WORD}')) words from o union all select conv_id, 0, [], 0 from h),
+l as (select conv_id, max(depth) length from p group by 1),
+n as (select depth, path, min(conv_id) id, count(*) n_convs, any_value(words) words, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where depth = length), '')) ends, bool_and(depth = length) leaf from p join l using (conv_id) group by 1, 2),
+a as (select u.depth d0, u.path p0, n.depth, n.path, n.id, n.n_convs, n.words, n.leaf from n join p u on u.conv_id = n.id and u.depth <= n.depth)
+select n.id conv_id, n.depth, q.id parent_conv_id, n.n_convs, count(*) filter (where a.depth = n.depth + 1) n_children, count(*) filter (where a.leaf) n_leaves, cast(sum((a.n_convs - 1) * a.words) as bigint) saved_tokens, n.ends ends_sha256
+from n join a on a.d0 = n.depth and a.p0 = n.path left join n q on q.depth = n.depth - 1 and q.path = n.path[1:n.depth - 1] group by all""",
     "op13_fill_in_middle": r"""
 with d as (select doc_id, coalesce(text, '') x, sha256('1:' || coalesce(cast(doc_id as varchar), '')) s from documents),
 u as (select *, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]') u, cast('0x' || s[1:8] as bigint) h1, cast('0x' || s[9:16] as bigint) h2, cast('0x' || s[17:24] as bigint) h3, cast('0x' || s[25:32] as bigint) h4 from d),

@@ -1,11 +1,14 @@
 """Fill-in-the-middle, the conversation trie and decontamination against brute force, with every awkward row."""
 
 import hashlib
+import random
 import re
+import zlib
+from collections import defaultdict
 
 from helpers import LONG, docs, empty
 
-from loomery.llm import fim
+from loomery.llm import fim, trie
 
 
 def fim_of(i, text, seed=1):
@@ -25,7 +28,7 @@ def fim_of(i, text, seed=1):
 
 def test_fill_in_middle(spark):
     odd = ["<", "<<S", "S>", "a<P>b", "<P", "P><S<M", "😀é\n\r\x00x", "x" * 70_000, LONG, None, "", "a"]
-    more = spark.createDataFrame([(i, odd[i % len(odd)], "clash", "clash") for i in [*range(240), -7, None]], "doc_id long, text string, form string, output string")
+    more = spark.createDataFrame([(i, odd[(i or 0) % len(odd)], "clash", "clash") for i in [*range(240), -7, None]], "doc_id long, text string, form string, output string")
     for d in (docs(spark), more):
         got = fim.restored(fim.arranged(d)).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "restored").collect()
         want = [(r["doc_id"], *fim_of(r["doc_id"], r["text"]), r["text"] or "") for r in d.collect()]
@@ -35,3 +38,50 @@ def test_fill_in_middle(spark):
     other = fim.arranged(more.withColumnsRenamed({"doc_id": "k", "text": "body"}), "k", "body", seed=2, plain=0, spm=100, marks=("[a]", "[b]", "[c]"))
     assert {r["form"] for r in other.select("form").distinct().collect()} == {"plain", "spm"}
     assert fim.restored(other, ("[a]", "[b]", "[c]")).where("text <> restored").isEmpty()
+
+
+def trie_of(rows):
+    """Every node of the rebuilt conversations, its subtree walked node by node."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append(((turn is not None, turn or 0), role, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest(), text))
+    own = {c: [(r, t) for _, r, _, t in sorted(v)] for c, v in own.items()}
+    paths = {}
+    for c, turns in own.items():
+        h, base = zlib.crc32(str(c).encode()) % 4, c - (abs(c) % 20) * (1 if c > 0 else -1)
+        paths[c] = own.get(base, [])[:h] + turns[h:]
+    members = defaultdict(list)
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            members[tuple(path[:d])].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    out, sums = [], {}
+    for node in sorted(members, key=len, reverse=True):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        leaves = sum(sums[k][0] for k in children[node]) or 1
+        sums[node] = leaves, (len(members[node]) - 1) * words + sum(sums[k][1] for k in children[node])
+        ends = ",".join(map(str, sorted(c for c in members[node] if len(paths[c]) == len(node))))
+        out.append((min(members[node]), len(node), min(members[node[:-1]]) if node else None, len(members[node]), len(children[node]), *sums[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def test_trie(spark):
+    rnd = random.Random(3)
+    rows = [(c, t, rnd.choice(["user", "user", "assistant", None]), rnd.choice(["a b", "a  b\tc", "é\u00a0x y", None, ""])) for c in range(-45, 300) for t in range(rnd.randrange(1, 7)) if rnd.random() < 0.8]
+    rows += [(7000 + c, t, "user", f"common turn {t}") for c in range(400) for t in range(3)]  # copies
+    rows += [(9000, t, "user", f"turn {t // 2}") for t in range(3000)]  # one long conversation over all partitions
+    rows += [(9001 + k, 0, "user", "only turn") for k in range(15)]  # some are left without a turn
+    rows += rows[:50] + [(None, 1, "user", "lost"), (12, None, "user", "first"), (12, None, "assistant", "first"), (12, 3, "user", "x"), (12, 3, "user", "w"), (2**40 + 3, 0, None, None), (5, 0, "user", LONG)]
+    schema = "conv_id long, turn int, role string, text string"
+    for data in (rows, rows[:1], []):
+        frame = spark.createDataFrame([(*r, "clash", 1) for r in data], schema + ", depth string, n_convs int").repartition(5)
+        got = trie.trie(frame, block=7)
+        names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+        assert got.columns == names
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, trie_of(data)))
+    assert any(r[:2] == (-45, 0) for r in trie_of(rows))
