@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fim, licenses, mixing, neardup, packing, quality, secrets, toolcalls, topk, trie, urlrules, warc
+from . import decontam, fim, licenses, mixing, neardup, packing, quality, secrets, toolcalls, topk, trie, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(written, ",").alias("matches"))
 
 
+def op11_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -107,6 +112,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 #: Number and name of a kind, its pattern, and the group whose length is checked.
 SPANS = " union all ".join(f"select doc_id, {k} k, '{name}' kind, regexp_extract_all(x, '{p}') m, string_split_regex(x, '{p}') s, regexp_extract_all(x, '{p}', {g}) v, {n} least from t" for k, (name, p, g, n) in enumerate((("assign", ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]{16,}", 0, 16))))
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
     "secret_base_spans": rf"""
@@ -140,6 +146,14 @@ links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y
 reach as (select doc_id, doc_id r from documents union select reach.doc_id, b from reach join links on a = r),
 low as (select doc_id, min(r) component_id from reach group by 1)
 select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept from documents d left join sizes using (doc_id) join low using (doc_id)""",
+    "op11_positional_decontamination": rf"""
+with d as (select row_number() over () k, doc_id, regexp_extract_all({LOWER}, '{ITEM_WORD}') w from documents), b as (select item_id, regexp_extract_all({LOWER}, '{ITEM_WORD}') w from benchmark),
+s as (select item_id, unnest(case when len(w) = 0 then [] when len(w) < 10 then [w] else list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) end) x from b),
+l as (select distinct len(x) n from s), p as (select k, n, unnest(range(1, len(w) - n + 2)) i, w from d, l where len(w) >= n),
+o as (select distinct k, i, n, item_id from (select k, i, n, w[i:i + n - 1] x from p) join s using (x)),
+h as (select k, count(*) n_hit from (select distinct k, unnest(range(i, i + n)) j from o) group by 1),
+t as (select k, count(*) n_items, string_agg(i, ',' order by i) ids from (select distinct k, cast(item_id as varchar) i from o) group by 1)
+select doc_id, coalesce(len(w), 0) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join h using (k) left join t using (k)""",
     "op12_conversation_trie": rf"""
 with i as (select conv_id, unnest(range(1, len(cast(conv_id as varchar)) + 1)) i, cast(conv_id as varchar) s from (select distinct conv_id from conversations where conv_id is not null)),
 b as (select conv_id, list(ascii(s[i]) order by i) b from i group by 1),

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 from helpers import LONG, docs, empty
 
-from loomery.llm import fim, trie
+from loomery.llm import decontam, fim, trie
 
 
 def fim_of(i, text, seed=1):
@@ -85,3 +85,80 @@ def test_trie(spark):
         assert got.columns == names
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, trie_of(data)))
     assert any(r[:2] == (-45, 0) for r in trie_of(rows))
+
+
+def item_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def windows_of(text):
+    w = item_words(text)
+    return [w[i : i + 10] for i in range(max(1, len(w) - 9))] if w else []
+
+
+def contaminated(text, items):
+    w, hit, found = item_words(text), set(), set()
+    for i, item in items:
+        for x in windows_of(item):
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    hit |= set(range(k, k + len(x)))
+                    found |= {str(i)} if i is not None else set()
+    return len(w), len(hit), sorted(found)
+
+
+def near(text, items, within=20):
+    w, found = item_words(text), set()
+    for i, item in items:
+        for x in windows_of(item):
+            for k in range(max(1, len(w))):
+                if set(x) <= set(w[k : k + within]):
+                    found.add(str(i))
+    return sorted(found)
+
+
+def awkward_benchmark():
+    rnd = random.Random(5)
+    words = ["the", "of", "Éa", "x1", "b", *(f"w{k}" for k in range(60))]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(k, text(rnd.choice([3, 9, 10, 11, 25]))) for k in range(12)]
+    items += [(20, items[4][1]), (20, items[4][1]), (21, "the"), (22, ""), (23, None), (24, "-- !"), (25, "the the the"), (26, "never-seen word"), (None, items[5][1]), (100, "rest " + items[4][1].upper())]
+    docs_ = [(k, text(rnd.randrange(0, 80))) for k in range(40)]
+    for k in range(60):
+        i = rnd.choice(items)[1] or ""
+        w = i.split(" ")
+        part = " ".join(w[rnd.randrange(3) :])
+        docs_.append((100 + k, text(rnd.randrange(12)) + rnd.choice([" ", ", ", "\n"]) + rnd.choice([str.upper, str])(part) + "." + text(rnd.randrange(12))))
+        rnd.shuffle(w)
+        docs_.append((200 + k, " xx ".join(w[:3]) + " " + " ".join(w[3:])))
+    docs_ += [docs_[50], docs_[50], (7, docs_[60][1]), (None, docs_[61][1]), (8, None), (9, ""), (10, "the " * 30_000), (11, LONG)]
+    docs_ += [(1000 + k, f"u{k} " + items[4][1] + f" v{k}") for k in range(300)]  # a passage that a third of all documents share
+    return docs_, items
+
+
+def test_decontamination(spark, monkeypatch):
+    docs_, items = awkward_benchmark()
+    d = spark.createDataFrame([(*r, 1, "clash") for r in docs_], "doc_id long, text string, n_words int, t0 string").repartition(5)
+    b = spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, term string").repartition(3)
+    want = sorted(repr((i, *contaminated(t, items))) for i, t in docs_)
+    answers = lambda: sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in decontam.contamination(d, b).collect())
+    assert answers() == want
+    assert sum("[]" in x for x in want) > 20 < sum("[]" not in x for x in want)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_CANDIDATES", 0)
+    assert answers() == want  # by shuffles
+    monkeypatch.undo()
+    assert decontam.contamination(d.limit(0), b).count() == 0
+    assert decontam.contamination(d, b.limit(0)).where("n_hit > 0 or contaminated or size(items) > 0").isEmpty()
+
+
+def test_proximity(spark):
+    docs_, items = awkward_benchmark()
+    docs_, items = [r for r in docs_[:180] if r[0] != 10], [r for r in items if r[0] is not None]
+    d = spark.createDataFrame(docs_, "doc_id long, text string").repartition(3)
+    found, windows = decontam.proximity(d, spark.createDataFrame(items, "item_id long, text string"))
+    ids = {r["item_set"]: r["item_ids"] for r in windows.collect()}
+    got = sorted(repr((r["doc_id"], sorted({i for m in r["matches"] for i in ids[m["item_set"]]}))) for r in found.collect())
+    assert got == sorted(repr((i, near(t, items))) for i, t in docs_)
+    exact, _ = decontam.phrases(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert exact.where("size(matches) > 0").count() < found.where("size(matches) > 0").count()
