@@ -18,7 +18,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import materialize, small_batches, tidy
@@ -67,6 +67,13 @@ def finder():
     return find
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Digest of id and text in which null, empty and every other value are written apart."""
+    i = F.col(id_col).cast("string")
+    name = F.when(i.isNull(), "-").otherwise(F.concat(F.length(i).cast("string"), F.lit(":"), i))
+    return F.unhex(F.md5(F.concat(name, F.when(F.col(text_col).isNull(), "-").otherwise(F.concat(F.lit(":"), F.col(text_col))))))
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
     """doc_id, text_key (digest of id and text), owner, repo, found: array of (start, kind, end, value's hash, looks live)."""
     small_batches(docs.sparkSession)
@@ -79,8 +86,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
             found = [[dict(start=s, kind=k, end=e, value=hashlib.sha256(v.encode()).digest()[:16], looks=live_looking(v)) for s, k, e, v in find(t or "")] for t in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(span))], names=[*b.schema.names[:4], "found"])
 
-    key = F.unhex(F.md5(F.concat_ws("\x00", F.col(id_col).cast("string"), F.col(text_col))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.coalesce(text_col, F.lit("")).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("text_key"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.coalesce(text_col, F.lit("")).alias("t"))
     return rows.mapInArrow(tidy(scan), f"doc_id {kind}, text_key binary, owner string, repo string, found array<struct<start: long, kind: int, end: long, value: binary, looks: boolean>>")
 
 
@@ -104,7 +110,7 @@ def redact(docs: DataFrame, **columns) -> DataFrame:
     """docs with live credentials replaced by [kind]; copied and shared values stay. Other columns are left as they are."""
     live = scan(docs, **columns).select(F.col("text_key").alias("_lm_key"), F.filter("spans", lambda s: s["verdict"] == "live").alias("_lm_spans"))
     live = materialize(live.where("size(_lm_spans) > 0").dropDuplicates(["_lm_key"]), "live")
-    joined = docs.withColumn("_lm_key", F.unhex(F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.col("text"))))).join(live, "_lm_key", "left")
+    joined = docs.withColumn("_lm_key", row_key("doc_id", "text")).join(live, "_lm_key", "left")
     names = F.array(*map(F.lit, KINDS))
 
     def add(acc, s):
