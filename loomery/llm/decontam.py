@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .workspace import drop, materialize
 
-#: Fixed value: what a word is, before A-Z become a-z.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WINDOW, ANCHORS = 10, 3
+#: Fixed value: what stands between words, before A-Z become a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WINDOW, ANCHORS = 10, 2
 #: Rows of a benchmark table that may be broadcast, and of candidates.
 BROADCAST_ROWS, BROADCAST_CANDIDATES = 500_000, 250_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,8 +40,17 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def words_of(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def with_words(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the words of a text, as they are written: what splitting leaves, without an empty first or last piece."""
+    cut = df.withColumn(name, F.split(F.coalesce(text, F.lit("")), BETWEEN))
+    first = (F.get(name, F.lit(0)) == "").cast("int")
+    last = ((F.get(name, F.size(name) - 1) == "") & (F.size(name) > 1)).cast("int")
+    return cut.withColumn(name, F.slice(name, first + 1, F.size(name) - first - last))
+
+
+def term(word: Column) -> Column:
+    """Terms are compared by hash until a candidate's words are: two that share one can add a candidate, never lose a match."""
+    return F.xxhash64(lowered(word))
 
 
 def hashes(text: str) -> list[Column]:
@@ -57,7 +66,8 @@ def bounded(df: DataFrame, limit: int) -> DataFrame:
 
 def windows_of(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """window (digest of its words), length, terms, item_set (digest of the ids), item_ids (sorted strings)."""
-    split = items.select(F.col(id_col).cast("string").alias("item"), F.transform(words_of(text_col), lowered).alias("w")).where(F.size("w") > 0)
+    named = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("t"))
+    split = with_words(named, "t", "w").select("item", F.transform("w", lowered).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
     each = split.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("terms"))
     ids = F.array_sort(F.collect_set("item"))
@@ -69,21 +79,21 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, size: int) -> DataF
 
 def frequencies(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """term, n: how often each of the terms stands in the texts; terms that don't are absent."""
-    each = docs.select(F.explode(words_of(text_col)).alias("term")).select(lowered(F.col("term")).alias("term"))
+    each = with_words(docs.select(F.col(text_col).alias("t")), "t", "w").select(F.explode("w").alias("w")).select(term(F.col("w")).alias("term"))
     return each.join(bounded(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """term, t0, t1, position (from 1): where each of the terms stands in each distinct text."""
-    each = docs.select(*hashes(text_col), F.posexplode(words_of(text_col)).alias("position", "term"))
-    each = each.select(lowered(F.col("term")).alias("term"), "t0", "t1", (F.col("position") + 1).alias("position"))
+    named = with_words(docs.select(*hashes(text_col), F.col(text_col).alias("t")), "t", "w")
+    each = named.select("t0", "t1", F.posexplode("w").alias("position", "w")).select(term(F.col("w")).alias("term"), "t0", "t1", (F.col("position") + 1).alias("position"))
     return each.join(bounded(terms, BROADCAST_ROWS), "term").distinct()
 
 
 def anchored(windows: DataFrame, freq: DataFrame, anchors: int) -> DataFrame:
     """window, length and, rarest first and up to `anchors` of each: rarest (n, offset, term) and scarce (n, term), in which
     a term that stands twice is one. Windows with a term that no text has are left out."""
-    each = windows.select("window", "length", F.posexplode("terms").alias("offset", "term")).join(freq, "term")
+    each = windows.select("window", "length", F.posexplode(F.transform("terms", lambda t: F.xxhash64(t))).alias("offset", "term")).join(freq, "term")
     each = each.groupBy("window", "length").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("all"))
     scarce = F.array_distinct(F.transform("all", lambda x: F.struct(x["n"].alias("n"), x["term"].alias("term"))))
     return each.where(F.size("all") == F.col("length")).select("window", "length", F.slice("all", 1, anchors).alias("rarest"), F.slice(scarce, 1, anchors).alias("scarce"))
@@ -94,7 +104,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int):
         self.windows = materialize(windows_of(items, item_col, item_text_col, size), "windows")
-        terms = materialize(self.windows.select(F.explode("terms").alias("term")).distinct(), "terms")
+        terms = materialize(self.windows.select(F.explode(F.transform("terms", lambda t: F.xxhash64(t))).alias("term")).distinct(), "terms")
         freq = materialize(frequencies(docs, terms, text_col), "frequencies")
         self.rarest = materialize(anchored(self.windows, freq, ANCHORS), "rarest")
         wanted = materialize(self.rarest.select(F.explode(F.concat("rarest.term", "scarce.term")).alias("term")).distinct(), "wanted")
@@ -141,7 +151,7 @@ class Index:
         few = found.count() <= BROADCAST_CANDIDATES
         per_text = materialize(per_text, "found")
         made = ["t0", "t1", "n_words", "matches"]
-        rows = docs.select(*(c for c in docs.columns if c not in made), *hashes(text_col), words_of(text_col).alias("_w"))
+        rows = with_words(docs.select(*(c for c in docs.columns if c not in made), *hashes(text_col)), text_col, "_w")
         held = rows.join(F.broadcast(per_text) if few else per_text, ["t0", "t1"], "left")
         at = F.transform("_found", lambda m: F.struct(check(F.col("_w"), m).alias("start"), m["length"].alias("length"), m["item_set"].alias("item_set")))
         kind = "array<struct<start: int, length: int, item_set: string>>"
