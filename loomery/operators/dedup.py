@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import jaccard
 from ..functions.text import word_hashes
 from ..functions.text import words as words_of
-from .setjoin import char_grams, contained, similar_pairs
+from .setjoin import candidates, char_grams, contained, meetings, similar_pairs, spanning
 
 
 def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -32,21 +32,41 @@ def classes(df: DataFrame, id_col: str, items: Column) -> DataFrame:
     return sets.join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"), "s")
 
 
-def alike(rows: DataFrame, id_col: str, text: Column, keep_table, words: float = 0.80, chars: float = 0.85, ratio: float = 0.70, least: int = 15) -> DataFrame:
-    """(a, b, word_sim, char_sim), a < b, of different normalised texts alike by words or by character 4-grams.
+class Texts:
+    """Word sets and character 4-gram sets of different normalised texts of `least` characters or more, as written tables.
 
-    Texts of `least` characters or more, the shorter at least `ratio` of the longer, count as alike if the similarity
-    of their word sets reaches `words` or that of their 4-grams `chars`. Give it one row for each distinct text.
+    Two texts count as alike if the similarity of their word sets reaches `words` or that of their 4-grams `chars`, the
+    shorter being at least `ratio` of the longer. Give it one row for each distinct text.
     """
-    rows = rows.select(F.col(id_col).alias("id"), text.alias("c")).where(F.length("c") >= least)
-    word = keep_table(rows.select("id", F.array_distinct(word_hashes(F.col("c"))).alias("s"), F.length("c").alias("n")))
-    gram = keep_table(char_grams(rows, "id", F.col("c")))
-    found = keep_table(similar_pairs(word, words).select("a", "b").union(similar_pairs(gram, chars).select("a", "b")).distinct())
-    w = lambda x: word.select(F.col("id").alias(x), F.col("s").alias(f"w{x}"), F.col("n").alias(f"n{x}"))
-    g = lambda x: gram.select(F.col("id").alias(x), F.col("s").alias(f"g{x}"))
-    both = found.join(w("a"), "a").join(w("b"), "b").where(F.least("na", "nb") / F.greatest("na", "nb") >= ratio)
-    both = both.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("word_sim")).join(g("a"), "a").join(g("b"), "b")
-    return both.select("a", "b", "word_sim", jaccard(F.col("ga"), F.col("gb")).alias("char_sim"))
+
+    def __init__(self, rows: DataFrame, id_col: str, text: Column, keep_table, words: float = 0.80, chars: float = 0.85, ratio: float = 0.70, least: int = 15):
+        rows = rows.select(F.col(id_col).alias("id"), text.alias("c")).where(F.length("c") >= least)
+        self.ratio, self.keep = ratio, keep_table
+        self.word = keep_table(rows.select("id", F.array_distinct(word_hashes(F.col("c"))).alias("s"), F.length("c").alias("n")))
+        self.gram = keep_table(char_grams(rows, "id", F.col("c")))
+        self.met = keep_table(meetings(self.word, words).unionByName(meetings(self.gram, chars)))
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of like length, with word_sim and char_sim."""
+        w = lambda x: self.word.select(F.col("id").alias(x), F.col("s").alias(f"w{x}"), F.col("n").alias(f"n{x}"))
+        g = lambda x: self.gram.select(F.col("id").alias(x), F.col("s").alias(f"g{x}"))
+        both = pairs.join(w("a"), "a").join(w("b"), "b").where(F.least("na", "nb") / F.greatest("na", "nb") >= self.ratio)
+        both = both.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("word_sim")).join(g("a"), "a").join(g("b"), "b")
+        return both.select("a", "b", "word_sim", jaccard(F.col("ga"), F.col("gb")).alias("char_sim"))
+
+    def pairs(self) -> DataFrame:
+        """(a, b, word_sim, char_sim), a < b, of all pairs that meet: those alike by `words` or `chars`, and some others."""
+        return self.compared(self.keep(candidates(self.met)))
+
+    def links(self, accept) -> DataFrame:
+        """(a, b): enough of the pairs that accept (compared pairs -> pairs) takes to join whatever all of them join."""
+        return spanning(self.met, lambda p: accept(self.compared(p)), lambda e: components(e, self.keep))
+
+
+def alike(rows: DataFrame, id_col: str, text: Column, keep_table, words: float = 0.80, chars: float = 0.85, **bounds) -> DataFrame:
+    """(a, b, word_sim, char_sim), a < b: all pairs of Texts that are alike."""
+    pairs = Texts(rows, id_col, text, keep_table, words, chars, **bounds).pairs()
+    return pairs.where((F.col("word_sim") >= words) | (F.col("char_sim") >= chars))
 
 
 def informative(rows: DataFrame, id_col: str, text: Column, pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import quantiles
+
 
 def distribution(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -31,7 +33,9 @@ def cross_tab(df: DataFrame, row: str, col: str, rows: list[str] | None = None,
 
 def length_stats(df: DataFrame, key: str, length: Column) -> DataFrame:
     x = df.withColumn("_x", length.cast("long"))
-    return x.groupBy(key).agg(F.min("_x").alias("shortest"), F.max("_x").alias("longest"), F.round(F.avg("_x"), 2).alias("mean"), F.median("_x").alias("median"))
+    return x.groupBy(key).agg(F.min("_x").alias("shortest"), F.max("_x").alias("longest"), F.round(F.avg("_x"), 2).alias("mean")).join(
+        quantiles(x, [key], F.col("_x"), {"median": 0.5}), key
+    )
 
 
 def duplicate_groups(df: DataFrame, content: Column, source: str) -> DataFrame:
@@ -49,9 +53,9 @@ def coverage(df: DataFrame, key: str, content: Column, language: str) -> DataFra
     shared = per.join(spread, "hash").groupBy(key).agg(F.count("*").alias("distinct_contents"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).cast("long").alias("repeated_contents"), F.sum(F.when(F.col("keys") > 1, 1).otherwise(0)).cast("long").alias("shared_contents"))
     stats = x.groupBy(key).agg(
         F.count("*").alias("n"), F.countDistinct(language).alias("languages"), F.sum(F.when(F.col("_c") == "", 1).otherwise(0)).cast("long").alias("empty"),
-        F.min("_l").cast("long").alias("shortest"), F.max("_l").cast("long").alias("longest"), F.round(F.avg("_l"), 2).alias("mean_length"), F.median("_l").alias("median_length"),
+        F.min("_l").cast("long").alias("shortest"), F.max("_l").cast("long").alias("longest"), F.round(F.avg("_l"), 2).alias("mean_length"),
     )
-    return stats.join(shared, key)
+    return stats.join(shared, key).join(quantiles(x, [key], F.col("_l"), {"median_length": 0.5}), key)
 
 
 def conflicts(df: DataFrame, key: Column, label: str) -> DataFrame:

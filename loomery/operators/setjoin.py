@@ -1,8 +1,10 @@
 """Exact similarity self-joins of sets, and meeting places of contained texts.
 
-Two sets of a Jaccard similarity t differ in at most (1 - t) / t of the smaller one's items. Dealt by hash into one
-part more than that, they agree on a whole part. So each set has a key for each part's content, which few unrelated
-sets share, where single items, however rare, are shared by many.
+Two sets of a Jaccard similarity t differ in at most d = (1 - t) / t of the smaller one's items. Dealt by hash into p parts,
+they agree on p - d of them at least, so a set needs keys for no more than d + 1 of its parts: its rarest ones. What many
+unrelated sets have in common, a part with one everyday item or none, comes last and is left out; a set with more than d
+parts of its own meets nobody. Keys that do meet are held against a second bound before a pair is made: the parities
+of both sets' items, dealt into many bits, differ in no more bits than the sets do in items.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import drop, keep_table
+
 LARGEST = 2**31
 
 
@@ -26,53 +30,41 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class Parts:
-    """Keys of sets by size: sets of one size class, or of two that follow each other, are dealt alike.
-
-    An empty part agrees with every other, so a set with so many that full ones need not agree relies on another
-    dealing; only one that has so many in all of them also has keys for its empty parts.
-    """
+    """Parts of sets by size: sets of one size class, or of two that follow each other, are dealt alike."""
 
     def __init__(self, threshold: float):
-        self.t, self.known, edges = threshold, {}, [1]
+        self.t, edges = threshold, [1]
         while threshold < 1 and edges[-1] < LARGEST:
             edges.append(max(edges[-1] + 1, int(edges[-1] / threshold) + 1))
         self.edges = np.array(edges)
 
-    def scheme(self, s: int) -> tuple[int, int, int]:
-        """Greatest difference, parts and dealings for pairs whose smaller set is of class s.
+    def scheme(self, c: int) -> tuple[int, int]:
+        """Greatest difference and number of parts for pairs whose smaller set is of class c.
 
-        Larger sets get so many parts that nearly always enough are full; small ones rely on three dealings.
+        A few parts more than must agree leave room to skip frequent ones; small sets need more, as more of their parts are empty.
         """
-        if s not in self.known:
-            apart, least = int((self.edges[s + 1] - 1) * (1 - self.t) / self.t + 1e-9), int(self.edges[s])
-            parts = apart + 1 + (apart > 0)
-            if apart > 12:
-                empty = lambda p: p * math.exp(-least / p)
-                while parts < 2 * apart and parts - empty(parts) - 3 * math.sqrt(empty(parts)) <= apart:
-                    parts += 1 + parts // 50
-            self.known[s] = apart, parts, 1 if apart > 12 else 3
-        return self.known[s]
-
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """Keys of a set of distinct hashed items."""
-        if not len(h):
-            return np.empty(0, np.uint64)
         if self.t >= 1:
-            return mixed(mixed(h).sum(keepdims=True))
-        size, out = int(np.searchsorted(self.edges, len(h), "right")) - 1, []
-        for s in {max(size - 1, 0), size}:
-            apart, parts, dealings = self.scheme(s)
-            dealt, safe = [], False
-            for r in range(dealings):
-                at = (mixed(h, 7 + r) % np.uint64(parts)).astype(np.int64)
-                content = np.zeros(parts, np.uint64)
-                np.add.at(content, at, mixed(h))
-                full = np.bincount(at, minlength=parts) > 0
-                key = mixed(content ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64((s * 8 + r) << 40), 3))
-                dealt.append((key, full))
-                safe |= int(full.sum()) > apart
-            out += [key if not safe else key[full] for key, full in dealt]
-        return np.concatenate(out)
+            return 0, 1
+        apart = int((self.edges[c + 1] - 1) * (1 - self.t) / self.t + 1e-9)
+        return apart, 1 if not apart else 2 * (apart + 1) if apart <= 12 else int(1.3 * (apart + 1))
+
+    def classes(self, n: int) -> list[int]:
+        """Classes under which a set of n items meets others."""
+        size = int(np.searchsorted(self.edges, n, "right")) - 1
+        return [0] if self.t >= 1 else sorted({max(size - 1, 0), size})
+
+    def keys(self, h: np.ndarray, c: int) -> np.ndarray:
+        """A key for the content of each part of a set of distinct hashed items, empty ones too."""
+        parts = self.scheme(c)[1]
+        content = np.zeros(parts, np.uint64)
+        np.add.at(content, (mixed(h, 7) % np.uint64(parts)).astype(np.int64), mixed(h))
+        return mixed(content ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 40), 3))
+
+    def parity(self, h: np.ndarray, c: int) -> np.ndarray:
+        """Parities of the numbers of items dealt to half as many bits as there are items, as 64-bit words."""
+        bits = 64 * (1 + int(self.edges[min(c, len(self.edges) - 1)]) // 128)
+        odd = np.bincount((mixed(h, 11) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -125,11 +117,8 @@ def fingerprints(text: str, least: int) -> np.ndarray:
     return np.unique(h)
 
 
-def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b, of the sets (id, s) with a Jaccard similarity of the threshold or more: exact.
-
-    Give it one row for each class of equal sets: a group of copies would make the square of its size.
-    """
+def meetings(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, n, t, parity): a written table of the rarest keys of the sets (id, s), without those that only one set has."""
     sets = sets.select("id", "s").where("size(s) > 0")
     if dict(sets.dtypes)["s"] != "array<bigint>":
         sets = sets.withColumn("s", F.transform("s", lambda x: F.xxhash64(x)))
@@ -138,17 +127,75 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     def key(batches):
         parts = Parts(threshold)
         for b in batches:
-            keys = [parts.keys(h) for h in lists(b.column(1))]
-            count = np.array(list(map(len, keys)), np.int64)
-            size = np.diff(b.column(1).offsets.to_numpy())
-            at = pa.array(np.repeat(np.arange(len(keys)), count))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(size.astype(np.int32)).take(at), pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64))], names=["id", "n", "key"])
-
-    posts = sets.mapInArrow(key, f"id {kind}, n int, key long")
-    a, b = (posts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "key") for x in "ab")
-    cand = a.join(b, "key").where("a < b").where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
+            found = [(i, c, *parts.scheme(c), parts.keys(h, c)) for i, h in enumerate(lists(b.column(1))) for c in parts.classes(len(h))]
+            count = np.array([len(f[-1]) for f in found], np.int64)
+            numbers = [pa.array(np.repeat(np.array([f[k] for f in found], np.int32), count)) for k in (1, 2, 3)]
+            at = pa.array(np.repeat(np.array([f[0] for f in found], np.int64), count))
+            flat = pa.array(np.concatenate([*(f[-1] for f in found), np.empty(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *numbers, flat], names=["id", "c", "apart", "parts", "key"])
+
+    def sketch(batches):
+        parts = Parts(threshold)
+        for b in batches:
+            found = [(i, c, len(h), parts.parity(h, c)) for i, h in enumerate(lists(b.column(1))) for c in parts.classes(len(h))]
+            ends = np.cumsum([0, *(len(f[-1]) for f in found)]).astype(np.int32)
+            numbers = [pa.array(np.array([f[k] for f in found], np.int32)) for k in (1, 2)]
+            bits = pa.ListArray.from_arrays(ends, np.concatenate([*(f[-1] for f in found), np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([f[0] for f in found], pa.int64())), *numbers, bits], names=["id", "c", "n", "parity"])
+
+    posts = keep_table(sets.mapInArrow(key, f"id {kind}, c int, apart int, parts int, key long"))
+    often = keep_table(posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    own = Window.partitionBy("id", "c")
+    room = F.col("apart") + 1 - (F.col("parts") - F.count("*").over(own))
+    rare = posts.join(often, "key").withColumn("room", room).where("room > 0")
+    rare = rare.withColumn("rank", F.row_number().over(own.orderBy("df", "key"))).where("rank <= room").select("key", "id", "c")
+    rare = keep_table(rare)
+    some = sets.join(rare.select("id").distinct(), "id", "left_semi").mapInArrow(sketch, f"id {kind}, c int, n int, parity array<long>")
+    met = keep_table(rare.join(some, ["id", "c"]).select("key", "id", "n", F.lit(float(threshold)).alias("t"), "parity"))
+    drop(posts, often, rare)
+    return met
+
+
+def may_be_alike(a: str, b: str) -> Column:
+    """Whether sizes and parities of the meetings a and b leave a similarity of t possible."""
+    na, nb, t = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.t")
+    differ = F.aggregate(F.zip_with(f"{a}.parity", f"{b}.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return (na >= t * nb) & (nb >= t * na) & (differ <= (na + nb) * (1 - t) / (1 + t) + 1e-9)
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """(a, b), a < b, distinct: all pairs of the meetings that may be alike."""
+    both = met.alias("x").join(met.alias("y"), "key").where(F.col("x.id") < F.col("y.id")).where(may_be_alike("x", "y"))
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def spanning(met: DataFrame, accept, components) -> DataFrame:
+    """(a, b): links accepted of the candidates, enough of them to reach all that all accepted candidates would reach.
+
+    Each key's smallest set meets the others first, which is linear. Only where a key then still holds several
+    components do their members meet across them: a family of copies of any size is linked through one of its own.
+    accept(pairs) gives the pairs (a, b) that are links.
+    """
+    lead = met.groupBy("key").agg(F.min(F.struct("id", "n", "t", "parity")).alias("lead")).select("key", "lead.*")
+    first = met.alias("y").join(lead.alias("x"), "key").where(F.col("x.id") < F.col("y.id")).where(may_be_alike("x", "y"))
+    links = keep_table(accept(keep_table(first.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())).select("a", "b"))
+    of = components(links).select(F.col("node").alias("id"), "component")
+    known = keep_table(met.join(of, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    split = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    rest = keep_table(known.join(split, "key", "left_semi"))
+    across = rest.alias("x").join(rest.alias("y"), "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).where(may_be_alike("x", "y"))
+    more = keep_table(accept(keep_table(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())).select("a", "b"))
+    drop(known, rest)
+    return links.union(more)
+
+
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, of the sets (id, s) with a Jaccard similarity of the threshold or more: exact.
+
+    Give it one row for each class of equal sets: a group of copies would make the square of its size.
+    """
     s = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
-    both = cand.join(s("a"), "a").join(s("b"), "b")
+    both = candidates(meetings(sets, threshold)).join(s("a"), "a").join(s("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     both = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
     return both.where(F.col("similarity") >= threshold)

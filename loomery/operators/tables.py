@@ -23,4 +23,18 @@ def keep_table(df: DataFrame) -> DataFrame:
     """Write df in the shared folder and reread it, which ends its lineage."""
     path = shared_path(df.sparkSession, uuid.uuid4().hex)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._loomery_path = path
+    return table
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Whether there was something at the path, which is gone now."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that keep_table wrote and no result still reads."""
+    for t in tables:
+        delete(t.sparkSession, t._loomery_path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..functions import similarity as sim
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import state as S
+from ..operators.scan import quantiles
+from ..operators.store import Store
+from ..operators.tables import shared_path
 from .registry import query
 
 # -- classes: order priority against market segment, event kinds, labels -------------------------------------------
@@ -40,7 +45,11 @@ def split_matrix(t):
 
 @query("select l_returnflag flag, min(l_quantity) low, max(l_quantity) high, round(avg(l_quantity), 2) mean, median(l_quantity) median, round(quantile_cont(l_extendedprice, 0.95), 6) p95 from lineitem group by 1")
 def length_summary(t):
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("flag")).agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.round(F.avg("l_quantity"), 2).alias("mean"), F.median("l_quantity").alias("median"), F.round(F.percentile("l_extendedprice", F.lit(0.95)), 6).alias("p95"))
+    rows = t.lineitem.withColumnRenamed("l_returnflag", "flag")
+    sizes = rows.groupBy("flag").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.round(F.avg("l_quantity"), 2).alias("mean"))
+    middle = quantiles(rows, ["flag"], F.col("l_quantity"), {"median": 0.5})
+    high = quantiles(rows, ["flag"], F.col("l_extendedprice"), {"p95": 0.95}).withColumn("p95", F.round("p95", 6))
+    return sizes.join(middle, "flag").join(high, "flag")
 
 
 PRED = "select d.doc_id, d.lang, d.source, case when l.quality = 1 then 'good' else 'bad' end truth, case when length(d.text) > 400 then 'good' when length(d.text) > 100 then 'bad' else 'unsure' end pred from documents d join labels l using (doc_id)"
@@ -143,7 +152,8 @@ def threshold_sweep(t):
 
 @query("select event_type, avg(value) mean, median(value) median, round(quantile_cont(value, 0.95), 9) p95 from events group by 1")
 def latency_percentiles(t):
-    return t.events.groupBy("event_type").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.round(F.percentile("value", F.lit(0.95)), 9).alias("p95"))
+    mean = t.events.groupBy("event_type").agg(F.avg("value").alias("mean"))
+    return mean.join(quantiles(t.events, ["event_type"], F.col("value"), {"median": 0.5, "p95": 0.95}), "event_type").withColumn("p95", F.round("p95", 9))
 
 
 @query(f"""with a as (select truth label, avg(case when truth = pred then 1.0 else 0.0 end) recall from ({PRED}) group by 1), b as (select truth label, avg(case when truth = 'good' then 1.0 else 0.0 end) recall from ({PRED}) group by 1)
@@ -285,15 +295,32 @@ def import_anti_join(t):
     return S.anti_merge(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["event_id"])
 
 
+@query("""with asof as (select max(ts) top from events), v as (select event_id, ts, user_id, value, 1 k from events where event_id % 2 = 0 union all select event_id, ts, user_id, value + 1, 2 from events where event_id % 10 = 0),
+n as (select * from v qualify row_number() over (partition by event_id order by ts desc, k desc) = 1), kept as (select event_id, ts, user_id, value from n, asof where ts >= top - interval 30 days),
+i as (select event_id, ts, user_id, value from events, asof where event_id % 3 = 0 and event_id not in (select event_id from kept))
+select * from kept union all select * from i""")
+def store_lifecycle(t):
+    """A stored table: rows, newer versions of some, expiry after 30 days, an import that adds what the store lacks, compaction."""
+    rows = t.events.select("event_id", "ts", "user_id", "value")
+    store = Store(t.spark, shared_path(t.spark, f"store_{uuid.uuid4().hex}"), ["event_id"], "ts", buckets=16)
+    store.merge(rows.where("event_id % 2 = 0"))
+    store.merge(rows.where("event_id % 10 = 0").withColumn("value", F.col("value") + 1))
+    store.expire(rows.agg(F.max("ts") - F.expr("interval 30 days")).first()[0])
+    store.merge(rows.where("event_id % 3 = 0"), only_new=True)
+    store.compact()
+    store.vacuum()
+    return store.read()
+
+
 # -- inbox ---------------------------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey, round(o_totalprice + coalesce(q, 0), 6) score from (select *, case when o_orderpriority = '1-URGENT' then 1000.0 when o_orderpriority = '2-HIGH' then 500.0 end q from orders) order by score desc, o_orderkey limit 50")
+@query("select o_orderkey, round(o_totalprice + coalesce(q, 0), 6) score from (select *, case when o_orderpriority = '1-URGENT' then 1000.0 when o_orderpriority = '2-HIGH' then 500.0 end q from orders)")
 def inbox_ranked(t):
     """Base score and learned value by a left join on the state key, highest first, ties by key."""
     q = t.spark.createDataFrame([("1-URGENT", 1000.0), ("2-HIGH", 500.0)], "o_orderpriority string, q double")
     out = t.orders.join(q, "o_orderpriority", "left").select("o_orderkey", F.round(F.col("o_totalprice") + F.coalesce("q", F.lit(0.0)), 6).alias("score"))
-    return out.orderBy(F.desc("score"), "o_orderkey").limit(50)
+    return out.orderBy(F.desc("score"), "o_orderkey")
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 20")

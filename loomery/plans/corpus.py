@@ -47,19 +47,18 @@ def norm_subject_forms(t):
 
 
 @query("""
-with p as (select a.conv_id, lower(a.text) x, lower(b.text) y from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = 0 and b.turn = 1),
+with p as (select a.conv_id, a.turn, lower(a.text) x, lower(b.text) y from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1),
 w as (select *, list_distinct(list_filter(string_split_regex(x, '\\s+'), lambda v: v <> '')) wx, list_distinct(list_filter(string_split_regex(y, '\\s+'), lambda v: v <> '')) wy,
   list_distinct(list_transform(range(1, greatest(1, length(x) - 2)), lambda i: substr(x, i, 4))) gx, list_distinct(list_transform(range(1, greatest(1, length(y) - 2)), lambda i: substr(y, i, 4))) gy from p)
-select conv_id, round(len(list_intersect(wx, wy)) / (len(wx) + len(wy) - len(list_intersect(wx, wy))), 9) word_sim,
+select conv_id, turn, round(len(list_intersect(wx, wy)) / (len(wx) + len(wy) - len(list_intersect(wx, wy))), 9) word_sim,
   round(case when x = y then 1.0 when length(x) < 4 or length(y) < 4 then 0.0 else len(list_intersect(gx, gy)) / (len(gx) + len(gy) - len(list_intersect(gx, gy))) end, 9) char_sim,
   round(least(length(x), length(y)) / greatest(length(x), length(y)), 9) length_ratio from w
 """)
 def pair_similarity(t):
-    """First question against first answer of every conversation."""
-    c = t.conversations.withColumn("x", F.lower("text"))
-    a, b = c.where("turn = 0").select("conv_id", "x"), c.where("turn = 1").select("conv_id", F.col("x").alias("y"))
-    p, x, y = a.join(b, "conv_id"), F.col("x"), F.col("y")
-    return p.select("conv_id", F.round(sim.jaccard(sim.word_set(x), sim.word_set(y)), 9).alias("word_sim"), F.round(sim.char_jaccard(x, y), 9).alias("char_sim"), F.round(sim.length_ratio(x, y), 9).alias("length_ratio"))
+    """Every turn against the next one of its conversation."""
+    c = t.conversations.select("conv_id", "turn", F.lower("text").alias("x"))
+    p, x, y = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"]), F.col("x"), F.col("y")
+    return p.select("conv_id", "turn", F.round(sim.jaccard(sim.word_set(x), sim.word_set(y)), 9).alias("word_sim"), F.round(sim.char_jaccard(x, y), 9).alias("char_sim"), F.round(sim.length_ratio(x, y), 9).alias("length_ratio"))
 
 
 @query(f"select doc_id, source from (select *, row_number() over (partition by md5({N1.format('text')}) order by doc_id) r from documents) where r = 1")
@@ -127,10 +126,17 @@ def grouped(rows, pairs):
     return rows.join(found, rows.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def joined(t, accept):
+    """Groups over the links that accept takes of compared pairs of first texts: no family of copies makes all its pairs."""
+    rows = keep_table(texts(t))
+    firsts = rows.where("doc_id = rep")
+    return grouped(rows, D.Texts(firsts, "doc_id", F.col("c"), keep_table).links(lambda pairs: accept(firsts, pairs)))
+
+
 @query(f"with recursive {near_sql(15, 0.7)}, good as (select a, b from alike where ws >= 0.8 or cs >= 0.85), {REACH.format('good')}")
 def near_dup_components(t):
     """Groups of equal and near texts, by words or by characters."""
-    return grouped(*near(t))
+    return joined(t, lambda firsts, pairs: pairs.where("word_sim >= 0.8 or char_sim >= 0.85"))
 
 
 @query(f"""with recursive {near_sql(15, 0.7)}, u as (select id, unnest(w) t from v), often as (select t from u where length(t) >= 3 group by 1 having count(*) between 2 and (select greatest(20, floor(0.2 * count(*))) from k)),
@@ -138,9 +144,8 @@ mine as (select id, list(t) l from u join often using (t) group by 1),
 good as (select a, b from alike join mine m on m.id = a join mine o on o.id = b where list_has_any(m.l, o.l) and (ws >= 0.8 or (ws >= 0.4 and cs >= 0.85))), {REACH.format('good')}""")
 def near_dup_mail_components(t):
     """Groups as in mail corpora: pairs share an informative word, and characters count from a word similarity of 0.4."""
-    rows, pairs = near(t)
-    some = pairs.where("word_sim >= 0.8 or (word_sim >= 0.4 and char_sim >= 0.85)")
-    return grouped(rows, D.informative(rows.where("doc_id = rep"), "doc_id", F.col("c"), some))
+    some = lambda pairs: pairs.where("word_sim >= 0.8 or (word_sim >= 0.4 and char_sim >= 0.85)")
+    return joined(t, lambda firsts, pairs: D.informative(firsts, "doc_id", F.col("c"), some(pairs)))
 
 
 BOILER = "text"

@@ -152,14 +152,17 @@ def missing_columns(t):
 def stream_contexts(t):
     """Each event with the last three of its user, from keyed state."""
     rows = events(t).select(F.col("user_id").cast("string").alias("user"), (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)") / 1_000_000)).alias("at"), F.concat_ws("#", "event_id", "event_type").alias("said"))
-    out = finished(Z.contexts(rows, ["user"], "at", "said", n=3, days=3650), "append")
+    out = finished(Z.contexts(rows, ["user"], "at", "said", n=3, days=3650), "append", ["user", "at", "said"])
     kinds = F.transform("context", lambda c: F.substring_index(c, "#", -1))
     return out.select(F.col("user").cast("long").alias("user_id"), F.substring_index("said", "#", 1).cast("long").alias("event_id"), F.array_join(kinds, ",").alias("context"))
 
 
-@query("select user_id, arg_max(event_type, (ts, event_id)) preferred, count(*) corrections from events group by 1")
+@query("""with c as (select user_id, event_type, count(*) n from events group by 1, 2), p as (select user_id, arg_max(event_type, (ts, event_id)) preferred, count(*) corrections from events group by 1)
+select user_id, preferred, corrections, count(*) tags, round(max(case when event_type = preferred then n end) / corrections, 9) confidence from p join c using (user_id) group by all""")
 def stream_last_tags(t):
-    """The newest tag of each key: the last write by event time wins, the later event on ties."""
+    """The newest tag of each key, how many there were, and the share of corrections that agree with it, from typed state:
+    the last write by event time wins, the later event on ties."""
     key = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
     rows = events(t).select("user_id", "event_type", key.alias("at"))
-    return finished(Z.last_tags(rows, "user_id", "event_type", "at"), "complete")
+    out = finished(Z.corrected_tags(rows, "user_id", "event_type", "at"), "update", ["user_id"])
+    return out.select("user_id", "preferred", "corrections", "tags", F.round("confidence", 9).alias("confidence"))

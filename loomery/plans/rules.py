@@ -195,12 +195,12 @@ def inbox_tiles(t):
     return rows.groupBy("d.tag").agg(F.count("*").alias("n"), F.round(F.avg("d.score"), 9).alias("mean_score"), F.count_if(c > 0.7).alias("high"), F.count_if((c > 0.4) & (c <= 0.7)).alias("medium"))
 
 
-@query(f"with {TAGGED}, r as (select id, tag, row_number() over (order by score desc, id) k from tagged) select id, tag, case when k <= 3 then 'HIGH' else 'MEDIUM' end band from r where k <= 7")
+@query(f"with {TAGGED}, r as (select id, tag, row_number() over (order by score desc, id) k from tagged) select id, tag, case when k <= 3 then 'HIGH' when k <= 7 then 'MEDIUM' else 'LOW' end band from r")
 def rank_bands(t):
     from ..operators.state import rank_bands as bands
 
     rows = box(t).withColumn("d", L.tag(L.mail())).select("id", "d.tag", F.col("d.score").alias("score"))
-    return bands(rows, [F.desc("score"), F.asc("id")], [("HIGH", 3), ("MEDIUM", 4)], "LOW").select("id", "tag", "band")
+    return bands(rows, "id", [F.desc("score"), F.asc("id")], [("HIGH", 3), ("MEDIUM", 4)], "LOW").select("id", "tag", "band")
 
 
 # Actions suggested for tags, in order.

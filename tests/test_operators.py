@@ -187,7 +187,7 @@ def test_greedy_pass_by_rules(spark):
 
 @pytest.mark.parametrize("t", [0.5, 0.75, 0.8, 0.85, 0.9, 0.99])
 def test_keys_of_parts_lose_no_pair(t):
-    """Sets of all sizes that differ as much as the threshold allows share a key."""
+    """Sets of all sizes that differ as much as the threshold allows agree on all but so many parts, and their parities on all but so many bits."""
     import numpy as np
 
     from loomery.operators.setjoin import Parts
@@ -200,7 +200,12 @@ def test_keys_of_parts_lose_no_pair(t):
             new = max(0, int((n - gone) / t - n + 1e-9))
             y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, new, dtype=np.uint64)]))
             if len(np.intersect1d(x, y)) >= t * len(np.union1d(x, y)):
-                assert np.intersect1d(parts.keys(x), parts.keys(y)).size, (n, gone, new)
+                c = min(max(parts.classes(len(x))), max(parts.classes(len(y))))
+                assert c in parts.classes(len(x)) and c in parts.classes(len(y))
+                apart, many = parts.scheme(c)
+                assert np.intersect1d(parts.keys(x, c), parts.keys(y, c)).size >= many - apart > 0, (n, gone, new)
+                differ = np.bitwise_count((parts.parity(x, c) ^ parts.parity(y, c)).view(np.uint64)).sum()
+                assert differ <= len(np.setxor1d(x, y)) <= (len(x) + len(y)) * (1 - t) / (1 + t) + 1e-9
 
 
 def test_tf_idf_is_the_formula(spark):
