@@ -167,11 +167,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialize(statistics(docs, id_col, text_col).withColumn("base_failed", failed), "statistics")
     truth = truth_of(labels)
-    fit = materialize(stats.join(truth, "doc_id").where("not base_failed").where(part("fit")).select("quality", *COUNTS), "fit")
+    fit = materialize(stats.join(truth, "doc_id").where("not base_failed").where(part("fit")).select("doc_id", "quality", *COUNTS), "fit")
     share = FIT_ROWS / max(fit.count(), 1)
-    if share < 1:
-        fit = fit.where(F.rand(5) < share)
-    fit = fit.toPandas().sort_values(["quality", *COUNTS])  # FIT_ROWS rows, give or take a few hundred
+    if share < 1:  # the lowest hashes of doc_id: the same rows whatever files and tasks hold them
+        fit = fit.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(2**40)) < int(share * 2**40))
+    fit = fit.drop("doc_id").toPandas().sort_values(["quality", *COUNTS])  # FIT_ROWS rows, give or take a few hundred
     x = features({c: fit[c].to_numpy() for c in COUNTS})
     clean = x[fit["quality"].to_numpy() == 1]
     if len(clean) < 2:

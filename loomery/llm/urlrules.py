@@ -11,8 +11,10 @@ tokens first, over their conditional bases. A pattern goes on only if some verdi
 follows from its others (then a shorter pattern holds the same urls) and its urls don't all have one verdict (then no
 longer one is more confident). That loses no rule and bounds what one common url of many tokens brings forth, where
 plain FP-growth makes all subsets of it. Rules are pruned by support, confidence, confidence above the verdict's share,
-and shorter rules at least as confident. They are mined on seven tenths of the labelled urls, by hash, and stay if they
-reach the confidence and the verdict's share on the other three.
+and shorter rules at least as confident. They are mined on seven tenths of the labelled urls, by hash, and stay if on the
+other three they reach the confidence and are significant: the lower bound of their confidence (Wilson's, one-sided, at
+ALPHA over the number of mined rules) lies above the verdict's share. So labels that have nothing to do with the urls bring
+no rule, but in one case in 1 / ALPHA.
 
 Curated rules are looked up by host suffix and mined ones by their rarest token, so each url meets few of them. All
 work is done once for each distinct url, however long. Labels: null ids and verdicts are ignored, repeated ones each
@@ -24,13 +26,14 @@ To the driver come one row a verdict and the frequent tokens, at most tokens a u
 from __future__ import annotations
 
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import BROADCAST_IDS, drop, materialize
 
-SUPPORT, CONFIDENCE, LIFT = 0.005, 0.6, 1.0
+SUPPORT, CONFIDENCE, LIFT, ALPHA = 0.005, 0.6, 1.0, 0.05
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -121,13 +124,22 @@ def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.withColumn("key", F.explode("items")).join(r, "key").where(F.size(F.array_except("need", "items")) == 0).drop("key", "need")
 
 
-def confirmed(rules: DataFrame, apart: DataFrame, confidence: float) -> DataFrame:
-    """The rules that reach the confidence and their verdict's share on rows (items, verdict) they weren't mined from."""
+def lower_bound(right: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a share of which `right` of n trials are seen."""
+    p = right / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def confirmed(rules: DataFrame, apart: DataFrame, confidence: float, alpha: float = ALPHA) -> DataFrame:
+    """The rules that reach the confidence, and significantly more than their verdict's share, on rows (items, verdict) they
+    weren't mined from."""
+    z = NormalDist().inv_cdf(1 - alpha / max(2, rules.count()))
     apart = materialize(apart.where("verdict is not null").groupBy("items", F.col("verdict").alias("truth")).count(), "apart")
     counts = {r["truth"]: r["n"] for r in apart.groupBy("truth").agg(F.sum("count").alias("n")).collect()}
     share = F.broadcast(apart.sparkSession.createDataFrame([(v, n / sum(counts.values())) for v, n in counts.items()], "verdict string, share double"))
-    seen = fitting(apart, rules).groupBy("r.rule_id", "r.verdict").agg((F.sum(F.when(F.col("truth") == F.col("r.verdict"), F.col("count")).otherwise(0)) / F.sum("count")).alias("sure"))
-    good = seen.join(share, "verdict").where((F.col("sure") >= confidence) & (F.col("sure") >= F.col("share"))).select("rule_id")
+    seen = fitting(apart, rules).groupBy("r.rule_id", "r.verdict").agg(F.sum(F.when(F.col("truth") == F.col("r.verdict"), F.col("count")).otherwise(0)).alias("right"), F.sum("count").alias("n"))
+    sure = (F.col("right") / F.col("n") >= confidence) & (lower_bound(F.col("right"), F.col("n"), z) > F.col("share"))
+    good = seen.join(share, "verdict").where(sure).select("rule_id")
     return materialize(rules.join(good, "rule_id", "left_semi"), "confirmed")
 
 

@@ -82,6 +82,28 @@ def test_mined_rules(spark):
     assert all(r["mined_rule"] for r in out if r["verdict"] == "block")
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_unrelated_labels_bring_no_rule(spark, seed):
+    """A permutation test: labels of the same shares, dealt without regard to the urls."""
+    rng = np.random.default_rng(seed)
+    pages = [(i, f"http{'s' * (i % 2)}://h{rng.integers(12)}.org/{rng.choice(['en', 'de', 'fr'])}/{rng.choice(['a', 'b', 'c', 'd'])}/{i}") for i in range(1500)]
+    labels = [(i, "block" if rng.random() < 0.15 else "allow") for i in range(1500)]
+    out = urlrules.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "id long, verdict string"), URL_RULES).collect()
+    assert {r["mined_rule"] for r in out} == {None} and {r["verdict"] for r in out} == {"allow"}
+
+
+def test_planted_rules_are_found(spark):
+    """Ten pairs of tokens that block together, neither of which does alone; judged on pages without labels."""
+    rng = np.random.default_rng(8)
+    urls = [(int(rng.integers(10)), int(rng.integers(10)), f"{rng.choice(['x', 'y', 'z'])}{rng.integers(40)}") for _ in range(6000)]
+    pages = [(i, f"https://h{h}.org/s{'abcdefghij'[s]}/{w}/{i}") for i, (h, s, w) in enumerate(urls)]
+    bad = [h == s for h, s, _ in urls]
+    labels = [(i, "block" if bad[i] else "allow") for i in range(4000)]
+    out = urlrules.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "id long, verdict string"), []).where("page_id >= 4000").collect()
+    caught = sum(r["verdict"] == "block" and bad[r["page_id"]] for r in out)
+    assert caught >= 0.9 * sum(bad[4000:]) and all(bad[r["page_id"]] for r in out if r["verdict"] == "block")
+
+
 def test_mining_is_exact(spark):
     rng = np.random.default_rng(4)
     rows = [([f"t{k}" for k in sorted(rng.choice(6, rng.integers(1, 5), replace=False))],) for _ in range(120)]
