@@ -41,7 +41,10 @@ def lowered(word: Column) -> Column:
 
 
 def with_words(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the words of a text, as they are written: what splitting leaves, without an empty first or last piece."""
+    """df with the words of a text, as they are written: what splitting leaves, without an empty first or last piece.
+
+    Give them to an outer explode: for an inner one a filter is inferred that splits each text several times more.
+    """
     cut = df.withColumn(name, F.split(F.coalesce(text, F.lit("")), BETWEEN))
     first = (F.get(name, F.lit(0)) == "").cast("int")
     last = ((F.get(name, F.size(name) - 1) == "") & (F.size(name) > 1)).cast("int")
@@ -79,14 +82,14 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, size: int) -> DataF
 
 def frequencies(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """term, n: how often each of the terms stands in the texts; terms that don't are absent."""
-    each = with_words(docs.select(F.col(text_col).alias("t")), "t", "w").select(F.explode("w").alias("w")).select(term(F.col("w")).alias("term"))
+    each = with_words(docs.select(F.col(text_col).alias("t")), "t", "w").select(F.explode_outer("w").alias("w")).where("w is not null").select(term(F.col("w")).alias("term"))
     return each.join(bounded(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """term, t0, t1, position (from 1): where each of the terms stands in each distinct text."""
     named = with_words(docs.select(*hashes(text_col), F.col(text_col).alias("t")), "t", "w")
-    each = named.select("t0", "t1", F.posexplode("w").alias("position", "w")).select(term(F.col("w")).alias("term"), "t0", "t1", (F.col("position") + 1).alias("position"))
+    each = named.select("t0", "t1", F.posexplode_outer("w").alias("position", "w")).where("w is not null").select(term(F.col("w")).alias("term"), "t0", "t1", (F.col("position") + 1).alias("position"))
     return each.join(bounded(terms, BROADCAST_ROWS), "term").distinct()
 
 
