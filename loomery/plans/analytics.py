@@ -295,9 +295,9 @@ def import_anti_join(t):
     return S.anti_merge(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["event_id"])
 
 
-@query("""with asof as (select max(ts) top from events), v as (select event_id, ts, user_id, value, 1 k from events where event_id % 2 = 0 union all select event_id, ts, user_id, value + 1, 2 from events where event_id % 10 = 0),
-n as (select * from v qualify row_number() over (partition by event_id order by ts desc, k desc) = 1), kept as (select event_id, ts, user_id, value from n, asof where ts >= top - interval 30 days),
-i as (select event_id, ts, user_id, value from events, asof where event_id % 3 = 0 and event_id not in (select event_id from kept))
+@query("""with newest as (select max(ts) top from events), v as (select event_id, ts, user_id, value, 1 k from events where event_id % 2 = 0 union all select event_id, ts, user_id, value + 1, 2 from events where event_id % 10 = 0),
+n as (select * from v qualify row_number() over (partition by event_id order by ts desc, k desc) = 1), kept as (select event_id, ts, user_id, value from n, newest where ts >= top - interval 30 days),
+i as (select event_id, ts, user_id, value from events, newest where event_id % 3 = 0 and event_id not in (select event_id from kept))
 select * from kept union all select * from i""")
 def store_lifecycle(t):
     """A stored table: rows, newer versions of some, expiry after 30 days, an import that adds what the store lacks, compaction."""

@@ -158,7 +158,7 @@ def stream_contexts(t):
 
 
 @query("""with c as (select user_id, event_type, count(*) n from events group by 1, 2), p as (select user_id, arg_max(event_type, (ts, event_id)) preferred, count(*) corrections from events group by 1)
-select user_id, preferred, corrections, count(*) tags, round(max(case when event_type = preferred then n end) / corrections, 9) confidence from p join c using (user_id) group by all""")
+select user_id, preferred, corrections, count(*) tags, round(max(case when event_type = preferred then n end) / max(corrections), 9) confidence from p join c using (user_id) group by 1, 2, 3""")
 def stream_last_tags(t):
     """The newest tag of each key, how many there were, and the share of corrections that agree with it, from typed state:
     the last write by event time wins, the later event on ties."""

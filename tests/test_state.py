@@ -97,12 +97,13 @@ def test_pieces_are_even(spark):
     assert max(sizes) <= 3 * statistics.median(sizes) and len(sizes) == S.parts(df)
 
 
-def test_quantiles_are_exact(spark):
+@pytest.mark.parametrize("hot", [0, 100, None])
+def test_quantiles_are_exact(spark, hot):
     import numpy as np
 
     rnd = random.Random(2)
     rows = [(rnd.choice(["a", "b", "b", "b", None]), rnd.choice([None, 7.0, 7.0, rnd.random() * 20])) for _ in range(500)] + [("one", 3.5), ("none", None)]
-    got = {r["k"]: (r["m"], r["p"], r["lo"], r["hi"]) for r in S.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v"), {"m": 0.5, "p": 0.95, "lo": 0.0, "hi": 1.0}).collect()}
+    got = {r["k"]: (r["m"], r["p"], r["lo"], r["hi"]) for r in S.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v"), {"m": 0.5, "p": 0.95, "lo": 0.0, "hi": 1.0}, hot).collect()}
     for k in {k for k, _ in rows} - {"none"}:
         v = [x for j, x in rows if j == k and x is not None]
         assert got[k] == tuple(pytest.approx(float(np.quantile(v, p))) for p in (0.5, 0.95, 0, 1))
