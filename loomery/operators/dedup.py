@@ -19,6 +19,12 @@ def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
     return keyed.join(best, "_key").where(F.col(order) == F.col("_best")).drop("_key", "_best")
 
 
+def removed(df: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """(removed, kept): each row that a smaller id has the same key as, and that id."""
+    keyed = df.select(F.col(id_col).alias("removed"), key.alias("_key"))
+    return keyed.join(keyed.groupBy("_key").agg(F.min("removed").alias("kept")), "_key").where("removed <> kept").select("removed", "kept")
+
+
 def first_texts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, rep): each row and the smallest id that has the same text."""
     keyed = df.select(F.col(id_col).alias("id"), F.md5(text).alias("key"))
@@ -149,18 +155,21 @@ def seeded(seed: int, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def ratio_split(df: DataFrame, id_col: str, ratios: dict[str, float], seed: int = 42) -> DataFrame:
-    """Exact shares by rank in a seeded order: all but the last part hold floor(n * ratio) rows.
+def ratio_split(df: DataFrame, id_col: str, ratios: dict[str, float], seed: int = 42, strata: list[str] | None = None) -> DataFrame:
+    """Exact shares by rank in a seeded order, of each stratum apart: all but the last part hold floor(n * ratio) rows.
 
-    Ranks come from md5 prefix buckets: counts per bucket give each one's offset, ranks inside are local.
+    Ranks come from md5 prefix buckets: counts per bucket give each one's offset, ranks inside are local. Strata are few
+    classes, none null.
     """
+    by = strata or []
     keyed = df.withColumn("_k", seeded(seed, id_col)).withColumn("_b", F.substring("_k", 1, 3))
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 buckets at most
+    sizes = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 buckets a stratum at most
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col)) - 1 + F.col("_off")
-    out = keyed.join(F.broadcast(offsets), "_b").withColumn("_rank", rank).crossJoin(F.broadcast(total))
+    total = F.broadcast(sizes.groupBy(*by).agg(F.sum("_n").alias("_total")))
+    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_k", id_col)) - 1 + F.col("_off")
+    out = keyed.join(F.broadcast(offsets), [*by, "_b"]).withColumn("_rank", rank)
+    out = out.join(total, by) if by else out.crossJoin(total)
     names, edge, split = list(ratios), F.lit(0), F
     for name in names[:-1]:
         edge = edge + F.floor(F.col("_total") * ratios[name])

@@ -214,3 +214,40 @@ def contained(big: DataFrame, big_id: str, big_text: Column, small: DataFrame, s
     key = mine.join(often, "mark", "left").groupBy("small").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "mark")).alias("k")).where("k.df > 0").select("small", F.col("k.mark").alias("mark"))
     hit = key.join(at, "mark").select("big", "small").join(l, "big").join(r, "small").where(F.col("bt").contains(F.col("st")))
     return hit.select(F.col("big").alias(big_id), F.col("small").alias(small_id))
+
+
+def top_similar(queries: DataFrame, history: DataFrame, k: int, least: float = 0.1) -> DataFrame:
+    """(q, h, score, rank): for each query set the k sets of the history of the highest Jaccard similarity above `least`, other
+    ids only, ties to the smaller id. Both are (id, s), s an array of distinct items.
+
+    Items are looked up rarest first, twice as many in each round. A set that shares none of a query's first p of n items
+    reaches (n - p) / n at most, so a query is done when its k-th score is above that, or `least` is not below it: everyday
+    items are only looked up by the queries that have too little else. Exact, and no query meets the history as a whole.
+    """
+    hashed = lambda x: keep_table(x.select("id", F.transform("s", lambda v: F.xxhash64(v)).alias("s")))
+    queries, history = hashed(queries), hashed(history)
+    posts = keep_table(history.select(F.col("id").alias("h"), F.explode("s").alias("item")))
+    often = keep_table(posts.groupBy("item").agg(F.count("*").alias("df")))
+    asked = queries.select(F.col("id").alias("q"), F.size("s").alias("n"), F.explode("s").alias("item")).join(often, "item", "left")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "item"))
+    asked = keep_table(asked.select("q", "n", "item", place.alias("place")))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "h")
+    a, b = queries.select(F.col("id").alias("q"), F.col("s").alias("x")), history.select(F.col("id").alias("h"), F.col("s").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    score = common / (F.size("x") + F.size("y") - common)
+    open_, top, p, step = keep_table(queries.select(F.col("id").alias("q"), F.size("s").alias("n")).where("n > 0")), None, 0, 1
+    while not open_.isEmpty():
+        now = asked.where((F.col("place") > p) & (F.col("place") <= p + step)).join(open_.select("q"), "q", "left_semi")
+        met = now.select("q", "item").join(posts, "item").where("q <> h").select("q", "h").distinct()
+        new = met.join(a, "q").join(b, "h").select("q", "h", score.alias("score")).where(F.col("score") > least)
+        new = new if top is None else new.unionByName(top).distinct()
+        old, top = top, keep_table(new.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+        p, step = p + step, step * 2
+        worst = top.groupBy("q").agg(F.min("score").alias("kth"), F.count("*").alias("found"))
+        left = (F.col("n") - p) / F.col("n")
+        more = (left > least) & (F.col("found").isNull() | (F.col("found") < k) | (left >= F.col("kth")))
+        spent, open_ = open_, keep_table(open_.join(worst, "q", "left").where(more).select("q", "n"))
+        drop(spent, *([old] if old is not None else []))
+    if top is None:
+        top = queries.select(F.col("id").alias("q"), F.col("id").alias("h"), F.lit(0.0).alias("score")).limit(0)
+    return top.withColumn("rank", F.row_number().over(best))

@@ -1,69 +1,80 @@
 """Group-isolated, stratified train/val/test splits.
 
-Rows that share a group (a near-duplicate cluster) go to one split. Groups with the same class counts are
-interchangeable, so the greedy choice runs over these signatures and not over groups: as many driver rows as there are
-distinct signatures, which is few while groups are small or classes few. Within a signature groups are dealt by a
-seeded rank.
+Rows that share a group (a near-duplicate cluster) go to one split. A group's tier is its rarest class. Tiers are dealt from
+the rarest class on, each in the seeded order of its groups: the first go to train, the next to val, and so on, and the
+cuts lie where the class has what it lacks of its targets after the rarer tiers. A cut is a hash, found by counting
+groups by its first digits and then, only where the cut falls, by the next ones: three aggregates or four a class, whatever
+the number of groups or of different class counts, and at most 4,096 rows for each cut to the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dedup import seeded
+from .tables import drop, keep_table
 
 SPLITS = {"train": 0.70, "val": 0.15, "test": 0.15}
+#: Hexadecimal digits of the seeded order that a count looks at.
+DIGITS = 3
 
 
-def plan(signatures: list[tuple[dict[str, int], int]], ratios: dict[str, float]) -> list[dict[str, int]]:
-    """Groups of each signature (class counts, groups) for each split.
-
-    Signatures with the rarest class come first. Whole shares of the ratios are given at once; each of the few groups
-    left goes where its classes lack most of their targets, the first split on ties.
-    """
-    total: Counter = Counter()
-    for classes, n in signatures:
-        total.update({c: k * n for c, k in classes.items()})
-    target = {s: {c: total[c] * r for c in total} for s, r in ratios.items()}
-    have = {s: Counter() for s in ratios}
-    out = []
-    for i in sorted(range(len(signatures)), key=lambda i: (min(total[c] for c in signatures[i][0]), sorted(signatures[i][0].items()))):
-        classes, n = signatures[i]
-        give = {s: int(n * r) for s, r in ratios.items()}
-        for s in ratios:
-            have[s].update({c: k * give[s] for c, k in classes.items()})
-        for _ in range(n - sum(give.values())):
-            lack = lambda s: sum((target[s][c] - have[s][c]) / (target[s][c] or 1) * k for c, k in classes.items())
-            best = max(ratios, key=lack)
-            give[best] += 1
-            have[best].update(classes)
-        out.append((i, give))
-    return [g for _, g in sorted(out, key=lambda x: x[0])]
+def cuts(tier: DataFrame, needs: list[float]) -> list[str]:
+    """For each need, the hash below which the groups of a tier (k, n) hold that many rows, give or take half a group."""
+    open_, found = {i: ("", 0.0) for i in range(len(needs))}, [""] * len(needs)
+    while open_:
+        prefixes = sorted({p for p, _ in open_.values()})
+        depth = len(prefixes[0])
+        some = tier.where(F.substring("k", 1, depth).isin(*prefixes)) if depth else tier
+        counted = some.groupBy(F.substring("k", 1, depth).alias("p"), F.substring("k", depth + 1, DIGITS).alias("d")).agg(F.sum("n").alias("n"), F.count("*").alias("groups")).collect()
+        by = defaultdict(list)
+        for r in sorted(counted, key=lambda r: r["d"]):
+            by[r["p"]].append(r)
+        for i, (prefix, below) in list(open_.items()):
+            del open_[i]
+            found[i] = prefix + "g"  # beyond all digits: every group is below
+            for r in by[prefix]:
+                if below + r["n"] > needs[i]:
+                    here = prefix + r["d"]
+                    if r["groups"] == 1 or depth + DIGITS >= 32:
+                        found[i] = here + "g" if needs[i] - below >= r["n"] / 2 else here
+                    else:
+                        open_[i] = here, below
+                    break
+                below += r["n"]
+    return found
 
 
 def group_split(df: DataFrame, group: str, label: str, ratios: dict[str, float] = SPLITS, seed: int = 42) -> DataFrame:
-    """df with a column split."""
-    per = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    sig = per.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(label).cast("string").alias("c"), "n"))).alias("classes")).withColumn("sig", F.to_json("classes"))
-    kinds = sig.groupBy("sig").agg(F.count("*").alias("n"), F.first("classes").alias("classes")).orderBy("sig").collect()
-    given = plan([({x["c"]: x["n"] for x in k["classes"]}, k["n"]) for k in kinds], ratios)
-    rows = []
-    for k, give in zip(kinds, given):
-        at = 0
-        for s in ratios:
-            rows.append((k["sig"], at, at + give[s], s))
-            at += give[s]
-    table = df.sparkSession.createDataFrame(rows, "sig string, lo long, hi long, split string")
-    # ranks inside a signature come from buckets of the seeded order, so that the one most groups have is many tasks' work
-    keyed = sig.select(group, "sig", seeded(seed, group).alias("k")).withColumn("b", F.substring("k", 1, 3))
-    sizes = keyed.groupBy("sig", "b").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("sig").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 buckets at most
-    offsets = sizes.select("sig", "b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("off"))
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("sig", "b").orderBy("k", group)) - 1)
-    placed = ranked.join(offsets, ["sig", "b"]).withColumn("rank", F.col("rank") + F.col("off")).join(F.broadcast(table), "sig").where("rank >= lo and rank < hi").select(group, "split")
+    """df with a column split. Rows without a group are left out; a null label is a class of its own."""
+    per = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("c")).agg(F.count("*").alias("n"))
+    per = keep_table(per)
+    total = {r["c"]: r["n"] for r in per.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    order = sorted(total, key=lambda c: (total[c], c))
+    ranks = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(order)), "at int, c string"))
+    tiers = per.join(ranks, "c").groupBy("g").agg(F.min("at").alias("tier")).withColumn("k", seeded(seed, "g"))
+    counts = keep_table(per.join(tiers, "g").select("g", "k", "tier", "c", "n"))
+    drop(per)
+    have, rows, names = {s: dict.fromkeys(order, 0) for s in ratios}, [], list(ratios)
+    for at, c in enumerate(order):
+        tier = counts.where(F.col("tier") == at)
+        needs, edge = [], 0.0
+        for s in names[:-1]:
+            edge += max(0.0, ratios[s] * total[c] - have[s][c])
+            needs.append(edge)
+        edges = ["", *cuts(tier.where(F.col("c") == c), needs), "h"]
+        mine = [(at, lo, hi, s) for s, lo, hi in zip(names, edges[:-1], edges[1:], strict=True) if lo < hi]
+        rows += mine
+        of = F
+        for _, lo, hi, s in mine:
+            of = of.when((F.col("k") >= lo) & (F.col("k") < hi), s)
+        for r in tier.groupBy(of.alias("s"), "c").agg(F.sum("n").alias("n")).collect():
+            have[r["s"]][r["c"]] += r["n"]
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, "tier int, lo string, hi string, split string"))
+    placed = counts.select("g", "k", "tier").distinct().join(table, "tier").where("k >= lo and k < hi").select(F.col("g").alias(group), "split")
     return df.join(placed, group)
 
 

@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import state as S
 from ..operators.scan import quantiles
+from ..operators.setjoin import top_similar
 from ..operators.store import Store
 from ..operators.tables import shared_path
 from .registry import query
@@ -52,7 +53,7 @@ def length_summary(t):
     return sizes.join(middle, "flag").join(high, "flag")
 
 
-PRED = "select d.doc_id, d.lang, d.source, case when l.quality = 1 then 'good' else 'bad' end truth, case when length(d.text) > 400 then 'good' when length(d.text) > 100 then 'bad' else 'unsure' end pred from documents d join labels l using (doc_id)"
+PRED = "select d.doc_id, d.lang, d.source, case when l.quality = 1 then 'good' else 'bad' end truth, case when length(d.text) > 400 then 'good' when length(d.text) > 100 then 'bad' else 'unsure' end pred, least(length(d.text) / 1000, 1.0) conf from documents d join labels l using (doc_id)"
 PER = """t as (select {g} truth label, sum(case when truth = pred then n else 0 end) tp, sum(n) support from c group by all), p as (select {g} pred label, sum(n) predicted from c group by all),
 k as (select {g2} label, coalesce(tp, 0) tp, coalesce(support, 0) support, coalesce(predicted, 0) predicted from t {join} join p using ({u} label)),
 m as (select *, case when predicted > 0 then tp / predicted else 0.0 end as "precision", case when support > 0 then tp / support else 0.0 end recall from k),
@@ -60,10 +61,10 @@ f as (select *, case when "precision" + recall > 0 then 2 * "precision" * recall
 
 
 def predictions(t):
-    """A length rule as the prediction, quality as the truth."""
+    """A length rule as the prediction, quality as the truth, and the length as the confidence."""
     n = F.length("text")
     pred = F.when(n > 400, "good").when(n > 100, "bad").otherwise("unsure")
-    return t.documents.join(t.labels, "doc_id").select("doc_id", "lang", "source", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("truth"), pred.alias("pred"))
+    return t.documents.join(t.labels, "doc_id").select("doc_id", "lang", "source", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("truth"), pred.alias("pred"), F.least(n / 1000, F.lit(1.0)).alias("conf"))
 
 
 @query(f"select truth as true, pred, count(*) n from ({PRED}) group by 1, 2".replace("as true", 'as "true"'))
@@ -105,16 +106,16 @@ def metrics_grouping_sets(t):
     return p.rollup("lang").agg(F.count("*").alias("n"), F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"))
 
 
-@query(f"with e as (select truth, pred, doc_id, row_number() over (partition by truth, pred order by doc_id) r from ({PRED}) where truth <> pred), tot as (select truth, count(*) total from ({PRED}) group by 1) select truth, pred, count(*) n, count(*) / any_value(total) share, array_to_string(list(doc_id order by doc_id) filter (where r <= 3), ',') samples from e join tot using (truth) group by 1, 2")
+@query(f"with e as (select truth, pred, conf, doc_id, row_number() over (partition by truth, pred order by doc_id) r from ({PRED}) where truth <> pred), tot as (select truth, count(*) total from ({PRED}) group by 1) select truth, pred, count(*) n, count(*) / any_value(total) share, round(avg(conf), 4) mean_confidence, array_to_string(list(doc_id order by doc_id) filter (where r <= 5), ',') samples from e join tot using (truth) group by 1, 2")
 def failure_modes(t):
-    """Error pairs with their share of the true class and three samples, gathered by a bounded sort of arrays."""
+    """Error pairs with their share of the true class, mean confidence and five samples."""
     p = predictions(t)
     total = p.groupBy("truth").agg(F.count("*").alias("total"))
     w = Window.partitionBy("truth", "pred").orderBy("doc_id")
     bad = p.where("truth <> pred")
-    sample = bad.withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("truth", "pred").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("samples"))
-    n = bad.groupBy("truth", "pred").agg(F.count("*").alias("n"))
-    return n.join(sample, ["truth", "pred"]).join(total, "truth").select("truth", "pred", "n", (F.col("n") / F.col("total")).alias("share"), "samples")
+    sample = bad.withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("truth", "pred").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("samples"))
+    n = bad.groupBy("truth", "pred").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 4).alias("mean_confidence"))
+    return n.join(sample, ["truth", "pred"]).join(total, "truth").select("truth", "pred", "n", (F.col("n") / F.col("total")).alias("share"), "mean_confidence", "samples")
 
 
 CONF = "select event_id, event_type, least(value / 200, 1.0) conf, cast(regexp_extract(props, '\\d+') as bigint) % 2 = 0 correct from events"
@@ -256,14 +257,30 @@ def feedback_suggestions(t):
     return c.select("event_type", F.explode(what).alias("suggestion"))
 
 
-@query("""with n as (select user_id, event_type, count(*) n from events group by 1, 2), m as (select user_id, min(event_type) mode_event_type from (select *, max(n) over (partition by user_id) top from n) where n = top group by 1)
-select e.user_id, count(*) messages, count(*) filter (where ts > (select max(ts) from events) - interval 7 days) recent, min(ts) first_seen, max(ts) last_seen, any_value(mode_event_type) mode_event_type, case when avg(value) < 50 then 'concise' when avg(value) < 150 then 'moderate' else 'detailed' end style from events e join m using (user_id) group by 1""")
+URGENCY = "case when value > 150 then 'high' when value > 50 then 'medium' else 'low' end"
+
+
+def most(name: str, what: str) -> str:
+    return f"{name} as (select user_id, min(x) {name} from (select user_id, {what} x, count(*) n, max(count(*)) over (partition by user_id) top from events group by 1, 2) where n = top group by 1)"
+
+
+@query(f"""with {most("mode_event_type", "event_type")}, {most("mode_urgency", URGENCY)}
+select user_id, count(*) messages, count(*) filter (where ts > (select max(ts) from events) - interval 7 days) recent, min(ts) first_seen, max(ts) last_seen, any_value(mode_event_type) mode_event_type, any_value(mode_urgency) mode_urgency,
+round(avg(value), 1) mean_length, case when avg(value) < 50 then 'concise' when avg(value) < 150 then 'moderate' else 'detailed' end style, round(100 * avg(case when cast(regexp_extract(props, '\\d+') as bigint) % 2 = 0 then 1.0 else 0.0 end), 6) context_rate
+from events join mode_event_type using (user_id) join mode_urgency using (user_id) group by 1""")
 def user_analytics(t):
+    """Counts, recent activity, most common kind and urgency, style by mean length, and how often context was used (even marks)."""
     top = t.events.agg(F.max("ts").alias("asof"))
-    e = t.events.crossJoin(F.broadcast(top))
-    g = e.groupBy("user_id").agg(F.count("*").alias("messages"), F.count_if(F.col("ts") > F.col("asof") - F.expr("interval 7 days")).alias("recent"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.avg("value").alias("v"))
+    urgency = F.when(F.col("value") > 150, "high").when(F.col("value") > 50, "medium").otherwise("low")
+    e = t.events.withColumn("urgency", urgency)
+    used = (F.regexp_extract("props", r"\d+", 0).cast("long") % 2 == 0).cast("double")
+    g = e.crossJoin(F.broadcast(top)).groupBy("user_id").agg(
+        F.count("*").alias("messages"), F.count_if(F.col("ts") > F.col("asof") - F.expr("interval 7 days")).alias("recent"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        F.avg("value").alias("v"), F.round(100 * F.avg(used), 6).alias("context_rate"),
+    )
     style = F.when(F.col("v") < 50, "concise").when(F.col("v") < 150, "moderate").otherwise("detailed")
-    return g.join(S.mode(t.events, ["user_id"], "event_type"), "user_id").select("user_id", "messages", "recent", "first_seen", "last_seen", "mode_event_type", style.alias("style"))
+    g = g.join(S.mode(e, ["user_id"], "event_type"), "user_id").join(S.mode(e, ["user_id"], "urgency"), "user_id")
+    return g.select("user_id", "messages", "recent", "first_seen", "last_seen", "mode_event_type", "mode_urgency", F.round("v", 1).alias("mean_length"), style.alias("style"), "context_rate")
 
 
 @query("select count(*) total, count(distinct user_id) users, count(distinct event_type) kinds, count(distinct cast(ts as date)) sessions, min(ts) first_ts, max(ts) last_ts from events")
@@ -343,3 +360,14 @@ def similarity_search(t):
     q = c.where("conv_id = 0 and turn = 0").select(F.col("w").alias("qw")).limit(1)
     s = c.crossJoin(F.broadcast(q)).select("conv_id", "turn", sim.jaccard(F.col("w"), F.col("qw")).alias("score")).where("score > 0.02")
     return s.orderBy(F.desc("score"), "conv_id", "turn").limit(5).withColumn("score", F.round("score", 9))
+
+
+@query("""with w as (select conv_id * 100000 + turn id, conv_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) w from conversations),
+s as (select q.id query_id, h.id, len(list_intersect(q.w, h.w)) i, len(q.w) + len(h.w) n from w q join w h on q.conv_id % 50 = 0 and q.id <> h.id),
+r as (select query_id, id, i / (n - i) score, row_number() over (partition by query_id order by i / (n - i) desc, id) rank from s where i / (n - i) > 0.1)
+select query_id, id, round(score, 9) score, rank from r where rank <= 5""")
+def similar_turns(t):
+    """The five most similar turns of the whole history, above 0.1, for every turn of each fiftieth conversation."""
+    rows = t.conversations.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "conv_id", sim.word_set(F.lower("text")).alias("s"))
+    top = top_similar(rows.where("conv_id % 50 = 0"), rows, 5)
+    return top.select(F.col("q").alias("query_id"), F.col("h").alias("id"), F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))

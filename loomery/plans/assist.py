@@ -14,7 +14,7 @@ from ..operators import metrics as M
 from ..operators import state as St
 from . import mailbox as Mb
 from .analytics import PRED, predictions
-from .registry import query
+from .registry import SQL, query
 from .rules import TAGGED, case, found, hits, lit
 
 
@@ -149,16 +149,25 @@ def synthetic_report(t):
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("synthetic")))
 
 
-@query(f"select lang, truth, pred, count(*) n from ({PRED}) where truth <> pred group by all order by n desc, lang, truth, pred limit 20")
+@query(f"""with e as (select *, row_number() over (partition by lang, truth, pred order by doc_id) r from ({PRED}) where truth <> pred)
+select lang, truth, pred, count(*) n, array_to_string(list(doc_id order by doc_id) filter (where r <= 3), ',') samples from e group by all order by n desc, lang, truth, pred limit 20""")
 def top_confusions(t):
-    return predictions(t).where("truth <> pred").groupBy("lang", "truth", "pred").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "truth", "pred").limit(20)
+    """The twenty most frequent confusions with three samples each."""
+    bad, keys = predictions(t).where("truth <> pred"), ["lang", "truth", "pred"]
+    top = bad.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(20)
+    first = bad.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id"))).where("r <= 3")
+    sample = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("samples"))
+    return sample.join(F.broadcast(top), keys).select(*keys, "n", "samples")
 
 
-@query("select doc_id, field from (select doc_id, unnest(list_filter([case when quality = 1 and length(text) < 100 then 'short but good' end, case when quality = 0 and length(text) > 2000 then 'long but bad' end, case when toxic = 1 and quality = 1 then 'toxic but good' end], lambda x: x is not null)) field from documents join labels using (doc_id)) order by doc_id, field limit 30")
+@query("""select doc_id, field from (select doc_id, unnest(list_filter([case when quality = 1 and length(text) < 100 then 'short but good' end, case when quality = 0 and length(text) > 2000 then 'long but bad' end, case when toxic = 1 and quality = 1 then 'toxic but good' end,
+case when quality = 0 and contains(text, '?') then 'question but bad' end, case when quality = 1 and 10 * len(regexp_extract_all(text, '[#*$%&|<>]')) > length(text) then 'symbols but good' end], lambda x: x is not null)) field from documents join labels using (doc_id)) order by doc_id, field limit 30""")
 def label_conflicts(t):
-    """Rules that name a doubtful label, 30 cases for a reader."""
-    n = F.length("text")
-    tests = F.array_compact(F.array(F.when((F.col("quality") == 1) & (n < 100), "short but good"), F.when((F.col("quality") == 0) & (n > 2000), "long but bad"), F.when((F.col("toxic") == 1) & (F.col("quality") == 1), "toxic but good")))
+    """Five rules that name a doubtful label, 30 cases for a reader."""
+    n, good, bad = F.length("text"), F.col("quality") == 1, F.col("quality") == 0
+    symbols = 10 * F.regexp_count("text", F.lit("[#*$%&|<>]")) > n
+    rules = {"short but good": good & (n < 100), "long but bad": bad & (n > 2000), "toxic but good": good & (F.col("toxic") == 1), "question but bad": bad & F.contains("text", F.lit("?")), "symbols but good": good & symbols}
+    tests = F.array_compact(F.array(*(F.when(test, name) for name, test in rules.items())))
     return t.documents.join(t.labels, "doc_id").select("doc_id", F.explode(tests).alias("field")).orderBy("doc_id", "field").limit(30)
 
 
@@ -170,10 +179,14 @@ def platform_summary(t):
     return n.join(last, "event_type")
 
 
-@query(f"with {TAGGED} select tag, count(*) n, round(avg(confidence), 9) confidence, count(*) / sum(count(*)) over () share from tagged group by 1")
+@query(f"""with {TAGGED}, s as (select sender, tag, confidence from tagged join mail using (id)), m as (select sender, min(tag) liked from (select sender, tag, count(*) n, max(count(*)) over (partition by sender) top from s group by 1, 2) where n = top group by 1)
+select tag, count(*) n, round(avg(confidence), 9) confidence, count(*) / sum(count(*)) over () share, round(avg(case when tag <> liked then 1.0 else 0.0 end), 9) correction_rate from s join m using (sender) group by 1""")
 def tagging_stats(t):
-    g = Mb.frame(t).withColumn("d", L.tag(L.mail())).groupBy("d.tag").agg(F.count("*").alias("n"), F.round(F.avg("d.confidence"), 9).alias("confidence"))
-    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total")))).select("tag", "n", "confidence", (F.col("n") / F.col("total")).alias("share"))
+    """Tags with their mean confidence, share, and how often the sender's usual tag corrects them."""
+    rows = Mb.frame(t).withColumn("d", L.tag(L.mail())).select("sender", "d.tag", "d.confidence")
+    liked = St.mode(rows, ["sender"], "tag")
+    g = rows.join(liked, "sender").groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"), F.round(F.avg((F.col("tag") != F.col("mode_tag")).cast("double")), 9).alias("correction_rate"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total")))).select("tag", "n", "confidence", (F.col("n") / F.col("total")).alias("share"), "correction_rate")
 
 
 @query("select 'priority' chart, o_orderpriority as label, count(*) n from orders group by 2 union all select 'status', o_orderstatus, count(*) from orders group by 2 union all select 'segment', c_mktsegment, count(*) from customer group by 2")
@@ -226,11 +239,24 @@ def nonempty_unique(t):
     return D.first_of(rows.select("doc_id", "text"), F.md5(X.norm_basic("text")), "doc_id").select("doc_id")
 
 
-@query("select doc_id, len(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) n_words, cast(length(text) as bigint) n_chars, case when lower(text) like '%the%' then 'high' else 'low' end urgency from documents where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
+# A small lexicon of moods; any other is a parameter of A.polarity.
+MOODS = {"thanks": 0.52, "good": 0.72, "disappointed": -0.76, "broken": -0.4, "issue": -0.2, "please": 0.2, "critical": -0.32, "suspicious": -0.52}
+WORDS = "list_filter(string_split_regex(lower(body), '[^\\w\\p{L}'']+'), lambda w: w <> '')"
+EACH = "case w[i] " + " ".join(f"when '{k}' then {v}" for k, v in MOODS.items()) + " end * case when i > 1 and (w[i - 1] in ('not', 'no', 'never') or ends_with(w[i - 1], 'n''t')) then -0.5 else 1.0 end"
+
+
+@query(f"""with {TAGGED}, w as (select id, {WORDS} w, row_number() over (order by id) k from mail), e as (select id, unnest(list_filter(list_transform(range(1, len(w) + 1), lambda i: {EACH}), lambda x: x is not null)) x from w),
+p as (select id, cast(round(avg(x), 2) as double) polarity from e group by 1), m as ({SQL["message_metrics"].replace("with " + Mb.LOWERED, "select * from (with " + Mb.LOWERED, 1)}))
+select m.id, intent, urgency, has_deadline, word_count, coalesce(polarity, 0.0) polarity, case when coalesce(polarity, 0.0) > 0.1 then 'positive' when coalesce(polarity, 0.0) < -0.1 then 'negative' else 'neutral' end sentiment, tag, round(confidence, 9) confidence from m join tagged using (id) left join p using (id)""")
 def enrichment(t):
-    """Metrics merged onto each row."""
-    rows = t.documents.where(X.strip(X.text("text")) != "")
-    return rows.select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("n_words"), F.length("text").cast("long").alias("n_chars"), F.when(F.lower("text").contains("the"), "high").otherwise("low").alias("urgency"))
+    """Each message with its metrics, polarity and sentiment, tag and confidence: one pass, nothing is joined."""
+    x, d = L.mail().text, F.col("d")
+    rows = Mb.frame(t).withColumn("d", L.tag(L.mail())).withColumn("polarity", A.polarity("body", MOODS))
+    phrases = F.flatten(F.array(*(F.regexp_extract_all(x, F.lit(p), F.lit(0)) for p in L.DEADLINES)))
+    return rows.select(
+        "id", L.cascade(x, L.INTENT_CASCADE, "general").alias("intent"), L.cascade(x, L.URGENCY_CASCADE, "low").alias("urgency"), (F.size(phrases) > 0).alias("has_deadline"), F.size(X.words(x)).cast("long").alias("word_count"),
+        "polarity", A.sentiment_label(F.col("polarity")).alias("sentiment"), d["tag"].alias("tag"), F.round(d["confidence"], 9).alias("confidence"),
+    )
 
 
 @query(f"with {TAGGED}, r as (select id, tag, row_number() over (order by score desc, id) k from tagged) select cast(k as int) k, k || '. ' || tag || ' | ' || subject line from r join mail using (id) where k <= 5")

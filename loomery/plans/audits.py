@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -9,21 +12,45 @@ from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import quality as Q
 from ..operators import validate as V
+from ..operators.tables import keep_table
 from .corpus import N1, near, near_sql
 from . import mailbox as Mb
 from .registry import query
 from .rules import TAGGED
 
 
-@query(f"""with x as (select d.*, quality, toxic, md5({N1.format('text')}) h from documents d left join labels using (doc_id))
-select 'rows' metric, count(*) n from x union all select 'empty', count(*) from x where text = '' union all select 'labelled', count(*) from x where quality is not null union all select 'distinct', count(distinct h) from x
-union all select 'duplicate_rows', count(*) - count(distinct h) from x union all select 'low_quality', count(*) from x where quality = 0 union all select 'toxic', count(*) from x where toxic = 1 union all select 'languages', count(distinct lang) from x""")
+@query(f"""with {near_sql(20, 0.6)}, l as (select *, md5({N1.format('text')}) h, case when coalesce(text, '') = '' then 'empty text' when quality is null then 'no label' end reason, least(length(text) / 1000.0, 1.0) confidence from documents left join labels using (doc_id)),
+ok as (select *, row_number() over (partition by h order by doc_id) r from l where reason is null), d as (select * from ok where r = 1), q as (select quality, count(*) n from d group by 1), c as (select distinct quality from d), o as (select distinct toxic from d)
+select 'rows' metric, '' item, count(*) n from l union all select 'valid_rows', '', count(*) from d union all select 'rejected_rows', '', count(*) from l where reason is not null union all select 'rejections', reason, count(*) from l where reason is not null group by 2
+union all select 'exact_duplicate_texts', '', count(*) from ok where r > 1 union all select 'duplicate_ids', '', count(*) from (select doc_id from ok group by 1 having count(*) > 1)
+union all select 'near_duplicate_pairs', '', count(*) from alike where ws >= 0.35 and cs >= 0.85
+union all select 'quality', cast(quality as varchar), n from q union all select 'toxic', cast(toxic as varchar), count(*) from d where toxic is not null group by 2 union all select 'quality_x_toxic', c.quality || '|' || o.toxic, count(d.doc_id) from c cross join o left join d on d.quality = c.quality and d.toxic = o.toxic where o.toxic is not null group by 2
+union all select 'source', source, count(*) from d where source is not null group by 2 union all select 'language', lang, count(*) from d where lang is not null group by 2 union all select 'synthetic', case when source = 'src0' then 'yes' else 'no' end, count(*) from d where source is not null group by 2
+union all select 'low_confidence', '', count(*) from d where confidence < 0.7 union all select 'warnings', quality || ': ' || case when n < 10 then 'rare' else 'imbalanced' end, n from q where n < 10 or (select max(n) from q) / n > 10
+union all select 'columns', unnest(['doc_id', 'lang', 'n_chars', 'source', 'text']), 1 union all select 'characters', '', sum(length(text)) from l""")
 def audit_report(t):
-    """Counts of one audit in one pass and one distinct, as rows."""
+    """A whole audit as rows (metric, item, n): what is valid, rejected and why, duplicates by id, text and likeness,
+    distributions and cross-tab of the labels with zeros, sources, languages, low confidence, warnings, columns, size."""
     x = t.documents.join(t.labels, "doc_id", "left").withColumn("h", F.md5(X.norm_basic("text")))
-    a = x.agg(F.count("*").alias("rows"), F.count_if(F.col("text") == "").alias("empty"), F.count_if(F.col("quality").isNotNull()).alias("labelled"), F.countDistinct("h").alias("distinct"), F.count_if(F.col("quality") == 0).alias("low_quality"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.countDistinct("lang").alias("languages"))
-    a = a.withColumn("duplicate_rows", F.col("rows") - F.col("distinct"))
-    return a.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in a.columns))).alias("r")).select("r.*")
+    reason = F.when(F.coalesce("text", F.lit("")) == "", "empty text").when(F.col("quality").isNull(), "no label")
+    x = keep_table(x.select("doc_id", "lang", "source", "quality", "toxic", "h", reason.alias("reason"), F.length("text").alias("chars")))
+    valid = x.where("reason is null")
+    first = valid.groupBy("h").agg(F.min_by(F.struct("doc_id", "lang", "source", "quality", "toxic", "chars"), "doc_id").alias("r")).select("r.*")
+    d = keep_table(first)
+    one = lambda metric, df: df.agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), F.lit("").alias("item"), "n")
+    by = lambda metric, df, c: Q.distribution(df.where(c.isNotNull()).withColumn("item", c.cast("string")), "item").select(F.lit(metric).alias("metric"), "item", "n")
+    tab = Q.cross_tab(d.where("toxic is not null"), "quality", "toxic").select(F.lit("quality_x_toxic").alias("metric"), F.concat_ws("|", "quality", "toxic").alias("item"), "n")
+    warned = Q.imbalance(Q.distribution(d, "quality")).where("warning <> ''").select(F.lit("warnings").alias("metric"), F.concat(F.col("quality").cast("string"), F.lit(": "), F.col("warning")).alias("item"), "n")
+    columns = t.spark.createDataFrame([("columns", c, 1) for c in t.documents.columns], "metric string, item string, n long")
+    again = valid.join(d.select("doc_id"), "doc_id", "left_anti")
+    _, pairs = near(t, words=1.0, ratio=0.6, least=20)
+    parts = [
+        one("rows", x), one("valid_rows", d), one("rejected_rows", x.where("reason is not null")), by("rejections", x, F.col("reason")), one("exact_duplicate_texts", again), one("duplicate_ids", valid.groupBy("doc_id").count().where("count > 1")),
+        one("near_duplicate_pairs", pairs.where("word_sim >= 0.35 and char_sim >= 0.85")), by("quality", d, F.col("quality")), by("toxic", d, F.col("toxic")), tab, by("source", d, F.col("source")), by("language", d, F.col("lang")),
+        by("synthetic", d, F.when(F.col("source").isNotNull(), F.when(F.col("source") == "src0", "yes").otherwise("no"))), one("low_confidence", d.where("chars < 700")), warned, columns,
+        x.agg(F.sum("chars").alias("n")).select(F.lit("characters").alias("metric"), F.lit("").alias("item"), "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"select md5({N1.format('text')}) key, count(*) n, count(distinct quality) qualities, count(distinct toxic) toxics from documents join labels using (doc_id) group by 1 having count(distinct quality) > 1 or count(distinct toxic) > 1")

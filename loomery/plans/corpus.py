@@ -191,6 +191,18 @@ def exact_ratio_split(t):
     return D.ratio_split(t.documents.select("doc_id"), "doc_id", {"train": 0.6, "val": 0.2, "test": 0.2}).select("doc_id", "split")
 
 
+@query("select doc_id, quality, case when row_number() over (partition by quality order by md5('42:' || doc_id), doc_id) <= floor(count(*) over (partition by quality) * 0.2) then 'test' else 'train' end split from labels where quality is not null")
+def stratified_holdout(t):
+    """A fifth of each class is held out."""
+    return D.ratio_split(t.labels.where("quality is not null").select("doc_id", "quality"), "doc_id", {"test": 0.2, "train": 0.8}, strata=["quality"]).select("doc_id", "quality", "split")
+
+
+@query(f"select doc_id removed, kept from (select doc_id, min(doc_id) over (partition by md5({N1.format('text')})) kept from documents) where doc_id <> kept")
+def exact_dedup_removed(t):
+    """What exact dedup removes, and in favour of which row."""
+    return D.removed(t.documents, F.md5(X.norm_basic("text")), "doc_id")
+
+
 @query("select doc_id, source, quality, turn from (select d.doc_id, d.source, l.quality, row_number() over (partition by d.source, l.quality order by md5('42:' || d.doc_id), d.doc_id) turn from documents d join labels l using (doc_id)) order by turn, source, quality limit 100")
 def round_robin_sample(t):
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", "source", "quality")

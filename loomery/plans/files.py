@@ -140,6 +140,16 @@ def workbook_cells(t):
     return W.workbooks(rows, "batch", "ord").select("content").mapInPandas(sheet, "conversation string, step string, said string")
 
 
+@query(f"""with s as (select cast(floor(conv_id / 50) as bigint) batch, coalesce(role, '') source, text from conversations)
+select batch, true valid, count(*) row_count, array_to_string(list_sort(list(distinct source)), ',') sources, cast(count(*) filter (where length(text) > 1000) as bigint) truncated_cells from s group by 1""")
+def workbook_checks(t):
+    """Every workbook of 50 conversations passes all checks; cells of more than 1,000 characters were cut."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    rows = t.conversations.select(F.floor(F.col("conv_id") / 50).alias("batch"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("turn").cast("string").alias("step"), text.alias("said"), F.coalesce("role", F.lit("")).alias("source"))
+    found = W.validated(W.workbooks(rows, "batch", "ord", limit=1000), ["step", "said", "source"])
+    return found.select("batch", "valid", "row_count", F.array_join(F.array_sort(F.map_keys("source_counts")), ",").alias("sources"), "truncated_cells")
+
+
 @query("select doc_id, cast(null as varchar) priority, lang from documents")
 def missing_columns(t):
     """Columns that a source lacks come as nulls, found by their first alias otherwise."""

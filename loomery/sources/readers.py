@@ -103,14 +103,16 @@ def tar_mail(spark: SparkSession, path: str, batch: int = 200) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, MESSAGE)
 
 
-def sheet_rows(content: bytes, prefer: str = "emails") -> tuple[list[str], list[list[str]]]:
-    """Header and rows of a workbook's preferred sheet, else its first; blank headers are col_<i>."""
+def sheet_table(content: bytes, name: str | None = None, prefer: str = "emails") -> list[list[str]] | None:
+    """Cells of a workbook's sheet: the named one (None if it isn't there), or the preferred one, else the first."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         book = ET.fromstring(z.read("xl/workbook.xml"))
         target = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         sheets = {s.get("name"): target[s.get(f"{{{ns['r']}}}id")] for s in book.find("m:sheets", ns)}
-        part = sheets.get(prefer) or next(iter(sheets.values()))
+        if name is not None and name not in sheets:
+            return None
+        part = sheets.get(name or prefer) or next(iter(sheets.values()))
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
@@ -119,17 +121,23 @@ def sheet_rows(content: bytes, prefer: str = "emails") -> tuple[list[str], list[
     for row in sheet.iter(f"{{{ns['m']}}}row"):
         cells: dict[int, str] = {}
         for c in row:
-            name = re.match("[A-Z]+", c.get("r") or "")
+            letters = re.match("[A-Z]+", c.get("r") or "")
             at = 0
-            for x in name[0] if name else "":
+            for x in letters[0] if letters else "":
                 at = at * 26 + ord(x) - 64
-            at = at - 1 if name else len(cells)
+            at = at - 1 if letters else len(cells)
             if c.get("t") == "inlineStr":
                 cells[at] = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
             else:
                 v = c.find("m:v", ns)
                 cells[at] = "" if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
         table.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+    return table
+
+
+def sheet_rows(content: bytes, prefer: str = "emails") -> tuple[list[str], list[list[str]]]:
+    """Header and rows of a workbook's preferred sheet, else its first; blank headers are col_<i>."""
+    table = sheet_table(content, prefer=prefer)
     if not table:
         return [], []
     header = [h.strip() or f"col_{i}" for i, h in enumerate(table[0])]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import xml.etree.ElementTree as ET
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -10,7 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sanitize_xml, truncate_cell
+from ..functions.text import CELL_MARKER, sanitize_xml, truncate_cell
+from .readers import sheet_table
+
+#: Characters that XML 1.0 lacks.
+ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
 def jsonl(df: DataFrame, path: str, sort_keys: bool = False) -> int:
@@ -67,6 +73,75 @@ def workbooks(df: DataFrame, batch: str, order: str, limit: int = 32_767) -> Dat
     return kept.groupBy(batch).applyInPandas(build, "batch long, content binary, n long")
 
 
+CHECKED = "batch long, valid boolean, row_count long, source_counts map<string, long>, truncated_cells long, errors array<string>"
+
+
+def checked(content: bytes | None, header: list[str], sheet: str, sources: list[str] | None) -> dict:
+    """What is wrong with one workbook, check by check, with its rows, rows for each source and cut cells."""
+    out = {"row_count": 0, "source_counts": {}, "truncated_cells": 0, "errors": []}
+    bad = out["errors"].append
+    if not content:
+        bad("no content")
+        return out
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = z.namelist()
+            for name in names:
+                if name.endswith((".xml", ".rels")):
+                    try:
+                        ET.fromstring(z.read(name))
+                    except ET.ParseError:
+                        bad(f"{name} is no XML")
+            if "xl/worksheets/sheet1.xml" not in names:
+                bad("no first sheet")
+            elif re.search(rb"<f[ >]", z.read("xl/worksheets/sheet1.xml")):
+                bad("formulas")
+    except zipfile.BadZipFile:
+        bad("no zip archive")
+        return out
+    try:
+        table = sheet_table(content, sheet)
+    except (KeyError, ValueError, IndexError, AttributeError, StopIteration, ET.ParseError):
+        bad("can't be read")
+        return out
+    if table is None:
+        bad(f"no sheet {sheet}")
+    elif not table:
+        bad("empty sheet")
+    else:
+        if table[0] != header:
+            bad("other header")
+        for n, row in enumerate(table[1:], 2):
+            out["row_count"] += 1
+            if len(row) != len(header):
+                bad(f"row {n}: {len(row)} cells")
+                continue
+            bad_cells = sum(bool(ILLEGAL.search(x)) for x in row)
+            if bad_cells:
+                bad(f"row {n}: characters that XML lacks")
+            out["truncated_cells"] += sum(CELL_MARKER in x for x in row)
+            out["source_counts"][row[-1]] = out["source_counts"].get(row[-1], 0) + 1
+            if sources is not None and row[-1] not in sources:
+                bad(f"row {n}: unknown source")
+        if not out["row_count"]:
+            bad("no rows")
+        if not out["errors"] and sheet_table(workbook(table[0], table[1:], sheet), sheet) != table:
+            bad("reads otherwise once written again")
+    return out
+
+
+def validated(df: DataFrame, header: list[str], sheet: str = "emails", sources: list[str] | None = None) -> DataFrame:
+    """CHECKED for each workbook (batch, content): archive and XML, first sheet, no formulas, readable, the named sheet, header,
+    cells a row, legal characters, known sources (in the last column), a row at least, and the same table once written again."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            found = [checked(c, header, sheet, sources) for c in pdf["content"]]
+            yield pd.DataFrame({"batch": pdf["batch"], "valid": [not f["errors"] for f in found], **{k: [f[k] for f in found] for k in ("row_count", "source_counts", "truncated_cells", "errors")}})
+
+    return df.select("batch", "content").mapInPandas(run, CHECKED)
+
+
 def manifest(df: DataFrame, source: str) -> dict[str, int]:
     """Rows for each source: a small report for the driver."""
     return {r[source]: r["n"] for r in df.groupBy(source).agg(F.count("*").alias("n")).orderBy(source).collect()}

@@ -181,3 +181,36 @@ def test_mailbox_scan_and_poll():
     rows, again = poll.read(at)
     assert list(rows) == [] and again == at
     assert [r[0] for r in poll.readBetweenOffsets({"id": 1}, {"id": 3})] == ["2", "3"]
+
+
+def test_workbook_checks_find_what_is_wrong(spark):
+    import io
+    import zipfile
+
+    from loomery.sources import sinks as W
+
+    head = ["subject", "body", "source"]
+    good = W.workbook(head, [["a", "b", "x"], ["c", "d", "y"]])
+
+    def edited(name, change):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(good)) as z, zipfile.ZipFile(out, "w") as w:
+            for n in z.namelist():
+                data = z.read(n)
+                data = change(data) if n == name else data
+                if data is not None:
+                    w.writestr(n, data)
+        return out.getvalue()
+
+    sheet = "xl/worksheets/sheet1.xml"
+    cases = [
+        (good, []), (None, ["no content"]), (b"zip", ["no zip archive"]), (W.workbook(head, []), ["no rows"]), (W.workbook(["x"], [["1"]]), ["other header", "row 2: 1 cells"]), (W.workbook(head, [["a", "b", "z"]]), ["row 2: unknown source"]),
+        (W.workbook(head, [["a", "b", "x"]], "other"), ["no sheet emails"]), (edited(sheet, lambda x: x.replace(b"<c ", b"<c><f>1</f></c><c ", 1)), ["formulas", "other header", "row 2: 3 cells"]),
+        (edited(sheet, lambda x: x[:-5]), [f"{sheet} is no XML", "can't be read"]), (edited(sheet, lambda x: None), ["no first sheet", "can't be read"]),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "batch long, content binary")
+    got = {r["batch"]: r for r in W.validated(df, head, sources=["x", "y"]).collect()}
+    for i, (_, want) in enumerate(cases):
+        errors = list(got[i]["errors"])
+        assert (errors[:2] == want[:2] if i == 7 else errors == want) and got[i]["valid"] == (not want), (i, errors)
+    assert (got[0]["row_count"], got[0]["source_counts"]) == (2, {"x": 1, "y": 1})

@@ -80,6 +80,38 @@ def test_group_split_keeps_groups_and_shares(spark):
     assert 0.6 < share < 0.8
 
 
+def test_group_split_of_many_signatures(spark):
+    """Each class is within one group of its targets, though no two groups need have the same counts."""
+    r = random.Random(11)
+    rows, largest = [], 0
+    for g in range(3000):
+        counts = {c: r.randint(0, m) for c, m in (("a", 4), ("b", 6), ("c", 30), ("d", 200)) if r.random() < 0.6}
+        largest = max([largest, *counts.values()])
+        rows += [(f"g{g}", c, n) for c, n in counts.items() if n]
+    df = spark.createDataFrame(rows, "g string, label string, n int").select("g", "label", F.explode(F.sequence(F.lit(1), "n")))
+    got = S.group_split(df, "g", "label").groupBy("label", "split").count().collect()
+    total = {c: sum(x["count"] for x in got if x["label"] == c) for c in "abcd"}
+    assert sum(total.values()) == sum(n for _, _, n in rows)
+    for x in got:
+        assert abs(x["count"] - S.SPLITS[x["split"]] * total[x["label"]]) <= largest, x
+    assert S.group_split(df.limit(0), "g", "label").count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_top_similar_is_brute_force(spark, k):
+    from loomery.operators.setjoin import top_similar
+
+    rows = [(i, sorted(set(t.split()))) for i, t in words(4, 90)] + [(200, ["w1", "w2"]), (201, ["w1", "w2"]), (202, ["w2", "w1"]), (203, []), (204, ["alone"])]
+    df = spark.createDataFrame(rows, "id long, s array<string>")
+    got = {(r["q"], r["rank"]): (r["h"], pytest.approx(r["score"])) for r in top_similar(df.where("id % 3 = 0 or id > 199"), df, k, 0.2).collect()}
+    want = {}
+    for i, x in rows:
+        if i % 3 == 0 or i > 199:
+            near = sorted((-like(set(x), set(y)), j) for j, y in rows if j != i and x and y and like(set(x), set(y)) > 0.2)
+            want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(near[:k])}
+    assert got == want and len(want) > 20
+
+
 def test_q_fold(spark):
     rows = spark.createDataFrame([("k", 1, 1.0), ("k", 2, 0.0), ("k", 3, -1.0)], "key string, ts int, r double")
     assert St.q_fold(rows, "key", ["ts"], F.col("r")).first()["q"] == pytest.approx(-0.019)
@@ -300,3 +332,29 @@ def test_reset_and_root_causes(spark, tmp_path):
     causes = M.root_causes(("a", "b", 30), {"low": 0.9, "high": 0.1}, 0, 2, 0.02, 0.1)
     assert [c["impact"] for c in causes] == ["High", "High", "Low", "Medium", "Low"] and causes[0]["evidence"] == "a -> b: 30 rows"
     assert M.root_causes(None, {}, 0, 0, 0.0, 0.0)[0]["evidence"] == "no confusion"
+
+
+def test_classifier_and_variants(spark, tmp_path):
+    """A saved classifier scores raw texts as before; variants share a table, and the threshold is the best composite's."""
+    from loomery.operators import learn as L
+
+    r = random.Random(9)
+    words = {"high": "urgent server down now", "medium": "please review this report", "low": "weekly news digest offer"}
+    rows = [(i, k, " ".join(r.choices(words[k].split() + ["the", "a", "of"], k=6)), float(k == "high")) for i in range(240) for k in [r.choice(["high", "medium", "low", "low"])]]
+    df = keep_table(spark.createDataFrame(rows, "id long, priority string, text string, signal double"))
+    one = L.Classifier(L.TfIdf(50)).fit(df, "text", ["priority"], keep_table, 30)
+    one.save(str(tmp_path / "c"))
+    scored = lambda c: {x["id"]: (x["priority_pred"], round(x["priority_pred_confidence"], 9)) for x in c.predict(df, "text").collect()}
+    before = scored(one)
+    assert scored(L.Classifier.load(str(tmp_path / "c"))) == before and len(before) == 240
+    x = L.TfIdf(50).fit(df, "text").transform(df, "text").withColumn("plain", F.col("features"))
+    x = keep_table(L.hybrid(x, "features", ["signal"]).select("id", "priority", "plain", "features"))
+    heads = L.heads_of(x.where("id < 160"), "priority", iterations=30)
+    assert set(heads) == {v[0] for v in L.VARIANTS}
+    alone = L.Head(1.0, 30).fit(x.where("id < 160"), "priority")
+    assert heads["Hybrid_Engineered_Balanced"].model.coefficientMatrix.toArray() == pytest.approx(alone.model.coefficientMatrix.toArray(), abs=1e-6)
+    got = L.compared(heads, x.where("id >= 160"), "priority").collect()
+    assert len(got) == 4 + len(L.THRESHOLDS) and sum(g["selected"] for g in got) == 1
+    swept = [g for g in got if g["name"] == "Hybrid_Engineered_Balanced"]
+    best = max(swept, key=lambda g: (g["composite"], -g["threshold"]))
+    assert best["selected"] and best["composite"] == pytest.approx(0.4 * best["recall"] + 0.3 * best["f1"] + 0.3 * best["macro_f1"])
