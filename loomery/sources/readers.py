@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import email
 import email.policy
 import io
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 MESSAGE = "path string, member string, label string, subject string, body string"
 
@@ -79,12 +80,15 @@ def mime(df: DataFrame, raw: str) -> DataFrame:
     return df.withColumn("_m", parse(raw)).select("*", "_m.subject", "_m.body").drop("_m")
 
 
-def tar_mail(spark: SparkSession, path: str, batch: int = 200) -> DataFrame:
-    """Messages in tar archives of any compression; the member's folder is the label.
+MEMBER = "path string, member string, label string, raw binary"
 
-    One archive is one task, and one value of at most 2 GB as it is stored; members are unpacked one after the other.
+
+def tar_members(spark: SparkSession, path: str, batch: int = 200) -> DataFrame:
+    """Files in tar archives of any compression; the member's folder is the label.
+
+    An archive is one value of at most 2 GB as it is stored, unpacked by one task as its stream goes, `batch` files at a time.
     """
-    columns = ["path", "member", "label", "subject", "body"]
+    columns = ["path", "member", "label", "raw"]
 
     def members(batches):
         for pdf in batches:
@@ -94,13 +98,19 @@ def tar_mail(spark: SparkSession, path: str, batch: int = 200) -> DataFrame:
                     for m in tar:
                         if not m.isfile():
                             continue
-                        rows.append((where, m.name, m.name.split("/")[-2] if "/" in m.name else "", *message_text(tar.extractfile(m).read())))
+                        rows.append((where, m.name, m.name.split("/")[-2] if "/" in m.name else "", tar.extractfile(m).read()))
                         if len(rows) == batch:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
                 yield pd.DataFrame(rows, columns=columns)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, MESSAGE)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, MEMBER)
+
+
+def tar_mail(spark: SparkSession, path: str, batch: int = 200, tasks: int | None = None) -> DataFrame:
+    """Messages in tar archives: one task unpacks an archive, and `tasks` (the shuffle's number) read its messages."""
+    spread = tar_members(spark, path, batch).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return mime(spread, "raw").select("path", "member", "label", "subject", "body")
 
 
 def sheet_table(content: bytes, name: str | None = None, prefer: str = "emails") -> list[list[str]] | None:
@@ -247,30 +257,54 @@ def fetched(client, ids: list[bytes]):
             yield (i.decode(), *message_text(raw))
 
 
-def mailbox_source(connect, folder: str = "INBOX", limit: int = 10) -> type[DataSource]:
-    """A data source over a mail server, for batch reads (the last messages of the first search that finds any) and for
-    streams, which poll for ids beyond the last one seen. connect() gives a logged-in client; register the class."""
+@contextlib.contextmanager
+def client_of(connect):
+    """A client that is closed at the end, as far as it can be."""
+    client = connect()
+    try:
+        yield client
+    finally:
+        for name in ("logout", "close", "shutdown"):
+            if hasattr(client, name):
+                getattr(client, name)()
+                break
+
+
+def mailbox_source(connect, folder: str = "INBOX", limit: int = 10, share: int = 50) -> type[DataSource]:
+    """A data source over a mail server: the last messages of the first search that finds any, or as a stream those beyond
+    the last id seen. connect() gives a logged-in client; register the class.
+
+    The driver only asks for ids. Messages are fetched in shares of `share` ids, each by a task with a client of its own.
+    """
 
     class Batch(DataSourceReader):
+        def partitions(self):
+            with client_of(connect) as client:
+                ids = scan_ids(client, folder, limit)
+            return [InputPartition(ids[i : i + share]) for i in range(0, len(ids), share)] or [InputPartition([])]
+
         def read(self, partition):
-            client = connect()
-            yield from fetched(client, scan_ids(client, folder, limit))
+            with client_of(connect) as client:
+                client.select(folder)
+                yield from fetched(client, partition.value)
 
-    class Poll(SimpleDataSourceStreamReader):
+    class Poll(DataSourceStreamReader):
         def initialOffset(self):
             return {"id": 0}
 
-        def between(self, low: int, high: int | None):
-            client = connect()
-            ids = [i for i in scan_ids(client, folder, 10**9, ("ALL",)) if int(i) > low and (high is None or int(i) <= high)]
-            return list(fetched(client, ids)), max(map(int, ids), default=low)
+        def latestOffset(self):
+            with client_of(connect) as client:
+                return {"id": max(map(int, scan_ids(client, folder, 10**9, ("ALL",))), default=0)}
 
-        def read(self, start):
-            rows, last = self.between(start["id"], None)
-            return iter(rows), {"id": last}
+        def partitions(self, start, end):
+            low, high = start["id"], end["id"]
+            return [InputPartition((i, min(i + share, high))) for i in range(low, high, share)]
 
-        def readBetweenOffsets(self, start, end):
-            return iter(self.between(start["id"], end["id"])[0])
+        def read(self, partition):
+            low, high = partition.value
+            with client_of(connect) as client:
+                ids = [i for i in scan_ids(client, folder, 10**9, ("ALL",)) if low < int(i) <= high]
+                yield from fetched(client, ids)
 
         def commit(self, end):
             pass
@@ -286,7 +320,7 @@ def mailbox_source(connect, folder: str = "INBOX", limit: int = 10) -> type[Data
         def reader(self, schema):
             return Batch()
 
-        def simpleStreamReader(self, schema):
+        def streamReader(self, schema):
             return Poll()
 
     return Mailbox

@@ -4,6 +4,7 @@ import io
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomery.sources import readers as R
@@ -173,14 +174,30 @@ MAIL = {str(i).encode(): f"Subject: s{i}\nContent-Type: text/plain\n\nb{i}".enco
 def test_mailbox_scan_and_poll():
     server = Server({"RECENT": b"1 2 3 9", "ALL": b"1 2 3 4"}, MAIL)
     assert R.scan_ids(server, "INBOX", 2) == [b"3", b"9"] and R.scan_ids(Server({}, {}), "INBOX", 2) == []
-    source = R.mailbox_source(lambda: server, limit=3)({})
-    assert list(source.reader(None).read(None)) == [("2", "s2", "b2"), ("3", "s3", "b3")]
-    poll = source.simpleStreamReader(None)
-    rows, at = poll.read(poll.initialOffset())
-    assert [r[0] for r in rows] == ["1", "2", "3", "4"] and at == {"id": 4}
-    rows, again = poll.read(at)
-    assert list(rows) == [] and again == at
-    assert [r[0] for r in poll.readBetweenOffsets({"id": 1}, {"id": 3})] == ["2", "3"]
+    read = lambda reader, parts: [list(reader.read(p)) for p in parts]
+    source = R.mailbox_source(lambda: server, limit=3, share=2)({})
+    batch = source.reader(None)
+    assert read(batch, batch.partitions()) == [[("2", "s2", "b2"), ("3", "s3", "b3")], []]  # two tasks; 9 can't be fetched
+    poll = source.streamReader(None)
+    end = poll.latestOffset()
+    assert end == {"id": 4} and poll.partitions(end, end) == []
+    got = read(poll, poll.partitions(poll.initialOffset(), end))
+    assert [[r[0] for r in rows] for rows in got] == [["1", "2"], ["3", "4"]]
+    assert [[r[0] for r in rows] for rows in read(poll, poll.partitions({"id": 1}, {"id": 3}))] == [["2", "3"]]
+    nothing = R.mailbox_source(lambda: Server({}, {}))({}).reader(None)
+    assert read(nothing, nothing.partitions()) == [[]]
+
+
+def test_messages_of_one_archive_are_read_by_several_tasks(spark, tmp_path):
+    with tarfile.open(tmp_path / "m.tar.bz2", "w:bz2") as tar:
+        for i in range(40):
+            raw = f"Subject: s{i}\nContent-Type: text/plain\n\nbody {i}\n".encode()
+            info = tarfile.TarInfo(f"mail/{'spam' if i % 2 else 'ham'}/{i:04}")
+            info.size = len(raw)
+            tar.addfile(info, io.BytesIO(raw))
+    got = R.tar_mail(spark, str(tmp_path / "m.tar.bz2"), tasks=4).select("label", "subject", "body", F.spark_partition_id().alias("task")).collect()
+    assert {(r["subject"], r["label"], r["body"].strip()) for r in got} == {(f"s{i}", "spam" if i % 2 else "ham", f"body {i}") for i in range(40)}
+    assert len({r["task"] for r in got}) == 4
 
 
 def test_workbook_checks_find_what_is_wrong(spark):
