@@ -50,7 +50,7 @@ class Texts:
         self.ratio, self.keep = ratio, keep_table
         self.word = keep_table(rows.select("id", F.array_distinct(word_hashes(F.col("c"))).alias("s"), F.length("c").alias("n")))
         self.gram = keep_table(char_grams(rows, "id", F.col("c")))
-        self.met = keep_table(meetings(self.word, words).unionByName(meetings(self.gram, chars)))
+        self.met = meetings(self.word, words).unionByName(meetings(self.gram, chars))
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of like length, with word_sim and char_sim."""
