@@ -150,24 +150,32 @@ def sentiment_label(polarity: Column) -> Column:
     return F.when(polarity > 0.1, "positive").when(polarity < -0.1, "negative").otherwise("neutral")
 
 
+# Words of the stand-in analysis (urgent, meeting, request, negative), and of the expected action (calendar,
+# reply, intents without an action, intents with a task, tasks).
+MOCK = {"urgent": ["urgent", "asap", "immediately"], "meeting": ["meeting", "calendar"], "request": ["please", "can you"], "negative": ["problem", "failed", "angry"]}
+CALENDAR, REPLY, ASKED = ["meeting", "schedule"], "reply", "can you"
+IDLE_INTENTS, TASK_INTENTS = ["promotion", "other", "notification"], ["request", "security", "transactional"]
+TASKS = ["submit", "reset", "verify", "pay", "send", "approve"]
+
+
 def mock_analysis(subject: Column | str, body: Column | str) -> Column:
     """The deterministic analysis that stands in for a model."""
     s, b = strip(text(subject)), strip(text(body))
     t = strip(F.concat(s, F.lit(" "), b))
     low = F.lower(t)
-    urgent = F.when(some_word(low, ["urgent", "asap", "immediately"]), "high").otherwise("medium")
-    intent = F.when(some_word(low, ["meeting", "calendar"]), "meeting").when(some_word(low, ["please", "can you"]), "request").when(t.contains("?"), "question").otherwise("information")
+    urgent = F.when(some_word(low, MOCK["urgent"]), "high").otherwise("medium")
+    intent = F.when(some_word(low, MOCK["meeting"]), "meeting").when(some_word(low, MOCK["request"]), "request").when(t.contains("?"), "question").otherwise("information")
     head = F.concat(F.substring(b, 1, 180), F.when(F.length(b) > 180, "...").otherwise(""))
     summary = F.coalesce(F.nullif(head, F.lit("")), F.nullif(s, F.lit("")), F.lit("No message content"))
-    return F.struct(summary.alias("summary"), intent.alias("intent"), urgent.alias("urgency"), F.when(some_word(low, ["problem", "failed", "angry"]), "negative").otherwise("neutral").alias("sentiment"), F.lit(0.5).alias("confidence"))
+    return F.struct(summary.alias("summary"), intent.alias("intent"), urgent.alias("urgency"), F.when(some_word(low, MOCK["negative"]), "negative").otherwise("neutral").alias("sentiment"), F.lit(0.5).alias("confidence"))
 
 
 def expected_action(intent: Column, subject: Column, body: Column) -> Column:
     s, b = F.lower(subject), F.lower(body)
-    out = F.when((intent == "meeting") | some_word(s, ["meeting", "schedule"]), "create_calendar_event").when((intent == "question") | s.contains("reply") | b.contains("can you"), "reply")
-    out = out.when(intent.isin("promotion", "other", "notification"), "none").when(intent == "follow_up", "follow_up")
-    task = some_word(b, ["submit", "reset", "verify", "pay", "send", "approve"])
-    return out.when(intent.isin("request", "security", "transactional"), F.when(task, "create_task").otherwise("reply")).otherwise("none")
+    out = F.when((intent == "meeting") | some_word(s, CALENDAR), "create_calendar_event").when((intent == "question") | s.contains(REPLY) | b.contains(ASKED), "reply")
+    out = out.when(intent.isin(*IDLE_INTENTS), "none").when(intent == "follow_up", "follow_up")
+    task = some_word(b, TASKS)
+    return out.when(intent.isin(*TASK_INTENTS), F.when(task, "create_task").otherwise("reply")).otherwise("none")
 
 
 def parsed_action(raw: Column, full: Column) -> Column:

@@ -264,9 +264,13 @@ def document_emails(t):
     return t.documents.select("doc_id", F.explode(X.all_of("text", X.EMAIL)).alias("email"))
 
 
+# Words that make a sentence weighty.
+WEIGHTY = ["urgent", "important", "deadline", "meeting", "please", "need", "must", "should"]
+
+
 @query("""with p as (select doc_id, pos, trim(s) s from (select doc_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.!?]+')) s, generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.!?]+'), 1) pos from documents) where trim(s) <> ''),
 r as (select *, row_number() over (partition by doc_id order by len(string_split(s, ' ')) * 0.1 desc, pos) k from p)
 select doc_id, md5(array_to_string(list(s order by k), '|')) sentences from r where k <= 3 group by 1""")
 def key_sentences(t):
-    s = X.key_sentences("text", 3, ["urgent", "important", "deadline", "meeting", "please", "need", "must", "should"])
+    s = X.key_sentences("text", 3, WEIGHTY)
     return t.documents.select("doc_id", s.alias("s")).where("size(s) > 0").select("doc_id", F.md5(F.array_join("s", "|")).alias("sentences"))

@@ -223,8 +223,12 @@ def tag_filter(t, wanted: str = "urgent"):
     return rows if wanted.upper() == "ALL" else rows.where(F.upper("tag") == wanted.upper())
 
 
-@query(f"with {M.LOWERED} select id, cast(least(1.0, 0.25 + case when {hits('t', ['urgent', 'asap', 'immediately', 'critical'])} > 0 then 0.55 when {hits('t', ['deadline', 'meeting', 'please'])} > 0 then 0.25 else 0.0 end) as double) priority from low")
+# Words of the older priority score.
+PRESSING, NOTABLE = ["urgent", "asap", "immediately", "critical"], ["deadline", "meeting", "please"]
+
+
+@query(f"with {M.LOWERED} select id, cast(least(1.0, 0.25 + case when {hits('t', PRESSING)} > 0 then 0.55 when {hits('t', NOTABLE)} > 0 then 0.25 else 0.0 end) as double) priority from low")
 def legacy_priority(t):
     x = L.mail().text
-    more = F.when(L.any_of(x, ["urgent", "asap", "immediately", "critical"]), 0.55).when(L.any_of(x, ["deadline", "meeting", "please"]), 0.25).otherwise(0.0)
+    more = F.when(L.any_of(x, PRESSING), 0.55).when(L.any_of(x, NOTABLE), 0.25).otherwise(0.0)
     return box(t).select("id", F.least(F.lit(1.0), 0.25 + more).alias("priority"))
