@@ -46,7 +46,9 @@ class Texts:
     """
 
     def __init__(self, rows: DataFrame, id_col: str, text: Column, keep_table, words: float = 0.80, chars: float = 0.85, ratio: float = 0.70, least: int = 15):
-        rows = rows.select(F.col(id_col).alias("id"), text.alias("c")).where(F.length("c") >= least)
+        # sets cost far more time than bytes: as many tasks as shuffles have, where few files hold the texts
+        spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.select(F.col(id_col).alias("id"), text.alias("c")).where(F.length("c") >= least).repartition(spread)
         self.ratio, self.keep = ratio, keep_table
         self.word = keep_table(rows.select("id", F.array_distinct(word_hashes(F.col("c"))).alias("s"), F.length("c").alias("n")))
         self.gram = keep_table(char_grams(rows, "id", F.col("c")))
