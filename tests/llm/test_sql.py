@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
