@@ -10,9 +10,10 @@ of both sets' items, dealt into many bits, differ in no more bits than the sets
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .tables import drop, keep_table
 
 LARGEST = 2**31
+KIND = 512  # more than there are size classes
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -42,11 +44,12 @@ class Parts:
         """Greatest difference and number of parts for pairs whose smaller set is of class c.
 
         A few parts more than must agree leave room to skip frequent ones; small sets need more, as more of their parts are empty.
+        Large parts are what unrelated sets of everyday items seldom have in common, so there are not many more.
         """
         if self.t >= 1:
             return 0, 1
         apart = int((self.edges[c + 1] - 1) * (1 - self.t) / self.t + 1e-9)
-        return apart, 1 if not apart else 2 * (apart + 1) if apart <= 12 else int(1.3 * (apart + 1))
+        return apart, 1 if not apart else 2 * (apart + 1) if apart <= 12 else int(1.1 * (apart + 1))
 
     def classes(self, n: int) -> list[int]:
         """Classes under which a set of n items meets others."""
@@ -98,6 +101,13 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
     return mixed(h)
 
 
+def gram_similarity(a: str, b: str, n: int = 4) -> float:
+    """Jaccard similarity of the character n-gram sets; two without any are alike."""
+    x, y = np.unique(gram_hashes(a, n)), np.unique(gram_hashes(b, n))
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
+
+
 def char_grams(df: DataFrame, id_col: str, text: Column, n: int = 4) -> DataFrame:
     """(id, s): distinct hashed character n-grams; none for shorter texts."""
     return hashed_sets(df, id_col, text, lambda t: np.unique(gram_hashes(t, n)))
@@ -117,6 +127,114 @@ def fingerprints(text: str, least: int) -> np.ndarray:
     return np.unique(h)
 
 
+def word_numbers(texts: list[str]) -> Iterator[np.ndarray]:
+    """The distinct words between the spaces of each text as hashes, hashed together."""
+    words = [[w for w in t.split(" ") if w] for t in texts]
+    flat = pd.util.hash_array(np.array([w for ws in words for w in ws], dtype=object)) if any(words) else np.empty(0, np.uint64)
+    ends = np.cumsum([0, *map(len, words)])
+    for i, j in zip(ends[:-1], ends[1:]):
+        yield np.unique(flat[i:j])
+
+
+def packed_meetings(rows: DataFrame, kinds: list[tuple[float, Callable[[list[str]], Iterable[np.ndarray]]]], keep_table) -> DataFrame:
+    """The meetings of rows (id long, t), for one kind of sets or more: (threshold, texts -> sets of numbers).
+
+    They are those of meetings(). Few parts meet others but all have to be counted,
+    so they travel packed: 4 bytes of key each, by slices of the keys, and those that several sets have back by slices of
+    the ids, with their numbers of sets. Neither sets nor keys are written. Reads rows twice.
+    """
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forms = {"id": np.int64, "code": np.uint16, "part": np.uint32, "key": np.uint64, "df": np.uint32}
+
+    def packed(*names):
+        return "slice int, " + ", ".join(f"{n} binary" for n in names)
+
+    def pack(to, **arrays):
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(slices + 1))
+        used = np.flatnonzero(ends[1:] > ends[:-1])
+        moved = [a[order].astype(forms[n], copy=False) for n, a in arrays.items()]
+        cut = [pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in used], pa.binary()) for x in moved]
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *cut], names=["slice", *arrays])
+
+    def unpack(batches, *names):
+        got = [[np.empty(0, forms[n])] for n in names]
+        for b in batches:
+            for k, n in enumerate(names):
+                got[k] += [np.frombuffer(x, forms[n]) for x in b.column(n).to_pylist()]
+        return [np.concatenate(g) for g in got]
+
+    def sets(b, schemes):
+        """(id, kind, class, set) of a batch."""
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for at in range(0, len(ids), 256):
+            for kind, (parts, (_, make)) in enumerate(zip(schemes, kinds)):
+                for i, h in zip(ids[at : at + 256], make(texts[at : at + 256])):
+                    for c in parts.classes(len(h)) if len(h) else ():
+                        yield i, kind, c, h
+
+    def deal(batches):
+        schemes, found, held = [Parts(t) for t, _ in kinds], [], 0
+
+        def flushed():
+            keys, count = np.concatenate([f[2] for f in found]), [len(f[2]) for f in found]
+            ids, codes = (np.repeat(np.array([f[k] for f in found], form), count) for k, form in ((0, np.int64), (1, np.uint16)))
+            return pack(((keys >> np.uint64(32)) % np.uint64(slices)).astype(np.int64), id=ids, code=codes, part=keys & np.uint64(2**32 - 1))
+
+        for b in batches:
+            for i, kind, c, h in sets(b, schemes):
+                found.append((i, KIND * kind + c, schemes[kind].keys(h, c) ^ mixed(np.array([kind], np.uint64), 5)))
+                held += len(found[-1][2])
+                if held > 1_000_000:
+                    yield flushed()
+                    found, held = [], 0
+        if found:
+            yield flushed()
+
+    def shared(batches):
+        batches = iter(batches)
+        slice_, rest = -1, []
+        for b in batches:  # a partition is a slice
+            if len(b):
+                slice_ = b.column(0)[0].as_py()
+            rest.append(b)
+        ids, codes, part = unpack(rest, "id", "code", "part")
+        order = np.argsort(part, kind="stable")
+        new = np.flatnonzero(np.r_[True, part[order[1:]] != part[order[:-1]]]) if len(part) else np.empty(0, np.int64)
+        df = np.diff(np.r_[new, len(part)])
+        df = np.repeat(df, df)
+        at, df = order[df > 1], df[df > 1]
+        key = part[at].astype(np.uint64) | np.uint64(max(slice_, 0) << 32)
+        yield pack((ids[at].view(np.uint64) % np.uint64(slices)).astype(np.int64), id=ids[at], code=codes[at], key=key, df=df)
+
+    def rarest(batches):
+        ids, codes, key, df = unpack(batches, "id", "code", "key", "df")
+        order = np.lexsort((key, df, codes, ids))
+        ids, codes, key = ids[order], codes[order], key[order]
+        new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (codes[1:] != codes[:-1])]) if len(ids) else np.empty(0, np.int64)
+        n = np.diff(np.r_[new, len(ids)])
+        schemes, room = [Parts(t) for t, _ in kinds], np.zeros(KIND * len(kinds), np.int64)
+        for code in np.unique(codes).tolist():
+            apart, parts = schemes[code // KIND].scheme(code % KIND)
+            room[code] = apart + 1 - parts
+        keep = np.arange(len(ids)) - np.repeat(new, n) < np.repeat(room[codes[new]] + n, n)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[keep]), pa.array(codes[keep].astype(np.int32))], names=["key", "id", "code"])
+
+    def sketch(batches):
+        schemes = [Parts(t) for t, _ in kinds]
+        for b in batches:
+            found = [(i, KIND * kind + c, len(h), kinds[kind][0], schemes[kind].parity(h, c)) for i, kind, c, h in sets(b, schemes)]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(types)], names=["id", "code", "n", "t", "parity"])
+
+    rows = rows.select("id", "t")
+    by_key = rows.mapInArrow(deal, packed("id", "code", "part")).repartitionById(slices, F.col("slice"))
+    by_id = by_key.mapInArrow(shared, packed("id", "code", "key", "df")).repartitionById(slices, F.col("slice"))
+    rare = by_id.mapInArrow(rarest, "key long, id long, code int")
+    met = rare.join(rows.mapInArrow(sketch, "id long, code int, n int, t double, parity array<long>"), ["id", "code"])
+    return keep_table(met.select("key", "id", "n", "t", "parity"))
+
+
 def meetings(sets: DataFrame, threshold: float) -> DataFrame:
     """(key, id, n, t, parity): a written table of the rarest keys of the sets (id, s), without those that only one set has."""
     sets = sets.select("id", "s").where("size(s) > 0")

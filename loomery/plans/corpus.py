@@ -8,7 +8,7 @@ from ..functions import similarity as sim
 from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import quality as Q
-from ..operators.tables import keep_table
+from ..operators.tables import keep_table, small, spread
 from .registry import lit, query
 
 N1 = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
@@ -77,15 +77,20 @@ def benchmark_contamination(t):
 
 
 def texts(t):
-    """(doc_id, c, rep): normalised texts and the smallest doc_id that has the same."""
-    rows = t.documents.select("doc_id", X.norm_basic("text").alias("c"))
-    return rows.join(D.first_texts(rows, "doc_id", F.col("c")).withColumnRenamed("id", "doc_id"), "doc_id")
+    """(doc_id, rep) of all documents, the smallest doc_id of equal normalised texts, and (doc_id, c), the texts of the first
+    ones: the latter over a written table, where texts stay in place."""
+    rows = keep_table(spread(t.documents.select("doc_id", "text")).select("doc_id", X.norm_basic("text").alias("c")))
+    of = keep_table(D.first_texts(rows, "doc_id", F.col("c")).withColumnRenamed("id", "doc_id"))
+    copies = small(keep_table(of.where("doc_id <> rep").select("doc_id")))
+    return of, rows.join(copies, "doc_id", "left_anti")
 
 
 def near(t, **bounds):
-    """The rows of texts and the pairs alike between first ones, as written tables."""
-    rows = keep_table(texts(t))
-    return rows, keep_table(D.alike(rows.where("doc_id = rep"), "doc_id", F.col("c"), keep_table, **bounds))
+    """(doc_id, rep) and the pairs alike between first texts, as written tables."""
+    of, firsts = texts(t)
+    found = D.Texts(firsts, "doc_id", F.col("c"), keep_table, **bounds)
+    words, chars = bounds.get("words", 0.80), bounds.get("chars", 0.85)
+    return of, keep_table(found.pairs().where((F.col("word_sim") >= words) | (F.col("char_sim") >= chars)))
 
 
 def meeting_sql(v: str, items: str, threshold: float) -> tuple[str, str]:
@@ -127,16 +132,19 @@ def grouped(rows, pairs):
 
 
 def joined(t, accept):
-    """Groups over the links that accept takes of compared pairs of first texts: no family of copies makes all its pairs."""
-    rows = keep_table(texts(t))
-    firsts = rows.where("doc_id = rep")
-    return grouped(rows, D.Texts(firsts, "doc_id", F.col("c"), keep_table).links(lambda pairs: accept(firsts, pairs)))
+    """Groups over the links that accept takes of compared pairs of first texts: no family of copies makes all its pairs.
+
+    accept(first texts) is called before any pair is found, and gives pairs, texts of some -> pairs."""
+    of, firsts = texts(t)
+    take = accept(firsts)
+    found = D.Texts(firsts, "doc_id", F.col("c"), keep_table)
+    return grouped(of, found.links(lambda pairs: take(pairs, found.texts)))
 
 
 @query(f"with recursive {near_sql(15, 0.7)}, good as (select a, b from alike where ws >= 0.8 or cs >= 0.85), {REACH.format('good')}")
 def near_dup_components(t):
     """Groups of equal and near texts, by words or by characters."""
-    return joined(t, lambda firsts, pairs: pairs.where("word_sim >= 0.8 or char_sim >= 0.85"))
+    return joined(t, lambda firsts: lambda pairs, texts: pairs.where("word_sim >= 0.8 or char_sim >= 0.85"))
 
 
 @query(f"""with recursive {near_sql(15, 0.7)}, u as (select id, unnest(w) t from v), often as (select t from u where length(t) >= 3 group by 1 having count(*) between 2 and (select greatest(20, floor(0.2 * count(*))) from k)),
@@ -144,8 +152,12 @@ mine as (select id, list(t) l from u join often using (t) group by 1),
 good as (select a, b from alike join mine m on m.id = a join mine o on o.id = b where list_has_any(m.l, o.l) and (ws >= 0.8 or (ws >= 0.4 and cs >= 0.85))), {REACH.format('good')}""")
 def near_dup_mail_components(t):
     """Groups as in mail corpora: pairs share an informative word, and characters count from a word similarity of 0.4."""
-    some = lambda pairs: pairs.where("word_sim >= 0.8 or (word_sim >= 0.4 and char_sim >= 0.85)")
-    return joined(t, lambda firsts, pairs: D.informative(firsts, "doc_id", F.col("c"), some(pairs)))
+    def accept(firsts):
+        good = keep_table(D.informative(firsts, F.col("c")))
+        some = lambda pairs: keep_table(pairs.where("word_sim >= 0.8 or (word_sim >= 0.4 and char_sim >= 0.85)"))
+        return lambda pairs, texts: D.sharing(some(pairs), texts, "id", F.col("c"), good)
+
+    return joined(t, accept)
 
 
 BOILER = "text"

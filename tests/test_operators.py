@@ -1,6 +1,7 @@
 """Operators against brute force on generated rows, and their edge cases."""
 
 import itertools
+import pathlib
 import random
 
 import pytest
@@ -365,3 +366,19 @@ def test_mean_of_decimals_is_that_of_any_order(spark):
     rows = [(1, v) for v in low] + [(2, 1.0), (2, None), (3, None), (4, float("inf")), (4, 1.0), (5, 1e30), (5, 3e30)]
     got = dict(spark.createDataFrame(rows, "k long, v double").groupBy("k").agg(F.round(St.mean("v"), 1)).collect())
     assert got == {1: 85.2, 2: 1.0, 3: None, 4: float("inf"), 5: 2e30}
+
+
+def test_alike_writes_less_than_the_texts(spark):
+    r = random.Random(11)
+    rows = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=2000))) for i in range(150)]
+    rows += [(1000 + i, t[:1950] + "x" * 50) for i, t in rows[:5]]
+    folders = []
+
+    def keep(df):
+        folders.append(keep_table(df))
+        return folders[-1]
+
+    df = keep_table(spark.createDataFrame(rows, "id long, t string"))
+    assert {(p["a"], p["b"]) for p in D.alike(df, "id", F.col("t"), keep).collect()} == {(i, 1000 + i) for i in range(5)}
+    written = sum(p.stat().st_size for t in folders for p in pathlib.Path(t._loomery_path.removeprefix("file:")).rglob("*.parquet"))
+    assert written < 150 * 2000 / 4  # sets of 4-grams alone take 8 bytes a character
