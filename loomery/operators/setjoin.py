@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -334,38 +335,121 @@ def contained(big: DataFrame, big_id: str, big_text: Column, small: DataFrame, s
     return hit.select(F.col("big").alias(big_id), F.col("small").alias(small_id))
 
 
+def blocks(sets: DataFrame) -> DataFrame:
+    """The sets (id, s) of longs that have an id and items, some thousands in a row: (ids, sizes, items)."""
+    kind = dict(sets.dtypes)["id"]
+
+    def run(batches):
+        held = []
+
+        def packed():
+            ids, flat = pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1).flatten() for b in held])
+            sizes = np.concatenate([b.column(1).value_lengths().to_numpy() for b in held]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes.tobytes()]), pa.array([flat.to_numpy().tobytes()])], names=["ids", "sizes", "items"])
+
+        for b in batches:
+            b = b.filter(pc.and_(b.column(0).is_valid(), pc.fill_null(pc.greater(b.column(1).value_lengths(), 0), False)))
+            held += [b] if len(b) else []
+            if sum(map(len, held)) >= 16_384 or sum(len(b.column(1).values) for b in held) >= 2**20:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    return sets.mapInArrow(run, f"ids array<{kind}>, sizes binary, items binary")
+
+
+class Nearest:
+    """The k sets of the highest similarity above `least` that each query of a block has met."""
+
+    EVERYDAY = 128  # the queries' most frequent items: nearly all pairs have some in common, so they are counted by a product of matrices
+    PAIRS = 2**22  # at a time
+
+    def __init__(self, ids: pa.Array, n: np.ndarray, items: np.ndarray, k: int, least: float):
+        self.ids, self.n, self.k, self.least = ids, n, k, least
+        self.known, code = np.unique(items, return_inverse=True)
+        self.place = np.argsort(np.argsort(-np.bincount(code), kind="stable"))
+        q, place = np.repeat(np.arange(len(n)), n), self.place[code]
+        self.often = self.matrix(len(n), q, place)
+        order = np.argsort(place, kind="stable")
+        self.postings, self.first = q[order], np.searchsorted(place[order], np.arange(len(self.known) + 1))
+        self.bar, self.step, self.best = np.full(len(n), self.share(least)), 64, None
+
+    @staticmethod
+    def share(score):
+        """What two sets of this similarity have in common of the sum of their sizes, at least."""
+        return score / (1 + score) * (1 - 1e-9)
+
+    def matrix(self, rows: int, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        x = np.zeros((rows, self.EVERYDAY), np.float32)
+        x[at[place < self.EVERYDAY], place[place < self.EVERYDAY]] = 1
+        return x
+
+    def meet(self, ids: pa.Array, n: np.ndarray, items: np.ndarray) -> None:
+        """All pairs of the block's queries and these sets, a few sets first: the more is found, the fewer pairs are of use."""
+        at = np.minimum(np.searchsorted(self.known, items), len(self.known) - 1)
+        asked = self.known[at] == items
+        owner, place = np.repeat(np.arange(len(n)), n)[asked], self.place[at[asked]]
+        start = 0
+        while start < len(n):
+            end = min(start + self.step, len(n))
+            i, j = np.searchsorted(owner, [start, end])
+            common = self.common(end - start, owner[i:j] - start, place[i:j])
+            h, q = np.nonzero(common >= np.add.outer(n[start:end], self.n) * self.bar)
+            both = common[h, q].astype(np.int64)
+            self.add(q, both / (n[start + h] + self.n[q] - both), ids.take(pa.array(start + h)))
+            start, self.step = end, max(1, min(2 * self.step, self.PAIRS // len(self.n)))
+
+    def common(self, rows: int, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The number of items that each of these sets and each query have in common."""
+        product = self.matrix(rows, owner, place) @ self.often.T
+        owner, place = owner[place >= self.EVERYDAY], place[place >= self.EVERYDAY]
+        count = self.first[place + 1] - self.first[place]
+        hit = np.repeat(self.first[place] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        product += np.bincount(np.repeat(owner * len(self.n), count) + self.postings[hit], minlength=product.size).reshape(product.shape)
+        return product
+
+    def add(self, q: np.ndarray, score: np.ndarray, h: pa.Array) -> None:
+        new = pa.table({"q": q, "score": score, "h": h})
+        new = new.filter(pc.and_(pa.array(score > self.least), pc.not_equal(self.ids.take(pa.array(q)), h)))
+        best = pa.concat_tables([new] if self.best is None else [self.best, new])
+        best = best.sort_by([("q", "ascending"), ("score", "descending"), ("h", "ascending")])
+        q, score = best["q"].to_numpy(), best["score"].to_numpy()
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.best = best.filter(pa.array(rank < self.k))
+        self.bar[q[rank == self.k - 1]] = self.share(score[rank == self.k - 1])
+
+
 def top_similar(queries: DataFrame, history: DataFrame, k: int, least: float = 0.1) -> DataFrame:
     """(q, h, score, rank): for each query set the k sets of the history of the highest Jaccard similarity above `least`, other
     ids only, ties to the smaller id. Both are (id, s), s an array of distinct items.
 
-    Items are looked up rarest first, twice as many in each round. A set that shares none of a query's first p of n items
-    reaches (n - p) / n at most, so a query is done when its k-th score is above that, or `least` is not below it: everyday
-    items are only looked up by the queries that have too little else. Exact, and no query meets the history as a whole.
+    Blocks of the history meet blocks of queries where they are read, and only the k best of each task travel: texts have
+    everyday items in common with most others, so that candidates would be most pairs of a query and a set. Exact.
     """
-    hashed = lambda x: keep_table(x.select("id", F.transform("s", lambda v: F.xxhash64(v)).alias("s")))
-    queries, history = hashed(queries), hashed(history)
-    posts = keep_table(history.select(F.col("id").alias("h"), F.explode("s").alias("item")))
-    often = keep_table(posts.groupBy("item").agg(F.count("*").alias("df")))
-    asked = queries.select(F.col("id").alias("q"), F.size("s").alias("n"), F.explode("s").alias("item")).join(often, "item", "left")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "item"))
-    asked = keep_table(asked.select("q", "n", "item", place.alias("place")))
+    kind, asking = dict(history.dtypes)["id"], dict(queries.dtypes)["id"]
+    hashed = lambda x: x.where("id is not null").select("id", F.transform("s", lambda v: F.xxhash64(v)).alias("s"))
+    rows = keep_table(hashed(queries))
+    # a task holds the queries of a part: 128 MB of items and matrices at most
+    parts = 1 + (rows.where("size(s) > 0").agg(F.sum(F.size("s") + Nearest.EVERYDAY // 2)).first()[0] or 0) // 2**24
+    asked = keep_table(blocks(rows.coalesce(parts)).select(F.monotonically_increasing_id().alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "sizes", "items"))))
+    drop(rows)
+
+    def nearest(batches):
+        found = {}
+        for b in batches:
+            numbers = lambda name, i: np.frombuffer(b.column(name)[i].as_py(), np.int64)
+            for i, block in enumerate(b.column("block").to_pylist()):
+                if block not in found:
+                    found[block] = Nearest(b.column("q_ids")[i].values, numbers("q_sizes", i), numbers("q_items", i), k, least)
+                found[block].meet(b.column("ids")[i].values, numbers("sizes", i), numbers("items", i))
+        for x in found.values():
+            yield from x.best.select(["h", "score"]).add_column(0, "q", x.ids.take(x.best["q"])).to_batches()
+
+    sets = hashed(history)  # shuffled only if it comes in fewer tasks than there are cores, as from a small file
+    few = history.rdd.getNumPartitions() < history.sparkSession.sparkContext.defaultParallelism
+    met = blocks(sets.repartition("id") if few else sets).crossJoin(asked.coalesce(parts)).mapInArrow(nearest, f"q {asking}, h {kind}, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "h")
-    a, b = queries.select(F.col("id").alias("q"), F.col("s").alias("x")), history.select(F.col("id").alias("h"), F.col("s").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    score = common / (F.size("x") + F.size("y") - common)
-    open_, top, p, step = keep_table(queries.select(F.col("id").alias("q"), F.size("s").alias("n")).where("n > 0")), None, 0, 1
-    while not open_.isEmpty():
-        now = asked.where((F.col("place") > p) & (F.col("place") <= p + step)).join(open_.select("q"), "q", "left_semi")
-        met = now.select("q", "item").join(posts, "item").where("q <> h").select("q", "h").distinct()
-        new = met.join(a, "q").join(b, "h").select("q", "h", score.alias("score")).where(F.col("score") > least)
-        new = new if top is None else new.unionByName(top).distinct()
-        old, top = top, keep_table(new.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
-        p, step = p + step, step * 2
-        worst = top.groupBy("q").agg(F.min("score").alias("kth"), F.count("*").alias("found"))
-        left = (F.col("n") - p) / F.col("n")
-        more = (left > least) & (F.col("found").isNull() | (F.col("found") < k) | (left >= F.col("kth")))
-        spent, open_ = open_, keep_table(open_.join(worst, "q", "left").where(more).select("q", "n"))
-        drop(spent, *([old] if old is not None else []))
-    if top is None:
-        top = queries.select(F.col("id").alias("q"), F.col("id").alias("h"), F.lit(0.0).alias("score")).limit(0)
-    return top.withColumn("rank", F.row_number().over(best))
+    top = keep_table(met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+    drop(asked)
+    return top

@@ -113,6 +113,44 @@ def test_top_similar_is_brute_force(spark, k):
     assert got == want and len(want) > 20
 
 
+def test_top_similar_moves_no_candidates(spark):
+    """Texts with everyday words in common: what is shuffled must not be the pairs of a query and a text (360,000 here)."""
+    from loomery.operators.setjoin import top_similar
+
+    def stages():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        found = sc.statusStore().stageList(None, False, False, none, None)
+        return {(x := found.apply(i)).stageId(): x.shuffleWriteRecords() for i in range(found.size())}
+
+    everyday = [f"e{i}" for i in range(30)]
+    df = spark.createDataFrame([(i, [*everyday, f"r{i % 50}", f"x{i}"]) for i in range(1200)], "id long, s array<string>")
+    before = max(stages(), default=-1)
+    got = top_similar(df.where("id % 4 = 0"), df, 5).collect()
+    assert len(got) == 300 * 5 and all(r["h"] == [h for h in range(r["q"] % 50, 1200, 50) if h != r["q"]][r["rank"] - 1] and r["score"] == 31 / 33 for r in got)
+    assert sum(n for stage, n in stages().items() if stage > before) < 30_000
+
+
+def test_top_similar_odd_rows(spark):
+    """Repeated and missing ids, empty and missing sets, queries that the history lacks, more blocks than one, other kinds of ids."""
+    from loomery.operators.setjoin import top_similar
+
+    rng = random.Random(5)
+    rows = [(i % 70 if i < 90 else i, sorted({f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(1, 25))})) for i in range(400)]
+    rows += [(None, ["w1", "w2"]), (500, None), (501, []), (502, ["w1", "w2"]), (503, ["w1", "w2"])]
+    asked = [r for r in rows if r[0] is not None and r[0] % 7 < 3] + [(900, ["w3", "w4", "w5"]), (None, ["w1"]), (901, None)]
+    want = []
+    for q in {r[0] for r in asked} - {None}:
+        near = [(-like(set(x), set(y)), j) for i, x in asked for j, y in rows if i == q and j not in (None, q) and x and y and like(set(x), set(y)) > 0.3]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(sorted(near)[:4])]
+    for kind, name in (("long", lambda i: i), ("string", lambda i: i if i is None else f"{i:04d}")):
+        a, b = (spark.createDataFrame([(name(i), s) for i, s in x], f"id {kind}, s array<string>").repartition(3) for x in (asked, rows))
+        got = [(r["q"], r["rank"], r["h"], r["score"]) for r in top_similar(a, b, 4, 0.3).collect()]
+        assert sorted(got) == sorted((name(q), n, name(h), pytest.approx(s)) for q, n, h, s in want) and len(want) > 300
+    assert top_similar(a.limit(0), b, 4).count() == top_similar(a, b.limit(0), 4).count() == 0
+
+
 def test_q_fold(spark):
     rows = spark.createDataFrame([("k", 1, 1.0), ("k", 2, 0.0), ("k", 3, -1.0)], "key string, ts int, r double")
     assert St.q_fold(rows, "key", ["ts"], F.col("r")).first()["q"] == pytest.approx(-0.019)
