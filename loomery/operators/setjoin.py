@@ -5,12 +5,16 @@ they agree on p - d of them at least, so a set needs keys for no more than d + 1
 unrelated sets have in common, a part with one everyday item or none, comes last and is left out; a set with more than d
 parts of its own meets nobody. Keys that do meet are held against a second bound before a pair is made: the parities
 of both sets' items, dealt into many bits, differ in no more bits than the sets do in items.
+
+Large sets of everyday items have most of their parts in common with some unrelated set, so keys make about as many pairs as there
+are. Where a size class has few sets (FEW) they are not keyed: blocks of parities meet each other, by products of matrices.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +27,8 @@ from .tables import drop, keep_table
 
 LARGEST = 2**31
 KIND = 512  # more than there are size classes
+FEW = 2**17  # sets under one class that meet in blocks
+EACH = 4  # sets of a block that one of another meets before the others wait for components
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -65,8 +71,9 @@ class Parts:
         return mixed(content ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 40), 3))
 
     def parity(self, h: np.ndarray, c: int) -> np.ndarray:
-        """Parities of the numbers of items dealt to half as many bits as there are items, as 64-bit words."""
-        bits = 64 * (1 + int(self.edges[min(c, len(self.edges) - 1)]) // 128)
+        """Parities of the numbers of items dealt to some more bits than twice the greatest difference, as 64-bit words: sets with
+        little in common differ in nearly half of them."""
+        bits = 64 * (2 + int(2.5 * self.scheme(c)[0]) // 64)
         odd = np.bincount((mixed(h, 11) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
         return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -137,12 +144,35 @@ def word_numbers(texts: list[str]) -> Iterator[np.ndarray]:
         yield np.unique(flat[i:j])
 
 
-def packed_meetings(rows: DataFrame, kinds: list[tuple[float, Callable[[list[str]], Iterable[np.ndarray]]]], keep_table) -> DataFrame:
-    """The meetings of rows (id long, t), for one kind of sets or more: (threshold, texts -> sets of numbers).
+def sketches(rows: DataFrame, kinds: list[tuple[float, Callable[[list[str]], Iterable[np.ndarray]]]], keep_table) -> DataFrame:
+    """(id, code, n, t, parity): a written table of the sets of the rows (id long, t) under each of their classes."""
+
+    def sketch(batches):
+        schemes = [Parts(t) for t, _ in kinds]
+        for b in batches:
+            found = [(i, KIND * kind + c, len(h), kinds[kind][0], schemes[kind].parity(h, c)) for i, kind, c, h in coded_sets(b, kinds)]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(types)], names=["id", "code", "n", "t", "parity"])
+
+    return keep_table(rows.select("id", "t").mapInArrow(sketch, "id long, code int, n int, t double, parity array<long>"))
+
+
+def coded_sets(b: pa.RecordBatch, kinds) -> Iterator[tuple]:
+    """(id, kind, class, set) of a batch of (id, t)."""
+    schemes, ids, texts = [Parts(t) for t, _ in kinds], b.column(0).to_pylist(), b.column(1).to_pylist()
+    for at in range(0, len(ids), 256):
+        for kind, (parts, (_, make)) in enumerate(zip(schemes, kinds)):
+            for i, h in zip(ids[at : at + 256], make(texts[at : at + 256])):
+                for c in parts.classes(len(h)) if len(h) else ():
+                    yield i, kind, c, h
+
+
+def packed_meetings(rows: DataFrame, sketched: DataFrame, kinds, codes: set[int], keep_table) -> DataFrame:
+    """The meetings of rows (id long, t) under these codes, for one kind of sets or more: (threshold, texts -> sets of numbers).
 
     They are those of meetings(). Few parts meet others but all have to be counted,
     so they travel packed: 4 bytes of key each, by slices of the keys, and those that several sets have back by slices of
-    the ids, with their numbers of sets. Neither sets nor keys are written. Reads rows twice.
+    the ids, with their numbers of sets. Neither sets nor keys are written.
     """
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     forms = {"id": np.int64, "code": np.uint16, "part": np.uint32, "key": np.uint64, "df": np.uint32}
@@ -165,15 +195,6 @@ def packed_meetings(rows: DataFrame, kinds: list[tuple[float, Callable[[list[str
                 got[k] += [np.frombuffer(x, forms[n]) for x in b.column(n).to_pylist()]
         return [np.concatenate(g) for g in got]
 
-    def sets(b, schemes):
-        """(id, kind, class, set) of a batch."""
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for at in range(0, len(ids), 256):
-            for kind, (parts, (_, make)) in enumerate(zip(schemes, kinds)):
-                for i, h in zip(ids[at : at + 256], make(texts[at : at + 256])):
-                    for c in parts.classes(len(h)) if len(h) else ():
-                        yield i, kind, c, h
-
     def deal(batches):
         schemes, found, held = [Parts(t) for t, _ in kinds], [], 0
 
@@ -183,7 +204,9 @@ def packed_meetings(rows: DataFrame, kinds: list[tuple[float, Callable[[list[str
             return pack(((keys >> np.uint64(32)) % np.uint64(slices)).astype(np.int64), id=ids, code=codes, part=keys & np.uint64(2**32 - 1))
 
         for b in batches:
-            for i, kind, c, h in sets(b, schemes):
+            for i, kind, c, h in coded_sets(b, kinds):
+                if KIND * kind + c not in codes:
+                    continue
                 found.append((i, KIND * kind + c, schemes[kind].keys(h, c) ^ mixed(np.array([kind], np.uint64), 5)))
                 held += len(found[-1][2])
                 if held > 1_000_000:
@@ -221,18 +244,11 @@ def packed_meetings(rows: DataFrame, kinds: list[tuple[float, Callable[[list[str
         keep = np.arange(len(ids)) - np.repeat(new, n) < np.repeat(room[codes[new]] + n, n)
         yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[keep]), pa.array(codes[keep].astype(np.int32))], names=["key", "id", "code"])
 
-    def sketch(batches):
-        schemes = [Parts(t) for t, _ in kinds]
-        for b in batches:
-            found = [(i, KIND * kind + c, len(h), kinds[kind][0], schemes[kind].parity(h, c)) for i, kind, c, h in sets(b, schemes)]
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(types)], names=["id", "code", "n", "t", "parity"])
-
     rows = rows.select("id", "t")
     by_key = rows.mapInArrow(deal, packed("id", "code", "part")).repartitionById(slices, F.col("slice"))
     by_id = by_key.mapInArrow(shared, packed("id", "code", "key", "df")).repartitionById(slices, F.col("slice"))
     rare = by_id.mapInArrow(rarest, "key long, id long, code int")
-    met = rare.join(rows.mapInArrow(sketch, "id long, code int, n int, t double, parity array<long>"), ["id", "code"])
+    met = rare.join(sketched, ["id", "code"])
     return keep_table(met.select("key", "id", "n", "t", "parity"))
 
 
@@ -288,24 +304,157 @@ def candidates(met: DataFrame) -> DataFrame:
     return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def spanning(met: DataFrame, accept, components) -> DataFrame:
-    """(a, b): links accepted of the candidates, enough of them to reach all that all accepted candidates would reach.
+def parity_blocks(sketched: DataFrame, keep_table) -> DataFrame:
+    """A written table of the sketches (id, code, n, t, parity, grp, asked), by code and size: up to some thousands in a row,
+    as one run of longs, see block_arrays()."""
+
+    def run(batches):
+        for b in batches:
+            code, words = b.column("code").to_numpy(), b.column("parity").value_lengths().to_numpy()
+            for c in np.unique(code).tolist():
+                at, end = np.searchsorted(code, [c, c + 1]).tolist()
+                step = int(max(1, min(2048, 2**16 // words[at])))
+                for i in range(at, end, step):
+                    x = b.slice(i, min(step, end - i))
+                    n = x.column("n").to_numpy().astype(np.int64)
+                    ids, grp, asked = (np.asarray(x.column(k).to_numpy(zero_copy_only=False), np.int64) for k in ("id", "grp", "asked"))
+                    sets = np.concatenate([ids, n, grp - ids, asked, x.column("parity").flatten().to_numpy()])
+                    row = {"code": c, "t": x.column("t")[0].as_py(), "least": int(n[0]), "most": int(n[-1]), "any": bool(asked.any()), "many": len(n), "sets": sets.tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("code", pa.int32()), ("t", pa.float64()), ("least", pa.int64()), ("most", pa.int64()), ("any", pa.bool_()), ("many", pa.int64()), ("sets", pa.binary())])
+    sorted_ = sketched.select("id", "code", "n", "t", "parity", "grp", "asked").repartitionByRange("code", "n", "id").sortWithinPartitions("code", "n", "id")
+    packed = sorted_.mapInArrow(run, "code int, t double, least long, most long, any boolean, many long, sets binary")
+    return keep_table(packed.withColumn("block", F.monotonically_increasing_id()).repartition(int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def block_arrays(row: dict) -> tuple[np.ndarray, ...]:
+    """ids, sizes, groups, asked or not, parities of a block."""
+    x, n = np.frombuffer(row["sets"], np.int64), row["many"]
+    return x[:n], x[n : 2 * n], x[:n] + x[2 * n : 3 * n], x[3 * n : 4 * n] > 0, x[4 * n :]
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """(id, code, n, t, parity) of blocks."""
 
-    Each key's smallest set meets the others first, which is linear. Only where a key then still holds several
-    components do their members meet across them: a family of copies of any size is linked through one of its own.
-    accept(pairs) gives the pairs (a, b) that are links.
+    def run(batches):
+        for row in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(len(b))):
+            ids, n, _, _, parity = block_arrays(row)
+            ends = np.arange(len(ids) + 1, dtype=np.int32) * (len(parity) // len(ids))
+            fixed = pa.array(np.full(len(ids), row["code"], np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(len(ids), row["t"]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *fixed, pa.ListArray.from_arrays(ends, parity)], names=["id", "code", "n", "t", "parity"])
+
+    return blocks.mapInArrow(run, "id long, code int, n int, t double, parity array<long>")
+
+
+def block_candidates(blocks: DataFrame, each: int | None = None) -> DataFrame:
+    """(a, b, late, more): pairs a < b of different groups that may be alike; late is the one asked, which the larger size has.
+
+    With `each`, no more of them for a set and a block than so many, and whether there are more.
     """
-    lead = met.groupBy("key").agg(F.min(F.struct("id", "n", "t", "parity")).alias("lead")).select("key", "lead.*")
-    first = met.alias("y").join(lead.alias("x"), "key").where(F.col("x.id") < F.col("y.id")).where(may_be_alike("x", "y"))
-    links = keep_table(accept(keep_table(first.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())).select("a", "b"))
-    of = components(links).select(F.col("node").alias("id"), "component")
-    known = keep_table(met.join(of, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    split = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    rest = keep_table(known.join(split, "key", "left_semi"))
-    across = rest.alias("x").join(rest.alias("y"), "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).where(may_be_alike("x", "y"))
-    more = keep_table(accept(keep_table(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())).select("a", "b"))
-    drop(known, rest)
-    return links.union(more)
+
+    def run(batches):
+        for b in batches:
+            found = [np.empty((0, 4), np.int64)]
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(len(b))):
+                (ia, na, ga, _, bits_a), (ib, nb, gb, asked, bits_b) = block_arrays(row["x"]), block_arrays(row["y"])
+                t, c, asked = row["x"]["t"], row["x"]["code"] % KIND, np.flatnonzero(asked)
+                edges = Parts(t).edges
+                signs = lambda parity, n: 1 - 2 * np.unpackbits(parity.view(np.uint8).reshape(n, -1), axis=1).astype(np.float32)
+                sa, sb = signs(bits_a, len(ia)), signs(bits_b, len(ib))[asked]
+                share = 2 * (1 - t) / (1 + t)  # equal signs less unequal ones: at least bits - share * (na + nb)
+                room = (share * nb[asked] * (1 + 1e-6) - sa.shape[1] + 0.5).astype(np.float32)
+                met = []
+                for i in range(0, len(ia), 512):
+                    agree = sa[i : i + 512] @ sb.T
+                    agree += room
+                    agree += (share * na[i : i + 512] * (1 + 1e-6)).astype(np.float32)[:, None]
+                    p, q = np.nonzero(agree >= 0)
+                    met.append((p + i, asked[q]))
+                p, q = (np.concatenate(m) for m in zip(*met))
+                ok = (na[p] >= t * nb[q]) & (nb[q] >= t * na[p]) & (ga[p] != gb[q])
+                if t < 1:  # else all are of one class
+                    ok &= np.minimum(na[p], nb[q]) < edges[c + 1]
+                if row["x"]["block"] == row["y"]["block"]:
+                    ok &= p < q
+                p, q = p[ok], q[ok]
+                more = np.zeros(len(q), np.int64)
+                if each is not None:
+                    order = np.lexsort((ia[p], q))
+                    p, q = p[order], q[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    more = (np.bincount(q, minlength=len(ib))[q] > each).astype(np.int64)
+                    p, q, more = p[rank < each], q[rank < each], more[rank < each]
+                found.append(np.stack([np.minimum(ia[p], ib[q]), np.maximum(ia[p], ib[q]), ib[q], more], 1))
+            x = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), pa.array(x[:, 3] > 0)], names=["a", "b", "late", "more"])
+
+    side = lambda name: blocks.select(F.struct(*blocks.columns).alias(name))
+    # not by equality of codes: few codes have most blocks, which all tasks should share
+    near = F.col("x.code").between(F.col("y.code"), F.col("y.code")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.most") >= F.col("x.t") * F.col("y.least")) & F.col("y.any")
+    return side("x").join(side("y"), near).mapInArrow(run, "a long, b long, late long, more boolean")
+
+
+class Meetings:
+    """Pairs of sets that may be alike, of rows (id long, t) and kinds (threshold, texts -> sets of numbers). Reads rows once, or three
+    times where classes have more than `few` sets."""
+
+    def __init__(self, rows: DataFrame, kinds: list[tuple[float, Callable[[list[str]], Iterable[np.ndarray]]]], keep_table, few: int = FEW):
+        self.keep = keep_table
+        self.spark, sketched = rows.sparkSession, sketches(rows, kinds, keep_table)
+        counts = {r["code"]: r["n"] for r in sketched.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row for each size class
+        many = {c for c, n in counts.items() if n > few}
+        few_of = sketched.where(~F.col("code").isin(*many)) if many else sketched
+        self.blocks = parity_blocks(few_of.withColumns({"grp": F.col("id"), "asked": F.lit(True)}), keep_table) if len(many) < len(counts) else None
+        self.met = packed_meetings(rows, sketched, kinds, many, keep_table) if many else None
+        drop(sketched)
+
+    def together(self, *found: DataFrame | None) -> DataFrame:
+        """The distinct pairs (a, b) of what is found, as a written table."""
+        found = [f.select("a", "b") for f in found if f is not None]
+        none = self.spark.createDataFrame([], "a long, b long")
+        return self.keep(reduce(DataFrame.union, found, none).distinct())
+
+    def pairs(self) -> DataFrame:
+        """(a, b), a < b, distinct: all of them."""
+        return self.together(None if self.blocks is None else block_candidates(self.blocks), None if self.met is None else candidates(self.met))
+
+    def spanning(self, accept, components) -> DataFrame:
+        """(a, b): links accepted of the pairs, enough of them to reach all that all accepted pairs would reach.
+
+        Each key's smallest set meets the others first, and each set EACH of a block, which is linear. Only where a key then
+        still holds several components do their members meet across them, and sets that have met more those of other
+        components: a family of copies of any size is linked through some of its own.
+        accept(pairs) gives the pairs (a, b) that are links.
+        """
+        met, first, found = self.met, None, None
+        if met is not None:
+            lead = met.groupBy("key").agg(F.min(F.struct("id", "n", "t", "parity")).alias("lead")).select("key", "lead.*")
+            first = met.alias("y").join(lead.alias("x"), "key").where(F.col("x.id") < F.col("y.id")).where(may_be_alike("x", "y"))
+            first = first.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        if self.blocks is not None:
+            found = self.keep(block_candidates(self.blocks, EACH))
+        links = self.keep(accept(self.together(first, found)).select("a", "b"))
+        of = self.keep(components(links).select(F.col("node").alias("id"), F.col("component").alias("grp")))
+        across = again = None
+        if met is not None:
+            known = self.keep(met.join(of, "id", "left").withColumn("component", F.coalesce("grp", "id")).drop("grp"))
+            split = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+            rest = self.keep(known.join(split, "key", "left_semi"))
+            across = rest.alias("x").join(rest.alias("y"), "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).where(may_be_alike("x", "y"))
+            across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        if found is not None:
+            crowded = self.keep(found.where("more").select(F.col("late").alias("id")).distinct())
+            if not crowded.isEmpty():
+                sketched = unpacked(self.blocks).join(of, "id", "left").join(crowded.withColumn("asked", F.lit(True)), "id", "left")
+                sketched = sketched.withColumns({"grp": F.coalesce("grp", "id"), "asked": F.coalesce("asked", F.lit(False))})
+                again = block_candidates(parity_blocks(sketched, self.keep))
+        if across is None and again is None:
+            return links
+        more = self.keep(accept(self.together(across, again)).select("a", "b"))
+        if met is not None:
+            drop(known, rest)
+        return links.union(more)
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:

@@ -420,3 +420,58 @@ def test_alike_writes_less_than_the_texts(spark):
     assert {(p["a"], p["b"]) for p in D.alike(df, "id", F.col("t"), keep).collect()} == {(i, 1000 + i) for i in range(5)}
     written = sum(p.stat().st_size for t in folders for p in pathlib.Path(t._loomery_path.removeprefix("file:")).rglob("*.parquet"))
     assert written < 150 * 2000 / 4  # sets of 4-grams alone take 8 bytes a character
+
+
+def many_near_texts():
+    """Families of near copies, larger than what a set of a block meets at first, and texts of their own."""
+    r, rows = random.Random(5), []
+    for f in range(6):
+        t = "".join(r.choices("abcdefgh ", k=400))
+        for _ in range(5 if f else 60):
+            i = r.randrange(380)
+            rows.append(t[:i] + "".join(r.choices("xyz", k=r.randrange(3))) + t[i + 2 :])
+    r.shuffle(rows)
+    return first_rows(list(enumerate(rows)))
+
+
+@pytest.mark.parametrize("few", [2**17, 40, 0])
+def test_blocks_and_keys_meet_all_pairs(spark, few):
+    """Classes of few sets meet in blocks, others by keys: both, or one of them, find the same, all pairs or enough to join them."""
+    from loomery.operators import setjoin as J
+
+    rows = many_near_texts()
+    df = keep_table(spark.createDataFrame(rows, "id long, t string"))
+    kinds = [(0.8, J.word_numbers), (0.85, D.grams)]
+    like_ = {(i, j) for (i, x), (j, y) in itertools.combinations(rows, 2) if like(gram_set(x), gram_set(y)) >= 0.85 or like(set(x.split()), set(y.split())) >= 0.8}
+    met = J.Meetings(df, kinds, keep_table, few)
+    got = [(p["a"], p["b"]) for p in met.pairs().collect()]
+    assert like_ <= set(got) and len(got) == len(set(got)) < len(rows) ** 2 / 4
+    links = {(p["a"], p["b"]) for p in met.spanning(lambda p: p.join(spark.createDataFrame(sorted(like_), "a long, b long"), ["a", "b"]), lambda e: D.components(e, keep_table)).collect()}
+    assert links <= like_ and reached(links) == reached(like_)
+
+
+def test_blocks_link_a_family_through_some(spark):
+    from loomery.operators import setjoin as J
+
+    df = keep_table(spark.createDataFrame(many_near_texts(), "id long, t string"))
+    taken = []
+
+    def accept(pairs):
+        taken.append(pairs.count())
+        return pairs
+
+    met = J.Meetings(df, [(0.85, D.grams)], keep_table)
+    assert met.met is None  # no key of a part travels
+    met.spanning(accept, lambda e: D.components(e, keep_table)).collect()
+    assert taken[0] + sum(taken[1:]) < met.pairs().count() / 2
+
+
+def reached(links):
+    group = {}
+    for a, b in sorted(links):
+        ga, gb = group.setdefault(a, {a}), group.setdefault(b, {b})
+        if ga is not gb:
+            ga |= gb
+            for x in gb:
+                group[x] = ga
+    return {frozenset(g) for g in group.values()}
